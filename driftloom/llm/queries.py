@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.embedding_dedup import op1_embedding_near_dedup
+from driftloom.llm.minhash_dedup import op2_minhash_near_dedup
 
-QUERIES = [op1_embedding_near_dedup]
+QUERIES = [op1_embedding_near_dedup, op2_minhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
