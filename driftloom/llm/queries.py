@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.llm.bpe import op3_bpe_encode_decode
 from driftloom.llm.embedding_dedup import op1_embedding_near_dedup
 from driftloom.llm.minhash_dedup import op2_minhash_near_dedup
+from driftloom.llm.token_counts import op5_token_counts
 
-QUERIES = [op1_embedding_near_dedup, op2_minhash_near_dedup]
+QUERIES = [op1_embedding_near_dedup, op2_minhash_near_dedup, op3_bpe_encode_decode, op5_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
