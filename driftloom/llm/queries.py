@@ -8,10 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.bpe import op3_bpe_encode_decode
 from driftloom.llm.embedding_dedup import op1_embedding_near_dedup
+from driftloom.llm.language_id import op4_language_id
 from driftloom.llm.minhash_dedup import op2_minhash_near_dedup
+from driftloom.llm.mixing import OP6_SQL, op6_mix_sources
 from driftloom.llm.token_counts import op5_token_counts
+from driftloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = [op1_embedding_near_dedup, op2_minhash_near_dedup, op3_bpe_encode_decode, op5_token_counts]
+QUERIES = [
+    op1_embedding_near_dedup,
+    op2_minhash_near_dedup,
+    op3_bpe_encode_decode,
+    op4_language_id,
+    op5_token_counts,
+    op6_mix_sources,
+    op9_url_filter,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix_sources": OP6_SQL, "op9_url_filter": OP9_SQL}
