@@ -12,6 +12,7 @@ from driftloom.llm.language_id import op4_language_id
 from driftloom.llm.minhash_dedup import op2_minhash_near_dedup
 from driftloom.llm.mixing import OP6_SQL, op6_mix_sources
 from driftloom.llm.nearest import op8_nearest_vectors
+from driftloom.llm.pii import op7_personal_data
 from driftloom.llm.secrets import op10_secret_scan
 from driftloom.llm.token_counts import op5_token_counts
 from driftloom.llm.url_filter import OP9_SQL, op9_url_filter
@@ -23,6 +24,7 @@ QUERIES = [
     op4_language_id,
     op5_token_counts,
     op6_mix_sources,
+    op7_personal_data,
     op8_nearest_vectors,
     op9_url_filter,
     op10_secret_scan,
