@@ -150,17 +150,20 @@ def labelled_sample(df: DataFrame, per_language: int, id_col: str, text_col: str
     return found.toPandas().sort_values(["id", "label", "k", "text"], ignore_index=True)
 
 
-def identify(df: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score (mean probability, 0 to 1).
+def identify(df: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, ``carry`` columns, lang_pred, score (mean probability, 0 to 1).
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything without a network. All windows
-    of a text count. Null ids and repeated rows are rows like any other; further columns are left out.
+    of a text count. Null ids and repeated rows are rows like any other; columns that are not carried are left out.
     """
-    base = df.select(F.col(id_col).alias("id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
-    kind = base.schema["id"].dataType.simpleString()
+    names = [f"c{k}" for k in range(len(carry))]
+    kept = [F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]
+    back = [F.col("id").alias(id_col), *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), "lang_pred", "score"]
+    # Texts without a letter need no look by the network.
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    base = df.select(F.col(id_col).alias("id"), *kept, F.when(letters, F.col(text_col)).alias("text"))
     if network is None:
-        out = base.select("id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-        return out.withColumnRenamed("id", id_col)
+        return base.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0)).select(*back)
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,9 +180,10 @@ def identify(df: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id",
                     held, rows = [], []
             if held:
                 _score(net, held, rows, guess, score)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "lang_pred": guess, "score": score})
+            yield pdf.drop(columns="text").assign(lang_pred=guess, score=score)
 
-    return base.mapInPandas(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text")
+    return base.mapInPandas(run, f"{shape}, lang_pred string, score double").select(*back)
 
 
 def _score(net: ByteNetwork, held: list, rows: list[int], guess: np.ndarray, score: np.ndarray) -> None:

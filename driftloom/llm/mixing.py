@@ -44,15 +44,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id, source, size (words), source_size, target (of its source), taken (words, repeats counted).
+def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return stored(rows.withColumn("place", place(F.col("id"))), "sizes")
 
-    Null and empty texts have size 0 and take 0. A null source is a source of its own. Rows that share an id share a place and
-    so are taken alike; a null id has the place of an empty id. Further columns are left out. A source's taken
-    words differ from its target by at most half the words at its last place; reruns agree, as places depend on ids alone.
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """``(source, source_size, target, passes, edge)`` from ``(source, size, place)``.
+
+    A document is taken ``passes`` times, and once more if its place is below ``edge``.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = stored(rows.withColumn("place", place(F.col("id"))), "sizes")
     sums = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     plan = targets(sums)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -61,9 +62,9 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     same = "rows.source <=> plan.source"
     coarse, fine = f"shiftright(place, {COARSE})", f"shiftright(place, {FINE})"
-    sized = rows.where("size > 0")
-    level = _crossed(sized.groupBy("source", F.expr(coarse).alias("at")).agg(F.sum("size").alias("size")), plan.select("source", "open"))
-    inside = sized.alias("rows").join(level.alias("plan"), F.expr(f"{same} and {coarse} = plan.at")).select("rows.*", "plan.open")
+    filled = rows.where("size > 0")
+    level = _crossed(filled.groupBy("source", F.expr(coarse).alias("at")).agg(F.sum("size").alias("size")), plan.select("source", "open"))
+    inside = filled.alias("rows").join(level.alias("plan"), F.expr(f"{same} and {coarse} = plan.at")).select("rows.*", "plan.open")
     inside = stored(inside, "boundary")
     level = _crossed(inside.groupBy("source", F.expr(fine).alias("at")).agg(F.sum("size").alias("size")), level.select("source", "open"))
     last = inside.drop("open").alias("rows").join(level.alias("plan"), F.expr(f"{same} and {fine} = plan.at")).select("rows.*")
@@ -72,10 +73,37 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Of the places on either side of the crossing, the one that leaves the smaller difference.
     edge = F.when(F.col("size") - F.col("open") < F.col("open"), F.col("at") + 1).otherwise(F.col("at"))
     plan = plan.alias("plan").join(level.select("source", edge.alias("edge")).alias("rows"), F.expr(same), "left")
-    plan = stored(plan.select("plan.*", F.coalesce("rows.edge", F.lit(0)).alias("edge")), "thresholds")
-    copies = F.col("passes") + (F.col("place") < F.col("edge")).cast("long")
-    out = rows.alias("rows").join(plan.alias("plan"), F.expr(same))
-    return out.select(F.col("id").alias(id_col), F.col("rows.source").alias(source_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return stored(plan.select("plan.source", "source_size", "target", "passes", F.coalesce("rows.edge", F.lit(0)).alias("edge")), "thresholds")
+
+
+def copies(at: Column) -> Column:
+    """How often a document at a place is taken under the thresholds of its source."""
+    return F.col("passes") + (at < F.col("edge")).cast("long")
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: id, source, size (words), source_size, target (of its source), taken (words, repeats counted).
+
+    Null and empty texts have size 0 and take 0. A null source is a source of its own. Rows that share an id share a place and
+    so are taken alike; a null id has the place of an empty id. Further columns are left out. A source's taken
+    words differ from its target by at most half the words at its last place; reruns agree, as places depend on ids alone.
+    """
+    rows = sized(df, id_col, text_col, source_col)
+    out = rows.alias("rows").join(thresholds(rows).alias("plan"), F.expr("rows.source <=> plan.source"))
+    taken = F.col("size") * copies(F.col("place"))
+    return out.select(F.col("id").alias(id_col), F.col("rows.source").alias(source_col), "size", "source_size", "target", taken.alias("taken"))
+
+
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``df``, each as often as ``mixed`` takes it; rows without words are not taken.
+
+    Only the table of thresholds, one row a source, meets the texts.
+    """
+    plan = thresholds(sized(df, id_col, text_col, source_col)).select(F.col("source").alias("mix_source"), "passes", "edge")
+    whole = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"))
+    out = whole.where(word_count(F.col(f"row.{text_col}")) > 0).join(plan, F.col(f"row.{source_col}").eqNullSafe(F.col("mix_source")))
+    times = copies(place(F.col(f"row.{id_col}")))
+    return out.withColumn("time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
 
 
 def _crossed(sums: DataFrame, open_sums: DataFrame) -> DataFrame:
