@@ -3,15 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "stat13_drift_field"
+PLANS = ("scalars", "filters", "joins", "aggregates", "windows", "shapes", "catalog", "statistics", "dynamics", "pixels", "streams")
 
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in PLANS:
+        import_module(f"driftloom.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
