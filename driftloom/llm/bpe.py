@@ -10,6 +10,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -31,104 +32,145 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+#: Number of tokens, ids joined by a space, decoded text.
+Encoded = tuple[int, str, str]
+
+
 class WordBpe:
     """The tokenizer of a word-level BPE file: NFC, white space dropped, lower case, words split by a pattern, byte letters
     and an end-of-word suffix. ``chunk`` gives what a run without white space encodes to; results are kept for up to
     ``keep`` runs and words at a time.
     """
 
-    def __init__(self, file: bytes, keep: int = 200_000):
+    def __init__(self, file: bytes, keep: int = 400_000):
         spec = json.loads(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(merges)}
+        # Symbols are numbers here: those of the vocabulary. A pair of them is one number too.
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: k for k, (a, b) in enumerate(merges)}
+        names = {i: s for s, i in self.vocab.items()}
+        self.merged = [0] * len(self.ranks)
+        for pair, k in self.ranks.items():
+            self.merged[k] = self.vocab[names[pair >> 32] + names[pair & 0xFFFFFFFF]]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.letters = byte_letters()
-        self.decoder = spec["decoder"]
+        letters = byte_letters()
+        self.inner, self.final = [self.vocab[c] for c in letters], [self.vocab[c + self.suffix] for c in letters]
+        if spec["decoder"] is not None:
+            raise ValueError("only files without a decoder are supported")
+        self.numbers = {i: str(i) for i in self.strings}
         self.keep = keep
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.chunks = _Chunks(self)
+        self.words: dict[str, Encoded] = {}
         self.odd_space = regex.compile(f"[^{SPACE}]+")
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, symbols: list[int]) -> list[int]:
         """Merge neighbours by rank, the leftmost first among equals, until no pair has a rank."""
-        n = len(symbols)
+        rank, merged, n = self.ranks.get, self.merged, len(symbols)
+        # An entry of the queue is a rank and a place in one number.
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] << 32 | symbols[i + 1])) is not None]
+        if not queue:
+            return symbols
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
         heapq.heapify(queue)
-        alive: list[str | None] = list(symbols)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if alive[i] != left or j < 0 or alive[j] != right:
+            if j < 0 or symbols[i] < 0 or rank(symbols[i] << 32 | symbols[j]) != entry >> 32:
                 continue  # stale
-            alive[i], alive[j] = left + right, None
+            symbols[i], symbols[j] = (new := merged[entry >> 32]), -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := ranks.get((alive[i], alive[k]))) is not None:
-                    heapq.heappush(queue, (r, i, alive[i], alive[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((alive[h], alive[i]))) is not None:
-                heapq.heappush(queue, (r, h, alive[h], alive[i]))
-        return [s for s in alive if s is not None]
+                if (r := rank(new << 32 | symbols[k])) is not None:
+                    push(queue, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank(symbols[h] << 32 | new)) is not None:
+                push(queue, r << 32 | h)
+        return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> Encoded:
         found = self.words.get(word)
         if found is None:
-            symbols = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-            symbols[-1] += self.suffix
-            found = [self.vocab[s] for s in self.merge(symbols) if s in self.vocab]
+            data, inner = word.encode("utf-8", "surrogatepass"), self.inner
+            symbols = [inner[b] for b in data]
+            symbols[-1] = self.final[data[-1]]
+            found = self.encoded(self.merge(symbols))
             if len(self.words) >= self.keep:
                 self.words.clear()
             self.words[word] = found
         return found
 
-    def plain(self, text: str) -> list[int]:
+    def encoded(self, ids: list[int]) -> Encoded:
+        return len(ids), " ".join([self.numbers[i] for i in ids]), self.decode(ids)
+
+    def plain(self, text: str) -> list[Encoded]:
         # Lower case letter by letter: a final sigma gets no form of its own.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [i for w in self.pattern.findall(text) for i in self.word(w)]
-
-    def chunk(self, run: str) -> tuple[int, str, str]:
-        """Number of tokens, ids and decoded text of a run without white space."""
-        ids: list[int] = []
-        for k, part in enumerate(self.specials.split(run)):
-            if k % 2:
-                ids.append(self.added[part])
-            elif part:
-                ids += self.plain(part)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return [self.word(w) for w in self.pattern.findall(text)]
+
+    def chunk(self, run: str) -> Encoded:
+        """What a run without white space encodes to."""
+        if any(a in run for a in self.added):
+            parts = []
+            for k, part in enumerate(self.specials.split(run)):
+                if k % 2:
+                    parts.append(self.encoded([self.added[part]]))
+                elif part:
+                    parts += self.plain(part)
+        else:
+            parts = self.plain(run)
+        return parts[0] if len(parts) == 1 else joined(parts)
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings with a space between, as a file without a decoder has it."""
-        if self.decoder is not None:
-            raise ValueError("only files without a decoder are supported")
-        return " ".join(self.strings[i] for i in ids)
+        return " ".join([self.strings[i] for i in ids])
 
-    def encode(self, text: str) -> tuple[int, str, str]:
+    def encode(self, text: str) -> Encoded:
         """Number of tokens, ids joined by a space, and decoded text of a whole text."""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             runs = self.odd_space.findall(text)
         else:
             runs = text.split()
-        known, parts = self.chunks, []
-        for run in runs:
-            found = known.get(run)
-            if found is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                found = self.chunk(run)
-                if len(run) <= 64:
-                    known[run] = found
-            if found[0]:
-                parts.append(found)
-        return sum(p[0] for p in parts), " ".join(p[1] for p in parts), " ".join(p[2] for p in parts)
+        chunks = self.chunks
+        return joined([chunks[run] for run in runs])
+
+
+class _Chunks(dict):
+    """What runs encode to; a new one is encoded when it is asked for, and kept if it is short."""
+
+    def __init__(self, bpe: WordBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, run: str) -> Encoded:
+        found = self.bpe.chunk(run)
+        if len(self) >= self.bpe.keep:
+            self.clear()
+        if len(run) <= 64:
+            self[run] = found
+        return found
+
+
+def joined(parts: list[Encoded]) -> Encoded:
+    if not parts:
+        return 0, "", ""
+    counts, ids, texts = zip(*parts, strict=True)
+    if 0 in counts:
+        ids, texts = [x for x in ids if x], [x for x, n in zip(texts, counts, strict=True) if n]
+    return sum(counts), " ".join(ids), " ".join(texts)
+
+
+@lru_cache(maxsize=1)
+def word_bpe(file: bytes) -> WordBpe:
+    """The tokenizer of a file; a Python worker keeps it, and what it has encoded so far, from task to task."""
+    return WordBpe(file)
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -150,7 +192,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     file = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(file.value)
+        bpe = word_bpe(file.value)
         for pdf in batches:
             for k in range(0, len(pdf), 500):
                 part = pdf.iloc[k : k + 500]
