@@ -65,3 +65,15 @@ def circular_percentile(df: DataFrame, keys: list[str], x: str, percents: list[f
 def correlations(columns: list[str]) -> list[Column]:
     """Pearson correlation of each pair of columns, over rows in which both are known."""
     return [F.corr(a, b).alias(f"{a}__{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]]
+
+
+def flow_statistics(u: Column, v: Column, digits: int = 12) -> dict[str, Column]:
+    """Statistics of flow vectors: speeds, components, angles, and the length of the mean unit vector over moving ones."""
+    speed, angle = F.hypot(u, v), F.atan2(v, u)
+    s, c = F.avg(F.sin(angle)), F.avg(F.cos(angle))
+    ux, vy = (F.avg(F.when(speed > 0, x / speed)) for x in (u, v))
+    found = {
+        "mean_speed": F.avg(speed), "std_speed": F.stddev_pop(speed), "mean_u": F.avg(u), "mean_v": F.avg(v), "std_u": F.stddev_pop(u), "std_v": F.stddev_pop(v),
+        "mean_angle": F.atan2(s, c), "std_angle": F.sqrt(-2 * F.log(F.hypot(s, c))), "unit_length": F.hypot(ux, vy),
+    }
+    return {n: F.round(x, digits) for n, x in found.items()}
