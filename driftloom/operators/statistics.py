@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -101,38 +103,42 @@ def fit_decay(df: DataFrame, keys: list[str], x: str, y: str, low: float, high:
     return best.select(*keys, "f.a", "f.b", "f.c", "f.sse")
 
 
-def line_fit_both_errors(df: DataFrame, keys: list[str], x: str, y: str, sx: str, sy: str, rounds: int = 20) -> DataFrame:
-    """Line y = slope * x + intercept with errors in both axes, by York's iteration: one aggregate a round.
+def york_fit(x, y, sx, sy, rounds: int = 50) -> tuple[float, float, float, float, float]:
+    """Slope, intercept, their standard errors and reduced chi square of a line with errors in both axes (York's iteration)."""
+    wx, wy = 1 / sx**2, 1 / sy**2
+    slope = np.polyfit(x, y, 1)[0]
+    for _ in range(rounds):
+        w = wx * wy / (wx + slope**2 * wy)
+        mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+        u, v = x - mx, y - my
+        b = w * (u / wy + slope * v / wx)
+        new = (w * b * v).sum() / (w * b * u).sum()
+        if abs(new - slope) <= 1e-14 * abs(new):
+            break
+        slope = new
+    intercept = my - slope * mx
+    xa = mx + b
+    mid = (w * xa).sum() / w.sum()
+    error = 1 / np.sqrt((w * (xa - mid) ** 2).sum())
+    chi2 = (w * (y - slope * x - intercept) ** 2).sum() / (len(x) - 2)
+    return slope, intercept, error, np.sqrt(1 / w.sum() + mid**2 * error**2), chi2
+
 
-    Points weigh by the inverse squares of their standard errors. Gives slope, intercept, their standard errors and the reduced
-    chi square; null for fewer than three points. Grouped rows are few, so a round is a small job; the plan is cut every five.
+def line_fit_both_errors(df: DataFrame, keys: list[str], x: str, y: str, sx: str, sy: str) -> DataFrame:
+    """Line y = slope * x + intercept for each key, with standard errors in both axes.
+
+    Points weigh by the inverse squares of their errors; points with a null or an error of 0 are left out; fewer than three
+    points give null. A key's rows are the bins of a statistics table, so their number is that of the bins.
     """
-    points = df.where(" and ".join(f"{c} is not null" for c in (x, y, sx, sy)) + f" and {sx} > 0 and {sy} > 0")
-    points = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), (1 / F.col(sx) ** 2).alias("wx"), (1 / F.col(sy) ** 2).alias("wy"))
-    now = points.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"))
-    w = F.col("wx") * F.col("wy") / (F.col("wx") + F.col("slope") ** 2 * F.col("wy"))
-    for i in range(rounds):
-        rows = points.join(now, keys).withColumn("w", w)
-        means = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"))
-        rows = rows.join(means, keys).withColumns({"u": F.col("x") - F.col("mx"), "v": F.col("y") - F.col("my")})
-        rows = rows.withColumn("b", F.col("w") * (F.col("u") / F.col("wy") + F.col("slope") * F.col("v") / F.col("wx")))
-        now = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("b") * F.col("v")) / F.nullif(F.sum(F.col("w") * F.col("b") * F.col("u")), F.lit(0.0))).alias("slope"))
-        if i % 5 == 4:
-            now = now.checkpoint()
-    rows = points.join(now, keys).withColumn("w", w)
-    means = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"))
-    rows = rows.join(means, keys).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
-    b = F.col("w") * ((F.col("x") - F.col("mx")) / F.col("wy") + F.col("slope") * (F.col("y") - F.col("my")) / F.col("wx"))
-    rows = rows.withColumn("xa", F.col("mx") + b)
-    mid = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("xa")) / F.sum("w")).alias("xm"))
-    rows = rows.join(mid, keys)
-    out = rows.groupBy(*keys, "slope", "intercept").agg(
-        F.sqrt(1 / F.sum(F.col("w") * (F.col("xa") - F.col("xm")) ** 2)).alias("slope_error"), F.sum("w").alias("sw"), F.first("xm").alias("xm"),
-        (F.sum(F.col("w") * (F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")) ** 2) / F.nullif(F.count("*") - 2, F.lit(0))).alias("chi2"), F.count("*").alias("n"),
-    )
-    enough = lambda c: F.when(F.col("n") > 2, F.col(c)).alias(c)
-    error = F.sqrt(1 / F.col("sw") + F.col("xm") ** 2 * F.col("slope_error") ** 2)
-    return out.select(*keys, enough("slope"), enough("intercept"), enough("slope_error"), F.when(F.col("n") > 2, error).alias("intercept_error"), enough("chi2"), "n")
+    points = df.where(" and ".join(f"{c} is not null" for c in (x, y, sx, sy)) + f" and {sx} > 0 and {sy} > 0").select(*keys, x, y, sx, sy)
+    found = ["slope", "intercept", "slope_error", "intercept_error", "chi2"]
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(f, T.DoubleType()) for f in found), T.StructField("n", T.LongType())])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = york_fit(*(pdf[c].to_numpy(dtype=float) for c in (x, y, sx, sy))) if len(pdf) > 2 else [None] * 5
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *values, len(pdf)]], columns=schema.names)
+
+    return points.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def signed_distance_to_line(x: Column, y: Column, slope: Column, intercept: Column) -> Column:

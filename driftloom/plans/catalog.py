@@ -112,11 +112,7 @@ def src14(spark, sf):
     rows = trajectories(spark, sf).where("frame_number < 6").select("crop_index", "k", "frame_number")
     for frame in range(6):
         rows.where(F.col("frame_number") == frame).drop("frame_number").write.parquet(f"{folder}/T{frame}.parquet")
-    frames = [spark.read.parquet(f"{folder}/T{f}.parquet").withColumn("frame_number", F.regexp_extract(F.col("_metadata.file_path"), "T([0-9]+)[.]parquet", 1).cast("int")) for f in range(6)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return files.gather(spark, folder, "*.parquet")
 
 
 @query("src16_partitioned_write", f"{W} SELECT dataset, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM t GROUP BY 1")

@@ -1 +1,276 @@
-"""Queries."""
+"""Queries of drift fields, fixed points, bootstraps and first passage (STAT-08 to STAT-22 and their parts)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.functions.angles import PI
+from driftloom.operators import aggregates as agg
+from driftloom.operators import dynamics as dyn
+from driftloom.operators import filters as flt
+from driftloom.operators import joins as jn
+from driftloom.operators import windows as win
+from driftloom.operators.grid import Axis, integral, marginal
+from driftloom.operators.statistics import line_fit_both_errors, signed_distance_to_line
+from driftloom.plans.filters import _COND, S
+from driftloom.registry import query
+from driftloom.sources.tables import ANNOTATIONS, DATASETS, DUST, FLOW, T_SQL, U_SQL, setting, trajectories
+
+RHO = Axis("rho", -1.0, 0.25, 20)
+THETA = Axis("polar_theta", 0.0, PI / 12, 12, PI)
+DT = 12.0
+W = f"WITH {T_SQL}, {U_SQL}, a AS ({ANNOTATIONS}), dust AS ({DUST}), ds AS ({DATASETS}), flow AS ({FLOW})"
+OVER = "OVER (PARTITION BY dataset, position, crop_index ORDER BY frame_number)"
+_D = f"d AS (SELECT *, lead(rho) {OVER} - rho AS dx, lead(frame_number) {OVER} - frame_number AS gap FROM t)"
+_H = f"{_D}, h AS (SELECT dataset, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, count(*) AS m0, sum(dx) AS m1_0, sum(dx * dx) AS m2_0 FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL)"
+_K = f"exp(-(((i - i0) * 0.25 / 0.3) ** 2) / 2) / sqrt(2 * {PI!r}) / 0.3"
+_S = f"g AS (SELECT CAST(unnest(generate_series(0, 19)) AS INTEGER) AS i), s AS (SELECT dataset, i AS i0, sum(m0 * {_K}) AS m0, sum(m1_0 * {_K}) AS m1_0, sum(m2_0 * {_K}) AS m2_0 FROM h, g GROUP BY ALL), n AS (SELECT dataset, sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) AS total FROM s GROUP BY 1)"
+_F = f"{_S}, f AS (SELECT dataset, i0, -1 + (i0 + 0.5) * 0.25 AS x0, m0 / total AS density, CASE WHEN m0 / total >= 1e-10 THEN m1_0 / (m0 * 12) END AS drift_0, CASE WHEN m0 / total >= 1e-10 THEN m2_0 / (2 * m0 * 12) END AS diffusion_0 FROM s JOIN n USING (dataset))"
+KERNEL = [("gaussian", 0.3)]
+
+
+def r(c, name, digits=6):
+    return F.round(c, digits).alias(name)
+
+
+def field(spark, sf):
+    return dyn.drift_field(trajectories(spark, sf), [RHO], KERNEL, DT, ["dataset"])
+
+
+@query("stat08_moments", f"{W}, {_H} SELECT dataset, i0, CAST(m0 AS DOUBLE) AS m0, round(m1_0, 7) AS m1_0, round(m2_0, 7) AS m2_0 FROM h")
+def stat08(spark, sf):
+    m = dyn.moments(trajectories(spark, sf), [RHO], ["dataset"])
+    return m.select("dataset", "i0", "m0", r("m1_0", "m1_0", 7), r("m2_0", "m2_0", 7))
+
+
+@query("stat09_smoothed", f"{W}, {_H}, {_S} SELECT dataset, i0, round(m0, 5) AS m0, round(m1_0, 5) AS m1_0 FROM s")
+def stat09(spark, sf):
+    from driftloom.operators.grid import smoothed
+
+    m = smoothed(dyn.moments(trajectories(spark, sf), [RHO], ["dataset"]), [RHO], KERNEL, ["m0", "m1_0"], ["dataset"])
+    return m.select("dataset", "i0", r("m0", "m0", 5), r("m1_0", "m1_0", 5))
+
+
+@query("stat10_normalized", f"{W}, {_H}, {_F} SELECT dataset, i0, round(density, 6) AS density, round(diffusion_0, 6) AS diffusion_0 FROM f")
+def stat10(spark, sf):
+    return field(spark, sf).select("dataset", "i0", r("density", "density"), r("diffusion_0", "diffusion_0"))
+
+
+_KDE = f"""h AS (SELECT dataset, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, count(*) AS m0, 0 AS m1_0, 0 AS m2_0 FROM {{t}} WHERE rho BETWEEN -1 AND 4 GROUP BY ALL), {_S}, p AS (SELECT dataset, i0, m0 / total AS density FROM s JOIN n USING (dataset))"""
+
+
+@query("stat11_density", f"{W}, {_KDE.format(t='t')} SELECT dataset, i0, round(density, 6) AS density FROM p")
+def stat11(spark, sf):
+    return dyn.density_of(trajectories(spark, sf), [RHO], KERNEL, ["dataset"]).select("dataset", "i0", r("density", "density"))
+
+
+@query("stat12_integral", f"{W}, {_KDE.format(t='t')} SELECT dataset, round(sum(density * density * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END), 6) AS total FROM p GROUP BY 1")
+def stat12(spark, sf):
+    p = dyn.density_of(trajectories(spark, sf), [RHO], KERNEL, ["dataset"])
+    return p.groupBy("dataset").agg(r(integral(F.col("density") * F.col("density"), [RHO]), "total"))
+
+
+@query("stat13_drift_field", f"{W}, {_H}, {_F} SELECT dataset, i0, round(x0, 6) AS x0, round(density, 6) AS density, round(drift_0, 6) AS drift_0 FROM f")
+def stat13(spark, sf):
+    return field(spark, sf).select("dataset", "i0", r("x0", "x0"), r("density", "density"), r("drift_0", "drift_0"))
+
+
+@query("stat13b_field_by_condition", f"{_COND.replace('t AS', 't AS', 1)}, d AS (SELECT *, lead(rho) {OVER} - rho AS dx, lead(frame_number) {OVER} - frame_number AS gap FROM w) SELECT dataset, shear_stress, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, count(*) AS n, round(sum(dx), 6) AS m1 FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL")
+def stat13b(spark, sf):
+    s = S(spark, sf)
+    rows = flt.with_condition(s.t, s.flow)
+    m = dyn.moments(rows, [RHO], ["dataset", "shear_stress"])
+    return m.select("dataset", "shear_stress", "i0", F.col("m0").cast("long").alias("n"), r("m1_0", "m1"))
+
+
+@query("stat13c_field_3d")
+def stat13c(spark, sf):
+    axes = [Axis("polar_r", 0.0, 0.5, 13), THETA, Axis("rho", -1.0, 0.5, 10)]
+    kernels = [("gaussian", 0.5), ("periodic", 0.4), ("gaussian", 0.5)]
+    out = dyn.drift_field(trajectories(spark, sf), axes, kernels, DT, ["dataset"])
+    return out.select("dataset", "i0", "i1", "i2", *(r(f"drift_{k}", f"drift_{k}") for k in range(3)))
+
+
+@query("stat14_filled", f"{W}, {_H}, {_F} SELECT dataset, i0, round(coalesce(CASE WHEN density >= 0.05 THEN drift_0 END, 0), 6) AS drift_0 FROM f")
+def stat14(spark, sf):
+    rows = field(spark, sf).withColumn("drift_0", F.when(F.col("density") >= 0.05, F.col("drift_0")))
+    return dyn.filled(rows, ["drift_0"]).select("dataset", "i0", r("drift_0", "drift_0"))
+
+
+@query("flt16_masked_by_density", f"{W}, {_H}, {_F}, p AS (SELECT dataset, i0, density FROM f) SELECT dataset, i0, round(CASE WHEN density >= 0.1 THEN drift_0 END, 6) AS drift_0 FROM f")
+def flt16(spark, sf):
+    f = field(spark, sf)
+    return dyn.masked_by_density(f, f.select("dataset", "i0", "density"), ["dataset", "i0"], ["drift_0"], 0.1).select("dataset", "i0", r("drift_0", "drift_0"))
+
+
+_ROOTS = f"q AS (SELECT *, lead(drift_0) OVER (PARTITION BY dataset ORDER BY i0) AS nv FROM f WHERE drift_0 IS NOT NULL), z AS (SELECT dataset, round(x0 - drift_0 * 0.25 / (nv - drift_0), 4) AS rho, CASE WHEN nv < drift_0 THEN 'stable' ELSE 'unstable' END AS stability FROM q WHERE drift_0 * nv < 0)"
+
+
+def roots(spark, sf):
+    return dyn.fixed_points_1d(field(spark, sf), RHO, ["dataset"])
+
+
+@query("stat15_fixed_points_1d", f"{W}, {_H}, {_F}, {_ROOTS} SELECT dataset, rho, stability FROM z")
+def stat15(spark, sf):
+    return roots(spark, sf)
+
+
+@query("stat15b_fixed_points_nd")
+def stat15b(spark, sf):
+    axes = [Axis("polar_r", 0.0, 0.5, 13), RHO]
+    rows = dyn.drift_field(trajectories(spark, sf), axes, [("gaussian", 0.5), ("gaussian", 0.3)], DT, ["dataset"])
+    return dyn.fixed_points_nd(rows, axes, ["dataset"])
+
+
+@query("stat16_stability", f"{W}, {_H}, {_F}, {_ROOTS} SELECT dataset, stability, count(*) AS n FROM z GROUP BY ALL")
+def stat16(spark, sf):
+    return roots(spark, sf).groupBy("dataset", "stability").agg(F.count("*").alias("n"))
+
+
+@query("stat17_within_bounds", f"{W}, {_H}, {_F}, {_ROOTS}, b AS (SELECT dataset, quantile_cont(rho, 0.05) AS lo, quantile_cont(rho, 0.95) AS hi FROM t GROUP BY 1) SELECT dataset, rho, stability FROM z JOIN b USING (dataset) WHERE rho BETWEEN lo AND hi")
+def stat17(spark, sf):
+    p = F.percentile("rho", F.array(F.lit(0.05), F.lit(0.95)))
+    bounds = trajectories(spark, sf).groupBy("dataset").agg(p.alias("p")).select("dataset", F.col("p")[0].alias("lo_rho"), F.col("p")[1].alias("hi_rho"))
+    return dyn.within_bounds(roots(spark, sf), bounds, ["dataset"], [RHO])
+
+
+def _times(replicates: int) -> str:
+    return f"""j AS (SELECT dataset, crop_index, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, crop_index FROM t)),
+    v AS (SELECT dataset, b AS replicate, ((b * 7919 + j * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % n AS j FROM j, (SELECT unnest(generate_series(0, {replicates - 1})) AS b)),
+    y AS (SELECT dataset, CAST(replicate AS INTEGER) AS replicate, crop_index, count(*) AS times FROM v JOIN j USING (dataset, j) GROUP BY ALL)"""
+
+
+@query("stat18_multiplicities", f"{W}, {_times(20)} SELECT * FROM y")
+def stat18(spark, sf):
+    return dyn.multiplicities(trajectories(spark, sf), ["dataset"], "crop_index", 20)
+
+
+REPLICATES = 50
+
+
+def boot(spark, sf):
+    return dyn.bootstrap_field(trajectories(spark, sf), [RHO], KERNEL, DT, ["dataset"], "crop_index", REPLICATES)
+
+
+_BOOT = f"""{_D}, pc AS (SELECT dataset, crop_index, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, count(*) AS m0, sum(dx) AS m1 FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL), {_times(REPLICATES)},
+  bh AS (SELECT dataset, replicate, i0, sum(m0 * times) AS m0, sum(m1 * times) AS m1 FROM pc JOIN y USING (dataset, crop_index) GROUP BY ALL),
+  g AS (SELECT CAST(unnest(generate_series(0, 19)) AS INTEGER) AS i), bs AS (SELECT dataset, replicate, i AS i0, sum(m0 * {_K}) AS m0, sum(m1 * {_K}) AS m1 FROM bh, g GROUP BY ALL)"""
+
+
+@query("stat19_bootstrap_field", f"{W}, {_BOOT} SELECT dataset, replicate, i0, round(m1 / (m0 * 12), 5) AS drift_0 FROM bs WHERE replicate < 10")
+def stat19(spark, sf):
+    return boot(spark, sf).where("replicate < 10").select("dataset", "replicate", "i0", r("drift_0", "drift_0", 5))
+
+
+def baseline(spark, sf):
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("dataset").orderBy("rho"))  # a few roots a data set
+    return roots(spark, sf).withColumn("point_id", order.cast("int"))
+
+
+@query("stat20_bootstrap_summary")
+def stat20(spark, sf):
+    base = baseline(spark, sf).withColumn("rank", F.col("point_id") - 1)
+    found = dyn.fixed_points_1d(boot(spark, sf), RHO, ["dataset", "replicate"])
+    found = found.withColumn("found_id", F.xxhash64("rho", "stability"))
+    matched = jn.greedy_matches(base, found, ["dataset", "stability"], ["rho"], 0.3, 8)
+    out = dyn.match_summary(base, matched, ["dataset", "stability"], [RHO], REPLICATES)
+    return out.select("dataset", "stability", "point_id", "hits", *(r(c, c) for c in ("rho_mean", "rho_low", "rho_high", "detection_rate")))
+
+
+@query(
+    "stat21_first_passage",
+    f"""{W}, c AS (SELECT dataset, median(rho) AS c FROM t GROUP BY 1),
+    x AS (SELECT 'grid_based' AS patch_type, t.* FROM t UNION ALL SELECT 'cell_centered', u.* FROM u),
+    l AS (SELECT *, max(frame_number) OVER w - min(frame_number) OVER w AS dur FROM x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.dataset = x.dataset AND a.position = x.position AND annotation = 'not_steady_state' AND frame_number BETWEEN start_frame AND stop_frame) AND EXISTS (SELECT 1 FROM ds WHERE ds.dataset = x.dataset AND frame_number < duration) WINDOW w AS (PARTITION BY patch_type, dataset, position, crop_index)),
+    p AS (SELECT l.*, min(CASE WHEN abs(rho - c) <= 0.05 THEN frame_number END) OVER (PARTITION BY patch_type, l.dataset, position, crop_index) - frame_number AS tt FROM l JOIN c USING (dataset) WHERE dur >= 24),
+    b AS (SELECT patch_type, dataset, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS bin_index, count(tt) AS n, avg(tt) AS mean, stddev_samp(tt) / sqrt(count(tt)) AS sem FROM p WHERE tt > 0 AND rho BETWEEN -1 AND 4 GROUP BY ALL)
+    SELECT g.dataset, g.bin_index, g.n AS n_grid_based, round(g.mean, 6) AS mean_grid_based, round(g.sem, 6) AS sem_grid_based, k.n AS n_cell_centered, round(k.mean, 6) AS mean_cell_centered, round(k.sem, 6) AS sem_cell_centered
+    FROM b g JOIN b k ON g.dataset = k.dataset AND g.bin_index = k.bin_index WHERE g.patch_type = 'grid_based' AND k.patch_type = 'cell_centered'""",
+)
+def stat21(spark, sf):
+    return passage_stats(spark, sf).select("dataset", "bin_index", *(c if c.startswith("n_") else r(c, c) for c in PASSAGE))
+
+
+PASSAGE = [f"{m}_{p}" for p in ("grid_based", "cell_centered") for m in ("n", "mean", "sem")]
+
+
+def passage_stats(spark, sf):
+    """Statistics of the frames until first passage by bin, both patch types side by side."""
+    s = S(spark, sf)
+    track = ["patch_type", *win.TRACK]
+    both = s.t.withColumn("patch_type", F.lit("grid_based")).unionByName(trajectories(spark, sf, last=True).withColumn("patch_type", F.lit("cell_centered")))
+    rows = flt.steady_state(both, s.ds, both, s.dust, s.a)
+    rows = flt.by_track_length(win.with_track_duration(rows, track), 24)
+    points = s.t.groupBy("dataset").agg(F.median("rho").alias("c"))
+    rows = jn.distances_to_points(rows, points, ["dataset"], [("rho", "c")])
+    rows = win.first_passage(rows, "distance", 0.05, track).where("time_to_passage > 0").withColumn("bin_index", RHO.index()).where("bin_index is not null")
+    x = F.col("time_to_passage")
+    stats = rows.groupBy("patch_type", "dataset", "bin_index").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), agg.sem(x).alias("sem"))
+    side = lambda p: stats.where(F.col("patch_type") == p).drop("patch_type").withColumnsRenamed({c: f"{c}_{p}" for c in ("n", "mean", "sem")})
+    return side("grid_based").join(side("cell_centered"), ["dataset", "bin_index"])
+
+
+@query("stat22_line_fit")
+def stat22(spark, sf):
+    stats = passage_stats(spark, sf).where("n_grid_based >= 10 and n_cell_centered >= 10")
+    out = line_fit_both_errors(stats, ["dataset"], "mean_grid_based", "mean_cell_centered", "sem_grid_based", "sem_cell_centered")
+    return out.select("dataset", *(r(c, c) for c in ("slope", "intercept", "slope_error", "intercept_error", "chi2")), "n")
+
+
+@query("stat23_distance_histogram", f"{W}, f AS (SELECT dataset, regr_slope(rho, polar_r) AS m, regr_intercept(rho, polar_r) AS b FROM t GROUP BY 1), e AS (SELECT t.dataset, (rho - m * polar_r - b) / sqrt(1 + m * m) AS e FROM t JOIN f USING (dataset)), h AS (SELECT dataset, CAST(least(19, floor((e + 1) / 0.1)) AS INTEGER) AS b FROM e WHERE e BETWEEN -1 AND 1) SELECT dataset, b, round(count(*) / (sum(count(*)) OVER (PARTITION BY dataset) * 0.1), 6) AS density FROM h GROUP BY dataset, b")
+def stat23(spark, sf):
+    from driftloom.operators.grid import density_histogram
+
+    t = trajectories(spark, sf)
+    fit = t.groupBy("dataset").agg(F.regr_slope("rho", "polar_r").alias("m"), F.regr_intercept("rho", "polar_r").alias("b"))
+    rows = t.join(fit, "dataset").withColumn("e", signed_distance_to_line(F.col("polar_r"), F.col("rho"), F.col("m"), F.col("b")))
+    return density_histogram(rows.select("dataset", "e"), ["dataset"], "e", -1.0, 0.1, 20).withColumn("density", F.round("density", 6))
+
+
+@query("stat24_track_statistics", f"{W}, m AS (SELECT dataset, crop_index, avg(rho) AS rho FROM t GROUP BY ALL), {_KDE.format(t='m')} SELECT dataset, i0, round(density, 6) AS density FROM p")
+def stat24(spark, sf):
+    means = trajectories(spark, sf).groupBy("dataset", "crop_index").agg(F.avg("rho").alias("rho"))
+    return dyn.density_of(means, [RHO], KERNEL, ["dataset"]).select("dataset", "i0", r("density", "density"))
+
+
+@query("stat25_density_comparison", f"{W}, x AS (SELECT 'grid_based' AS dataset, rho FROM t UNION ALL SELECT 'cell_centered', rho FROM u), {_KDE.format(t='x')} SELECT dataset AS patch_type, i0, round(density, 6) AS density FROM p")
+def stat25(spark, sf):
+    both = trajectories(spark, sf).select(F.lit("grid_based").alias("patch_type"), "rho").unionByName(trajectories(spark, sf, last=True).select(F.lit("cell_centered").alias("patch_type"), "rho"))
+    return dyn.density_of(both, [RHO], KERNEL, ["patch_type"]).select("patch_type", "i0", r("density", "density"))
+
+
+@query("stat26_box_mean_interval", f"{W}, {_times(20)}, b AS (SELECT dataset, replicate, sum(value * times) / sum(times) AS m FROM t JOIN y USING (dataset, crop_index) WHERE rho >= -0.5 AND rho < 0.5 GROUP BY ALL) SELECT dataset, round(quantile_cont(m, 0.05), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.95), 6) AS high FROM b GROUP BY 1")
+def stat26(spark, sf):
+    t = trajectories(spark, sf)
+    per = t.where("rho >= -0.5 and rho < 0.5").groupBy("dataset", "crop_index").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    drawn = per.join(dyn.multiplicities(t, ["dataset"], "crop_index", 20), ["dataset", "crop_index"])
+    means = drawn.groupBy("dataset", "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
+    p = F.percentile("m", F.array(F.lit(0.05), F.lit(0.95)))
+    return means.groupBy("dataset").agg(r(p[0], "low"), r(F.avg("m"), "mean"), r(p[1], "high"))
+
+
+_F2 = """{n} AS (SELECT k // 10 AS i0, CAST(least(4, floor({t}.polar_r)) AS INTEGER) AS i1, avg({t}.rho) AS a, avg({t}.polar_theta) - 1.5 AS b FROM {t} GROUP BY ALL)"""
+
+
+@query(
+    "stat33_field_deviation",
+    f"{W}, {_F2.format(n='p', t='t')}, {_F2.format(n='q', t='u')} SELECT i0, i1, round(acos(least(1.0, greatest(-1.0, (p.a * q.a + p.b * q.b) / nullif(sqrt(p.a ** 2 + p.b ** 2) * sqrt(q.a ** 2 + q.b ** 2), 0)))), 4) AS angle, round(p.a * q.a + p.b * q.b, 6) AS dot FROM p JOIN q USING (i0, i1)",
+)
+def stat33(spark, sf):
+    def cell_means(t):
+        i = [F.floor(F.col("k") / 10).cast("int").alias("i0"), F.least(F.lit(4), F.floor("polar_r").cast("int")).alias("i1")]
+        return t.groupBy(*i).agg(F.avg("rho").alias("a"), (F.avg("polar_theta") - 1.5).alias("b"))
+
+    out = dyn.angle_between(cell_means(trajectories(spark, sf)), cell_means(trajectories(spark, sf, last=True)), ["i0", "i1"], ["a", "b"])
+    return out.select("i0", "i1", r("angle", "angle", 4), r("dot", "dot"))
+
+
+@query("stat41_marginal_density", f"{W}, h AS (SELECT dataset, k // 10 AS i0, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i1, CAST(count(*) AS DOUBLE) AS p FROM t WHERE rho BETWEEN -1 AND 4 GROUP BY ALL) SELECT dataset, i0, round(sum(p * CASE WHEN i1 IN (0, 19) THEN 0.125 ELSE 0.25 END), 6) AS p FROM h GROUP BY ALL")
+def stat41(spark, sf):
+    from driftloom.operators.grid import histogram
+
+    axes = [Axis("k", 0.0, 10.0, 10), RHO]
+    h = histogram(trajectories(spark, sf), axes, {"p": F.lit(1.0)}, ["dataset"])
+    return marginal(h, axes, 1, "p", ["dataset"]).withColumn("p", F.round("p", 6))

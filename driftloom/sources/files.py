@@ -51,12 +51,11 @@ def read_first(spark: SparkSession, places: Iterable[str | None], **options) ->
 
 
 def gather(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """All files below a folder that match a pattern, as one table with ``frame_number`` from the T<number> in the file's name."""
+    """All files below a folder that match a pattern, as one table with ``frame_number`` from the last /T<number> of the path."""
     kind, options = format_of(pattern)
     reader = spark.read.options(**options, recursiveFileLookup=True, pathGlobFilter=pattern)
     df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).format(kind).load(folder)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return df.withColumn("frame_number", F.regexp_extract(name, "T([0-9]+)", 1).cast("int"))
+    return df.withColumn("frame_number", F.regexp_extract(F.col("_metadata.file_path"), "^.*/T([0-9]+)", 1).cast("int"))
 
 
 def write_table(df: DataFrame, path: str, by: list[str] = (), parameters: dict[str, str] | None = None, comments: dict[str, str] | None = None) -> DataFrame:
