@@ -1,6 +1,6 @@
 """Token counts of whole texts, with overlap resynchronisation for huge documents.
 
-Ordinary documents are encoded at once. A huge one is cut into chunks that overlap, which different tasks encode with
+Ordinary documents are counted at once, as the sum over their pieces between stable boundaries. A huge one is cut into chunks that overlap, which different tasks encode with
 offsets. Two neighbours are spliced at a token boundary that both have inside their overlap and that is proven stable:
 one between a character that is not white space and white space, which no word of the pre-tokenizer spans, whatever
 stands before or after. Where an overlap holds no such boundary, the document's overlaps are widened until it does or
@@ -10,8 +10,9 @@ one chunk holds all of it.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,12 @@ from driftloom.llm.bpe import SPACE, read_vocabulary
 from driftloom.llm.shared import documents, stored
 
 HUGE, CHUNK, OVERLAP, WIDEN = 40_000, 16_384, 512, 8
-BATCH_CHARS = 1 << 20
+_DOUBLE = re.compile(f"[{SPACE}](?: |$)")
+_PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _TURN = regex.compile(f"[^{SPACE}](?=[{SPACE}])")
 
 
+@lru_cache(maxsize=1)
 def _tokenizer(file: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -37,16 +40,52 @@ def _tokenizer(file: bytes):
     return made
 
 
+class _Pieces(dict):
+    """Tokens of a piece of text with a prefix before it; a new piece is encoded when asked for, and kept if it is short."""
+
+    def __init__(self, tokenizer, prefix: str, keep: int):
+        super().__init__()
+        self.encode, self.prefix, self.keep = tokenizer.encode, prefix, keep
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encode(self.prefix + piece, add_special_tokens=False))
+        if len(self) >= self.keep:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = n
+        return n
+
+
+class PieceCounter:
+    """Tokens of a text as the sum over its pieces between stable boundaries, each counted by the library once.
+
+    No token spans the place between a character that is not white space and white space, so such pieces are independent.
+    """
+
+    def __init__(self, tokenizer, keep: int = 500_000):
+        self.plain, self.spaced = _Pieces(tokenizer, "", keep // 5), _Pieces(tokenizer, " ", keep)
+
+    def count(self, text: str) -> int:
+        if not text:
+            return 0
+        if _DOUBLE.search(text) or text[0] in " ":
+            return sum(map(self.plain.__getitem__, _PIECE.findall(text)))
+        # No white space before a space: every space begins a piece.
+        first, *rest = text.split(" ")
+        return self.plain[first] + sum(map(self.spaced.__getitem__, rest))
+
+
+@lru_cache(maxsize=1)
+def _counter(file: bytes) -> PieceCounter:
+    """A Python worker keeps the counter, and the pieces counted so far, from task to task."""
+    return PieceCounter(_tokenizer(file))
+
+
 def _counts(file):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = _tokenizer(file.value)
+        counter = _counter(file.value)
         for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["id"].to_numpy()
-            ends = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-            for k in np.unique(ends):
-                at = np.flatnonzero(ends == k)
-                found = made.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)
-                yield pd.DataFrame({"id": ids[at], "n_bytes": pdf["n_bytes"].to_numpy()[at], "n_tokens": [len(x) for x in found]})
+            yield pd.DataFrame({"id": pdf["id"], "n_bytes": pdf["n_bytes"], "n_tokens": [counter.count(t) for t in pdf["text"]]})
 
     return run
 
