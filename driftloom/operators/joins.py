@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.angles import wrapped_difference
+from driftloom.sources.scratch import settled
 
 
 def inner_without_clashes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,11 +92,11 @@ def greedy_matches(baseline: DataFrame, found: DataFrame, keys: list[str], axes:
     d = [wrapped_difference(F.col(a) - F.col("__b_" + a), periods[a]) if a in periods else F.col(a) - F.col("__b_" + a) for a in axes]
     near = near.withColumn("distance", F.sqrt(sum((x * x for x in d), F.lit(0.0)))).where(F.col("distance") <= radius)
     used = [*keys, "replicate", "found_id"]
-    left, taken = near, None
+    left, taken = settled(near), None
     for r in range(ranks):
-        pick = first_by(left.where(F.col("rank") == r), [*keys, "replicate", "point_id"], ["distance", "found_id"])
+        pick = settled(first_by(left.where(F.col("rank") == r), [*keys, "replicate", "point_id"], ["distance", "found_id"]))
         taken = pick if taken is None else taken.unionByName(pick)
-        left = left.where(F.col("rank") > r).join(pick.select(*used), used, "left_anti")
+        left = settled(left.where(F.col("rank") > r).join(pick.select(*used), used, "left_anti")) if r + 1 < ranks else left
     return taken.select(*keys, "replicate", "point_id", "found_id", *axes, "distance")
 
 

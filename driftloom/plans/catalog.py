@@ -10,14 +10,14 @@ from driftloom.operators import catalog as cat
 from driftloom.operators.sampling import split_rows
 from driftloom.registry import query
 from driftloom.sources import files
+from driftloom.sources.scratch import shared_folder
 from driftloom.sources.tables import ANNOTATIONS, DATASETS, DUST, FLOW, T_SQL, setting, table, trajectories
 
 W = f"WITH {T_SQL}, a AS ({ANNOTATIONS}), ds AS ({DATASETS}), flow AS ({FLOW}), dust AS ({DUST})"
 
 
 def _scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/driftloom-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}/{name}"
 
 
 def nations(spark, sf):

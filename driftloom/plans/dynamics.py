@@ -14,6 +14,7 @@ from driftloom.operators.grid import Axis, integral, marginal
 from driftloom.operators.statistics import line_fit_both_errors, signed_distance_to_line
 from driftloom.plans.filters import _COND, S
 from driftloom.registry import query
+from driftloom.sources.scratch import settled
 from driftloom.sources.tables import ANNOTATIONS, DATASETS, DUST, FLOW, T_SQL, U_SQL, setting, trajectories
 
 RHO = Axis("rho", -1.0, 0.25, 20)
@@ -171,10 +172,10 @@ def baseline(spark, sf):
 
 @query("stat20_bootstrap_summary")
 def stat20(spark, sf):
-    base = baseline(spark, sf).withColumn("rank", F.col("point_id") - 1)
-    found = dyn.fixed_points_1d(boot(spark, sf), RHO, ["dataset", "replicate"])
+    base = settled(baseline(spark, sf).withColumn("rank", F.col("point_id") - 1))
+    found = settled(dyn.fixed_points_1d(boot(spark, sf), RHO, ["dataset", "replicate"]))
     found = found.withColumn("found_id", F.xxhash64("rho", "stability"))
-    matched = jn.greedy_matches(base, found, ["dataset", "stability"], ["rho"], 0.3, 8)
+    matched = jn.greedy_matches(base, found, ["dataset", "stability"], ["rho"], 0.3, 3)
     out = dyn.match_summary(base, matched, ["dataset", "stability"], [RHO], REPLICATES)
     return out.select("dataset", "stability", "point_id", "hits", *(r(c, c) for c in ("rho_mean", "rho_low", "rho_high", "detection_rate")))
 
