@@ -1 +1,194 @@
-"""Queries."""
+"""Queries of trajectory statistics (STAT-01 to STAT-07 and STAT-27 to STAT-38)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftloom.operators import features as feat
+from driftloom.operators import grid
+from driftloom.operators import joins as jn
+from driftloom.operators import statistics as st
+from driftloom.operators import windows as win
+from driftloom.operators.aggregates import r_squared
+from driftloom.registry import query
+from driftloom.sources.tables import DATASETS, T_SQL, U_SQL, setting, table, trajectories
+
+W = f"WITH {T_SQL}, {U_SQL}, ds AS ({DATASETS})"
+OVER = "OVER (PARTITION BY crop_index ORDER BY frame_number)"
+KEY = ["crop_index", "frame_number"]
+
+
+def r(c, name, digits=6):
+    return F.round(c, digits).alias(name)
+
+
+@query("stat01_bins", f"{W}, m AS (SELECT min(value) - 1 AS a, max(value) + 1 AS z FROM t), n AS (SELECT a, z, ceil((z - a) / 50) AS n FROM m), b AS (SELECT *, unnest(generate_series(0, CAST(n AS INTEGER) - 1)) AS i FROM n) SELECT CAST(i AS INTEGER) AS i, round(a + i * (z - a) / n, 6) AS low, round(a + (i + 0.5) * (z - a) / n, 6) AS center FROM b")
+def stat01(spark, sf):
+    axis = grid.make_axis(trajectories(spark, sf), "value", 50.0, pad=1.0)
+    return grid.axis_table(spark, axis).select("i", r("low", "low"), r("center", "center"))
+
+
+@query("stat02_snapped_limits", f"{W} SELECT dataset, floor(min(rho) / 0.3) * 0.3 AS low, ceil(max(rho) / 0.3) * 0.3 AS high FROM t GROUP BY 1")
+def stat02(spark, sf):
+    low, high = grid.snapped_limits(F.col("a"), F.col("z"), 0.3)
+    return trajectories(spark, sf).groupBy("dataset").agg(F.min("rho").alias("a"), F.max("rho").alias("z")).select("dataset", low.alias("low"), high.alias("high"))
+
+
+@query("stat03_histogram", f"{W} SELECT CAST(floor(k / 10.0) AS INTEGER) AS i0, CAST(least(3, floor(rho + 1)) AS INTEGER) AS i1, count(*) AS n, round(sum(value), 6) AS total FROM t WHERE rho BETWEEN -1 AND 3 AND k <= 100 GROUP BY ALL")
+def stat03(spark, sf):
+    axes = [grid.Axis("k", 0.0, 10.0, 10), grid.Axis("rho", -1.0, 1.0, 4)]
+    return grid.histogram(trajectories(spark, sf), axes, {"n": F.lit(1), "total": F.col("value")}).withColumn("total", F.round("total", 6))
+
+
+@query("stat04_passage_bins", f"{W}, b AS (SELECT polar_r FROM t UNION ALL SELECT polar_r FROM u) SELECT CAST(i AS INTEGER) AS i, i * 0.25 AS low, (i + 0.5) * 0.25 AS center FROM (SELECT unnest(generate_series(0, CAST(ceil(max(polar_r) / 0.25) AS INTEGER) - 1)) AS i FROM b)")
+def stat04(spark, sf):
+    both = trajectories(spark, sf).unionByName(trajectories(spark, sf, last=True))
+    high = both.agg((F.ceil(F.max("polar_r") / 0.25) * 0.25).cast("double")).first()[0]
+    return grid.axis_table(spark, grid.make_axis(both, "polar_r", 0.25, (0.0, high)))
+
+
+_ACF = f"""b AS (SELECT max(frame_number) - min(frame_number) + 1 AS n FROM t), c AS (SELECT dataset, crop_index, frame_number, rho - avg(rho) OVER (PARTITION BY crop_index) AS c, stddev_samp(rho) OVER (PARTITION BY crop_index) AS s FROM t),
+l AS (SELECT CAST(unnest(generate_series(1, (SELECT n // 3 FROM b))) AS INTEGER) AS lag), x AS (SELECT DISTINCT dataset, crop_index, s, lag FROM c, l),
+p AS (SELECT a.crop_index, z.frame_number - a.frame_number AS lag, sum(a.c * z.c) AS p FROM c a JOIN c z ON a.crop_index = z.crop_index AND z.frame_number > a.frame_number GROUP BY ALL),
+acf AS (SELECT dataset, x.crop_index, x.lag, coalesce(p, 0) / (n * nullif(s * s, 0)) AS acf FROM x LEFT JOIN p ON x.crop_index = p.crop_index AND x.lag = p.lag, b),
+ms AS (SELECT dataset, lag, avg(acf) AS mean, quantile_cont(acf, 0.05) AS lower, quantile_cont(acf, 0.95) AS upper FROM acf GROUP BY ALL)"""
+
+
+def acf(spark, sf):
+    return st.lag_summary(st.autocorrelation(trajectories(spark, sf), "rho", ["dataset", "crop_index"]), ["dataset"])
+
+
+@query("stat05_autocorrelation", f"{W}, {_ACF} SELECT dataset, lag, round(mean, 6) AS mean, round(lower, 6) AS lower, round(upper, 6) AS upper FROM ms")
+def stat05(spark, sf):
+    return acf(spark, sf).select("dataset", "lag", r("mean", "mean"), r("lower", "lower"), r("upper", "upper"))
+
+
+def decays(spark, sf):
+    means = trajectories(spark, sf).groupBy("dataset", "frame_number").agg(F.avg("value").alias("y"))
+    shaped = means.withColumn("y", 3 * F.exp(-0.15 * F.col("frame_number")) + 0.5 + F.col("y") / 1e6)
+    return shaped, st.fit_decay(shaped, ["dataset"], "frame_number", "y", 0.0, 1.0)
+
+
+@query("stat06_decay_fit")
+def stat06(spark, sf):
+    fit = decays(spark, sf)[1]
+    return fit.select("dataset", r("a", "a", 3), r("b", "b", 3), r("c", "c", 3))
+
+
+@query("stat07_decay_r2")
+def stat07(spark, sf):
+    rows, fit = decays(spark, sf)
+    both = rows.join(fit, "dataset").withColumn("fit", F.col("a") * F.exp(-F.col("b") * F.col("frame_number")) + F.col("c"))
+    return both.groupBy("dataset").agg(r(r_squared(F.col("y"), F.col("fit")), "r2"))
+
+
+def components(spark, sf, k=3):
+    return feat.fit_pca(table(spark, sf, "embeddings"), "embedding", k)
+
+
+@query("stat27_pca_fit")
+def stat27(spark, sf):
+    _, _, explained = components(spark, sf, 8)
+    n = table(spark, sf, "embeddings").agg(F.count("*").alias("n_rows"))
+    return n.select("n_rows", F.posexplode(F.lit(explained)).alias("component", "explained"))
+
+
+@query("stat28_projection")
+def stat28(spark, sf):
+    mean, loadings, _ = components(spark, sf)
+    out = feat.project(table(spark, sf, "embeddings"), "embedding", mean, loadings)
+    return out.select("vec_id", *(r(c, c) for c in ("polar_r", "polar_theta", "rho")))
+
+
+@query("stat29_loadings")
+def stat29(spark, sf):
+    _, loadings, explained = components(spark, sf)
+    return feat.loading_table(spark, loadings, explained, scaled=True, power=2)
+
+
+@query(
+    "stat30_walk",
+    f"{W}, m AS (SELECT avg(rho) AS mr, stddev_samp(rho) AS sr, avg(polar_r) AS mp, stddev_samp(polar_r) AS sp FROM t), s AS (SELECT *, CAST(unnest(generate_series(-2, 2)) AS INTEGER) AS step FROM m) SELECT c AS \"column\", step, round(mr + CASE WHEN c = 'rho' THEN step * sr ELSE 0 END, 6) AS rho, round(mp + CASE WHEN c = 'polar_r' THEN step * sp ELSE 0 END, 6) AS polar_r FROM s, (SELECT unnest(['rho', 'polar_r']) AS c)",
+)
+def stat30(spark, sf):
+    return feat.walk(trajectories(spark, sf), ["rho", "polar_r"], 2).select("column", "step", r("rho", "rho"), r("polar_r", "polar_r"))
+
+
+@query(
+    "stat31_point_summary",
+    f"""{W}, c AS (SELECT dataset, position, avg(polar_theta) AS th, avg(rho) AS rho, avg((value < 60)::INT) AS rate FROM t GROUP BY ALL)
+    SELECT dataset, position, round(cos(2 * th), 6) AS nematic, round(CASE WHEN th > 5 * 3.141592653589793 / 6 THEN th - 3.141592653589793 ELSE th END, 6) AS shown, round(rho, 6) AS rho, round(rate, 6) AS rate FROM c JOIN ds USING (dataset) WHERE rate >= 0.4 AND stability_category = 'stable'""",
+)
+def stat31(spark, sf):
+    from driftloom.functions.angles import nematic_order, shown_angle
+
+    points = trajectories(spark, sf).groupBy("dataset", "position").agg(F.avg("polar_theta").alias("th"), F.avg("rho").alias("rho"), F.avg((F.col("value") < 60).cast("int")).alias("rate"))
+    rows = points.join(setting(spark, DATASETS), "dataset").where("rate >= 0.4 and stability_category = 'stable'")
+    return rows.select("dataset", "position", r(nematic_order(F.col("th")), "nematic"), r(shown_angle(F.col("th")), "shown"), r("rho", "rho"), r("rate", "rate"))
+
+
+@query("stat32_correlation_input", f"{W} SELECT t.dataset, round(corr(t.rho, u.rho), 6) AS rho__flow, round(corr(t.polar_r, t.k), 6) AS r__k, count(*) AS n FROM t JOIN u USING (dataset, position, crop_index, frame_number) GROUP BY 1")
+def stat32(spark, sf):
+    t = win.with_unwrapped(trajectories(spark, sf), "polar_theta", 3.141592653589793, "theta")
+    flow = trajectories(spark, sf, last=True).select("dataset", "position", *KEY, F.col("rho").alias("flow"))
+    return t.join(flow, ["dataset", "position", *KEY]).groupBy("dataset").agg(r(F.corr("rho", "flow"), "rho__flow"), r(F.corr("polar_r", "k"), "r__k"), F.count("*").alias("n"))
+
+
+@query(
+    "stat34_displacement_histogram",
+    f"{W}, d AS (SELECT *, lead(rho) {OVER} - rho AS dx, lead(frame_number) {OVER} - frame_number AS gap FROM t), h AS (SELECT k // 10 AS i0, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i1, sum(dx) AS w FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL) SELECT i0, i1, round(w, 6) AS w, w > q AS clipped FROM h, (SELECT quantile_cont(w, 0.99) AS q FROM h)",
+)
+def stat34(spark, sf):
+    steps = win.forward_differences(trajectories(spark, sf), ["rho"])
+    h = grid.histogram(steps, [grid.Axis("k", 0.0, 10.0, 10), grid.Axis("rho", -1.0, 0.25, 20)], {"w": F.col("d_rho")})
+    limit = F.broadcast(h.agg(F.percentile("w", 0.99).alias("q")))  # one row
+    return h.crossJoin(limit).select("i0", "i1", r("w", "w"), (F.col("w") > F.col("q")).alias("clipped"))
+
+
+@query(
+    "stat35_frame_features",
+    f"{W} SELECT crop_index, frame_number, frame_number * 12.0 AS time_h, round(value * 0.383, 6) AS x_um, round(value * 0.383 * 0.383, 6) AS area_um2, round(cos(2 * polar_theta), 6) AS nematic, round(atan2(abs(sin(polar_theta)), abs(cos(polar_theta))), 6) AS alignment, round(degrees(polar_theta), 6) AS theta_deg FROM t",
+)
+def stat35(spark, sf):
+    out = feat.frame_features(trajectories(spark, sf), 720.0, 0.383)
+    return out.select(*KEY, "time_h", *(r(c, c) for c in ("x_um", "area_um2", "nematic", "alignment", "theta_deg")))
+
+
+_TRACK = f"""v AS (SELECT *, (value - lag(value) {OVER}) / (frame_number - lag(frame_number) {OVER}) AS vx, (k - lag(k) {OVER}) / (frame_number - lag(frame_number) {OVER})::DOUBLE AS vy,
+  max(frame_number) OVER (PARTITION BY crop_index) - min(frame_number) OVER (PARTITION BY crop_index) AS track_duration, count(*) OVER (PARTITION BY crop_index) AS n_rows FROM t),
+h AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, atan2(vy, vx) AS heading FROM v), g AS (SELECT *, heading - lag(heading) {OVER} + 3.141592653589793 AS d FROM h),
+f AS (SELECT *, d - 2 * 3.141592653589793 * floor(d / (2 * 3.141592653589793)) - 3.141592653589793 AS turn FROM g)"""
+
+
+@query("stat36_track_features", f"{W}, {_TRACK} SELECT crop_index, frame_number, track_duration, n_rows, round(speed, 6) AS speed, round(heading, 6) AS heading, round(turn, 5) AS turn FROM f")
+def stat36(spark, sf):
+    out = feat.track_features(trajectories(spark, sf))
+    return out.select(*KEY, "track_duration", "n_rows", r("speed", "speed"), r("heading", "heading"), r("turn", "turn", 5))
+
+
+@query(
+    "stat37_merge_pipeline",
+    f"""{W} SELECT t.crop_index, t.frame_number, round(t.value * 0.383, 6) AS x_um, round(u.value, 6) AS nuclei, track_duration > 24 AND t.k < 95 AS is_included
+    FROM (SELECT *, max(frame_number) OVER (PARTITION BY crop_index) - min(frame_number) OVER (PARTITION BY crop_index) AS track_duration FROM t) t JOIN u USING (dataset, position, crop_index, frame_number)""",
+)
+def stat37(spark, sf):
+    nuclei = trajectories(spark, sf, last=True).select("dataset", "position", *KEY, F.col("value").alias("nuclei"))
+    rows = jn.inner_without_clashes(trajectories(spark, sf), nuclei, ["dataset", "position", *KEY])
+    rows = win.with_track_duration(feat.frame_features(rows, 720.0, 0.383))
+    flag = (F.col("track_duration") > 24) & (F.col("k") < 95)
+    return rows.select(*KEY, r("x_um", "x_um"), r("nuclei", "nuclei"), flag.alias("is_included"))
+
+
+@query(
+    "stat38_combine_pipeline",
+    f"""WITH {U_SQL}, {T_SQL.replace("FROM (SELECT *, CAST(json", "FROM (SELECT *, CAST(json", 1)}, {_TRACK.replace("FROM t)", "FROM w)", 1)} SELECT crop_index, frame_number, round(latent, 6) AS latent, round(speed, 6) AS speed FROM f""".replace(
+        "v AS (SELECT *, (value", "w AS (SELECT t.*, u.rho AS latent FROM t LEFT JOIN u USING (dataset, position, crop_index, frame_number) WHERE t.k < 90 AND u.rho IS NOT NULL), v AS (SELECT *, (value", 1
+    ),
+)
+def stat38(spark, sf):
+    latent = trajectories(spark, sf, last=True).select("dataset", "position", *KEY, F.col("rho").alias("latent"))
+    rows = jn.left_with_suffixes(trajectories(spark, sf), latent, ["dataset", "position", *KEY])
+    rows = feat.track_features(rows.where("k < 90").na.drop(subset=["latent"]))
+    return rows.select(*KEY, r("latent", "latent"), r("speed", "speed"))
+
+

@@ -1 +1,42 @@
-"""Queries."""
+"""Queries that run as streams over the events table until all of it is read (STM)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from driftloom.registry import query
+from driftloom.sources.scratch import shared_folder
+from driftloom.sources.tables import table
+from driftloom.streaming import streams
+
+
+def _run(spark, sf, make, mode):
+    """Stream the events file once through ``make`` and return what it wrote."""
+    folder = f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    # The glob lets the stream read the table whether it is a file or a folder of files.
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parqu*")
+    out = make(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    if mode == "append":
+        writer = out.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
+    else:
+        writer = out.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out")).outputMode(mode)
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("stm01_differences", "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS difference FROM events")
+def stm01(spark, sf):
+    return _run(spark, sf, streams.with_differences, "append").select("user_id", "event_id", F.round("difference", 6).alias("difference"))
+
+
+@query("stm02_first_passages", "SELECT user_id, arg_min(event_id, row(ts, event_id)) AS event_id FROM events WHERE value >= 200 GROUP BY 1")
+def stm02(spark, sf):
+    return _run(spark, sf, lambda df: streams.first_passages(df, 200.0), "append")
+
+
+@query("stm03_outlier_counts", "SELECT date_trunc('day', ts) AS day, event_type, CAST(sum((value < 5 OR value > 150)::INT) AS BIGINT) AS n_outliers, count(*) AS n FROM events GROUP BY ALL")
+def stm03(spark, sf):
+    return _run(spark, sf, lambda df: streams.outlier_counts(df, 5.0, 150.0), "complete")

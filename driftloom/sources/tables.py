@@ -14,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frame_of(ts: Column) -> Column:
-    return F.floor((F.unix_timestamp(ts) - FIRST_SECOND) / FRAME_SECONDS).cast("int")
+    """Whole frames since the first, by wall clock: the session's time zone plays no part."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("SECOND", start, ts.cast("timestamp_ntz")) / FRAME_SECONDS).cast("int")
 
 
 def trajectories(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
