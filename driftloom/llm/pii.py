@@ -35,6 +35,8 @@ MONEY = r"(card|visa|credit|debit|account|iban|bank)[^a-z]*$"
 MAIL = r"(mail|contact|write|reach)[^a-z]*$"
 FEATURES = ("digits", "groups", "paren", "dash", "dot", "space", "luhn", "talk", "money", "code", "short_end", "word")
 TREES, RATE, PRECISION, LEAST_POSITIVE = 12, 0.4, 0.95, 20
+#: A leaf holds at least so many candidates, so that a few unconfirmed ones make no rule of their own.
+LEAST_LEAF = 20
 
 
 def digits_of(col: Column) -> Column:
@@ -131,14 +133,17 @@ def _grow(rows, at, grad, hess, depth, rate):
         return leaf
     best = (1e-9, None)
     for f in range(len(FEATURES)):
-        sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
         for i in at:
             s = sums[rows[i][0][f]]
             s[0] += grad[i]
             s[1] += hess[i]
-        gl = hl = 0.0
+            s[2] += rows[i][1] + rows[i][2]
+        n, gl, hl, nl = sum(s[2] for s in sums.values()), 0.0, 0.0, 0.0
         for cut in sorted(sums)[:-1]:
-            gl, hl = gl + sums[cut][0], hl + sums[cut][1]
+            gl, hl, nl = gl + sums[cut][0], hl + sums[cut][1], nl + sums[cut][2]
+            if min(nl, n - nl) < LEAST_LEAF:
+                continue
             gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
             if gain > best[0]:
                 best = (gain, (f, cut))
