@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.functions.angles import kernel
+from driftloom.functions.hooks import KERNELS
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def smoothed(hist: DataFrame, axes: list[Axis], kernels: list[tuple[str, float]]
     for k, (axis, (name, bandwidth)) in enumerate(zip(axes, kernels, strict=True)):
         to = F.explode(F.sequence(F.lit(0), F.lit(axis.n - 1)))
         spread = out.withColumn("__to", to)
-        weight = kernel(name, (F.col("__to") - F.col(f"i{k}")) * F.lit(axis.width), bandwidth, axis.period)
+        weight = KERNELS[name]((F.col("__to") - F.col(f"i{k}")) * F.lit(axis.width), bandwidth, axis.period)
         spread = spread.withColumn("__k", weight).where(F.col("__k") > cutoff).drop(f"i{k}").withColumnRenamed("__to", f"i{k}")
         out = spread.groupBy(*keys, *(f"i{j}" for j in range(len(axes)))).agg(*(F.sum(F.col(v) * F.col("__k")).alias(v) for v in values))
     return out

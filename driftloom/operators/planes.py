@@ -16,7 +16,7 @@ def _dot(a, b):
 
 def _unit(a):
     size = math.sqrt(_dot(a, a))
-    if size == 0:
+    if size < 1e-12:
         raise ValueError("the three points lie on one line")
     return tuple(x / size for x in a)
 

@@ -150,3 +150,48 @@ def rsh06(spark, sf):
 @query("rsh07_renamed", f"{W} SELECT crop_index, frame_number, k AS k_grid, round(rho, 9) AS rho_grid FROM t")
 def rsh07(spark, sf):
     return trajectories(spark, sf).select(*KEY, "k", r("rho", "rho")).withColumnsRenamed({c: c + "_grid" for c in ("k", "rho")})
+
+
+@query("udf01_kernel_by_name", f"{W} SELECT {COLS}, round(exp(-((rho / 0.4) ** 2) / 2) / sqrt(2 * 3.141592653589793) / 0.4, 6) AS w FROM t")
+def udf01(spark, sf):
+    from driftloom.functions.hooks import KERNELS
+
+    return trajectories(spark, sf).select(*KEY, r(KERNELS["gaussian"](F.col("rho"), 0.4), "w", 6))
+
+
+@query(
+    "udf02_own_metric",
+    f"{W}, p AS (SELECT t.dataset, t.frame_number, t.crop_index AS a, u.crop_index AS b, abs(t.k - u.k) AS d FROM t JOIN u ON t.dataset = u.dataset AND t.frame_number = u.frame_number WHERE t.position = 0 AND u.position <> 0), m AS (SELECT *, row_number() OVER (PARTITION BY dataset, frame_number, a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY dataset, frame_number, b ORDER BY d, a) AS rb FROM p) SELECT dataset, frame_number, a, b FROM m WHERE ra = 1 AND rb = 1",
+)
+def udf02(spark, sf):
+    from driftloom.operators.joins import mutual_best
+
+    a = trajectories(spark, sf).where("position = 0").select("dataset", "frame_number", F.col("crop_index").alias("a"), F.col("k").alias("ka"))
+    b = trajectories(spark, sf, last=True).where("position <> 0").select("dataset", "frame_number", F.col("crop_index").alias("b"), F.col("k").alias("kb"))
+    pairs = a.join(b, ["dataset", "frame_number"])
+    frame = ["dataset", "frame_number"]
+    return mutual_best(pairs, [*frame, "a"], [*frame, "b"], F.abs(F.col("ka") - F.col("kb")), "asc").select(*frame, "a", "b")
+
+
+@query("udf03_grouped_map")
+def udf03(spark, sf):
+    def centred(pdf):
+        return pdf.assign(value=pdf["value"] - pdf["value"].mean())
+
+    rows = trajectories(spark, sf).select(*KEY, "value")
+    return rows.groupBy("crop_index").applyInPandas(centred, rows.schema).select(*KEY, r("value", "value", 6))
+
+
+@query("udf04_stop_conditions", f"{W}, s AS (SELECT crop_index, frame_number, CASE WHEN rho > 3 THEN 'escaped' WHEN abs(rho) <= 0.05 THEN 'arrived' END AS stop FROM t) SELECT crop_index, arg_min(stop, frame_number) AS stop, min(frame_number) AS frame_number FROM s WHERE stop IS NOT NULL GROUP BY 1")
+def udf04(spark, sf):
+    from driftloom.functions.hooks import stops
+
+    return stops(trajectories(spark, sf), ["crop_index"], "frame_number", [("escaped", F.col("rho") > 3), ("arrived", F.abs("rho") <= 0.05)])
+
+
+@query("udf05_own_aggregate", f"{W} SELECT crop_index, round(max(value) - min(value), 6) AS spread FROM t GROUP BY 1")
+def udf05(spark, sf):
+    from driftloom.functions.hooks import aggregate
+
+    spread = aggregate(lambda x: x.max() - x.min())
+    return trajectories(spark, sf).groupBy("crop_index").agg(spread("value").alias("s")).select("crop_index", r("s", "spread", 6))
