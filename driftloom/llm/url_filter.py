@@ -73,33 +73,38 @@ def _passes(spark: SparkSession, words: DataFrame, size: int, level: int, hashes
 class Cascade:
     """Exact membership of the keys of a universe in a list.
 
-    ``universe`` has a column ``key`` with all keys that will be asked for and a boolean ``listed``. Filters have about ten bits for
-    each key, and never more than ``max_bits`` (8 MB): past that false positives grow and more levels follow, none of which may
-    stop shrinking; ``build`` then raises rather than answer wrongly, and the list should be split by a hash of the key.
+    ``universe`` has a column ``key`` with all keys that will be asked for and a boolean ``listed``. A filter has about ten bits
+    for each of its keys and goes to every task, so none may exceed ``max_bits`` (8 MB). A list too large for that is kept as
+    a table, and ``mark`` joins it instead.
     """
 
     def __init__(self, universe: DataFrame, max_bits: int = FILTER_BITS, hashes: int = 5):
         self.spark, self.hashes = universe.sparkSession, hashes
         self.levels: list[tuple[DataFrame, int]] = []
         keys = stored(universe.select("key", "listed").where("key is not null").distinct(), "keys")
-        inside, outside, was = keys.where("listed"), keys.where("not listed"), None
+        self.listed, self.too_large = keys.where("listed").select("key"), False
+        inside, outside = keys.where("listed"), keys.where("not listed")
         while (n := inside.count()) > 0:
-            if len(self.levels) >= MAX_LEVELS or was is not None and n >= was:
-                raise ValueError("the filters are too small for these keys; split them by a hash of the key")
+            if 10 * n > max_bits or len(self.levels) >= MAX_LEVELS:
+                self.too_large = True
+                return
             size = min(max_bits, max(1 << 10, 1 << (10 * n - 1).bit_length()))
             words = stored(_bits_of(inside, size, len(self.levels), hashes), "filter")
             self.levels.append((words, size))
             passed = outside.where(_passes(self.spark, words, size, len(self.levels) - 1, hashes, F.col("key")))
             inside, outside = stored(passed, "passed"), inside
-            was = n if len(self.levels) % 2 == 0 else was
 
-    def listed(self, key: Column) -> Column:
-        """Whether a key of the universe is listed; false for null."""
+    def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """The rows with a boolean column: whether their key, one of the universe, is listed; false for null."""
+        if self.too_large:
+            held = self.listed.select(F.col("key").alias("__key"), F.lit(True).alias("__listed"))
+            rows = df.join(held, F.col(key) == F.col("__key"), "left")
+            return rows.withColumn(name, F.coalesce("__listed", F.lit(False))).drop("__key", "__listed")
         answer = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(range(len(self.levels))):
             words, size = self.levels[level]
-            answer = F.when(_passes(self.spark, words, size, level, self.hashes, key), answer).otherwise(F.lit(level % 2 == 1))
-        return F.coalesce(key.isNotNull() & answer, F.lit(False))
+            answer = F.when(_passes(self.spark, words, size, level, self.hashes, F.col(key)), answer).otherwise(F.lit(level % 2 == 1))
+        return df.withColumn(name, F.coalesce(F.col(key).isNotNull() & answer, F.lit(False)))
 
 
 def filtered_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -113,7 +118,8 @@ def filtered_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     rows = rows.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
     bad = F.max(F.coalesce(F.col("found.verdict") == "block", F.lit(False)))
     cascade = Cascade(rows.groupBy(F.col("host").alias("key")).agg(bad.alias("listed")))
-    other = F.when(cascade.listed(F.col("host")), "block").otherwise("allow")
+    rows = cascade.mark(rows, "host", "listed")
+    other = F.when(F.col("listed"), "block").otherwise("allow")
     return rows.select(F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", other).alias("verdict"))
 
 
