@@ -104,7 +104,7 @@ def test_cascade_is_exact(spark, bits):
     keys = spark.range(900).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = url_filter.Cascade(keys, max_bits=bits, hashes=2)
     assert cascade.too_large == (bits < 1 << 20)
-    rows = keys.unionByName(spark.createDataFrame([(None, False)], keys.schema))
+    rows = keys.unionByName(spark.createDataFrame([(None, False)], "key string, listed boolean"))
     assert cascade.mark(rows, "key", "answer").where("answer != listed").count() == 0
 
 
