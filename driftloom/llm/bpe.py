@@ -11,6 +11,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -42,7 +43,7 @@ class WordBpe:
     ``keep`` runs and words at a time.
     """
 
-    def __init__(self, file: bytes, keep: int = 400_000):
+    def __init__(self, file: bytes, keep: int = 200_000):
         spec = json.loads(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -103,7 +104,7 @@ class WordBpe:
             symbols[-1] = self.final[data[-1]]
             found = self.encoded(self.merge(symbols))
             if len(self.words) >= self.keep:
-                self.words.clear()
+                drop_oldest(self.words)
             self.words[word] = found
         return found
 
@@ -142,6 +143,12 @@ class WordBpe:
         return joined([chunks[run] for run in runs])
 
 
+def drop_oldest(held: dict) -> None:
+    """Make room: the half that came first goes; what is common comes back at once."""
+    for key in list(islice(held, (len(held) + 1) // 2)):
+        del held[key]
+
+
 class _Chunks(dict):
     """What runs encode to; a new one is encoded when it is asked for, and kept if it is short."""
 
@@ -152,7 +159,7 @@ class _Chunks(dict):
     def __missing__(self, run: str) -> Encoded:
         found = self.bpe.chunk(run)
         if len(self) >= self.bpe.keep:
-            self.clear()
+            drop_oldest(self)
         if len(run) <= 64:
             self[run] = found
         return found
