@@ -158,7 +158,7 @@ _BOOT = f"""{_D}, pc AS (SELECT dataset, crop_index, CAST(least(19, floor((rho +
   g AS (SELECT CAST(unnest(generate_series(0, 19)) AS INTEGER) AS i), bs AS (SELECT dataset, replicate, i AS i0, sum(m0 * {_K}) AS m0, sum(m1 * {_K}) AS m1 FROM bh, g GROUP BY ALL)"""
 
 
-@query("stat19_bootstrap_field", f"{W}, {_BOOT} SELECT dataset, replicate, i0, round(m1 / (m0 * 12), 5) AS drift_0 FROM bs WHERE replicate < 10")
+@query("stat19_bootstrap_field", f"{W}, {_BOOT} SELECT dataset, replicate, i0, round(CASE WHEN m0 / sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) OVER (PARTITION BY dataset, replicate) >= 1e-10 THEN m1 / (m0 * 12) END, 5) AS drift_0 FROM bs WHERE replicate < 10")
 def stat19(spark, sf):
     return boot(spark, sf).where("replicate < 10").select("dataset", "replicate", "i0", r("drift_0", "drift_0", 5))
 
