@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.shared import documents, stored, word_count
 
-#: Bits below the two levels of buckets; a place has 60 bits.
-COARSE, FINE = 44, 22
+#: Bits below the two levels of buckets; a place has 60 bits, so a source has 4,096 buckets, and the one at its boundary 65,536.
+COARSE, FINE = 48, 32
 CAP = 3
 
 
