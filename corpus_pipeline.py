@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each row of the mix."""
-    return bpe.digests(bpe.encode_documents(docs, bpe.word_vocabulary()))
+    """Token counts and digests of each row of the mix. Workers hold nothing over, as other stages share their memory."""
+    return bpe.digests(bpe.encode_documents(docs, bpe.word_vocabulary(), keep=100_000, hold=False))
 
 
 STAGES = [

@@ -23,6 +23,8 @@ from driftloom.llm.shared import documents
 #: White space as Unicode defines it; Python's own notion adds U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MAX_FILE_BYTES = 32 << 20
+#: Encoded runs, and as many words, that a Python worker keeps: about 250 MB.
+KEEP = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -43,7 +45,7 @@ class WordBpe:
     ``keep`` runs and words at a time.
     """
 
-    def __init__(self, file: bytes, keep: int = 200_000):
+    def __init__(self, file: bytes, keep: int = KEEP):
         spec = json.loads(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -175,9 +177,9 @@ def joined(parts: list[Encoded]) -> Encoded:
 
 
 @lru_cache(maxsize=1)
-def word_bpe(file: bytes) -> WordBpe:
+def word_bpe(file: bytes, keep: int) -> WordBpe:
     """The tokenizer of a file; a Python worker keeps it, and what it has encoded so far, from task to task."""
-    return WordBpe(file)
+    return WordBpe(file, keep)
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -189,17 +191,20 @@ def read_vocabulary(path: str) -> bytes:
     return file
 
 
-def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(
+    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: int = KEEP, hold: bool = True
+) -> DataFrame:
     """One row per input row: id, n_tokens, ids, decoded.
 
     ids are decimal numbers joined by one space. Null and empty texts and texts of white space give no token and empty
     strings. Null ids and repeated rows are rows like any other; further columns are left out. Texts stay whole; there is
-    no shuffle, and a lost task only encodes its own rows again.
+    no shuffle, and a lost task only encodes its own rows again. A task keeps up to ``keep`` encoded runs; with ``hold`` a
+    Python worker passes them on to its next task, which is faster and takes memory from whatever runs beside or after it.
     """
     file = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = word_bpe(file.value)
+        bpe = word_bpe(file.value, keep) if hold else WordBpe(file.value, keep)
         for pdf in batches:
             for k in range(0, len(pdf), 500):
                 part = pdf.iloc[k : k + 500]
