@@ -3,7 +3,8 @@
 A document's set of word shingles gives a signature of minimum hashes. Each tree of the forest is the list of all
 signatures sorted from another starting hash. Documents that stand close together in a tree have the longest common
 prefixes, so looking a fixed number of places up and down compares at a depth that adapts to each region: shallow where
-documents are rare, deep where many share a prefix. Candidates are confirmed on the full sets.
+documents are rare, deep where many share a prefix. Candidates are confirmed on the full sets. What that joins need not be
+compared any more; where more documents share a prefix than the places looked at, all others of them are compared in blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm.components import components
@@ -23,6 +24,8 @@ from driftloom.llm.shared import documents, stored
 
 HASHES, TREES, STEP = 64, 16, 4
 CHUNK = 2048
+#: Classes and shingles that one part of a long run has on average; a block compares two parts.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 _RNG = np.random.default_rng(20240102)
 _MULTIPLY = _RNG.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64)
@@ -145,28 +148,40 @@ def near_duplicate_documents(
     link either, gets a null component and is kept. Rows that repeat an id are rows of their own. Other columns are
     left out. Shingles are compared by 64-bit hashes.
 
-    Equal sets are one class, so exact copies never meet. Two classes are candidates when they stand at most ``reach``
-    places apart in one of 16 trees, share ``prefix`` hashes there and agree in ``alike`` of all 64. Two sets at
-    similarity 0.8 share the prefix in no tree with a chance of 1e-5. Neighbours are confirmed first; of the rest only
-    candidates between different components are, as no other can change a component.
+    Equal sets are one class, so exact copies never meet. Two classes are candidates when they share ``prefix`` hashes in
+    one of 16 trees and agree in ``alike`` of all 64, however many others share the prefix. Two sets at similarity 0.8
+    share the prefix in no tree with a chance of 1e-5. Neighbours are confirmed first, then those at most ``reach`` places
+    apart, then all pairs of prefixes with more classes than that; after the first step only candidates between different
+    components are, as no other can change a component.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stored(base.mapInPandas(_signed(width), _schema(base, "n_shingles long, digest binary, sign binary")), "signatures")
     usable = "id is not null and sign is not null"
-    classes = signed.where(usable).groupBy("digest").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"))
+    classes = signed.where(usable).groupBy("digest").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    pairs = stored(candidates(classes.select("node", "sign"), prefix, reach, alike), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(wanted, "node").select("node", F.col("rep").alias("id"), "digest")
-    sets = stored(base.join(wanted, "id").select("node", "text", "digest").mapInPandas(_sets(width), "node long, members array<long>"), "sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes, "node").select("node", F.col("rep").alias("id"), "digest")
+        found = base.join(wanted, "id").select("node", "text", "digest").mapInPandas(_sets(width), "node long, members array<long>")
+        return stored(found, "sets")
+
+    pairs, runs = candidates(classes.select("node", "sign"), prefix, reach, alike)
+    pairs = stored(pairs, "pairs")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     edges = stored(_confirmed(pairs.where("first"), sets, percent), "edges")
     joined = stored(components(edges), "joined")
     of_a, of_b = joined.toDF("a", "ca"), joined.toDF("b", "cb")
     rest = pairs.where("not first").join(of_a, "a", "left").join(of_b, "b", "left").where("coalesce(ca, a) != coalesce(cb, b)")
     more = stored(_confirmed(rest, sets, percent), "edges")
-    joined = components(edges.unionByName(more))
+    edges = edges.unionByName(more)
+    joined = stored(components(edges), "joined")
+
+    blocks = _blocks(runs, joined, classes)
+    if not blocks.isEmpty():
+        members = sets_of(blocks.select("node").distinct()).dropDuplicates(["node"]).join(classes.select("node", "sign"), "node")
+        over = blocks.join(members, "node").groupBy("tree", "head", "i", "j").applyInPandas(_linked(prefix, alike, percent), "a long, b long")
+        joined = components(edges.unionByName(stored(over, "edges")))
 
     named = classes.join(joined, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")
@@ -183,15 +198,16 @@ def _schema(base: DataFrame, more: str) -> str:
     return f"id {base.schema['id'].dataType.simpleString()}, {more}"
 
 
-def candidates(classes: DataFrame, prefix: int, reach: int, alike: float) -> DataFrame:
-    """Distinct pairs ``(a, b, first)`` of neighbours in the forest over ``(node, sign)``."""
+def candidates(classes: DataFrame, prefix: int, reach: int, alike: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``(a, b, first)`` of neighbours in the forest over ``(node, sign)``, and the rows ``(tree, head, node)``
+    of runs of a prefix that are too long for their ends to be neighbours."""
     turned = "concat(substring(sign, 2 * {s} * tree + 1, 2 * {h}), substring(sign, 1, 2 * {s} * tree))".format(s=STEP, h=HASHES)
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     # Light rows first: only prefixes that two classes share go on with their signatures.
     light = classes.select("node", "sign", trees.alias("tree")).select("node", "tree", F.expr(f"substring({turned}, 1, {2 * prefix})").alias("head"))
-    shared = stored(light.groupBy("tree", "head").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "heads")
-    light = stored(light.join(shared, ["tree", "head"]).select("node", "tree"), "branches")
-    rows = light.join(classes, "node").select("tree", F.expr(turned).alias("sign"), "node")
+    shared = stored(light.groupBy("tree", "head").agg(F.count("*").alias("n")).where("n > 1"), "heads")
+    light = stored(light.join(shared, ["tree", "head"]).select("node", "tree", F.when(F.col("n") > reach + 1, F.col("head")).alias("head")), "branches")
+    rows = light.drop("head").join(classes, "node").select("tree", F.expr(turned).alias("sign"), "node")
     parts = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), light.count() // (64 * reach)))
     rows = rows.repartitionByRange(parts, "tree", "sign", "node").sortWithinPartitions("tree", "sign", "node")
     shape = "a long, b long, first boolean, tree int, sign binary, node long, seam int, side int"
@@ -199,7 +215,68 @@ def candidates(classes: DataFrame, prefix: int, reach: int, alike: float) -> Dat
     seams = found.where("seam is not null").select("tree", "sign", "node", "seam", "side")
     over = seams.groupBy("seam").applyInPandas(_seams(reach, prefix, alike), "a long, b long, first boolean")
     both = found.where("seam is null").select("a", "b", "first").unionByName(over)
-    return both.groupBy("a", "b").agg(F.max("first").alias("first"))
+    return both.groupBy("a", "b").agg(F.max("first").alias("first")), light.where("head is not null").select("tree", "head", "node")
+
+
+def _blocks(runs: DataFrame, joined: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows ``(tree, head, i, j, part, node, component)`` of the blocks that compare different components of a run.
+
+    The largest component of a run has parts below 0, all others have parts from 0. Blocks pair two parts of the others,
+    equal ones too, or one of either; the largest component is never compared with itself.
+    """
+    rows = runs.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stored(rows.join(classes.select("node", "size"), "node"), "runs")
+    each = rows.groupBy("tree", "head", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    each = each.groupBy("tree", "head").agg(F.max(F.struct("n", "size", "component")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    each = each.where("n > main.n")
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    most = parts(F.col("main.n"), F.col("main.size")).alias("mains"), parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("others")
+    rows = rows.drop("size").join(each.select("tree", "head", F.col("main.component").alias("main"), *most), ["tree", "head"])
+    in_main, salt = F.col("component") == F.col("main"), F.xxhash64("node")
+    part = F.when(in_main, -1 - F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int")
+    rows = rows.withColumn("part", part)
+    mains, others = F.sequence(-F.col("mains"), F.lit(-1)), F.sequence(F.lit(0), F.col("others") - 1)
+    meets = F.when(in_main, others).otherwise(F.concat(mains, others))
+    rows = rows.withColumn("other", F.explode(meets))
+    return stored(rows.select("tree", "head", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component"), "blocks")
+
+
+def _linked(prefix: int, alike: float, percent: int):
+    heads = (STEP * np.arange(TREES)[:, None] + np.arange(prefix)) % HASHES
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Confirmed links of a block that join its components; each pair counts in the first tree where it shares the prefix."""
+        tree, across = pdf["tree"].iat[0], pdf["i"].iat[0] != pdf["j"].iat[0]
+        sign, node, part = _numbers(pdf["sign"]).astype(np.uint16), pdf["node"].to_numpy(), pdf["part"].to_numpy()
+        size = pdf["members"].map(len).to_numpy()
+        group = np.unique(pdf["component"], return_inverse=True)[1]
+        places = np.unique(np.concatenate(pdf["members"].tolist()), return_inverse=True)[1]
+        own, marked = np.split(places, np.cumsum(size)[:-1]), np.zeros(places.max() + 1, dtype=np.int8)
+        out = []
+        for x in range(len(node) - 1):
+            y = np.arange(x + 1, len(node))
+            y = y[(group[y] != group[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))]
+            if across:
+                y = y[part[y] != part[x]]
+            same = sign[y] == sign[x]
+            near = same.mean(axis=1) >= alike
+            y, same = y[near], same[near]
+            y = y[same[:, heads].all(axis=2).argmax(axis=1) == tree]
+            if not len(y):
+                continue
+            marked[own[x]] = 1
+            common = np.add.reduceat(marked[np.concatenate([own[k] for k in y])], np.cumsum(size[y]) - size[y], dtype=np.int64)
+            marked[own[x]] = 0
+            for k in y[100 * common >= percent * (size[x] + size[y] - common)]:
+                if group[k] != group[x]:
+                    out.append((node[x], node[k]))
+                    group[group == group[k]] = group[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
 
 
 def _framed(run):

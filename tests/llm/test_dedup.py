@@ -120,5 +120,39 @@ def test_documents_equal_brute_force(spark, document_rows, width):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def variants(text, n, changes, rng, name):
+    """Texts with so many of the words at every sixth place replaced by words of their own."""
+    out = []
+    for k in range(n):
+        copy = list(text)
+        for at in rng.sample(range(3, len(text) - 3, 6), changes):
+            copy[at] = f"{name}{k}x{at}"
+        out.append(copy)
+    return out
+
+
+def test_hub_of_a_thousand_variants(spark):
+    # Variants are at 0.845 to the hub and at about 0.71 to each other.
+    rng = random.Random(11)
+    hub = words(rng, 480)
+    rows = [(k + 1, " ".join(t)) for k, t in enumerate([*variants(hub, 1000, 8, rng, "v"), hub])]
+    got = near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1001 and {r.component_id for r in got} == {1} and sum(r.kept for r in got) == 1
+
+
+def test_pairs_among_many_of_a_template(spark):
+    # Pairs are at 0.81; documents of different pairs at about 0.71 or below.
+    rng = random.Random(12)
+    template = words(rng, 480)
+    rows = []
+    for k, first in enumerate(variants(template, 700, 8, rng, "v")):
+        second = list(first)
+        for at in rng.sample([a for a in range(3, 477, 6) if first[a] == template[a]], 10):
+            second[at] = f"w{k}x{at}"
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+    got = near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k - k % 2) for k in range(1400)}
+
+
 def test_empty_documents(spark):
     assert near_duplicate_documents(spark.createDataFrame([], DOCS)).count() == 0
