@@ -84,8 +84,10 @@ def greedy_matches(baseline: DataFrame, found: DataFrame, keys: list[str], axes:
     """Matches of baseline points (``point_id``, ``rank``) to found ones (``replicate``, ``found_id``) within a radius.
 
     Within a replicate each found point is used once; baseline points choose in the order of their rank, the nearest first.
-    ``ranks`` bounds the number of baseline points of a key, and so the number of rounds.
+    ``ranks`` is the number of rounds; a baseline point whose rank is not below it is an error.
     """
+    if not baseline.where(F.col("rank").isNull() | (F.col("rank") < 0) | (F.col("rank") >= ranks)).isEmpty():
+        raise ValueError(f"ranks of baseline points must be from 0 to {ranks - 1}")
     periods = periods or {}
     b = baseline.select(*keys, "point_id", "rank", *(F.col(a).alias("__b_" + a) for a in axes))
     near = found.join(F.broadcast(b) if ranks <= 64 else b, keys)

@@ -170,13 +170,23 @@ def baseline(spark, sf):
     return roots(spark, sf).withColumn("point_id", order.cast("int"))
 
 
+def summary(base, found, replicates):
+    """Summary of the found roots by root of ``base``, however many a data set has; matches are within dataset and stability."""
+    from pyspark.sql import Window
+
+    keys = ["dataset", "stability"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("rho")) - 1
+    base = settled(base.withColumn("rank", rank))
+    rounds = (base.agg(F.max("rank")).first()[0] or 0) + 1
+    found = found.withColumn("found_id", F.xxhash64("rho", "stability"))
+    matched = jn.greedy_matches(base, found, keys, ["rho"], 0.3, rounds)
+    return dyn.match_summary(base, matched, keys, [RHO], replicates)
+
+
 @query("stat20_bootstrap_summary")
 def stat20(spark, sf):
-    base = settled(baseline(spark, sf).withColumn("rank", F.col("point_id") - 1))
     found = settled(dyn.fixed_points_1d(boot(spark, sf), RHO, ["dataset", "replicate"]))
-    found = found.withColumn("found_id", F.xxhash64("rho", "stability"))
-    matched = jn.greedy_matches(base, found, ["dataset", "stability"], ["rho"], 0.3, 3)
-    out = dyn.match_summary(base, matched, ["dataset", "stability"], [RHO], REPLICATES)
+    out = summary(baseline(spark, sf), found, REPLICATES)
     return out.select("dataset", "stability", "point_id", "hits", *(r(c, c) for c in ("rho_mean", "rho_low", "rho_high", "detection_rate")))
 
 

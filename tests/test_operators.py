@@ -202,6 +202,24 @@ def test_greedy_matches_use_points_once(spark):
     assert [(r.point_id, r.found_id) for r in out] == [(1, 7), (2, 8)]
 
 
+def test_greedy_matches_refuse_ranks_beyond_the_rounds(spark):
+    base = frame(spark, [("d", 1, 0, 0.0), ("d", 2, 2, 0.1)], "k string, point_id int, rank int, x double")
+    found = frame(spark, [("d", 0, 7, 0.06)], "k string, replicate int, found_id int, x double")
+    with pytest.raises(ValueError):
+        jn.greedy_matches(base, found, ["k"], ["x"], 0.3, 2)
+
+
+def test_summary_matches_all_of_five_roots(spark):
+    from driftloom.plans.dynamics import summary
+
+    points = [(x, "unstable" if k == 2 else "stable") for k, x in enumerate((-0.8, 0.0, 0.8, 1.6, 2.4))]
+    points += [(3.2, "stable")]
+    base = frame(spark, [("d", x, s, k + 1) for k, (x, s) in enumerate(points)], "dataset string, rho double, stability string, point_id int")
+    found = frame(spark, [("d", b, x + 0.1 * b, s) for b in range(2) for x, s in points], "dataset string, replicate int, rho double, stability string")
+    out = values(summary(base, found, 2), "point_id", "hits", "detection_rate")
+    assert out == [(k + 1, 2, 1.0) for k in range(6)]
+
+
 def test_statistics(spark):
     assert st.pearson_p(0.5, 20) == pytest.approx(0.0247, abs=1e-4)
     assert st.pearson_p(1.0, 5) == 0 and st.pearson_p(0.1, 2) is None and st.pearson_p(0.0, 10) == pytest.approx(1.0)
