@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from driftloom.operators.aggregates import circular_mean
 from driftloom.operators.grid import Axis, histogram, integral, smoothed
-from driftloom.operators.windows import TRACK, forward_differences
+from driftloom.operators.windows import TRACK, forward_differences, with_dense_index
+from driftloom.sources.scratch import settled
 
 LEAST_DENSITY = 1e-10
 
@@ -182,9 +183,10 @@ def multiplicities(df: DataFrame, keys: list[str], track: str, replicates: int,
 
     Draws come from whole-number arithmetic on replicate and draw, so they are the same on every run and in every engine.
     """
-    tracks = df.select(*keys, track).distinct()
-    w = Window.partitionBy(*keys).orderBy(track)
-    tracks = tracks.withColumns({"__j": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
+    # Numbers come from range partitions over all keys; a key's own begin at its least.
+    tracks = settled(with_dense_index(df.select(*keys, track).distinct(), [*keys, track], "__i"))
+    each = tracks.groupBy(*keys).agg(F.min("__i").alias("__least"), F.count("*").alias("__n"))
+    tracks = tracks.join(each, keys).withColumn("__j", F.col("__i") - F.col("__least")).drop("__i", "__least")
     draws = tracks.select(*keys, "__j", "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     b, j = F.col("replicate").cast("long"), F.col("__j").cast("long")
     pick = ((b * 7919 + j * 104729 + seed) % 1000003 * 1103515 + 12345) % 2147483647 % F.col("__n")

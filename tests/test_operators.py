@@ -195,6 +195,26 @@ def test_multiplicities_sum_to_the_tracks(spark):
     assert {r[1] for r in out} == {37} and len(out) == 9
 
 
+def test_multiplicities_of_two_keys_equal_plain_arithmetic(spark):
+    tracks = {"a": [3, 5, 8, 40], "b": [1, 2, 9, 11, 12, 70, 71]}
+    df = frame(spark, [(k, c) for k, v in tracks.items() for c in v], "k string, crop long")
+    want = {}
+    for k, v in tracks.items():
+        for b in range(5):
+            for j in range(len(v)):
+                at = (k, b, v[((b * 7919 + j * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % len(v)])
+                want[at] = want.get(at, 0) + 1
+    out = dyn.multiplicities(df, ["k"], "crop", 5)
+    assert {(r.k, r.replicate, r.crop): r.times for r in out.collect()} == want
+
+
+def test_bootstrap_summary_rests_on_500_replicates(spark):
+    from driftloom import registry
+
+    rows = registry.queries()["stat20_bootstrap_summary"](spark, "/root/testdata/sf0.001").where("hits > 0").collect()
+    assert rows and all(r.detection_rate == pytest.approx(r.hits / 500, abs=1e-6) for r in rows)
+
+
 def test_greedy_matches_use_points_once(spark):
     base = frame(spark, [("d", 1, 0, 0.0), ("d", 2, 1, 0.1)], "k string, point_id int, rank int, x double")
     found = frame(spark, [("d", 0, 7, 0.06), ("d", 0, 8, 0.3), ("d", 1, 9, 0.9)], "k string, replicate int, found_id int, x double")
