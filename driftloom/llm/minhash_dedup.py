@@ -1,10 +1,11 @@
 """Near duplicates among documents by an LSH forest over MinHash signatures.
 
 A document's set of word shingles gives a signature of minimum hashes. Each tree of the forest is the list of all
-signatures sorted from another starting hash. Documents that stand close together in a tree have the longest common
-prefixes, so looking a fixed number of places up and down compares at a depth that adapts to each region: shallow where
-documents are rare, deep where many share a prefix. Candidates are confirmed on the full sets. What that joins need not be
-compared any more; where more documents share a prefix than the places looked at, all others of them are compared in blocks.
+signatures sorted from another starting hash. Neighbours in a tree have the longest prefixes in common; a region is a run of
+documents that share a prefix. From the shallowest depth at which a match is likely, the prefix grows region by region until
+few documents share it: shallow where documents are rare, deep where many share a prefix. Documents of such a leaf are
+candidates, and so are neighbours. Candidates are confirmed on the full sets. What that joins need not be compared any more;
+in regions that had to be split, all other pairs are compared in blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +67,7 @@ def _signed(width: int):
         for pdf in batches:
             rows = [(len(x), _digest(x), signature(x) if len(x) else None) for x in (shingles(t, width) for t in pdf["text"])]
             size, digest, sign = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"id": pdf["id"], "n_shingles": list(size), "digest": list(digest), "sign": list(sign)})
+            yield pd.DataFrame({"id": pdf["id"], "text_hash": pdf["text_hash"], "n_shingles": list(size), "digest": list(digest), "sign": list(sign)})
 
     return run
 
@@ -82,16 +82,40 @@ def _sets(width: int):
     return run
 
 
-def _pairs(tree, sign, node, reach: int, prefix: int, alike: float, across=None) -> pd.DataFrame:
-    """Rows at most ``reach`` places apart that share a prefix in their tree and look alike."""
+def common_prefixes(tree: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """How many hashes each row of sorted trees has in common, from the first on, with the row before it."""
+    same = (sign[1:] == sign[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    return np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(axis=1)]).astype(np.int64)
+
+
+def leaves(common: np.ndarray, prefix: int, few: int) -> np.ndarray:
+    """A number for each row's leaf: the shallowest region, of ``prefix`` hashes or more, with at most ``few`` rows.
+
+    Rows whose whole signature more than ``few`` rows share are in no leaf (-1).
+    """
+    leaf = np.full(len(common), -1, dtype=np.int64)
+    for depth in range(prefix, HASHES + 1):
+        run = np.cumsum(common < depth)
+        small = (leaf < 0) & (np.bincount(run)[run] <= few)
+        leaf[small] = run[small] * (HASHES + 1) + depth
+        if (leaf >= 0).all():
+            break
+    return leaf
+
+
+def _pairs(pdf: pd.DataFrame, few: int, prefix: int, alike: float) -> pd.DataFrame:
+    """Neighbours that share a prefix, and rows of one leaf, if their signatures look alike."""
+    tree, sign, node = pdf["tree"].to_numpy(), _numbers(pdf["sign"]), pdf["node"].to_numpy()
     outs = []
-    for off in range(1, min(reach, len(node) - 1) + 1):
-        same = (tree[off:] == tree[:-off]) & (sign[off:, :prefix] == sign[:-off, :prefix]).all(axis=1)
-        if across is not None:
-            same &= across[off:] != across[:-off]
-        at = np.flatnonzero(same)
-        at = at[(sign[at + off] == sign[at]).mean(axis=1) >= alike]
-        if len(at):
+    if len(node) > 1:
+        common = common_prefixes(tree, sign)
+        leaf = leaves(common, prefix, few)
+        for off in range(1, min(few, len(node))):
+            same = (leaf[off:] == leaf[:-off]) & (leaf[off:] >= 0)
+            at = np.flatnonzero(same | (common[1:] >= prefix) if off == 1 else same)
+            if off > 1 and not len(at):
+                break
+            at = at[(sign[at + off] == sign[at]).mean(axis=1) >= alike]
             x, y = node[at], node[at + off]
             outs.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "first": (off == 1) & (tree[at] < STEP)}))
     return pd.concat(outs) if outs else pd.DataFrame({"a": [], "b": [], "first": []}).astype({"a": int, "b": int, "first": bool})
@@ -101,31 +125,43 @@ def _numbers(sign: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sign), dtype=">u2").reshape(-1, HASHES)
 
 
-def _neighbours(reach: int, prefix: int, alike: float):
+def _neighbours(few: int, prefix: int, alike: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of one partition of the sorted trees, and its outermost rows for the seam to the next one."""
-        part, seen, tail = TaskContext.get().partitionId(), 0, None
+        """Pairs of one partition of the sorted trees, and the rows of small regions that other partitions hold a part of."""
+        left = None
         for pdf in batches:
+            if left is not None:
+                pdf = pd.concat([left, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            new = len(pdf)
-            if seen < reach:
-                yield pdf.head(reach - seen).assign(seam=part - 1, side=1)
-            if tail is not None:
-                pdf = pd.concat([tail, pdf], ignore_index=True)
-            yield _pairs(pdf["tree"].to_numpy(), _numbers(pdf["sign"]), pdf["node"].to_numpy(), reach, prefix, alike)
-            seen += new
-            tail = pdf.tail(reach)
-        if tail is not None:
-            yield tail.assign(seam=part, side=0)
+            # The last region may go on: it is looked at with the next rows if it is small, and its last rows are if not.
+            n, ends = int(pdf["n"].iat[-1]), _regions(pdf, prefix)
+            held = min(int((ends == ends[-1]).sum()), few)
+            left = pdf.tail(held)
+            yield from _whole(pdf.head(len(pdf) - held) if n <= few else pdf, few, prefix, alike)
+        if left is not None:
+            yield from _whole(left, few, prefix, alike)
 
     return run
 
 
-def _seams(reach: int, prefix: int, alike: float):
+def _regions(pdf: pd.DataFrame, prefix: int) -> np.ndarray:
+    return np.cumsum(common_prefixes(pdf["tree"].to_numpy(), _numbers(pdf["sign"])) < prefix)
+
+
+def _whole(pdf: pd.DataFrame, few: int, prefix: int, alike: float) -> Iterator[pd.DataFrame]:
+    if not len(pdf):
+        return
+    region, n = _regions(pdf, prefix), pdf["n"].to_numpy()
+    torn = (n <= few) & (np.bincount(region)[region] < n)
+    if torn.any():
+        yield pdf[torn]
+    yield _pairs(pdf[~torn], few, prefix, alike)
+
+
+def _torn(few: int, prefix: int, alike: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "tree", "sign", "node"], ignore_index=True)
-        return _pairs(pdf["tree"].to_numpy(), _numbers(pdf["sign"]), pdf["node"].to_numpy(), reach, prefix, alike, pdf["side"].to_numpy())
+        return _pairs(pdf.sort_values(["sign", "node"], ignore_index=True), few, prefix, alike)
 
     return run
 
@@ -137,35 +173,39 @@ def near_duplicate_documents(
     width: int = 5,
     percent: int = 80,
     prefix: int = 3,
-    reach: int = 8,
+    few: int = 16,
     alike: float = 0.55,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept, text_hash, stays.
 
     Words are runs without space, tab or line ends, A-Z in lower case; a document's set holds its distinct shingles of
     ``width`` words, or the whole sequence where it has fewer. Rows link when 100 * intersection >= percent * union; a
     component is named by its smallest id. Null and empty texts have no set and link with nothing; a null id does not
     link either, gets a null component and is kept. Rows that repeat an id are rows of their own. Other columns are
-    left out. Shingles are compared by 64-bit hashes.
+    left out. Shingles are compared by 64-bit hashes. ``stays`` tells rows apart that share an id: it holds for one text of
+    each component, that of the smallest id and, among its texts, of the smallest ``text_hash`` (xxhash64 of the text).
 
     Equal sets are one class, so exact copies never meet. Two classes are candidates when they share ``prefix`` hashes in
     one of 16 trees and agree in ``alike`` of all 64, however many others share the prefix. Two sets at similarity 0.8
-    share the prefix in no tree with a chance of 1e-5. Neighbours are confirmed first, then those at most ``reach`` places
-    apart, then all pairs of prefixes with more classes than that; after the first step only candidates between different
+    share the prefix in no tree with a chance of 1e-5. Neighbours are confirmed first, then leaves of at most ``few`` classes,
+    then all other pairs of regions with more classes than that; after the first step only candidates between different
     components are, as no other can change a component.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(base.mapInPandas(_signed(width), _schema(base, "n_shingles long, digest binary, sign binary")), "signatures")
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    shape = _schema(base, "text_hash long, n_shingles long, digest binary, sign binary")
+    signed = stored(base.mapInPandas(_signed(width), shape), "signatures")
     usable = "id is not null and sign is not null"
-    classes = signed.where(usable).groupBy("digest").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"))
+    first = F.min(F.struct("id", "text_hash")).alias("rep")
+    classes = signed.where(usable).groupBy("digest").agg(first, F.first("sign").alias("sign"), F.first("n_shingles").alias("size"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes, "node").select("node", F.col("rep").alias("id"), "digest")
-        found = base.join(wanted, "id").select("node", "text", "digest").mapInPandas(_sets(width), "node long, members array<long>")
-        return stored(found, "sets")
+        """The sets of some classes, each made anew from one row's text."""
+        wanted = classes.join(nodes, "node").select("node", "rep.id", "rep.text_hash", "digest")
+        texts = base.join(wanted, ["id", "text_hash"]).select("node", "text", "digest")
+        return stored(texts.mapInPandas(_sets(width), "node long, members array<long>").dropDuplicates(["node"]), "sets")
 
-    pairs, runs = candidates(classes.select("node", "sign"), prefix, reach, alike)
+    pairs, runs = candidates(classes.select("node", "sign"), prefix, few, alike)
     pairs = stored(pairs, "pairs")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
@@ -179,42 +219,44 @@ def near_duplicate_documents(
 
     blocks = _blocks(runs, joined, classes)
     if not blocks.isEmpty():
-        members = sets_of(blocks.select("node").distinct()).dropDuplicates(["node"]).join(classes.select("node", "sign"), "node")
+        members = sets_of(blocks.select("node").distinct()).join(classes.select("node", "sign"), "node")
         over = blocks.join(members, "node").groupBy("tree", "head", "i", "j").applyInPandas(_linked(prefix, alike, percent), "a long, b long")
         joined = components(edges.unionByName(stored(over, "edges")))
 
     named = classes.join(joined, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named")
-    least = stored(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    named = stored(named.join(least, "component").select("digest", "component_id"), "named")
-    linked = signed.where(usable).select("id", "n_shingles", "digest").join(named, "digest").select("id", "n_shingles", "component_id")
-    rest = signed.where(f"not ({usable})").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return linked.unionByName(rest).select(
-        F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    least = stored(named.groupBy("component").agg(F.min("rep").alias("least")), "least")
+    named = stored(named.join(least, "component").select("digest", "least"), "named")
+    own = F.struct("id", "text_hash")
+    linked = signed.where(usable).join(named, "digest").withColumn("stays", own == F.col("least"))
+    linked = linked.select("id", "n_shingles", F.col("least.id").alias("component_id"), "text_hash", "stays")
+    rest = signed.where(f"not ({usable})").select("id", "n_shingles", F.col("id").alias("component_id"), "text_hash", F.lit(True).alias("stays"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return linked.unionByName(rest).select(F.col("id").alias(id_col), "n_shingles", "component_id", kept, "text_hash", "stays")
 
 
 def _schema(base: DataFrame, more: str) -> str:
     return f"id {base.schema['id'].dataType.simpleString()}, {more}"
 
 
-def candidates(classes: DataFrame, prefix: int, reach: int, alike: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``(a, b, first)`` of neighbours in the forest over ``(node, sign)``, and the rows ``(tree, head, node)``
-    of runs of a prefix that are too long for their ends to be neighbours."""
+def candidates(classes: DataFrame, prefix: int, few: int, alike: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``(a, b, first)`` of neighbours and of leaves in the forest over ``(node, sign)``, and the rows
+    ``(tree, head, node)`` of regions with more than ``few`` classes. An empty table gives none of either."""
     turned = "concat(substring(sign, 2 * {s} * tree + 1, 2 * {h}), substring(sign, 1, 2 * {s} * tree))".format(s=STEP, h=HASHES)
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     # Light rows first: only prefixes that two classes share go on with their signatures.
     light = classes.select("node", "sign", trees.alias("tree")).select("node", "tree", F.expr(f"substring({turned}, 1, {2 * prefix})").alias("head"))
     shared = stored(light.groupBy("tree", "head").agg(F.count("*").alias("n")).where("n > 1"), "heads")
-    light = stored(light.join(shared, ["tree", "head"]).select("node", "tree", F.when(F.col("n") > reach + 1, F.col("head")).alias("head")), "branches")
-    rows = light.drop("head").join(classes, "node").select("tree", F.expr(turned).alias("sign"), "node")
-    parts = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), light.count() // (64 * reach)))
+    light = stored(light.join(shared, ["tree", "head"]).select("node", "tree", F.when(F.col("n") > few, F.col("head")).alias("head"), "n"), "branches")
+    rows = light.drop("head").join(classes, "node").select("tree", F.expr(turned).alias("sign"), "node", "n")
+    parts = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), light.count() // 512))
     rows = rows.repartitionByRange(parts, "tree", "sign", "node").sortWithinPartitions("tree", "sign", "node")
-    shape = "a long, b long, first boolean, tree int, sign binary, node long, seam int, side int"
-    found = stored(rows.mapInPandas(_framed(_neighbours(reach, prefix, alike)), shape), "neighbours")
-    seams = found.where("seam is not null").select("tree", "sign", "node", "seam", "side")
-    over = seams.groupBy("seam").applyInPandas(_seams(reach, prefix, alike), "a long, b long, first boolean")
-    both = found.where("seam is null").select("a", "b", "first").unionByName(over)
+    shape = "a long, b long, first boolean, tree int, sign binary, node long, n long"
+    found = stored(rows.mapInPandas(_framed(_neighbours(few, prefix, alike)), shape), "neighbours")
+    # A small region that lies in two or more partitions; it has at most ``few`` rows.
+    torn = found.where("node is not null").select("tree", F.expr(f"substring(sign, 1, {2 * prefix})").alias("head"), "sign", "node")
+    torn = torn.groupBy("tree", "head").applyInPandas(_torn(few, prefix, alike), "a long, b long, first boolean")
+    both = found.where("node is null").select("a", "b", "first").unionByName(torn)
     return both.groupBy("a", "b").agg(F.max("first").alias("first")), light.where("head is not null").select("tree", "head", "node")
 
 
@@ -280,11 +322,11 @@ def _linked(prefix: int, alike: float, percent: int):
 
 
 def _framed(run):
-    names = ["a", "b", "first", "tree", "sign", "node", "seam", "side"]
+    names = ["a", "b", "first", "tree", "sign", "node", "n"]
 
     def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in run(batches):
-            yield x.reindex(columns=names).astype({"a": "Int64", "b": "Int64", "first": "boolean", "tree": "Int32", "node": "Int64", "seam": "Int32", "side": "Int32"})
+            yield x.reindex(columns=names).astype({"a": "Int64", "b": "Int64", "first": "boolean", "tree": "Int32", "node": "Int64", "n": "Int64"})
 
     return framed
 
@@ -296,4 +338,5 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_documents(documents(spark, sf_dir), width=4)
+    found = near_duplicate_documents(documents(spark, sf_dir), width=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from driftloom.llm.components import components
 from driftloom.llm.embedding_dedup import hadamard, near_duplicate_embeddings
-from driftloom.llm.minhash_dedup import near_duplicate_documents
+from driftloom.llm.minhash_dedup import candidates, common_prefixes, leaves, near_duplicate_documents, shingles, signature
 
 VECTORS = T.StructType(
     [T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("n_links", T.StringType())]
@@ -32,10 +32,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_long_chain_of_links(spark):
-    order = random.Random(3).sample(range(300), 300)
+@pytest.mark.parametrize("ordered", [True, False])
+def test_long_chain_of_links(spark, ordered):
+    order = list(range(10_000)) if ordered else random.Random(3).sample(range(3000), 3000)
     got = components(spark.createDataFrame(list(itertools.pairwise(order)), "a long, b long")).collect()
-    assert {r.component for r in got} == {0} and len(got) == 300
+    assert {r.component for r in got} == {0} and len(got) == len(order)
+
+
+def test_star_of_links(spark):
+    edges = [(5000, k) for k in range(3000)] + [(k, 7000) for k in (3001, 3002)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 0) for k in [*range(3000), 5000]} | {(k, 3001) for k in (3001, 3002, 7000)}
 
 
 def test_hadamard_keeps_lengths():
@@ -116,8 +123,9 @@ def test_documents_equal_brute_force(spark, document_rows, width):
     for i, r in enumerate(document_rows):
         c = least[root[i]] if i in use else r[0]
         want.append((r[0], len(sets[i]), c, True if r[0] is None else r[0] == c))
-    got = near_duplicate_documents(spark.createDataFrame(document_rows, DOCS), width=width)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    got = near_duplicate_documents(spark.createDataFrame(document_rows, DOCS), width=width).drop("text_hash").collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == sorted(want, key=str)
+    assert sorted(r.doc_id for r in got if r.stays and r.doc_id is not None) == sorted({w[0] for w in want if w[3] and w[0] is not None})
 
 
 def variants(text, n, changes, rng, name):
@@ -154,5 +162,65 @@ def test_pairs_among_many_of_a_template(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(k, k - k % 2) for k in range(1400)}
 
 
+def test_pages_of_a_template_that_differ_in_one_word(spark):
+    # Most of them share one signature.
+    page = words(random.Random(13), 1500)
+    rows = [(k, " ".join([*page, f"date{k}"])) for k in range(150)]
+    got = near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 150
+
+
+def test_one_pair_in_each_family_of_a_template(spark):
+    # Documents of a family are at about 0.78 or below to the template; one is linked to its partner alone.
+    rng, rows, want = random.Random(14), [], set()
+    for f in range(6):
+        template = words(rng, 480)
+        family = variants(template, 299, 11, rng, f"f{f}v")
+        partner = list(family[7])
+        for at in [a for a in range(3, 477, 6) if partner[a] == template[a]][:10]:
+            partner[at] = f"p{f}x{at}"
+        texts = [*family, partner]
+        rows += [(1000 * f + k, " ".join(t)) for k, t in enumerate(texts)]
+        want.add((1000 * f + 299, 1000 * f + 7))
+    got = near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got if not r.kept} == want
+
+
+def test_regions_torn_between_partitions(spark):
+    # So few rows a partition that most regions lie in several.
+    rng = random.Random(15)
+    texts = [t for _ in range(40) for t in variants(words(rng, 480), 3, 3, rng, f"x{rng.random()}")]
+    nodes = spark.createDataFrame([(k, signature(shingles(" ".join(t), 5))) for k, t in enumerate(texts)], "node long, sign binary")
+    pairs, _ = candidates(nodes, 3, 16, 0.55)
+    assert {(r.a, r.b) for r in pairs.collect()} >= {(3 * k + i, 3 * k + j) for k in range(40) for i, j in ((0, 1), (0, 2), (1, 2))}
+
+
+def test_common_prefixes_and_leaves():
+    sign = np.zeros((40, 64), dtype=np.uint16)
+    sign[30:, 5] = 1
+    tree = np.repeat([0, 1], [35, 5])
+    common = common_prefixes(tree, sign)
+    assert common[0] == 0 and common[1] == 64 and common[30] == 5 and common[35] == 0
+    leaf = leaves(common, 3, 16)
+    assert (leaf[:30] == -1).all() and len(set(leaf[30:35])) == 1 and len(set(leaf[35:])) == 1 and leaf[30] != leaf[35]
+
+
+def test_recall_on_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, shingle_set(r.text, 4)) for r in df.collect()]
+    by_shingle = {}
+    for i, (_, s) in enumerate(rows):
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    near = {p for at in by_shingle.values() for p in itertools.combinations(at, 2)}
+    links = [(a, b) for a, b in near if 100 * len(rows[a][1] & rows[b][1]) >= 80 * len(rows[a][1] | rows[b][1])]
+    root = groups(len(rows), sorted(links))
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root[i]] = min(k, least.get(root[i], k))
+    got = {r.doc_id: r.component_id for r in near_duplicate_documents(df, width=4).collect()}
+    assert got == {k: least[root[i]] for i, (k, _) in enumerate(rows)} and len(links) > 10
+
+
 def test_empty_documents(spark):
     assert near_duplicate_documents(spark.createDataFrame([], DOCS)).count() == 0
