@@ -3,11 +3,14 @@
 Level 0 encodes the listed keys. Keys of the corpus that are not listed but pass level 0 are encoded by level 1, listed keys
 that pass level 1 by level 2, and so on until no key is left. Over the complete universe of the corpus's keys the
 cascade answers without error: a key is listed if the first level that it fails is odd, or if it passes all of an odd number.
+Keys are split by hash into shards so that every filter has a bounded size; each shard has a cascade of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 FILTER_BITS = 1 << 26
-MAX_LEVELS = 40
+BITS_A_KEY = 10
 
 
 def host_of(url: Column) -> Column:
@@ -73,38 +76,46 @@ def _passes(spark: SparkSession, words: DataFrame, size: int, level: int, hashes
 class Cascade:
     """Exact membership of the keys of a universe in a list.
 
-    ``universe`` has a column ``key`` with all keys that will be asked for and a boolean ``listed``. A filter has about ten bits
-    for each of its keys and goes to every task, so none may exceed ``max_bits`` (8 MB). A list too large for that is kept as
-    a table, and ``mark`` joins it instead.
+    ``universe`` has a column ``key`` with all keys that will be asked for and a boolean ``listed``; null keys are ignored,
+    and repeated rows count once. A filter has about ten bits for each of its keys and goes to every task that tests its
+    shard. Keys go to as many shards by hash as it takes for filters of about ``max_bits`` (8 MB), twice that at most.
     """
 
     def __init__(self, universe: DataFrame, max_bits: int = FILTER_BITS, hashes: int = 5):
         self.spark, self.hashes = universe.sparkSession, hashes
-        self.levels: list[tuple[DataFrame, int]] = []
         keys = stored(universe.select("key", "listed").where("key is not null").distinct(), "keys")
-        self.listed, self.too_large = keys.where("listed").select("key"), False
-        inside, outside = keys.where("listed"), keys.where("not listed")
+        self.shards = max(1, math.ceil(1.25 * BITS_A_KEY * keys.count() / max_bits))
+        keys = self._sharded(keys, "key")
+        self.levels = [self._built(keys.where(F.col("shard") == s), 2 * max_bits) for s in range(self.shards)]
+
+    def _sharded(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows with their shard; several shards are stored apart, so that each is read once."""
+        df = df.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int"))
+        return df if self.shards == 1 else stored(df, "shards", by="shard")
+
+    def _built(self, keys: DataFrame, most: int) -> list[tuple[DataFrame, int]]:
+        levels: list[tuple[DataFrame, int]] = []
+        inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
         while (n := inside.count()) > 0:
-            if 10 * n > max_bits or len(self.levels) >= MAX_LEVELS:
-                self.too_large = True
-                return
-            size = min(max_bits, max(1 << 10, 1 << (10 * n - 1).bit_length()))
-            words = stored(_bits_of(inside, size, len(self.levels), hashes), "filter")
-            self.levels.append((words, size))
-            passed = outside.where(_passes(self.spark, words, size, len(self.levels) - 1, hashes, F.col("key")))
+            size = min(most, max(1 << 10, 1 << (BITS_A_KEY * n - 1).bit_length()))
+            words = stored(_bits_of(inside, size, len(levels), self.hashes), "filter")
+            levels.append((words, size))
+            passed = outside.where(_passes(self.spark, words, size, len(levels) - 1, self.hashes, F.col("key")))
             inside, outside = stored(passed, "passed"), inside
+        return levels
 
     def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """The rows with a boolean column: whether their key, one of the universe, is listed; false for null."""
-        if self.too_large:
-            held = self.listed.select(F.col("key").alias("__key"), F.lit(True).alias("__listed"))
-            rows = df.join(held, F.col(key) == F.col("__key"), "left")
-            return rows.withColumn(name, F.coalesce("__listed", F.lit(False))).drop("__key", "__listed")
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            words, size = self.levels[level]
-            answer = F.when(_passes(self.spark, words, size, level, self.hashes, F.col(key)), answer).otherwise(F.lit(level % 2 == 1))
-        return df.withColumn(name, F.coalesce(F.col(key).isNotNull() & answer, F.lit(False)))
+        """The rows with a boolean column: whether their key, one of the universe, is listed; false for null.
+
+        Shards are tested one by one, each with its own filters only. ``df`` must have no column ``shard``."""
+        rows, parts = self._sharded(df, key), []
+        for s, levels in enumerate(self.levels):
+            answer = F.lit(len(levels) % 2 == 1)
+            for level in reversed(range(len(levels))):
+                words, size = levels[level]
+                answer = F.when(_passes(self.spark, words, size, level, self.hashes, F.col(key)), answer).otherwise(F.lit(level % 2 == 1))
+            parts.append(rows.where(F.col("shard") == s).withColumn(name, F.coalesce(F.col(key).isNotNull() & answer, F.lit(False))).drop("shard"))
+        return reduce(DataFrame.unionByName, parts)
 
 
 def filtered_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -108,26 +108,28 @@ def test_nearest_of_few_is_exact_with_ties(spark):
 
 
 URLS = [
+    "http://" + "a" * 100_000 + ".net/fr/" + "b" * 100_000 + "?x",
     None, "", "no scheme", "http://", "http://EXAMPLE.com/en/x?y", "https://www.example.com/en/", "https://sub.www.example.com/en/#a", "http://a.net/es/1", "http://net/fr/", "http://a.net/de/", "http://b.net/",
     "http://com/", "http://com", "http://telecom/", "ftp://x.COM/a://b.net/fr/", "http://exämple.com/en/", "http://a.net?es/", "http://example.com/en", "x\n://a.net/fr/q", "http://example.community/en/",
 ]
 
 
 def test_urls_equal_sql(spark):
-    rows = [(k, u, "clash") for k, u in enumerate(URLS)] + [(None, URLS[4], ""), (4, URLS[4], "")]
+    rows = [(k, u, "clash") for k, u in enumerate(URLS)] + [(None, URLS[5], ""), (5, URLS[5], "")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string")
     op = url_filter.filtered_urls(df)
     against_sql(spark, df.select("page_id", "url"), "pages", "op9", url_filter.OP9_SQL, op)
     assert url_filter.filtered_urls(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 26])
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 26])
 def test_cascade_is_exact(spark, bits):
     keys = spark.range(900).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = url_filter.Cascade(keys, max_bits=bits, hashes=2)
-    assert cascade.too_large == (bits < 1 << 20)
-    rows = keys.unionByName(spark.createDataFrame([(None, False)], "key string, listed boolean"))
-    assert cascade.mark(rows, "key", "answer").where("answer != listed").count() == 0
+    assert cascade.shards == (3 if bits < 1 << 20 else 1)
+    rows = keys.unionByName(spark.createDataFrame([(None, False), ("host7", True), ("host7", True)], "key string, listed boolean"))
+    marked = cascade.mark(rows, "key", "answer")
+    assert marked.where("answer != listed").count() == 0 and marked.count() == 903
 
 
 @pytest.mark.parametrize("listed", [True, False])
