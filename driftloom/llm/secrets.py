@@ -1,8 +1,9 @@
 """Secret scans with a trigram inverted index.
 
 From each rule's regular expression follows a Boolean query of the trigrams that any match must hold. Every batch of
-documents gets an index segment with the postings of the trigrams in use; intersecting postings leaves candidates, which the
-expression itself verifies. Rules without a mandatory trigram scan all documents.
+documents gets an index segment: its texts are cut into trigrams, and those in use have sorted postings of the documents that
+hold them. Intersecting and uniting postings leaves candidates, which the expression itself verifies. Rules without a
+mandatory trigram scan all documents.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from re import _constants as C
 from re import _parser as parser
@@ -23,6 +25,8 @@ from driftloom.llm.shared import documents
 
 MASK = "[SECRET]"
 MOST_STRINGS = 64
+#: Characters of a segment that are cut into trigrams at once.
+STRETCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,7 +54,8 @@ ADDED_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # Begins a run and keeps what it has matched, so that long runs stay linear.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -128,14 +133,57 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def intersect(query: Query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
-    """Documents (as a mask) that satisfy a query."""
-    if query is True:
-        return np.ones(n, dtype=bool)
-    if isinstance(query, str):
-        return postings[query]
-    masks = [intersect(q, postings, n) for q in query[1]]
-    return (np.logical_and if query[0] == "and" else np.logical_or).reduce(masks)
+class Segment:
+    """Inverted index of a batch of texts over the trigrams in use: sorted document numbers for each."""
+
+    def __init__(self, texts: list[str], used: list[str]):
+        self.n = len(texts)
+        codes = _codes(_points("".join(used)))[::3] if used else np.empty(0, dtype=np.int64)
+        order = np.argsort(codes, kind="stable")
+        known, number = codes[order], np.arange(len(used))[order]
+        hashed = np.zeros(1 << 16, dtype=bool)
+        hashed[_small(known)] = True
+        whole, begins = "".join(texts), np.cumsum([0, *map(len, texts)])
+        pairs = []
+        for a in range(0, max(0, len(whole) - 2), STRETCH):
+            found = _codes(_points(whole[a : a + STRETCH + 2]))
+            # A small table drops most places before the exact search.
+            at = np.flatnonzero(hashed[_small(found)])
+            near = np.searchsorted(known, found[at]).clip(max=len(known) - 1)
+            same = known[near] == found[at] if len(known) else np.zeros(0, dtype=bool)
+            place, gram = a + at[same], number[near[same]]
+            doc = np.searchsorted(begins, place, side="right") - 1
+            # A trigram over the end of a text is none of its own.
+            own = place + 3 <= begins[doc + 1]
+            pairs.append(np.unique(gram[own] * np.int64(self.n) + doc[own]))
+        both = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
+        ends = np.searchsorted(both, np.arange(len(used) + 1) * np.int64(max(1, self.n)))
+        self.postings = {g: both[ends[k] : ends[k + 1]] - k * self.n for k, g in enumerate(used)}
+
+    def matching(self, query: Query) -> np.ndarray:
+        """Sorted numbers of the documents that satisfy a query."""
+        if query is True:
+            return np.arange(self.n)
+        if isinstance(query, str):
+            return self.postings[query]
+        lists = [self.matching(q) for q in query[1]]
+        if query[0] == "or":
+            return reduce(np.union1d, lists)
+        # Shortest postings first.
+        return reduce(lambda x, y: np.intersect1d(x, y, assume_unique=True), sorted(lists, key=len))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A number for each trigram of a run of code points."""
+    return points[:-2] | points[1:-1] << 21 | points[2:] << 42 if len(points) > 2 else np.empty(0, dtype=np.int64)
+
+
+def _small(codes: np.ndarray) -> np.ndarray:
+    return (codes ^ codes >> 15 ^ codes >> 29) & 0xFFFF
 
 
 class Scanner:
@@ -145,11 +193,10 @@ class Scanner:
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text its matches as (start, number of the rule, end), sorted."""
-        low = [t.lower() for t in texts]
-        postings = {g: np.fromiter((g in t for t in low), bool, len(low)) for g in self.used}
+        segment = Segment([t.lower() for t in texts], self.used)
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for k, (rule, pattern, query) in enumerate(self.rules):
-            for i in np.flatnonzero(intersect(query, postings, len(texts))):
+            for i in segment.matching(query).tolist():
                 for m in pattern.finditer(texts[i]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         found[i].append((m.start(), k, m.end()))

@@ -96,13 +96,27 @@ def test_index_drops_no_match():
     scanner = secrets.Scanner(secrets.RULES)
     for rule, pattern, query in scanner.rules:
         for t in filter(None, SECRETS):
-            postings = {g: np.array([g in t.lower()]) for g in scanner.used}
             if any(m.end(rule.group) - m.start(rule.group) >= rule.least for m in pattern.finditer(t)):
-                assert secrets.intersect(query, postings, 1)[0]
+                assert secrets.Segment([t.lower()], scanner.used).matching(query).tolist() == [0]
     assert secrets.trigram_query("[0-9]+") is True
     assert secrets.trigram_query("abcd|xyz") == ("or", (("and", ("abc", "bcd")), "xyz"))
 
 
+@pytest.mark.parametrize("stretch", [5, 1 << 20])
+def test_postings_hold_the_texts_with_a_trigram(monkeypatch, stretch):
+    monkeypatch.setattr(secrets, "STRETCH", stretch)
+    texts = ["abcd", "", "ab", "xabc", "bcdé😀é", "cda", "bcdbcd", "c", "d"]
+    used = ["abc", "bcd", "é😀é", "dbc", "zzz"]
+    segment = secrets.Segment(texts, used)
+    assert {g: p.tolist() for g, p in segment.postings.items()} == {g: [i for i, t in enumerate(texts) if g in t] for g in used}
+    assert segment.matching(("and", ("bcd", ("or", ("abc", "é😀é"))))).tolist() == [0, 4]
+    assert secrets.Segment(texts, []).matching(True).tolist() == list(range(9)) and secrets.Segment([], used).matching("abc").tolist() == []
+
+
+def test_long_runs_stay_linear():
+    assert secrets.Scanner(secrets.RULES).spans(["eyJ" * 200_000, "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12]) == [[], [(0, 6, 41)]]
+
+
 def test_masking_merges_overlaps():
     assert secrets.masked("abcdefgh", [(1, 0, 4), (2, 1, 5), (6, 0, 7)]) == "a[SECRET]f[SECRET]h"
     assert secrets.masked("abc", []) == "abc"
