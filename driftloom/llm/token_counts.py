@@ -1,10 +1,10 @@
 """Token counts of whole texts, with overlap resynchronisation for huge documents.
 
-Ordinary documents are counted at once, as the sum over their pieces between stable boundaries. A huge one is cut into chunks that overlap, which different tasks encode with
-offsets. Two neighbours are spliced at a token boundary that both have inside their overlap and that is proven stable:
-one between a character that is not white space and white space, which no word of the pre-tokenizer spans, whatever
-stands before or after. Where an overlap holds no such boundary, the document's overlaps are widened until it does or
-one chunk holds all of it.
+Ordinary documents are counted at once, as the sum over their pieces between stable boundaries. A huge one is cut in one pass
+into chunks that overlap, which different tasks encode with offsets. Two neighbours are spliced at a token boundary that both
+have inside their overlap and that is proven stable: one between a character that is not white space and white space, which no
+word of the pre-tokenizer spans, whatever stands before or after. Where an overlap holds no such boundary, it is widened to
+all of its two chunks, which are encoded as one; all other chunks keep their counts.
 """
 
 from __future__ import annotations
@@ -12,18 +12,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.bpe import SPACE, read_vocabulary
 from driftloom.llm.shared import documents, stored
 
-HUGE, CHUNK, OVERLAP, WIDEN = 40_000, 16_384, 512, 8
+HUGE, CHUNK, OVERLAP = 40_000, 16_384, 512
 _DOUBLE = re.compile(f"[{SPACE}](?: |$)")
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _TURN = regex.compile(f"[^{SPACE}](?=[{SPACE}])")
@@ -96,6 +96,27 @@ def stable_boundaries(text: str, starts: np.ndarray) -> np.ndarray:
     return np.array([s for s in np.unique(starts).tolist() if s in cuts], dtype=np.int64)
 
 
+PIECE_SCHEMA = "node long, chunk int, upto int, begin long, final boolean, overlap int, text string"
+CHUNK_COLUMNS = ["node", "chunk", "upto", "final", "tokens", "head_at", "head_before", "tail_at", "tail_before"]
+CHUNK_SCHEMA = "node long, chunk int, upto int, final boolean, tokens long, head_at array<long>, head_before array<long>, tail_at array<long>, tail_before array<long>"
+
+
+def _cut(step: int, overlap: int):
+    """Cut texts into chunks of ``step`` characters and the overlap after them: one by one, or from first to last as ``spans`` tell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, text, wanted in zip(pdf["node"], pdf["text"], pdf["spans"], strict=True):
+                n = max(1, -(-len(text) // step))
+                spans = [(k, k) for k in range(n)] if wanted is None else [(int(a), int(b)) for a, b in wanted]
+                # About a million characters a batch.
+                for at in range(0, len(spans), 64):
+                    rows = [(node, a, b, a * step, b == n - 1, overlap, text[a * step : (b + 1) * step + overlap]) for a, b in spans[at : at + 64]]
+                    yield pd.DataFrame(rows, columns=["node", "chunk", "upto", "begin", "final", "overlap", "text"])
+
+    return run
+
+
 def _chunk_counts(file):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each chunk: its tokens, and the stable boundaries of its first and last overlap with the tokens before each."""
@@ -106,33 +127,37 @@ def _chunk_counts(file):
                 starts = np.array([a for a, _ in made.encode(r.text, add_special_tokens=False).offsets], dtype=np.int64)
                 stable = stable_boundaries(r.text, starts)
                 head = stable[stable <= r.overlap] if r.chunk else stable[:0]
-                tail = stable[stable >= len(r.text) - r.overlap] if not r.last else stable[:0]
+                tail = stable[stable >= len(r.text) - r.overlap] if not r.final else stable[:0]
                 before = lambda at: np.searchsorted(starts, at, side="left")
-                rows.append((r.node, r.chunk, r.overlap, bool(r.last), len(starts), (head + r.begin).tolist(), before(head).tolist(), (tail + r.begin).tolist(), before(tail).tolist()))
+                rows.append((r.node, r.chunk, r.upto, bool(r.final), len(starts), (head + r.begin).tolist(), before(head).tolist(), (tail + r.begin).tolist(), before(tail).tolist()))
             yield pd.DataFrame(rows, columns=CHUNK_COLUMNS)
 
     return run
 
 
-CHUNK_COLUMNS = ["node", "chunk", "overlap", "last", "tokens", "head_at", "head_before", "tail_at", "tail_before"]
-CHUNK_SCHEMA = "node long, chunk int, overlap int, last boolean, tokens long, head_at array<long>, head_before array<long>, tail_at array<long>, tail_before array<long>"
+def _seams(chunks: DataFrame) -> DataFrame:
+    """Each chunk with ``cut``, the boundary that it has in common with its predecessor, if any, and the tokens that count twice."""
+    left = chunks.where("not final").select("node", (F.col("upto") + 1).alias("chunk"), "tail_at", "tail_before", F.col("tokens").alias("before"))
+    both = chunks.drop("tail_at", "tail_before").join(left, ["node", "chunk"], "left").withColumn("common", F.array_intersect("tail_at", "head_at"))
+    middle = F.element_at("common", F.greatest(F.lit(1), F.floor((F.size("common") + 1) / 2).cast("int")))
+    both = both.withColumn("cut", F.when(F.coalesce(F.size("common"), F.lit(0)) > 0, middle))
+    at = lambda where, value: F.element_at(value, F.array_position(where, F.col("cut")).cast("int"))
+    # Tokens after the cut in the left chunk and before it in the right one.
+    return both.withColumn("twice", F.col("before") - at("tail_at", "tail_before") + at("head_at", "head_before"))
 
 
-def _splice(chunks: DataFrame) -> DataFrame:
-    """``(node, n_tokens)``; null tokens where some overlap has no common boundary.
+def _failed(chunks: DataFrame) -> DataFrame:
+    """``(node, first, upto)``: the longest runs of chunks with no common boundary between neighbours."""
+    order = Window.partitionBy("node").orderBy("chunk")
+    seams = _seams(chunks).select("node", "chunk", "upto", (F.col("chunk") > 0).alias("inner"), F.col("cut").isNull().alias("open"))
+    runs = seams.withColumn("run", F.sum((~(F.col("inner") & F.col("open"))).cast("int")).over(order))
+    return runs.groupBy("node", "run").agg(F.min("chunk").alias("first"), F.max("upto").alias("upto"), F.count("*").alias("n")).where("n > 1").drop("n", "run")
 
-    Each seam is a join of a chunk with its follower; a document's tokens are a plain sum over chunks and seams.
-    """
-    left = chunks.where("not last").select("node", (F.col("chunk") + 1).alias("chunk"), "tail_at", "tail_before", F.col("tokens").alias("before"))
-    right = chunks.select("node", "chunk", "head_at", "head_before", "tokens")
-    both = right.join(left, ["node", "chunk"], "left").withColumn("common", F.array_intersect("tail_at", "head_at"))
-    cut = F.element_at("common", F.greatest(F.lit(1), F.floor((F.size("common") + 1) / 2).cast("int")))
-    both = both.withColumn("cut", F.when(F.coalesce(F.size("common"), F.lit(0)) > 0, cut))
-    at = lambda where, value: F.element_at(value, F.array_position(where, F.col("cut")).cast("int"))
-    # Tokens after the cut in the left chunk and before it in the right one count twice otherwise.
-    twice = F.col("before") - at("tail_at", "tail_before") + at("head_at", "head_before")
-    own = F.when(F.col("chunk") == 0, F.col("tokens")).when(F.col("cut").isNotNull(), F.col("tokens") - twice)
-    return both.groupBy("node").agg(F.when(F.count("*") == F.count(own), F.sum(own)).alias("n_tokens"))
+
+def _spliced(chunks: DataFrame) -> DataFrame:
+    """``(node, n_tokens)``: a plain sum over chunks and seams."""
+    own = F.col("tokens") - F.coalesce("twice", F.lit(0))
+    return _seams(chunks).groupBy("node").agg(F.sum(own).alias("n_tokens"))
 
 
 def token_counts(
@@ -148,7 +173,8 @@ def token_counts(
     """One row per input row: id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens).
 
     Null and empty texts count 0. Null ids and repeated rows are rows like any other; further columns are left out. Texts of
-    more than ``huge`` characters are counted by chunks of ``chunk`` characters that overlap by ``overlap``.
+    more than ``huge`` characters are counted by chunks of ``chunk`` characters that overlap by ``overlap``; a text without a stable
+    boundary for a whole overlap is encoded in larger parts there, by one task each.
     """
     if not 0 < overlap < chunk <= huge:
         raise ValueError("needs 0 < overlap < chunk <= huge")
@@ -160,23 +186,18 @@ def token_counts(
 
     large = base.where(F.length("text") > huge).withColumn("node", F.monotonically_increasing_id())
     large = stored(large, "huge")
-    counted, left, wide = [], large, overlap
-    while not left.isEmpty():
-        size = F.length("text")
-        step = max(chunk, 2 * wide)
-        parts = left.withColumn("n", F.greatest(F.lit(1), F.ceil(size / F.lit(step)).cast("int")))
-        parts = parts.select("node", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-        begin = F.col("chunk") * step
-        parts = parts.select("node", "chunk", begin.alias("begin"), F.lit(wide).alias("overlap"), (F.col("chunk") == F.col("n") - 1).alias("last"), F.substring("text", begin + 1, F.lit(step + wide)).alias("text"))
+
+    def counted(texts: DataFrame) -> DataFrame:
         # Chunks of one document go to different tasks.
-        spread = parts.repartition("node", "chunk").mapInPandas(_chunk_counts(file), CHUNK_SCHEMA)
-        found = stored(_splice(stored(spread, "chunks")), "spliced")
-        counted.append(found.where("n_tokens is not null"))
-        left = large.join(found.where("n_tokens is null").select("node"), "node", "left_semi")
-        wide *= WIDEN
-    if counted:
-        found = reduce(DataFrame.unionByName, counted)
-        done = done.unionByName(large.join(found, "node").select("id", "n_bytes", "n_tokens"))
+        pieces = texts.select("node", "text", "spans").mapInPandas(_cut(chunk, overlap), PIECE_SCHEMA)
+        return stored(pieces.repartition("node", "chunk").mapInPandas(_chunk_counts(file), CHUNK_SCHEMA), "chunks")
+
+    chunks = counted(large.withColumn("spans", F.lit(None).cast("array<array<int>>")))
+    failed = stored(_failed(chunks), "failed")
+    wider = counted(large.join(failed.groupBy("node").agg(F.collect_list(F.array("first", "upto")).alias("spans")), "node"))
+    gone = (chunks.node == failed.node) & chunks.chunk.between(failed["first"], failed["upto"])
+    found = _spliced(stored(chunks.join(failed, gone, "left_anti").unionByName(wider), "chunks"))
+    done = done.unionByName(large.join(found, "node").select("id", "n_bytes", "n_tokens"))
     return done.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

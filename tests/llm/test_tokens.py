@@ -61,6 +61,29 @@ def test_huge_document_is_spliced(spark):
     assert got == [(7, len(text), len(library.encode(text, add_special_tokens=False).ids), True)]
 
 
+def test_only_failed_seams_are_encoded_again(spark):
+    text = "ab " * 700 + "x" * 5000 + " cd" * 700 + "y" * 2000
+    df = spark.createDataFrame([(1, text), (1, text), (2, "ef " * 3000)], "doc_id long, text string")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = token_counts.token_counts(df, token_counts.byte_vocabulary(), huge=2000, chunk=1000, overlap=50).collect()
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in (text, text, "ef " * 3000)]
+    assert sorted(r.n_tokens for r in got) == sorted(want)
+    chunks = spark.createDataFrame(
+        [(7, 0, 0, False, 5, [], [], [90], [4]), (7, 1, 1, False, 5, [90], [1], [190], [4]), (7, 2, 2, False, 5, [200], [1], [], []), (7, 3, 3, True, 5, [305], [1], [], [])],
+        token_counts.CHUNK_SCHEMA,
+    )
+    assert [tuple(r) for r in token_counts._failed(chunks).collect()] == [(7, 1, 3)]
+
+
+def test_very_long_text_round_trip(spark):
+    text = "The quick\n\n  brown fox don't " * 40_000 + "z" * 30_000
+    df = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = library.encode(text, add_special_tokens=False).ids
+    got = bpe.digests(bpe.encode_documents(df, bpe.word_vocabulary())).collect()
+    assert tuple(got[0])[:4] == (7, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert bpe.encode_documents(df, bpe.word_vocabulary()).count() == 0
