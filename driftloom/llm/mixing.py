@@ -1,6 +1,6 @@
 """Mix of sources to target weights by hash-threshold histograms.
 
-Every document has a place in [0, 2^60) from a hash of its id. A source that should give q whole passes and a remainder
+Every document has a place in [0, 2^60) from a hash of its id and text. A source that should give q whole passes and a remainder
 takes each document q times and once more where its place lies below the source's threshold. The threshold is found from
 sums by source and hash bucket: the bucket in which the running sum crosses the remainder is refined alone, so that no
 document is ever sorted.
@@ -18,35 +18,56 @@ COARSE, FINE = 48, 32
 CAP = 3
 
 
-def place(col: Column) -> Column:
-    """The first 60 bits of the MD5 of an id, as a number."""
-    return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def place(id_: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of an id and of the MD5 of a text, as a number; null counts as empty."""
+    both = F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
+
+
+def ranked(sizes: DataFrame) -> DataFrame:
+    """The rows with ``number``: their place from 0 in order of code points, null last. ``source`` is distinct.
+
+    Places come from ranges of sources and a sum of counts over the ranges, so no task sees all sources.
+    """
+    key = F.struct(F.col("source").isNull().alias("null"), F.encode("source", "UTF-8").alias("bytes")).alias("key")
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, so that the ranges are the same for both uses.
+    rows = stored(sizes.withColumn("key", key).repartitionByRange(parts, "key").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("range").orderBy("key"))
+    return rows.withColumn("inner", inner).join(starts, "range").withColumn("number", F.col("start") + F.col("inner") - 1).drop("key", "range", "inner", "start")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``(source, source_size, target)`` from ``(source, source_size)`` with one row a source.
+    """``(source, source_size, target)`` from ``(source, source_size)`` with one row a source; of no rows, none.
 
     Sources in order of code points, null last, weigh 1, 2, 3 and so on in turn and share the sum of all sizes. A source
-    stops at three times its size; the excess goes to the others by weight. With the sources in order of size per weight,
-    those that stop come first, so the level of the others follows from running sums.
+    stops at three times its size; the excess goes to the others by weight. The level, words for each unit of weight, rises
+    until no further source stops: each step is one sum over the sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight.cast("double")).withColumn("cap", (CAP * F.col("source_size")).cast("double"))
-    ratio = F.col("cap") / F.col("weight")
-    before = Window.orderBy(ratio, F.col("source").isNull(), F.encode("source", "UTF-8")).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    spent = F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    gone = F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = (F.sum("source_size").over(everything) - spent) / (F.sum("weight").over(everything) - gone)
-    # Behind the first source that does not stop, levels only fall.
-    rows = rows.withColumn("free", F.when(ratio > level, level)).withColumn("level", F.max("free").over(everything))
-    return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    rows = ranked(sizes).withColumn("weight", weight.cast("long")).withColumn("cap", CAP * F.col("source_size"))
+    rows = stored(rows, "weights")
+    level, stopped = -1.0, -1
+    while True:
+        stops = F.col("cap") <= F.lit(level) * F.col("weight")
+        sums = rows.agg(
+            F.sum("source_size").alias("all"),
+            F.sum(F.when(stops, F.col("cap")).otherwise(0)).alias("spent"),
+            F.sum(F.when(stops, 0).otherwise(F.col("weight"))).alias("free"),
+            F.sum(stops.cast("long")).alias("n"),
+        ).first()
+        if not sums["free"] or sums["n"] == stopped:
+            break
+        level, stopped = (sums["all"] - sums["spent"]) / sums["free"], sums["n"]
+    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    return stored(rows.withColumn("place", place(F.col("id"))), "sizes")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
+    return stored(rows.withColumn("place", place(F.col("id"), F.col("text"))).drop("text"), "sizes")
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
@@ -84,9 +105,9 @@ def copies(at: Column) -> Column:
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, source, size (words), source_size, target (of its source), taken (words, repeats counted).
 
-    Null and empty texts have size 0 and take 0. A null source is a source of its own. Rows that share an id share a place and
-    so are taken alike; a null id has the place of an empty id. Further columns are left out. A source's taken
-    words differ from its target by at most half the words at its last place; reruns agree, as places depend on ids alone.
+    Null and empty texts have size 0 and take 0. A null source is a source of its own. Rows that repeat an id and a text share a
+    place and so are taken alike; a null id counts as an empty one. Further columns are left out. A source's taken words
+    differ from its target by at most half the words at its last place; reruns agree, as places depend on ids and texts alone.
     """
     rows = sized(df, id_col, text_col, source_col)
     out = rows.alias("rows").join(thresholds(rows).alias("plan"), F.expr("rows.source <=> plan.source"))
@@ -97,12 +118,12 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as ``mixed`` takes it; rows without words are not taken.
 
-    Only the table of thresholds, one row a source, meets the texts.
+    Only the table of thresholds, one row a source, meets the texts. All columns stay, whatever their names.
     """
     plan = thresholds(sized(df, id_col, text_col, source_col)).select(F.col("source").alias("mix_source"), "passes", "edge")
     whole = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"))
     out = whole.where(word_count(F.col(f"row.{text_col}")) > 0).join(plan, F.col(f"row.{source_col}").eqNullSafe(F.col("mix_source")))
-    times = copies(place(F.col(f"row.{id_col}")))
+    times = copies(place(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")))
     return out.withColumn("time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
 
 
@@ -122,7 +143,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -44,6 +44,24 @@ def test_mix_meets_targets_and_limits(spark):
     assert mixing.mixed(df.limit(0)).count() == 0 == mixing.repeated(df.limit(0)).count()
 
 
+def test_shared_and_null_ids_meet_the_target(spark):
+    rows = [(7, f"a b w{k}", "one") for k in range(200)] + [(None, f"c d e w{k}", "two") for k in range(200)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in ("one", "two"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 4
+
+
+def test_many_sources_are_ranked_in_order(spark):
+    names = [f"s{k}" for k in range(500)] + ["Z", "é", "\U0001f600", "\uffff", None]
+    df = spark.createDataFrame([(n, k % 9 + 1) for k, n in enumerate(names)], "source string, source_size long")
+    got = {r.number: r.source for r in mixing.ranked(df).collect()}
+    assert [got[k] for k in range(len(names))] == [*sorted(n for n in names if n is not None), None]
+    rows = mixing.targets(df).collect()
+    assert abs(sum(r.target for r in rows) - sum(r.source_size for r in rows)) < 1e-6
+    assert all(r.target <= 3 * r.source_size for r in rows)
+
+
 def vectors(spark, n, rng, extra=()):
     rows = [(k, [float(v) for v in rng.normal(size=16).astype(np.float32)], "clash") for k in range(n)]
     return spark.createDataFrame(rows + list(extra), "vec_id long, embedding array<float>, score string"), rows
