@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.shared import documents
@@ -128,26 +128,25 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, batch: int = 64,
     return net
 
 
-def labelled_sample(df: DataFrame, per_language: int, id_col: str, text_col: str, label_col: str) -> pd.DataFrame:
-    """About ``per_language`` labelled documents of each language, chosen by a hash of their id, three windows of each.
+def labelled_sample(df: DataFrame, per_language: int, text_col: str, label_col: str, most_languages: int = 256) -> pd.DataFrame:
+    """At most ``per_language`` labelled documents of each of the ``most_languages`` most frequent languages, three windows of each.
 
-    The chance of a document follows from its language's count over all rows, so the sample is bounded in expectation. Windows
-    start at hashed places; one is full, one short and one very short, as texts may be.
+    Documents are those of the smallest hashes of their text, distinct texts only, so the sample is bounded whatever ids are
+    shared or texts repeated. Windows start at hashed places; one is full, one short and one very short, as texts may be.
     """
-    has = F.col(text_col).rlike(r"\p{L}") & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
-    rows = df.where(has).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not sizes:
-        return pd.DataFrame({"id": [], "label": [], "text": []})
-    chance = F.lit(0.0)
-    for label, n in sizes.items():
-        chance = F.when(F.col("label") == label, F.lit(min(1.0, per_language / n))).otherwise(chance)
-    rows = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < chance * (1 << 20))
+    rows = df.where(F.col(text_col).rlike(r"\p{L}") & F.col(label_col).isNotNull())
+    rows = rows.select(F.xxhash64(text_col, F.lit("sample")).alias("hash"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("hash", 0.02).alias("n")).orderBy(F.col("n").desc(), "label").limit(most_languages)
+    # By its chance about twice the documents wanted pass, with room for few; the exact bound is set on them.
+    chance = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n")) * (1 << 20)
+    rows = rows.join(F.broadcast(sizes), "label").where(F.pmod("hash", F.lit(1 << 20)) < chance).drop("n")
     length = F.element_at(F.array(F.lit(WINDOW), F.lit(60), F.lit(20)), F.col("k") + 1)
     rows = rows.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    start = F.pmod(F.xxhash64("id", "k"), F.greatest(F.lit(1), F.length("text") - length + 1)) + 1
-    found = rows.select("id", "k", "label", F.substring("text", start.cast("int"), length).alias("text"))
-    return found.toPandas().sort_values(["id", "label", "k", "text"], ignore_index=True)
+    start = F.pmod(F.xxhash64("hash", "k"), F.greatest(F.lit(1), F.length("text") - length + 1)) + 1
+    found = rows.select("hash", "k", "label", F.substring("text", start.cast("int"), length).alias("text")).distinct()
+    order = Window.partitionBy("label", "k").orderBy(F.pmod("hash", F.lit(1 << 20)), "hash", "text")
+    found = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).drop("at")
+    return found.toPandas().sort_values(["label", "hash", "k", "text"], ignore_index=True)
 
 
 def identify(df: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -201,8 +200,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fitted(df: DataFrame, per_language: int = 800, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteNetwork | None:
-    """A network trained on a sample of the labelled rows that are not held out; None without such rows."""
-    sample = labelled_sample(df.where(~held_out(id_col)), per_language, id_col, text_col, label_col)
+    """A network trained on a bounded sample of the labelled rows that are not held out; None without such rows."""
+    sample = labelled_sample(df.where(~held_out(id_col)), per_language, text_col, label_col)
     return train(sample["text"].tolist(), sample["label"].tolist()) if len(sample) else None
 
 

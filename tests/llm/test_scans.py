@@ -144,6 +144,28 @@ def test_language_is_learned(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(7, f"baba kaka {k}", "aa") for k in range(500)] + [(None, "lala mama", "bb")] * 300 + [(8, f"strz {k}", "cc") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.labelled_sample(df, 20, "text", "lang").groupby(["label", "k"]).size().to_dict()
+    assert counts == {(a, k): n for a, n in (("aa", 20), ("bb", 1), ("cc", 10)) for k in range(3)}
+    assert set(language_id.labelled_sample(df, 20, "text", "lang", most_languages=1)["label"]) == {"aa"}
+
+
+def test_network_equals_a_plain_forward_pass():
+    net = language_id.train(["baba kaka", "strz wprt"] * 20, ["aa", "bb"] * 20, epochs=1)
+    data, _ = language_id.windows("baba strz kaka")
+    want = []
+    for row in data:
+        pooled = []
+        for f in range(len(net.bias)):
+            values = [float(net.embed[row[t : t + language_id.REACH]].ravel() @ net.conv[:, f]) for t in range(language_id.WINDOW)]
+            pooled.append(max(0.0, max(values) + float(net.bias[f])))
+        z = np.array(pooled) @ net.out + net.shift
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(net.probabilities(data), want, atol=1e-4)
+
+
 def test_windows_cover_the_whole_text():
     data, sizes = language_id.windows("x" * 1000)
     assert len(data) == 4 and sizes.sum() == 1000
