@@ -1,17 +1,22 @@
 """Personal data: exact base patterns, and further spans by boosted trees over candidates.
 
-Generators with high recall propose spans that look like numbers of people or like disguised mail addresses. Boosted trees score
-them from their format and their surroundings; they learn from the candidates that base matches confirm, over the whole table,
-and a threshold per generator is set on documents left out of the training. All of it is built from SQL functions: the trees are
-fitted to counts by feature values, whose number does not depend on the rows, and applied as CASE expressions.
+Generators with high recall propose spans that look like numbers of people or like mail addresses, alone or inside longer runs;
+they may overlap base spans and each other. Boosted trees score them from their format and their surroundings. A candidate's
+label comes from evidence beside the base pattern that a span would be added to: it is positive where a valid base span
+covers it, negative where it fails a check that any such item passes, and unknown otherwise. Unknown candidates are left out of
+fitting; they are those that may be added. A fixed list of worded examples counts in every part, so that small tables and
+formats without base spans have evidence too. Documents are split by their text: one part fits the trees, one calibrates scores
+to probabilities (isotonic regression), one sets the probability from which spans are added. All of it is built from SQL functions:
+the trees are fitted to counts by feature values, whose number does not depend on the rows, and applied as CASE expressions.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm.shared import documents, stored
@@ -26,17 +31,35 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Fixed patterns of the generators.
+_AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\]|@)\x20?|\x20at\x20)", r"(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)"
 GENERATORS = {
-    "number": r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,40}+(?![0-9A-Za-z])",
-    "mail": rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++",
+    "digits": r"(?<![0-9A-Za-z])[0-9]{7,19}+(?![0-9A-Za-z])",
+    "quad": r"(?<![0-9A-Za-z]|[0-9]\.)[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9A-Za-z]|\.[0-9])",
+    "grouped": r"(?<![0-9A-Za-z.])(?:\+?[0-9]{1,4}[\x20-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20-])[0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,3}(?![0-9A-Za-z]|[.-][0-9])",
+    "mail": rf"(?<!{_LOCAL}){_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
 }
+#: Base kinds that confirm a generator's candidates.
+CONFIRM = {"digits": ("card", "phone"), "quad": ("ip",), "grouped": ("card", "phone"), "mail": ("email",)}
 TALK = r"(tel|phone|call|fax|mobile|cell|contact|dial)[^a-z]*$"
 MONEY = r"(card|visa|credit|debit|account|iban|bank)[^a-z]*$"
 MAIL = r"(mail|contact|write|reach)[^a-z]*$"
-FEATURES = ("digits", "groups", "paren", "dash", "dot", "space", "luhn", "talk", "money", "code", "short_end", "word")
-TREES, RATE, PRECISION, LEAST_POSITIVE = 12, 0.4, 0.95, 20
-#: A leaf holds at least so many candidates, so that a few unconfirmed ones make no rule of their own.
-LEAST_LEAF = 20
+CODE = r"(id|no|nr|order|item|part|version|build|v|ref|isbn)[^a-z0-9]{0,2}$"
+FEATURES = ("family", "digits", "groups", "last", "first", "paren", "dash", "space", "luhn", "talk", "money", "write", "code", "sign", "ending", "worded", "dotted")
+#: Fixed examples with what they should be, each counted as so many candidates.
+EXAMPLES = [
+    ("call 743-555-3824 now", True), ("tel (743) 555-3824 or", True), ("phone: 0743 555 3824 and", True), ("fax 49 30 1234 5678", True), ("contact 212-555-0187", True),
+    ("me at (212) 555-0187 today", True), ("+1 (212) 555-0187 10.20.30.40", True), ("card 4111 1111 1111 1111", True), ("visa 5500000000000004 4111111111111111", True),
+    ("number 4012888888881881 4111111111111111", True), ("mobile 07435553824", True), ("10.20.30.40.", True), ("from 192.168.10.20 port", True), ("+1 (212) 555-0187 172.16.4.9 x", True),
+    ("mail joe(at)example(dot)com", True), ("joe.doe [at] example [dot] org", True), ("write to jane at example dot com", True), ("reach ann_b @ mail.example.net", True), ("amy(at)mail.example.com", True),
+    ("on 2024-05-06 12-30-15", False), ("years 1990-1995 1996-1999", False), ("order no 743555382", False), ("id=7435553824", False), ("id 20240506123015", False), ("part 12-34-5678-90", False),
+    ("isbn 978-3-16-148410-0", False), ("item #99887766", False), ("version 1.22.333.4", False), ("build 4.3.2.1", False), ("300.1.2.3 points", False), ("9.8.7.1 section", False),
+    ("total 1234567890123456", False), ("pages 100 200 300 400", False), ("look at home.then", False), ("was at once.and", False), ("stay at 10.30", False), ("arrive at noon.We", False), ("a@b.1x", False),
+    ("val=7435553824", False), ("x/7435553824/y", False), ("total 7435553824 units", False), ("sum 743555382 and", False),
+]
+EXAMPLE_WEIGHT = 10.0
+TREES, RATE, DEPTH, PRECISION, LEAST_LEAF = 40, 0.3, 3, 0.95, 5.0
+#: Of ten parts by a hash of the text, those that fit the trees and those that calibrate; the rest sets the threshold.
+FIT, CALIBRATE = 6, 8
 
 
 def digits_of(col: Column) -> Column:
@@ -54,21 +77,16 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda a, i: a + value(i)) % 10 == 0
 
 
-def matches(found: Column, pieces: Column, around: bool) -> Column:
-    """Places of matches (code points, end exclusive) from the matches and the pieces of text between them."""
-    fields = "begin:int,end:int,text:string" + (",before:string,after:string" if around else "")
-    none = F.lit(None).cast(f"array<struct<{fields}>>")
+def _found(text: Column, pattern: str) -> Column:
+    """Matches as structs: text, length of the piece before it, that piece's last characters in lower case, the character after."""
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # Cut up once, outside of the function that looks at each match; the piece behind the last match has none.
+    zipped = F.filter(F.arrays_zip(found, pieces, F.slice(pieces, 2, 1 << 30)), lambda x: x["0"].isNotNull())
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        end = begin + F.length(F.get(found, i))
-        more = [F.lower(F.substring(F.get(pieces, i), -16, 16)).alias("before"), F.substring(F.get(pieces, i + 1), 1, 1).alias("after")] if around else []
-        one = F.struct(begin.alias("begin"), end.alias("end"), F.get(found, i).alias("text"), *more)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(x: Column) -> Column:
+        return F.struct(x["0"].alias("text"), F.length(x["1"]).alias("gap"), F.lower(F.substring(x["1"], -16, 16)).alias("before"), F.substring(x["2"], 1, 1).alias("after"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
-    steps = F.sequence(F.lit(0), F.size(found) - 1)
-    return F.coalesce(F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda a: a["out"])).otherwise(none), F.array().cast(f"array<struct<{fields}>>"))
+    return F.when(F.size(found) > 0, F.transform(zipped, one)).otherwise(F.array().cast("array<struct<text:string,gap:int,before:string,after:string>>"))
 
 
 def valid(kind: str, text: Column) -> Column:
@@ -83,31 +101,49 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _features(family: str, c: Column) -> Column:
-    text = c["text"]
+def _fails(c: Column, family: Column) -> Column:
+    """Whether a candidate fails a check that every item of its family passes."""
+    text, digits = c, digits_of(c)
+    n = F.length(digits)
+    number = ((n >= 14) & ~luhn(digits)) | text.rlike(r"^(19|20)[0-9]{2}[\x20-]([01][0-9]|(19|20)[0-9]{2})[\x20-]") | digits.rlike(r"^([0-9])\1*$")
+    mail = ~text.rlike(r"(\.|dot\x20|[)\]]\x20?)[a-z]{2,10}$") | text.rlike(r"^[._%+-]|\.[.-]|-\.")
+    return F.when(family == "mail", mail).when(family == "quad", ~valid("ip", text)).otherwise(number)
+
+
+def _features(family: Column) -> Column:
+    text, before, after = F.col("text"), F.col("before"), F.col("after")
     digits = F.length(digits_of(text))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("int")
-    runs = F.size(F.split(F.regexp_replace(text, "[^0-9]+$|^[^0-9]+", ""), "[^0-9]+"))
-    number = family == "number"
+    runs = F.split(F.regexp_replace(text, "[^0-9]+$|^[^0-9]+", ""), "[^0-9]+")
+    mail = family == "mail"
+    zero = lambda x: F.when(mail, 0).otherwise(x)
     values = {
-        "digits": F.least(digits, F.lit(20)) if number else F.least(digits, F.lit(4)),
-        "groups": F.least(runs, F.lit(6)),
-        "paren": flag(text.contains("(")),
-        "dash": flag(text.contains("-")),
-        "dot": flag(text.contains(".")),
-        "space": flag(text.contains(" ")),
-        "luhn": flag(digits.between(14, 19) & luhn(digits_of(text))) if number else F.lit(0),
-        "talk": flag(c["before"].rlike(TALK if number else MAIL)),
-        "money": flag(c["before"].rlike(MONEY)),
-        "code": flag(c["before"].rlike(r"[=_/\"':#.-]$") | c["after"].rlike(r"[=_/\"']")),
-        "short_end": flag(text.rlike(r"[.)\]]\x20?[A-Za-z]{2,4}$")),
-        "word": flag(text.rlike("[A-Za-z]{3,}")),
+        "family": F.array_position(F.array(*map(F.lit, GENERATORS)), family),
+        "digits": zero(F.least(digits, F.lit(20))),
+        "groups": zero(F.least(F.size(runs), F.lit(6))),
+        "last": zero(F.least(F.length(F.element_at(runs, -1)), F.lit(5))),
+        "first": zero(F.least(F.length(F.element_at(runs, 1)), F.lit(5))),
+        "paren": zero(flag(text.contains("("))),
+        "dash": zero(flag(text.contains("-"))),
+        "space": zero(flag(text.contains(" "))),
+        "luhn": zero(flag(digits.between(14, 19) & luhn(digits_of(text)))),
+        "talk": flag(before.rlike(TALK)),
+        "money": flag(before.rlike(MONEY)),
+        "write": flag(before.rlike(MAIL)),
+        "code": flag(before.rlike(CODE)),
+        "sign": flag(before.rlike(r"[=_/\"'#.-]$") | after.rlike(r"[=_/\"']")),
+        "ending": F.when(mail, F.least(F.length(F.regexp_extract(text, "[A-Za-z0-9]+$", 0)), F.lit(8))).otherwise(0),
+        "worded": flag(mail & text.rlike(r"\x20at\x20")),
+        "dotted": F.when(mail & text.rlike(r"dot[)\]\x20]"), 2).when(mail & text.rlike(r"at[)\]]|@"), 1).otherwise(0),
     }
     return F.struct(*(values[f].cast("int").alias(f) for f in FEATURES))
 
 
-def fit_trees(rows: list[tuple[tuple[int, ...], float, float]], trees: int = TREES, rate: float = RATE) -> list[tuple]:
-    """Boosted trees of depth two on (feature values, positives, negatives), by Newton steps on the logistic loss.
+Counted = list[tuple[tuple[int, ...], float, float]]
+
+
+def fit_trees(rows: Counted, trees: int = TREES, rate: float = RATE) -> list[tuple]:
+    """Boosted trees on (feature values, positives, negatives), by Newton steps on the logistic loss.
 
     A tree is (feature, cut, left, right), where left and right are the same with numbers as leaves; rows with a value of at most
     cut go left.
@@ -120,7 +156,7 @@ def fit_trees(rows: list[tuple[tuple[int, ...], float, float]], trees: int = TRE
             p = 1 / (1 + math.exp(-s))
             grad.append(pos * (1 - p) - neg * p)
             hess.append((pos + neg) * p * (1 - p))
-        tree = _grow(rows, list(range(len(rows))), grad, hess, 2, rate)
+        tree = _grow(rows, list(range(len(rows))), grad, hess, DEPTH, rate)
         out.append(tree)
         scores = [s + score(tree, x) for (x, _, _), s in zip(rows, scores, strict=True)]
     return out
@@ -166,84 +202,132 @@ def tree_column(tree, features: Column) -> Column:
     return F.when(features[FEATURES[tree[0]]] <= tree[1], tree_column(tree[2], features)).otherwise(tree_column(tree[3], features))
 
 
-def cut_off(rows: list[tuple[tuple[int, ...], float, float]], trees: list[tuple]) -> float | None:
-    """The lowest score from which the left-out candidates reach the wanted precision; None if none does."""
-    scored = sorted(((sum(score(t, x) for t in trees), pos, neg) for x, pos, neg in rows), reverse=True)
-    best, pos, neg = None, 0.0, 0.0
-    for k, (s, p, n) in enumerate(scored):
-        pos, neg = pos + p, neg + n
-        last = k + 1 == len(scored) or scored[k + 1][0] < s
-        if last and pos >= LEAST_POSITIVE and pos >= PRECISION * (pos + neg):
-            best = s
+def total(trees: list[tuple], x: tuple[int, ...]) -> float:
+    return sum(score(t, x) for t in trees)
+
+
+def calibrated(rows: Counted, trees: list[tuple]) -> list[tuple[float, float]]:
+    """Isotonic regression of the share of positives on the score: (lowest score of a step, probability), rising."""
+    sums: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for x, pos, neg in rows:
+        s = sums[round(total(trees, x), 9)]
+        s[0] += pos
+        s[1] += pos + neg
+    steps: list[list[float]] = []
+    for s in sorted(sums):
+        steps.append([s, *sums[s]])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            _, pos, n = steps.pop()
+            steps[-1][1] += pos
+            steps[-1][2] += n
+    return [(s, pos / n) for s, pos, n in steps]
+
+
+def probability(steps: list[tuple[float, float]], value: float) -> float:
+    return max((p for s, p in steps if s <= value + 1e-6), default=0.0)
+
+
+def cut_off(rows: Counted, trees: list[tuple], steps: list[tuple[float, float]]) -> float | None:
+    """The lowest score whose step and all higher ones have the wanted share of positives, by calibration and on left-out documents."""
+    scored = sorted(((round(total(trees, x), 9), pos, neg) for x, pos, neg in rows), reverse=True)
+    best = None
+    for least, p in sorted(steps, reverse=True):
+        pos, n = (sum(v) for v in zip((0.0, 0.0), *((a, a + b) for s, a, b in scored if s >= least), strict=True))
+        if p < PRECISION or pos < PRECISION * n:
+            break
+        best = least
     return best
 
 
-def _overlaps(c: Column, others: Column) -> Column:
-    return F.exists(others, lambda b: (b["begin"] < c["end"]) & (c["begin"] < b["end"]))
+def _scanned(rows: DataFrame, *carry: str) -> DataFrame:
+    """Each row of ``(row, text)`` with ``part`` and the matches of all patterns that have any; the text is left out."""
+    every = [F.struct(F.lit(k).alias("kind"), _found(F.col("text"), p).alias("found")) for k, p in (PATTERNS | GENERATORS).items()]
+    part = F.pmod(F.xxhash64("text"), F.lit(10)).alias("part")
+    return rows.select("row", *carry, part, F.filter(F.array(*every), lambda x: F.size(x["found"]) > 0).alias("matches"))
+
+
+def _matched(scanned: DataFrame) -> DataFrame:
+    """One row a match that holds: row, part, kind, begin, end, text, before, after.
+
+    A match's place is a running sum over the lengths before it, in a window of its document and kind.
+    """
+    kinds = scanned.select("row", "part", F.explode("matches").alias("m"))
+    kinds = kinds.select("row", "part", "m.kind", F.posexplode("m.found").alias("at", "m"))
+    order = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("m.gap") + F.length("m.text")).over(order).cast("int")
+    placed = kinds.select("row", "part", "kind", (end - F.length("m.text")).alias("begin"), end.alias("end"), "m.text", "m.before", "m.after")
+    checks = [(F.col("kind") == k) & valid(k, F.col("text")) for k in PATTERNS]
+    return placed.where(reduce(Column.__or__, checks) | F.col("kind").isin(*GENERATORS))
+
+
+def _labelled(spans: DataFrame) -> DataFrame:
+    """Candidates with ``features``, ``free`` (no base span overlaps) and ``label`` (null: unknown), by two running windows."""
+    base = F.col("kind").isin(*BASE_KINDS)
+    down = Window.partitionBy("row").orderBy("begin", (~base).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("row").orderBy(F.col("begin").desc(), "end", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    over = spans
+    for k in BASE_KINDS:
+        own = F.col("kind") == k
+        left, right = F.max(F.when(own, F.col("end"))).over(down), F.min(F.when(own, F.col("begin"))).over(up)
+        over = over.withColumn(f"on_{k}", F.coalesce(left > F.col("begin"), F.lit(False)) | F.coalesce(right < F.col("end"), F.lit(False)))
+    confirmed = [(F.col("kind") == f) & reduce(Column.__or__, [F.col(f"on_{k}") for k in kinds]) for f, kinds in CONFIRM.items()]
+    label = F.when(reduce(Column.__or__, confirmed), 1).when(_fails(F.col("text"), F.col("kind")), 0)
+    free = ~reduce(Column.__or__, [F.col(f"on_{k}") for k in BASE_KINDS])
+    over = over.where(~base)
+    return over.select("row", "part", "kind", "begin", "end", _features(F.col("kind")).alias("features"), free.alias("free"), label.alias("label"))
+
+
+def _counted(rows) -> Counted:
+    sums: dict[tuple[int, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for features, pos, neg in rows:
+        sums[tuple(features)][0] += pos
+        sums[tuple(features)][1] += neg
+    return sorted((x, p, n) for x, (p, n) in sums.items())
+
+
+def learned(candidates: DataFrame) -> tuple[list[tuple], list[tuple[float, float]], float | None]:
+    """Trees, calibration and the score from which candidates are added, from counts by feature values."""
+    spark = candidates.sparkSession
+    texts = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(int(y)).alias("wanted")) for t, y in EXAMPLES))
+    rows = spark.range(1).select(F.posexplode(texts).alias("row", "x")).select("row", "x.text", "x.wanted")
+    taught = _labelled(_matched(_scanned(rows))).join(rows.select("row", "wanted"), "row").groupBy("features", "wanted").count().collect()
+    examples = [(r.features, EXAMPLE_WEIGHT * r["count"] * r.wanted, EXAMPLE_WEIGHT * r["count"] * (1 - r.wanted)) for r in taught]
+    parts = F.when(F.col("part") < FIT, 0).when(F.col("part") < CALIBRATE, 1).otherwise(2)
+    known = candidates.where("label is not null").groupBy("features", parts.alias("use")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    known = known.collect()
+    use = [_counted([*examples, *((r.features, float(r.pos), float(r.neg)) for r in known if r.use == k)]) for k in range(3)]
+    trees = fit_trees(use[0])
+    steps = calibrated(use[1], trees)
+    return trees, steps, cut_off(use[2], trees, steps)
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id and spans, an array of (begin, end, kind, base) sorted by begin and then kind.
+    """One row per input row: id and spans, an array of (begin, order, end, kind) sorted by begin and then kind.
 
-    Positions are code points, ends exclusive. Base kinds are email, ip, card and phone; number and mail are spans that the
-    trees add where no base span overlaps. Null and empty texts have no spans. Null ids and repeated rows are rows like
-    any other; further columns are left out. Tables without confirmed candidates add nothing. No row is shuffled; the only
-    exchange is that of counts by feature values.
+    Positions are code points, ends exclusive. Base kinds are email, ip, card and phone; digits, quad, grouped and mail are
+    spans that the trees add where no base span overlaps. Null and empty texts have no spans. Null ids and repeated rows
+    are rows like any other; further columns are left out. Texts are read once and not shuffled; only matches are, by
+    document, so a document's cost grows with its length and not with the square of its spans.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for name, pattern in [*PATTERNS.items(), *GENERATORS.items()]:
-        rows = rows.withColumn(f"m_{name}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-        # Without a match there is nothing to cut up.
-        rows = rows.withColumn(f"p_{name}", F.when(F.size(f"m_{name}") > 0, F.split("text", pattern, -1)))
-    for name in PATTERNS:
-        found = matches(F.col(f"m_{name}"), F.col(f"p_{name}"), False)
-        rows = rows.withColumn(f"b_{name}", found)
-    keep = {name: F.filter(f"b_{name}", _check(name)) for name in PATTERNS}
-    spans = [F.transform(keep[name], _named(name, k)) for k, name in enumerate(PATTERNS)]
-    around = {f: matches(F.col(f"m_{f}"), F.col(f"p_{f}"), True) for f in GENERATORS}
-    rows = rows.select("id", F.concat(*spans).alias("base"), *(around[f].alias(f"c_{f}") for f in GENERATORS))
-    rows = rows.select("id", "base", *(F.transform(f"c_{f}", _candidate(f)).alias(f) for f in GENERATORS))
-    rows = stored(rows, "candidates")
-
-    added = []
-    for k, family in enumerate(GENERATORS):
-        counted = rows.select(F.explode(family).alias("c")).groupBy("c.features", "c.test")
-        counted = counted.agg(F.sum(F.col("c.hit").cast("int")).alias("pos"), F.sum((~F.col("c.hit")).cast("int")).alias("neg")).collect()
-        train = sorted((tuple(r.features), float(r.pos), float(r.neg)) for r in counted if not r.test)
-        test = sorted((tuple(r.features), float(r.pos), float(r.neg)) for r in counted if r.test)
-        trees = fit_trees(train) if train else []
-        least = cut_off(test, trees) if trees else None
-        if least is not None:
-            added.append(F.transform(F.filter(family, _chosen(trees, least)), _named(family, len(PATTERNS) + k)))
-    everything = F.array_sort(F.concat("base", *added)) if added else F.array_sort("base")
-    return rows.select(F.col("id").alias(id_col), everything.alias("spans"))
-
-
-def _check(kind: str):
-    return lambda x: valid(kind, x["text"])
-
-
-def _named(kind: str, order: int):
-    return lambda x: F.struct(x["begin"].alias("begin"), F.lit(order).alias("order"), x["end"].alias("end"), F.lit(kind).alias("kind"))
-
-
-def _candidate(family: str):
-    def make(c: Column) -> Column:
-        # Documents by a hash of the id and the place serve as the test; hits are candidates that a base span confirms.
-        test = F.pmod(F.xxhash64("id", c["begin"]), F.lit(4)) == 0
-        return F.struct(c["begin"].alias("begin"), c["end"].alias("end"), _features(family, c).alias("features"), _overlaps(c, F.col("base")).alias("hit"), test.alias("test"))
-
-    return make
-
-
-def _chosen(trees: list[tuple], least: float):
-    def choose(c: Column) -> Column:
-        total = F.lit(0.0)
-        for t in trees:
-            total = total + tree_column(t, c["features"])
-        return ~c["hit"] & (total >= F.lit(least - 1e-9))
-
-    return choose
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Written once: the numbers given to the rows are fixed from here on.
+    scanned = stored(_scanned(rows, "id"), "scanned")
+    spans = stored(_matched(scanned), "spans")
+    candidates = stored(_labelled(spans), "candidates")
+    trees, _, least = learned(candidates)
+    kinds = [*PATTERNS, *GENERATORS]
+    span = F.struct("begin", (F.array_position(F.array(*map(F.lit, kinds)), F.col("kind")) - 1).cast("int").alias("order"), "end", "kind").alias("span")
+    chosen = spans.where(F.col("kind").isin(*BASE_KINDS)).select("row", span)
+    if least is not None:
+        added = candidates.where("free").withColumn("score", reduce(Column.__add__, [tree_column(t, F.col("features")) for t in trees]))
+        added = added.where(F.col("score") >= F.lit(least - 1e-6))
+        # Of spans that overlap, the one that begins first stays.
+        before = Window.partitionBy("row").orderBy("begin", F.col("end").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1)
+        added = added.withColumn("taken", F.coalesce(F.max("end").over(before), F.lit(0))).where("begin >= taken")
+        chosen = chosen.unionByName(added.select("row", span))
+    per_row = chosen.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    none = F.array().cast(per_row.schema["spans"].dataType)
+    return scanned.select("row", "id").join(per_row, "row", "left").select(F.col("id").alias(id_col), F.coalesce("spans", none).alias("spans"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -51,20 +51,64 @@ def test_personal_data_equals_regular_expressions(docs):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_trees_add_spans_that_look_like_confirmed_ones(spark):
-    rows = [(k, f"call +1 ({200 + k % 700}) 555-{1000 + k} now") for k in range(400)] + [(k, f"number {k}.{k}-{k} {k}/{k} end") for k in range(1000, 1400)]
-    rows += [(5000, "call (743) 555-3824 now"), (5001, "plain words only")]
-    got = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got[5000] == "number:5:19" and got[5001] == "" and got[1000] == ""
-    assert got[3].startswith("phone:5:")
+def found(spark, texts):
+    return {r.doc_id: r.spans for r in pii.digest(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+
+
+#: Texts with the span that the method should add beside the base ones, or none.
+PLANTED = {
+    "please call 743-555-3824 now": "grouped:12:24",
+    "mail jim(at)example(dot)com soon": "mail:5:27",
+    "reach +1 (826) 555-4081 190.137.223.204 there": "grouped:6:23",
+    "visa 4111111111111111 5500000000000004 ok": "digits",
+    "item 99887766 of 12": "",
+    "look at home.then go": "",
+    "on 2024-05-06 12-31-15 we": "",
+}
+
+
+@pytest.mark.parametrize(("plain", "share"), [(400, 0.01), (400, 0.5), (4000, 0.01), (40, 0.2), (0, 1.0)])
+def test_method_adds_the_same_spans_whatever_their_share(spark, plain, share):
+    """Disguised mails and numbers without a plus sign at several shares of all candidates, in small and large tables."""
+    base = [[f"call +1 ({200 + k % 700}) 555-{1000 + k % 9000} now", f"mail x{k}@mail{k % 7}.example.com ok", f"card 4111 1111 1111 {1000 + k} no", f"at 10.{k % 250}.3.4 and"][k % 4] for k in range(plain)]
+    times = max(1, int(plain * share / len(PLANTED)))
+    got = found(spark, base + list(PLANTED) * times)
+    for k, (text, want) in enumerate(list(PLANTED.items()) * times):
+        assert want in got[plain + k] if want else got[plain + k] == "", (text, got[plain + k])
+
+
+def test_measured_precision_of_added_spans(spark):
+    """Of spans added in texts with both kinds of numbers, at least nine in ten are personal, and most personal ones are added."""
+    rng, texts, wanted = np.random.default_rng(3), [], []
+    for k in range(1200):
+        n = [int(x) for x in rng.integers(100, 999, 4)]
+        good = [f"phone {n[0]}-{n[1]}-{1000 + n[2]}", f"dial ({n[0]}) {n[1]}-{1000 + n[2]}", f"write ann{k} at mail dot org", f"bob{k}[at]site[dot]net"]
+        bad = [f"order {n[0]}{n[1]}{n[2]}", f"isbn 978-{n[0] % 10}-{n[1]}-{n[2]}-1", f"={n[0]}{n[1]}{n[2]}9", f"id {n[0]}-{n[1]}-{n[2]}", f"sat at {n[0]}.then"]
+        yes = bool(rng.integers(2))
+        texts.append(f"some words {(good if yes else bad)[int(rng.integers(4 + (not yes)))]} more words")
+        wanted.append(yes)
+    texts += [f"call +1 ({200 + k}) 555-{1000 + k} now" for k in range(300)]
+    got = found(spark, texts)
+    added = [bool(got[k]) for k in range(1200)]
+    hits = sum(a and w for a, w in zip(added, wanted, strict=True))
+    assert hits >= 0.9 * sum(added) and hits >= 0.6 * sum(wanted)
+
+
+def test_many_spans_in_one_document(spark):
+    text = " ".join(f"a{k}@b.cd" for k in range(50_000))
+    spans = found(spark, [text])[0].split(",")
+    assert len(spans) == 50_000 and spans[1] == "email:8:15"
 
 
 def test_fitted_trees_separate():
-    rows = [((d, *[0] * 11), 10.0 * (d > 9), 10.0 * (d <= 9)) for d in range(5, 15)]
+    rows = [((0, d, *[0] * (len(pii.FEATURES) - 2)), 10.0 * (d > 9), 10.0 * (d <= 9)) for d in range(5, 15)]
     trees = pii.fit_trees(rows)
-    low, high = (sum(pii.score(t, (d, *[0] * 11)) for t in trees) for d in (6, 12))
+    low, high = (pii.total(trees, (0, d, *[0] * (len(pii.FEATURES) - 2))) for d in (6, 12))
     assert low < 0 < high
-    assert pii.cut_off(rows, trees) is not None and pii.cut_off([], trees) is None
+    steps = pii.calibrated(rows, trees)
+    assert steps == sorted(steps) and [p for _, p in steps] == sorted(p for _, p in steps)
+    assert pii.probability(steps, low) < 0.05 and pii.probability(steps, high) > 0.95
+    assert low < pii.cut_off(rows, trees, steps) <= high and pii.cut_off([], [], []) is None
 
 
 SECRETS = [
