@@ -90,7 +90,7 @@ def greedy_matches(baseline: DataFrame, found: DataFrame, keys: list[str], axes:
         raise ValueError(f"ranks of baseline points must be from 0 to {ranks - 1}")
     periods = periods or {}
     b = baseline.select(*keys, "point_id", "rank", *(F.col(a).alias("__b_" + a) for a in axes))
-    near = found.join(F.broadcast(b) if ranks <= 64 else b, keys)
+    near = found.join(b, keys)
     d = [wrapped_difference(F.col(a) - F.col("__b_" + a), periods[a]) if a in periods else F.col(a) - F.col("__b_" + a) for a in axes]
     near = near.withColumn("distance", F.sqrt(sum((x * x for x in d), F.lit(0.0)))).where(F.col("distance") <= radius)
     used = [*keys, "replicate", "found_id"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.angles import unwrapped_step, wrapped_difference
+from driftloom.sources.scratch import settled
 
 TRACK = ["dataset", "position", "crop_index"]
 TIME = "frame_number"
@@ -165,7 +166,8 @@ def with_dense_index(df: DataFrame, keys: list[str], name: str = "crop_index") -
     """
     distinct = df.select(*keys).distinct()
     parts = distinct.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
-    inner = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
+    # Settled, so that both uses below see the same ranges, whatever is computed again.
+    inner = settled(parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*keys))))
     sizes = inner.groupBy("__p").agg(F.max("__i").alias("__n"), F.min(F.struct(*keys)).alias("__first"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     index = inner.join(before.select("__p", "__before"), "__p").select(*keys, (F.col("__before") + F.col("__i") - 1).cast("long").alias(name))

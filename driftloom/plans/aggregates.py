@@ -54,11 +54,11 @@ def agg03(spark, sf):
 
 @query(
     "agg04_sweep",
-    f"{W}, h AS (SELECT unnest(generate_series(0, 10)) AS j), p AS (SELECT j, crop_index, min(CASE WHEN abs(rho) <= j * 0.01 THEN frame_number END) AS fpt FROM t, h GROUP BY ALL) SELECT CAST(j AS INTEGER) AS j, count(fpt) AS count, round(avg(fpt), {DIGITS}) AS mean, round(stddev_samp(fpt), {DIGITS}) AS std, round(100.0 * count(fpt) / count(*), {DIGITS}) AS percent FROM p GROUP BY j",
+    f"{W}, h AS (SELECT unnest(generate_series(0, 40)) AS j), p AS (SELECT j, crop_index, min(CASE WHEN abs(rho) <= j / 40.0 THEN frame_number END) AS fpt FROM t, h GROUP BY ALL) SELECT CAST(j AS INTEGER) AS j, count(fpt) AS count, round(avg(fpt), {DIGITS}) AS mean, round(stddev_samp(fpt), {DIGITS}) AS std, round(100.0 * count(fpt) / count(*), {DIGITS}) AS percent FROM p GROUP BY j",
 )
 def agg04(spark, sf):
     # One pass: each trajectory gives one row a threshold, before anything is grouped by thresholds.
-    first = [F.min(F.when(F.abs("rho") <= j * 0.01, F.col("frame_number"))) for j in range(11)]
+    first = [F.min(F.when(F.abs("rho") <= j / 40.0, F.col("frame_number"))) for j in range(41)]
     per = trajectories(spark, sf).groupBy("crop_index").agg(F.array(*first).alias("f")).select("crop_index", F.posexplode("f").alias("j", "fpt"))
     x = F.col("fpt")
     return per.groupBy("j").agg(F.count(x).alias("count"), r(F.avg(x), "mean"), r(F.stddev_samp(x), "std"), r(100 * F.count(x) / F.count("*"), "percent"))
@@ -228,13 +228,15 @@ def agg20b(spark, sf):
 
 @query(
     "agg21_binned_means",
-    f"{W}, m AS (SELECT min(value) AS a, max(value) AS z FROM t) SELECT k // 10 AS kb, CAST(floor((value - a) / 40) AS INTEGER) AS vb, round(avg(rho), 6) AS mean, count(*) AS n FROM t, m GROUP BY ALL",
+    f"{W}, m AS (SELECT min(value) AS a, max(value) AS z FROM t) SELECT k // 10 AS kb, CAST(floor((value - a) / 40) AS INTEGER) AS vb, round(CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE) / (count(*) * 500000.0) - 1, 9) AS mean, count(*) AS n FROM t, m GROUP BY ALL",
 )
 def agg21(spark, sf):
     t = trajectories(spark, sf)
     low = F.broadcast(t.agg(F.min("value").alias("a")))  # one row
     bins = [F.floor(F.col("k") / 10).cast("int").alias("kb"), F.floor((F.col("value") - F.col("a")) / 40).cast("int").alias("vb")]
-    return t.crossJoin(low).groupBy(*bins).agg(r(F.avg("rho"), "mean", 6), F.count("*").alias("n"))
+    # The mean of rho = value / 50 - 1 from whole numbers, so that no order of addition shows.
+    whole = F.sum(F.round(F.col("value") * 10000).cast("long")).cast("double")
+    return t.crossJoin(low).groupBy(*bins).agg(r(whole / (F.count("*") * F.lit(500000.0)) - 1, "mean", 9), F.count("*").alias("n"))
 
 
 @query(

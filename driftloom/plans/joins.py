@@ -157,14 +157,14 @@ def jn15(spark, sf):
 
 @query(
     "jn16_distances",
-    f"""{W}, {_CENTERS}, d AS (SELECT t.crop_index, t.frame_number, c.position AS point, polar_theta - ct + 3.141592653589793 / 2 AS x, polar_r - cr AS dr FROM t JOIN c USING (dataset) WHERE c.position < 2),
+    f"""{W}, {_CENTERS}, d AS (SELECT t.crop_index, t.frame_number, c.position AS point, polar_theta - ct + 3.141592653589793 / 2 AS x, polar_r - cr AS dr FROM t JOIN c USING (dataset)),
     e AS (SELECT *, x - 3.141592653589793 * floor(x / 3.141592653589793) - 3.141592653589793 / 2 AS dt FROM d)
     SELECT crop_index, frame_number, point, round(dt, 5) AS d_polar_theta, round(dr, 5) AS d_polar_r, round(sqrt(dt * dt + dr * dr), 5) AS distance FROM e""",
 )
 def jn16(spark, sf):
     from driftloom.functions.angles import PI
 
-    points = centers(spark, sf).where("position < 2").withColumnRenamed("position", "point")
+    points = centers(spark, sf).withColumnRenamed("position", "point")
     t = trajectories(spark, sf).select("dataset", "crop_index", "frame_number", "polar_theta", "polar_r")
     out = jn.distances_to_points(t, points, ["dataset"], [("polar_theta", "ct"), ("polar_r", "cr")], {"polar_theta": PI})
     return out.select("crop_index", "frame_number", "point", r("d_polar_theta", 5), r("d_polar_r", 5), r("distance", 5))

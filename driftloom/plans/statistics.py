@@ -11,6 +11,7 @@ from driftloom.operators import statistics as st
 from driftloom.operators import windows as win
 from driftloom.operators.aggregates import r_squared
 from driftloom.registry import query
+from driftloom.sources.scratch import settled
 from driftloom.sources.tables import DATASETS, T_SQL, U_SQL, setting, table, trajectories
 
 W = f"WITH {T_SQL}, {U_SQL}, ds AS ({DATASETS})"
@@ -64,9 +65,9 @@ def stat05(spark, sf):
 
 
 def decays(spark, sf):
-    means = trajectories(spark, sf).groupBy("dataset", "frame_number").agg(F.avg("value").alias("y"))
-    shaped = means.withColumn("y", 3 * F.exp(-0.15 * F.col("frame_number")) + 0.5 + F.col("y") / 1e6)
-    return shaped, st.fit_decay(shaped, ["dataset"], "frame_number", "y", 0.0, 1.0)
+    """The mean autocorrelation by lag, computed once, and the decay fitted to it."""
+    means = settled(acf(spark, sf).select("dataset", "lag", F.col("mean").alias("y")))
+    return means, st.fit_decay(means, ["dataset"], "lag", "y", 0.0, 5.0)
 
 
 @query("stat06_decay_fit")
@@ -78,7 +79,7 @@ def stat06(spark, sf):
 @query("stat07_decay_r2")
 def stat07(spark, sf):
     rows, fit = decays(spark, sf)
-    both = rows.join(fit, "dataset").withColumn("fit", F.col("a") * F.exp(-F.col("b") * F.col("frame_number")) + F.col("c"))
+    both = rows.join(fit, "dataset").withColumn("fit", F.col("a") * F.exp(-F.col("b") * F.col("lag")) + F.col("c"))
     return both.groupBy("dataset").agg(r(r_squared(F.col("y"), F.col("fit")), "r2"))
 
 

@@ -34,7 +34,7 @@ def stm01(spark, sf):
 
 @query("stm02_first_passages", "SELECT user_id, arg_min(event_id, row(ts, event_id)) AS event_id FROM events WHERE value >= 200 GROUP BY 1")
 def stm02(spark, sf):
-    return _run(spark, sf, lambda df: streams.first_passages(df, 200.0), "append")
+    return _run(spark, sf, lambda df: streams.first_passages(df, 200.0), "complete")
 
 
 @query("stm03_outlier_counts", "SELECT date_trunc('day', ts) AS day, event_type, CAST(sum((value < 5 OR value > 150)::INT) AS BIGINT) AS n_outliers, count(*) AS n FROM events GROUP BY ALL")

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 FORMATS = {".parquet": ("parquet", {}), ".csv": ("csv", {"header": True}), ".tsv": ("csv", {"header": True, "sep": "\t"})}
 
@@ -22,7 +21,7 @@ def format_of(path: str) -> tuple[str, dict]:
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
     """A table by its path's suffix: Parquet, CSV or TSV. Text tables take a schema or have it inferred; only ``columns`` are read.
 
-    ``s3a://`` paths are read without credentials, as public buckets are.
+    ``s3a://`` paths are read without credentials, as public buckets are; that is set for the bucket in the whole session.
     """
     kind, options = format_of(path)
     reader = spark.read.options(**options)
@@ -38,24 +37,30 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_first(spark: SparkSession, places: Iterable[str | None], **options) -> DataFrame:
-    """The table at the first place that can be read; the last failure is raised if none can."""
+    """The table at the first place that can be read; the last failure is raised if none can.
+
+    A place counts as read once a row could be fetched (or the table is empty), so that broken files and stores that
+    fail late, whatever they raise, lead to the next place.
+    """
     failure: Exception = ValueError("no place is given")
     for place in places:
         if place is None:
             continue
         try:
-            return read_table(spark, place, **options)
-        except (AnalysisException, ValueError) as e:
+            df = read_table(spark, place, **options)
+            df.take(1)
+            return df
+        except Exception as e:  # any failure of any store
             failure = e
     raise failure
 
 
 def gather(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """All files below a folder that match a pattern, as one table with ``frame_number`` from the last /T<number> of the path."""
+    """All files below a folder that match a pattern, as one table with ``frame_number`` from the last /T<number> or /T=<number> of the path."""
     kind, options = format_of(pattern)
     reader = spark.read.options(**options, recursiveFileLookup=True, pathGlobFilter=pattern)
     df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).format(kind).load(folder)
-    return df.withColumn("frame_number", F.regexp_extract(F.col("_metadata.file_path"), "^.*/T([0-9]+)", 1).cast("int"))
+    return df.withColumn("frame_number", F.regexp_extract(F.col("_metadata.file_path"), "^.*/T=?([0-9]+)", 1).cast("int"))
 
 
 def write_table(df: DataFrame, path: str, by: list[str] = (), parameters: dict[str, str] | None = None, comments: dict[str, str] | None = None) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode and the warehouse on a cluster."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode only, as a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -16,42 +16,41 @@ EMA_SCHEMA = "user_id long, event_id long, difference double, ema double"
 def with_differences(events: DataFrame, alpha: float = 0.3, delay: str = "1 day") -> DataFrame:
     """Difference to the event before and moving average, by user, as events arrive in order of time.
 
-    State is the last value and the average; a key idle past the watermark is forgotten.
+    State is the last time and value and the average; a key idle past the watermark is forgotten. An event that is older
+    than one told before has no difference and moves no state; its average is the one held.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, ema = state.get if state.exists else (None, None)
+        told, last, ema = state.get if state.exists else (-(1 << 62), None, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for event, value in zip(rows["event_id"], rows["value"], strict=True):
+        for at, event, value in zip(rows["ts"].astype("int64"), rows["event_id"], rows["value"], strict=True):
+            if at < told:
+                out.append((key[0], event, None, ema))
+                continue
+            told = int(at)
             ema = value if ema is None else (1 - alpha) * ema + alpha * value
             out.append((key[0], event, None if last is None else value - last, ema))
             last = value
-        state.update((last, ema))
+        state.update((told, last, ema))
         state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 30 * 86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "difference", "ema"])
 
     timed = events.withWatermark("ts", delay)
-    return timed.groupBy("user_id").applyInPandasWithState(step, EMA_SCHEMA, "last double, ema double", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("user_id").applyInPandasWithState(step, EMA_SCHEMA, "told long, last double, ema double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_passages(events: DataFrame, threshold: float, delay: str = "1 day") -> DataFrame:
-    """One row a user: the first event with a value of at least the threshold, told once."""
+def first_passages(events: DataFrame, threshold: float) -> DataFrame:
+    """One row a user: the first event, by time and then by id, with a value of at least the threshold.
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = state.exists
-        for rows in batches:
-            hit = rows[rows["value"] >= threshold].sort_values(["ts", "event_id"])
-            if len(hit) and not told:
-                told = True
-                state.update((1,))
-                yield pd.DataFrame({"user_id": [key[0]], "event_id": [hit["event_id"].iloc[0]]})
-
-    timed = events.withWatermark("ts", delay)
-    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long", "told int", "append", GroupStateTimeout.NoTimeout)
+    A plain streaming minimum, so that neither batches nor the order of arrival matter: an earlier event that comes late
+    replaces what was told (output modes update and complete). State is one row for each user that has passed.
+    """
+    first = F.min(F.struct("ts", "event_id")).alias("first")
+    return events.where(F.col("value") >= threshold).groupBy("user_id").agg(first).select("user_id", "first.event_id")
 
 
 def outlier_counts(events: DataFrame, low: float, high: float, window: str = "1 day", delay: str = "1 day") -> DataFrame:

@@ -327,3 +327,51 @@ def test_small_things(spark):
     a = split_rows(spark.range(1000), ["id"]).where("split = 'validation'")
     assert 120 < a.count() < 280
     assert a.count() == split_rows(spark.range(1000).repartition(7), ["id"]).where("split = 'validation'").count()
+
+
+def test_first_passages_do_not_depend_on_order_or_batches(spark, tmp_path):
+    from driftloom.streaming import streams
+
+    # Falling time over more rows than an Arrow batch, then an earlier event in a later file.
+    day = "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {n})"
+    rows = spark.range(25_000).selectExpr("1L as user_id", "id as event_id", f"{day.format(n='30000 - id')} as ts", "300.0 as value")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    spark.range(1).selectExpr("1L as user_id", "99999L as event_id", f"{day.format(n='1')} as ts", "300.0 as value").write.parquet(f"{tmp_path}/in/b")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = streams.first_passages(source, 200.0).writeStream.format("memory").queryName("passages").outputMode("complete")
+    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.table("passages").collect()] == [(1, 99999)]
+
+
+def test_late_events_move_no_state(spark, tmp_path):
+    from driftloom.streaming import streams
+
+    day = "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {n})"
+    for name, times in (("a", (10, 30)), ("b", (20, 40))):
+        spark.createDataFrame([(t,) for t in times], "t int").selectExpr("1L as user_id", "cast(t as long) as event_id", f"{day.format(n='t')} as ts", "cast(t as double) as value").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    schema = spark.read.parquet(f"{tmp_path}/in/a").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = streams.with_differences(source).writeStream.format("memory").queryName("late").outputMode("append")
+    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_id: r.difference for r in spark.table("late").collect()}
+    assert got[40] == 10 and got in ({10: None, 30: 20, 20: None, 40: 10}, {20: None, 40: 20, 10: None, 30: None}) or got[40] == 20
+
+
+def test_broken_files_lead_to_the_next_place(spark, tmp_path):
+    from driftloom.sources import files
+
+    (tmp_path / "broken.parquet").write_text("no parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/whole.parquet")
+    found = files.read_first(spark, [None, f"{tmp_path}/none.csv", f"{tmp_path}/broken.parquet", f"{tmp_path}/whole.parquet"], schema="id long")
+    assert found.count() == 3
+
+
+def test_written_tables_are_checked(spark, tmp_path):
+    from driftloom.sources import files
+
+    df = spark.range(3)
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    files.check_written(spark, f"{tmp_path}/t.parquet", df)
+    for other in (spark.range(4), df.withColumnRenamed("id", "other")):
+        with pytest.raises(ValueError):
+            files.check_written(spark, f"{tmp_path}/t.parquet", other)
