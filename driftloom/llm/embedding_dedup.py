@@ -20,6 +20,8 @@ from driftloom.llm.components import components
 from driftloom.llm.shared import stored
 
 SEED = 20240101
+#: Buckets of up to so many classes are compared together.
+SMALL = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,54 +69,75 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix, the smallest row index that its links reach."""
-    label = np.arange(len(linked))
+def reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows, the smallest row that the links ``(i, j)`` reach."""
+    label = np.arange(n)
     while True:
-        low = np.where(linked, label[None, :], len(linked)).min(axis=1, initial=len(linked))
-        new = np.minimum(label, low)
-        new = new[new]
-        if (new == label).all():
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
             return label
-        label = new
+        label = low
 
 
 def _verify(threshold: float, probes: int):
-    def one(table: int, key: int, split: bool, unit, keys, part, copies) -> tuple[np.ndarray, np.ndarray]:
-        """Link counts and spanning forest of the rows of one bucket block, or of two blocks of one bucket."""
-        near = unit @ unit.T >= threshold
-        np.fill_diagonal(near, False)
+    def first_shared(table, key, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair's bucket is the first that it shares, so that sums over buckets count it once."""
+        first = np.ones(len(left), dtype=bool)
+        for t in range(left.shape[1]):
+            for p in range(probes):
+                for q in range(probes):
+                    earlier = (t < table) | ((t == table) & (left[:, t, p] < key))
+                    first &= ~((left[:, t, p] == right[:, t, q]) & earlier)
+        return first
+
+    def few(unit, bucket, split, part, table, key, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Linked pairs of many small buckets at once, and which of them count here: rows of a bucket stand together."""
+        ends = []
+        for off in range(1, len(bucket)):
+            at = np.flatnonzero(bucket[off:] == bucket[:-off])
+            if not len(at):
+                break
+            at = at[np.einsum("ij,ij->i", unit[at], unit[at + off]) >= threshold]
+            ends.append((at, at + off))
+        i, j = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.empty(0, dtype=np.int64),) * 2
+        across = ~split[i] | (part[i] != part[j])
+        i, j = i[across], j[across]
+        return i, j, first_shared(table[i], key[i], keys[i], keys[j])
+
+    def one(table: int, key: int, split: bool, unit, keys, part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of one bucket block, or of two blocks of one bucket."""
+        near = np.triu(unit @ unit.T >= threshold, 1)
         if split:
             near &= part[:, None] != part[None, :]
         i, j = np.nonzero(near)
-        if not len(i):
-            return np.zeros(len(unit), dtype=np.int64), np.arange(len(unit))
-        # A pair counts in the first bucket that it shares, so that sums over buckets count it once.
-        first = np.ones(len(i), dtype=bool)
-        for t in range(table + 1):
-            for p in range(probes):
-                for q in range(probes):
-                    same = keys[i, t, p] == keys[j, t, q]
-                    first &= ~(same & (keys[i, t, p] < key)) if t == table else ~same
-        links = np.bincount(i[first], weights=copies[j[first]], minlength=len(unit)).astype(np.int64)
-        return links, forest(near)
+        return i, j, first_shared(np.full(len(i), table), np.full(len(i), key), keys[i], keys[j])
 
     def many(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All blocks that were dealt to one group, one after the other."""
+        """All blocks that were dealt to one group: small ones together, the others one after the other."""
         names = ["label", "dim", "table", "key", "low", "high"]
         pdf = pdf.sort_values([*names, "node"], kind="stable", ignore_index=True)
-        new = (pdf[names] != pdf[names].shift()).any(axis=1).to_numpy()
-        begins = np.flatnonzero(new)
+        bucket = np.cumsum((pdf[names] != pdf[names].shift()).any(axis=1).to_numpy()) - 1
+        size = np.bincount(bucket)[bucket]
         node, part, copies = (pdf[c].to_numpy() for c in ("node", "part", "copies"))
-        table, key, split = pdf["table"].to_numpy(), pdf["key"].to_numpy(), (pdf["low"] != pdf["high"]).to_numpy()
+        table, key, dim, split = pdf["table"].to_numpy(), pdf["key"].to_numpy(), pdf["dim"].to_numpy(), (pdf["low"] != pdf["high"]).to_numpy()
         keys = np.stack(pdf["keys"].to_numpy()).reshape(len(pdf), -1, probes)
-        vectors, outs = pdf["vec"].to_numpy(), []
-        for a, b in zip(begins, [*begins[1:], len(pdf)], strict=True):
-            links, root = one(table[a], key[a], split[a], unit_rows(vectors[a:b]), keys[a:b], part[a:b], copies[a:b])
-            use = np.flatnonzero((links > 0) | (root != np.arange(b - a)))
-            if len(use):
-                outs.append(pd.DataFrame({"node": node[a:b][use], "links": links[use], "root": node[a:b][root[use]]}))
-        return pd.concat(outs) if outs else pd.DataFrame({"node": [], "links": [], "root": []}, dtype=np.int64)
+        vectors, ends = pdf["vec"].to_numpy(), []
+        for d in np.unique(dim[size <= SMALL]):
+            at = np.flatnonzero((dim == d) & (size <= SMALL))
+            i, j, first = few(unit_rows(vectors[at]), bucket[at], split[at], part[at], table[at], key[at], keys[at])
+            ends.append((at[i], at[j], first))
+        large = np.flatnonzero(size > SMALL)
+        for at in np.split(large, np.flatnonzero(np.diff(bucket[large])) + 1) if len(large) else []:
+            i, j, first = one(table[at[0]], key[at[0]], split[at[0]], unit_rows(vectors[at]), keys[at], part[at])
+            ends.append((at[i], at[j], first))
+        i, j, first = (np.concatenate(x) for x in zip(*ends, strict=True))
+        links = np.bincount(i[first], weights=copies[j[first]], minlength=len(pdf)) + np.bincount(j[first], weights=copies[i[first]], minlength=len(pdf))
+        root = reached(len(pdf), i, j)
+        use = np.flatnonzero((links > 0) | (root != np.arange(len(pdf))))
+        return pd.DataFrame({"node": node[use], "links": links[use].astype(np.int64), "root": node[root[use]]})
 
     return many
 
