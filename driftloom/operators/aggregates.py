@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.angles import PI
+from driftloom.operators.ranks import percentiles
 
 
 def r_squared(y: Column, fit: Column) -> Column:
@@ -16,13 +17,22 @@ def r_squared(y: Column, fit: Column) -> Column:
 
 
 def describe(x: Column, prefix: str = "") -> list[Column]:
-    """count, mean, std (sample), min, quartiles (linear), max."""
+    """count, mean, std (sample), min, quartiles (linear), max, for groups of bounded size; ``described`` serves all others."""
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     std = F.when(F.count(x) > 1, F.stddev_samp(x))
     parts = {"count": F.count(x), "mean": F.avg(x), "std": std, "min": F.min(x), "q25": q[0], "q50": q[1], "q75": q[2], "max": F.max(x)}
     return [c.alias(prefix + n) for n, c in parts.items()]
 
 
+def described(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """``describe`` for groups of any size: the quartiles come from ranks over range partitions. Null keys are a key."""
+    std = F.when(F.count(x) > 1, F.stddev_samp(x))
+    rest = df.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), std.alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = percentiles(df, keys, x, [25, 50, 75], "__q").select(F.struct(*keys).alias("__key"), "__q")
+    both = rest.join(q, F.struct(*keys).eqNullSafe(F.col("__key")), "left")
+    return both.select(*keys, "count", "mean", "std", "min", *(F.col("__q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "max")
+
+
 def sem(x: Column) -> Column:
     return F.when(F.count(x) > 1, F.stddev_samp(x) / F.sqrt(F.count(x)))
 
@@ -43,25 +53,6 @@ def circular_variance(x: Column, low: float, high: float) -> Column:
     return 1 - resultant(x, low, high)
 
 
-def circular_percentile(df: DataFrame, keys: list[str], x: str, percents: list[float], period: float) -> DataFrame:
-    """``keys`` and an array of percentiles of a periodic value, cut open at its largest gap.
-
-    The circle is cut in the middle of nowhere: behind the largest gap between neighbouring values (the first of equal ones).
-    Values are counted from there, percentiles are linear, and the cut is added again. Null values are left out.
-    """
-    from pyspark.sql import Window
-
-    rows = df.where(F.col(x).isNotNull()).select(*keys, F.pmod(F.col(x), F.lit(period)).alias("v"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    whole = Window.partitionBy(*keys)
-    follow = F.coalesce(F.lead("v").over(w), F.min("v").over(whole) + F.lit(period))
-    gaps = rows.withColumn("gap", follow - F.col("v")).withColumn("next", F.pmod(follow, F.lit(period)))
-    cut = gaps.withColumn("cut", F.max_by("next", F.struct("gap", -F.col("v"))).over(whole))
-    open_value = F.pmod(F.col("v") - F.col("cut"), F.lit(period))
-    found = cut.groupBy(*keys).agg(F.percentile(open_value, F.array(*(F.lit(p / 100) for p in percents))).alias("p"), F.first("cut").alias("cut"))
-    return found.select(*keys, F.transform("p", lambda v: F.pmod(v + F.col("cut"), F.lit(period))).alias("percentiles"))
-
-
 def correlations(columns: list[str]) -> list[Column]:
     """Pearson correlation of each pair of columns, over rows in which both are known."""
     return [F.corr(a, b).alias(f"{a}__{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]]

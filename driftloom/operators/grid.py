@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.hooks import KERNELS
+from driftloom.operators import ranks
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,8 @@ def make_axis(df: DataFrame, column: str, width: float, limits: tuple[float, flo
         if percentiles is None:
             low, high = df.agg(F.min(column) - pad, F.max(column) + pad).first()
         else:
-            low, high = df.agg(F.percentile(column, percentiles[0] / 100), F.percentile(column, percentiles[1] / 100)).first()
+            found = ranks.percentiles(df, [], column, list(percentiles)).first()
+            low, high = found["p"] if found else (None, None)
     else:
         low, high = limits
     if low is None or not low < high:

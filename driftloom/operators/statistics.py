@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftloom.operators.ranks import percentiles
+from driftloom.sources.scratch import settled
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function."""
@@ -78,8 +81,8 @@ def autocorrelation(df: DataFrame, x: str, keys: list[str], lags: int | None = N
 
 def lag_summary(acf: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and 5th and 95th percentile of the autocorrelation over trajectories."""
-    p = F.percentile("acf", F.array(F.lit(0.05), F.lit(0.95)))
-    out = acf.groupBy(*keys, "lag").agg(F.avg("acf").alias("mean"), p.alias("p"))
+    acf = settled(acf)
+    out = acf.groupBy(*keys, "lag").agg(F.avg("acf").alias("mean")).join(percentiles(acf, [*keys, "lag"], "acf", [5, 95]), [*keys, "lag"], "left")
     return out.select(*keys, "lag", "mean", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))
 
 

@@ -154,6 +154,13 @@ def first_passage(df: DataFrame, distance: str, threshold: float, keys: list[str
     return df.withColumn("first_passage", first).withColumn("time_to_passage", F.col("first_passage") - F.col(TIME))
 
 
+def passages(df: DataFrame, distance: str, thresholds: list[float], keys: list[str] = TRACK) -> DataFrame:
+    """A row for each row and threshold (j) that its key ever reaches, with first_passage and time_to_passage, as in ``first_passage``."""
+    firsts = F.array(*(F.min(F.when(F.col(distance) <= t, F.col(TIME))).over(whole(keys)) for t in thresholds))
+    rows = df.withColumn("__f", firsts).select("*", F.posexplode("__f").alias("j", "first_passage")).drop("__f")
+    return rows.where("first_passage is not null").withColumn("time_to_passage", F.col("first_passage") - F.col(TIME))
+
+
 def normalized_time(keys: list[str] = TRACK) -> Column:
     low, high = F.min(TIME).over(whole(keys)), F.max(TIME).over(whole(keys))
     return F.when(high == low, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(TIME) - low) / (high - low))))

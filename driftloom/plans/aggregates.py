@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.functions import arrays as arr
 from driftloom.operators import aggregates as agg
 from driftloom.operators import annotations as ann
+from driftloom.operators.ranks import circular_percentile, percentiles
 from driftloom.operators.windows import with_track_duration
 from driftloom.registry import query
 from driftloom.sources.tables import ANNOTATIONS, DATASETS, T_SQL, U_SQL, setting, table, trajectories
@@ -34,7 +35,8 @@ NAMES = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 
 @query("agg01_describe", f"SELECT l_returnflag, l_linestatus, {_DESCRIBE.format(x='l_extendedprice')} FROM lineitem GROUP BY ALL")
 def agg01(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*rounded(agg.describe(F.col("l_extendedprice")), NAMES))
+    out = agg.described(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return out.select("l_returnflag", "l_linestatus", *rounded([F.col(n) for n in NAMES], NAMES))
 
 
 @query("agg02_sem", "SELECT l_returnflag, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 7) AS sem FROM lineitem GROUP BY ALL")
@@ -79,7 +81,11 @@ def agg06(spark, sf):
 
 @query("agg07_medians", f"{W} SELECT frame_number, round(median(value), {DIGITS}) AS value, round(median(rho), {DIGITS}) AS rho FROM t GROUP BY 1")
 def agg07(spark, sf):
-    return trajectories(spark, sf).groupBy("frame_number").agg(r(F.median("value"), "value"), r(F.median("rho"), "rho"))
+    # One ranking of both features: the feature is one more key.
+    rows = trajectories(spark, sf).selectExpr("frame_number", "stack(2, 'value', value, 'rho', rho) as (feature, v)")
+    per = percentiles(rows, ["frame_number", "feature"], "v", [50])
+    value = lambda n: F.max(F.when(F.col("feature") == n, F.col("p")[0]))
+    return per.groupBy("frame_number").agg(r(value("value"), "value"), r(value("rho"), "rho"))
 
 
 @query(
@@ -89,9 +95,10 @@ def agg07(spark, sf):
 )
 def agg08(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr("l_returnflag as dataset", "stack(2, 'quantity', l_quantity, 'price', l_extendedprice) as (feature, v)")
-    g = rows.groupingSets([[F.col("dataset"), F.col("feature")], [F.col("feature")]], "dataset", "feature")
-    out = g.agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("p"), F.count("v").alias("n"))
-    return out.select(F.coalesce("dataset", F.lit("ALL_POOLED")).alias("dataset"), "feature", r(F.col("p")[0], "p5", 1), r(F.col("p")[1], "p95", 1), "n")
+    rows = rows.withColumn("dataset", F.explode(F.array("dataset", F.lit("ALL_POOLED"))))
+    n = rows.groupBy("dataset", "feature").agg(F.count("v").alias("n"))
+    out = percentiles(rows, ["dataset", "feature"], "v", [5, 95]).join(n, ["dataset", "feature"])
+    return out.select("dataset", "feature", r(F.col("p")[0], "p5", 1), r(F.col("p")[1], "p95", 1), "n")
 
 
 @query(
@@ -100,7 +107,8 @@ def agg08(spark, sf):
 )
 def agg09(spark, sf):
     rows = trajectories(spark, sf).join(setting(spark, DATASETS), "dataset")
-    per = rows.groupBy("dataset").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.median("value").alias("d"), F.avg(F.col("value") * F.col("pixel_size_xy_in_um")).alias("um"))
+    per = rows.groupBy("dataset").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.avg(F.col("value") * F.col("pixel_size_xy_in_um")).alias("um"))
+    per = per.join(percentiles(rows, ["dataset"], "value", [50]).select("dataset", F.col("p")[0].alias("d")), "dataset")
     return per.agg(r(F.avg("m"), "mean", 6), r(F.avg("s"), "std", 6), r(F.avg("d"), "median", 6), r(F.avg("um"), "mean_um", 6), F.count("*").alias("n"))
 
 
@@ -197,7 +205,7 @@ def agg17(spark, sf):
 )
 def agg18(spark, sf):
     rows = trajectories(spark, sf).withColumn("x", F.col("k").cast("double"))
-    out = agg.circular_percentile(rows, ["crop_index"], "x", [5, 95], 100.0)
+    out = circular_percentile(rows, ["crop_index"], "x", [5, 95], 100.0)
     return out.select("crop_index", r(F.col("percentiles")[0], "p5", 6), r(F.col("percentiles")[1], "p95", 6))
 
 

@@ -11,6 +11,7 @@ from driftloom.operators import filters as flt
 from driftloom.operators import joins as jn
 from driftloom.operators import windows as win
 from driftloom.operators.grid import Axis, integral, marginal
+from driftloom.operators.ranks import percentiles
 from driftloom.operators.statistics import line_fit_both_errors, signed_distance_to_line
 from driftloom.plans.filters import _COND, S
 from driftloom.registry import query
@@ -118,8 +119,8 @@ def stat15(spark, sf):
 
 @query("stat15b_fixed_points_nd")
 def stat15b(spark, sf):
-    axes = [Axis("polar_r", 0.0, 0.5, 13), RHO]
-    rows = dyn.drift_field(trajectories(spark, sf), axes, [("gaussian", 0.5), ("gaussian", 0.3)], DT, ["dataset"])
+    axes = [THETA, RHO]
+    rows = dyn.drift_field(trajectories(spark, sf), axes, [("periodic", 0.4), ("gaussian", 0.3)], DT, ["dataset"])
     return dyn.fixed_points_nd(rows, axes, ["dataset"])
 
 
@@ -130,29 +131,26 @@ def stat16(spark, sf):
 
 @query("stat17_within_bounds", f"{W}, {_H}, {_F}, {_ROOTS}, b AS (SELECT dataset, quantile_cont(rho, 0.05) AS lo, quantile_cont(rho, 0.95) AS hi FROM t GROUP BY 1) SELECT dataset, rho, stability FROM z JOIN b USING (dataset) WHERE rho BETWEEN lo AND hi")
 def stat17(spark, sf):
-    p = F.percentile("rho", F.array(F.lit(0.05), F.lit(0.95)))
-    bounds = trajectories(spark, sf).groupBy("dataset").agg(p.alias("p")).select("dataset", F.col("p")[0].alias("lo_rho"), F.col("p")[1].alias("hi_rho"))
+    bounds = percentiles(trajectories(spark, sf), ["dataset"], "rho", [5, 95]).select("dataset", F.col("p")[0].alias("lo_rho"), F.col("p")[1].alias("hi_rho"))
     return dyn.within_bounds(roots(spark, sf), bounds, ["dataset"], [RHO])
 
 
+REPLICATES = 500
+
+
 def _times(replicates: int) -> str:
     return f"""j AS (SELECT dataset, crop_index, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, crop_index FROM t)),
     v AS (SELECT dataset, b AS replicate, ((b * 7919 + j * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % n AS j FROM j, (SELECT unnest(generate_series(0, {replicates - 1})) AS b)),
     y AS (SELECT dataset, CAST(replicate AS INTEGER) AS replicate, crop_index, count(*) AS times FROM v JOIN j USING (dataset, j) GROUP BY ALL)"""
 
 
-@query("stat18_multiplicities", f"{W}, {_times(20)} SELECT * FROM y")
+@query("stat18_multiplicities", f"{W}, {_times(REPLICATES)} SELECT * FROM y")
 def stat18(spark, sf):
-    return dyn.multiplicities(trajectories(spark, sf), ["dataset"], "crop_index", 20)
-
+    return dyn.multiplicities(trajectories(spark, sf), ["dataset"], "crop_index", REPLICATES)
 
-REPLICATES = 50
-#: As many as the inventory asks for; stat18, stat19 and stat26 draw what their SQL draws.
-ALL_REPLICATES = 500
 
-
-def boot(spark, sf, replicates=REPLICATES):
-    return dyn.bootstrap_field(trajectories(spark, sf), [RHO], KERNEL, DT, ["dataset"], "crop_index", replicates)
+def boot(spark, sf):
+    return dyn.bootstrap_field(trajectories(spark, sf), [RHO], KERNEL, DT, ["dataset"], "crop_index", REPLICATES)
 
 
 _BOOT = f"""{_D}, pc AS (SELECT dataset, crop_index, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, count(*) AS m0, sum(dx) AS m1 FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL), {_times(REPLICATES)},
@@ -160,9 +158,9 @@ _BOOT = f"""{_D}, pc AS (SELECT dataset, crop_index, CAST(least(19, floor((rho +
   g AS (SELECT CAST(unnest(generate_series(0, 19)) AS INTEGER) AS i), bs AS (SELECT dataset, replicate, i AS i0, sum(m0 * {_K}) AS m0, sum(m1 * {_K}) AS m1 FROM bh, g GROUP BY ALL)"""
 
 
-@query("stat19_bootstrap_field", f"{W}, {_BOOT} SELECT dataset, replicate, i0, round(CASE WHEN m0 / sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) OVER (PARTITION BY dataset, replicate) >= 1e-10 THEN m1 / (m0 * 12) END, 5) AS drift_0 FROM bs WHERE replicate < 10")
+@query("stat19_bootstrap_field", f"{W}, {_BOOT} SELECT dataset, replicate, i0, round(CASE WHEN m0 / sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) OVER (PARTITION BY dataset, replicate) >= 1e-10 THEN m1 / (m0 * 12) END, 5) AS drift_0 FROM bs")
 def stat19(spark, sf):
-    return boot(spark, sf).where("replicate < 10").select("dataset", "replicate", "i0", r("drift_0", "drift_0", 5))
+    return boot(spark, sf).select("dataset", "replicate", "i0", r("drift_0", "drift_0", 5))
 
 
 def baseline(spark, sf):
@@ -187,49 +185,55 @@ def summary(base, found, replicates):
 
 @query("stat20_bootstrap_summary")
 def stat20(spark, sf):
-    found = settled(dyn.fixed_points_1d(boot(spark, sf, ALL_REPLICATES), RHO, ["dataset", "replicate"]))
-    out = summary(baseline(spark, sf), found, ALL_REPLICATES)
+    found = settled(dyn.fixed_points_1d(boot(spark, sf), RHO, ["dataset", "replicate"]))
+    out = summary(baseline(spark, sf), found, REPLICATES)
     return out.select("dataset", "stability", "point_id", "hits", *(r(c, c) for c in ("rho_mean", "rho_low", "rho_high", "detection_rate")))
 
 
+#: Thresholds of distance: 41 from 0 to 1.
+THRESHOLDS = [j / 40.0 for j in range(41)]
+
+
 @query(
     "stat21_first_passage",
-    f"""{W}, c AS (SELECT dataset, median(rho) AS c FROM t GROUP BY 1),
+    f"""{W}, {_H}, {_F}, {_ROOTS}, c AS (SELECT DISTINCT dataset, rho AS point FROM z WHERE stability = 'stable'),
     x AS (SELECT 'grid_based' AS patch_type, t.* FROM t UNION ALL SELECT 'cell_centered', u.* FROM u),
     l AS (SELECT *, max(frame_number) OVER w - min(frame_number) OVER w AS dur FROM x WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.dataset = x.dataset AND a.position = x.position AND annotation = 'not_steady_state' AND frame_number BETWEEN start_frame AND stop_frame) AND EXISTS (SELECT 1 FROM ds WHERE ds.dataset = x.dataset AND frame_number < duration) WINDOW w AS (PARTITION BY patch_type, dataset, position, crop_index)),
-    p AS (SELECT l.*, min(CASE WHEN abs(rho - c) <= 0.05 THEN frame_number END) OVER (PARTITION BY patch_type, l.dataset, position, crop_index) - frame_number AS tt FROM l JOIN c USING (dataset) WHERE dur >= 24),
-    b AS (SELECT patch_type, dataset, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS bin_index, count(tt) AS n, avg(tt) AS mean, stddev_samp(tt) / sqrt(count(tt)) AS sem FROM p WHERE tt > 0 AND rho BETWEEN -1 AND 4 GROUP BY ALL)
-    SELECT g.dataset, g.bin_index, g.n AS n_grid_based, round(g.mean, 6) AS mean_grid_based, round(g.sem, 6) AS sem_grid_based, k.n AS n_cell_centered, round(k.mean, 6) AS mean_cell_centered, round(k.sem, 6) AS sem_cell_centered
-    FROM b g JOIN b k ON g.dataset = k.dataset AND g.bin_index = k.bin_index WHERE g.patch_type = 'grid_based' AND k.patch_type = 'cell_centered'""",
+    j AS (SELECT unnest(generate_series(0, 40)) AS j),
+    fp AS (SELECT patch_type, dataset, position, crop_index, point, j, min(frame_number) AS f FROM (SELECT * FROM l WHERE dur >= 24) JOIN c USING (dataset), j WHERE abs(rho - point) <= j / 40.0 GROUP BY ALL),
+    p AS (SELECT patch_type, dataset, point, j, rho, f - frame_number AS tt FROM (SELECT * FROM l WHERE dur >= 24) JOIN fp USING (patch_type, dataset, position, crop_index)),
+    b AS (SELECT patch_type, dataset, point, j, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS bin_index, count(tt) AS n, avg(tt) AS mean, CASE WHEN count(tt) > 1 THEN stddev_samp(tt) / sqrt(count(tt)) END AS sem FROM p WHERE tt > 0 AND rho BETWEEN -1 AND 4 GROUP BY ALL)
+    SELECT g.dataset, g.point, CAST(g.j AS INTEGER) AS j, g.bin_index, g.n AS n_grid_based, round(g.mean, 6) AS mean_grid_based, round(g.sem, 6) AS sem_grid_based, k.n AS n_cell_centered, round(k.mean, 6) AS mean_cell_centered, round(k.sem, 6) AS sem_cell_centered
+    FROM b g JOIN b k USING (dataset, point, j, bin_index) WHERE g.patch_type = 'grid_based' AND k.patch_type = 'cell_centered'""",
 )
 def stat21(spark, sf):
-    return passage_stats(spark, sf).select("dataset", "bin_index", *(c if c.startswith("n_") else r(c, c) for c in PASSAGE))
+    return passage_stats(spark, sf, THRESHOLDS).select("dataset", "point", "j", "bin_index", *(c if c.startswith("n_") else r(c, c) for c in PASSAGE))
 
 
 PASSAGE = [f"{m}_{p}" for p in ("grid_based", "cell_centered") for m in ("n", "mean", "sem")]
 
 
-def passage_stats(spark, sf):
-    """Statistics of the frames until first passage by bin, both patch types side by side."""
+def passage_stats(spark, sf, thresholds):
+    """Statistics of the frames until first passage to each stable fixed point, by threshold (j) and bin, both patch types side by side."""
     s = S(spark, sf)
     track = ["patch_type", *win.TRACK]
     both = s.t.withColumn("patch_type", F.lit("grid_based")).unionByName(trajectories(spark, sf, last=True).withColumn("patch_type", F.lit("cell_centered")))
     rows = flt.steady_state(both, s.ds, both, s.dust, s.a)
     rows = flt.by_track_length(win.with_track_duration(rows, track), 24)
-    points = s.t.groupBy("dataset").agg(F.median("rho").alias("c"))
-    rows = jn.distances_to_points(rows, points, ["dataset"], [("rho", "c")])
-    rows = win.first_passage(rows, "distance", 0.05, track).where("time_to_passage > 0").withColumn("bin_index", RHO.index()).where("bin_index is not null")
-    x = F.col("time_to_passage")
-    stats = rows.groupBy("patch_type", "dataset", "bin_index").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), agg.sem(x).alias("sem"))
+    points = roots(spark, sf).where("stability = 'stable'").select("dataset", F.col("rho").alias("point")).distinct()
+    rows = jn.distances_to_points(rows, points, ["dataset"], [("rho", "point")])
+    rows = win.passages(rows, "distance", thresholds, [*track, "point"]).where("time_to_passage > 0").withColumn("bin_index", RHO.index()).where("bin_index is not null")
+    x, cell = F.col("time_to_passage"), ["dataset", "point", "j", "bin_index"]
+    stats = rows.groupBy("patch_type", *cell).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), agg.sem(x).alias("sem"))
     side = lambda p: stats.where(F.col("patch_type") == p).drop("patch_type").withColumnsRenamed({c: f"{c}_{p}" for c in ("n", "mean", "sem")})
-    return side("grid_based").join(side("cell_centered"), ["dataset", "bin_index"])
+    return side("grid_based").join(side("cell_centered"), cell)
 
 
 @query("stat22_line_fit")
 def stat22(spark, sf):
-    stats = passage_stats(spark, sf).where("n_grid_based >= 10 and n_cell_centered >= 10")
-    out = line_fit_both_errors(stats, ["dataset"], "mean_grid_based", "mean_cell_centered", "sem_grid_based", "sem_cell_centered")
-    return out.select("dataset", *(r(c, c) for c in ("slope", "intercept", "slope_error", "intercept_error", "chi2")), "n")
+    stats = passage_stats(spark, sf, [0.05]).where("n_grid_based >= 10 and n_cell_centered >= 10")
+    out = line_fit_both_errors(stats, ["dataset", "point"], "mean_grid_based", "mean_cell_centered", "sem_grid_based", "sem_cell_centered")
+    return out.select("dataset", "point", *(r(c, c) for c in ("slope", "intercept", "slope_error", "intercept_error", "chi2")), "n")
 
 
 @query("stat23_distance_histogram", f"{W}, f AS (SELECT dataset, regr_slope(rho, polar_r) AS m, regr_intercept(rho, polar_r) AS b FROM t GROUP BY 1), e AS (SELECT t.dataset, (rho - m * polar_r - b) / sqrt(1 + m * m) AS e FROM t JOIN f USING (dataset)), h AS (SELECT dataset, CAST(least(19, floor((e + 1) / 0.1)) AS INTEGER) AS b FROM e WHERE e BETWEEN -1 AND 1) SELECT dataset, b, round(count(*) / (sum(count(*)) OVER (PARTITION BY dataset) * 0.1), 6) AS density FROM h GROUP BY dataset, b")
@@ -242,10 +246,36 @@ def stat23(spark, sf):
     return density_histogram(rows.select("dataset", "e"), ["dataset"], "e", -1.0, 0.1, 20).withColumn("density", F.round("density", 6))
 
 
-@query("stat24_track_statistics", f"{W}, m AS (SELECT dataset, crop_index, avg(rho) AS rho FROM t GROUP BY ALL), {_KDE.format(t='m')} SELECT dataset, i0, round(density, 6) AS density FROM p")
+def _by_track(source: str) -> str:
+    return f"(SELECT dataset || ':' || feature AS dataset, crop_index, CAST(x AS DOUBLE) AS rho FROM (SELECT dataset, crop_index, unnest(['mean', 'variance']) AS feature, unnest([avg(rho), var_pop(rho)]) AS x FROM {source} GROUP BY dataset, crop_index))"
+
+
+@query(
+    "stat24_track_statistics",
+    f"""{W}, gm AS {_by_track('t')}, t2 AS {_by_track('u')}, {_KDE.format(t='gm')}, n2 AS (SELECT dataset, count(DISTINCT crop_index) AS draws FROM gm GROUP BY 1),
+    j AS (SELECT dataset, crop_index, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, crop_index FROM t2)),
+    nn AS (SELECT DISTINCT dataset, n, draws FROM j JOIN n2 USING (dataset)), dr AS (SELECT dataset, n, unnest(generate_series(0, draws - 1)) AS d FROM nn),
+    v AS (SELECT dataset, b AS replicate, ((b * 7919 + d * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % n AS j FROM dr, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)),
+    y AS (SELECT dataset, replicate, crop_index, count(*) AS times FROM v JOIN j USING (dataset, j) GROUP BY ALL),
+    bh AS (SELECT dataset, replicate, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, sum(times) AS m0 FROM t2 JOIN y USING (dataset, crop_index) WHERE rho BETWEEN -1 AND 4 GROUP BY ALL),
+    bs AS (SELECT dataset, replicate, i AS i0, sum(m0 * {_K}) AS m0 FROM bh, g GROUP BY ALL),
+    bd AS (SELECT dataset, i0, m0 / sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) OVER (PARTITION BY dataset, replicate) AS density FROM bs),
+    band AS (SELECT dataset, i0, avg(density) AS mean, quantile_cont(density, 0.05) AS low, quantile_cont(density, 0.95) AS high FROM bd GROUP BY ALL)
+    SELECT split_part(dataset, ':', 1) AS dataset, split_part(dataset, ':', 2) AS feature, i0, round(density, 6) AS density, round(mean, 6) AS tracked_mean, round(low, 6) AS tracked_low, round(high, 6) AS tracked_high FROM p JOIN band USING (dataset, i0)""",
+)
 def stat24(spark, sf):
-    means = trajectories(spark, sf).groupBy("dataset", "crop_index").agg(F.avg("rho").alias("rho"))
-    return dyn.density_of(means, [RHO], KERNEL, ["dataset"]).select("dataset", "i0", r("density", "density"))
+    """Densities of each trajectory's mean and variance; the second table is drawn as often as the first has trajectories."""
+
+    def by_track(t):
+        per = t.groupBy("dataset", "crop_index").agg(F.avg("rho").alias("mean"), F.var_pop("rho").alias("variance"))
+        return per.selectExpr("dataset", "crop_index", "stack(2, 'mean', mean, 'variance', variance) as (feature, x)")
+
+    axis, keys = Axis("x", RHO.low, RHO.width, RHO.n), ["dataset", "feature"]
+    first = by_track(trajectories(spark, sf))
+    draws = first.groupBy(*keys).agg(F.count("*").alias("__draws"))
+    band = dyn.bootstrap_density(by_track(trajectories(spark, sf, last=True)), axis, KERNEL[0], keys, "crop_index", REPLICATES, draws)
+    out = dyn.density_of(first, [axis], KERNEL, keys).join(band, [*keys, "i0"])
+    return out.select(*keys, "i0", r("density", "density"), *(r(c, f"tracked_{c}") for c in ("mean", "low", "high")))
 
 
 @query("stat25_density_comparison", f"{W}, x AS (SELECT 'grid_based' AS dataset, rho FROM t UNION ALL SELECT 'cell_centered', rho FROM u), {_KDE.format(t='x')} SELECT dataset AS patch_type, i0, round(density, 6) AS density FROM p")
@@ -254,11 +284,11 @@ def stat25(spark, sf):
     return dyn.density_of(both, [RHO], KERNEL, ["patch_type"]).select("patch_type", "i0", r("density", "density"))
 
 
-@query("stat26_box_mean_interval", f"{W}, {_times(20)}, b AS (SELECT dataset, replicate, sum(value * times) / sum(times) AS m FROM t JOIN y USING (dataset, crop_index) WHERE rho >= -0.5 AND rho < 0.5 GROUP BY ALL) SELECT dataset, round(quantile_cont(m, 0.05), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.95), 6) AS high FROM b GROUP BY 1")
+@query("stat26_box_mean_interval", f"{W}, {_times(REPLICATES)}, b AS (SELECT dataset, replicate, sum(value * times) / sum(times) AS m FROM t JOIN y USING (dataset, crop_index) WHERE rho >= -0.5 AND rho < 0.5 GROUP BY ALL) SELECT dataset, round(quantile_cont(m, 0.05), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.95), 6) AS high FROM b GROUP BY 1")
 def stat26(spark, sf):
     t = trajectories(spark, sf)
     per = t.where("rho >= -0.5 and rho < 0.5").groupBy("dataset", "crop_index").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    drawn = per.join(dyn.multiplicities(t, ["dataset"], "crop_index", 20), ["dataset", "crop_index"])
+    drawn = per.join(dyn.multiplicities(t, ["dataset"], "crop_index", REPLICATES), ["dataset", "crop_index"])
     means = drawn.groupBy("dataset", "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.05), F.lit(0.95)))
     return means.groupBy("dataset").agg(r(p[0], "low"), r(F.avg("m"), "mean"), r(p[1], "high"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftloom.operators import annotations as ann
 from driftloom.operators import filters as flt
 from driftloom.operators import guards
+from driftloom.operators.ranks import percentiles
 from driftloom.operators.windows import with_track_duration
 from driftloom.registry import query
 from driftloom.sources.tables import ANNOTATIONS, DATASETS, DUST, FLOW, T_SQL, U_SQL, setting, table, trajectories
@@ -252,7 +253,7 @@ def flt14(spark, sf):
 )
 def flt15(spark, sf):
     t = trajectories(spark, sf)
-    bounds = t.groupBy("dataset").agg(F.percentile("value", 0.05).alias("lo"), F.percentile("value", 0.95).alias("hi"))
+    bounds = percentiles(t, ["dataset"], "value", [5, 95]).select("dataset", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     inside = flt.inside_box(F.col("value"), F.col("lo"), F.col("hi")) & flt.inside_box(F.col("polar_theta"), F.lit(2.5), F.lit(0.5))
     return t.join(bounds, "dataset").where(inside).select(*KEY)
 

@@ -142,7 +142,8 @@ def stat32(spark, sf):
 def stat34(spark, sf):
     steps = win.forward_differences(trajectories(spark, sf), ["rho"])
     h = grid.histogram(steps, [grid.Axis("k", 0.0, 10.0, 10), grid.Axis("rho", -1.0, 0.25, 20)], {"w": F.col("d_rho")})
-    limit = F.broadcast(h.agg(F.percentile("w", 0.99).alias("q")))  # one row
+    # Cells of a fixed grid, so the group is bounded.
+    limit = F.broadcast(h.agg(F.percentile("w", 0.99).alias("q")))
     return h.crossJoin(limit).select("i0", "i1", r("w", "w"), (F.col("w") > F.col("q")).alias("clipped"))
 
 

@@ -15,7 +15,7 @@ from driftloom.operators import catalog as cat
 from driftloom.operators import dynamics as dyn
 from driftloom.operators import features as feat
 from driftloom.operators import filters as flt
-from driftloom.operators import grid, guards
+from driftloom.operators import grid, guards, ranks
 from driftloom.operators import joins as jn
 from driftloom.operators import regions as reg
 from driftloom.operators import statistics as st
@@ -129,11 +129,41 @@ def test_angles(spark):
 
 def test_circular_percentiles(spark):
     df = frame(spark, [("a", v) for v in (3.0, 3.1, 0.05, 0.1)] + [("b", v) for v in (1.0, 1.1, 1.2, 1.3)], "k string, x double")
-    out = {r.k: r.percentiles for r in agg.circular_percentile(df, ["k"], "x", [0, 50, 100], math.pi).collect()}
+    out = {r.k: r.percentiles for r in ranks.circular_percentile(df, ["k"], "x", [0, 50, 100], math.pi).collect()}
     assert out["b"] == pytest.approx([1.0, 1.15, 1.3])
     assert out["a"][0] == pytest.approx(3.0) and out["a"][2] == pytest.approx(0.1)
 
 
+def test_ranked_percentiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in rng.normal(size=4000)] + [("ties", float(v)) for v in rng.integers(0, 3, 500)] + [(None, 1.0), (None, 2.0), ("one", 7.0), ("none", None)]
+    df = frame(spark, rows, "k string, x double").repartition(7)
+    percents = [0, 5, 33.3, 50, 95, 100]
+    found = {r.k: r.p for r in ranks.percentiles(df, ["k"], "x", percents).collect()}
+    assert set(found) == {"hot", "ties", None, "one"}
+    for k in found:
+        assert found[k] == pytest.approx(np.percentile([v for g, v in rows if g == k], percents))
+    # More partitions than distinct values, and no keys.
+    assert ranks.percentiles(df.where("k = 'ties'"), [], "x", [50]).first()["p"] == [float(np.median([v for g, v in rows if g == "ties"]))]
+    assert ranks.percentiles(df.limit(0), ["k"], "x", [50]).count() == 0 and ranks.percentiles(df.limit(0), [], "x", [50]).count() == 0
+    told = {r.k: r for r in agg.described(df, ["k"], "x").collect()}
+    assert told[None].q50 == 1.5 and told["none"]["count"] == 0 and told["none"].q50 is None and told["one"].std is None
+    assert told["hot"]["count"] == 4000 and told["hot"].q75 == pytest.approx(np.percentile([v for g, v in rows if g == "hot"], 75))
+
+
+def test_circular_percentiles_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(v)) for k, c in (("a", 0.0), ("b", 40.0), ("c", 99.0)) for v in np.round(rng.normal(c, 8.0, 700)) % 100] + [("d", None)]
+    found = {r.k: r.percentiles for r in ranks.circular_percentile(frame(spark, rows, "k string, x double").repartition(5), ["k"], "x", [5, 50, 95], 100.0).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for k, got in found.items():
+        v = sorted(x for g, x in rows if g == k)
+        gaps = [(v[(i + 1) % len(v)] - v[i] + (100.0 if i + 1 == len(v) else 0.0), -v[i], v[(i + 1) % len(v)]) for i in range(len(v))]
+        cut = max(gaps)[2]
+        want = (np.percentile([(x - cut) % 100.0 for x in v], [5, 50, 95]) + cut) % 100.0
+        assert got == pytest.approx(list(want))
+
+
 def test_bins(spark):
     df = frame(spark, [(0.0,), (10.0,)], "x double")
     a = grid.make_axis(df, "x", 3.0)
