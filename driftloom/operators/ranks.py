@@ -43,7 +43,7 @@ def _at_ranks(rows: DataFrame, sizes: DataFrame, keys: list[str], wanted: Column
     hit = both.select(*(F.col(f"r.{k}").alias(k) for k in keys), "v", *carried, F.posexplode("__w").alias("__i", "__k"), start.alias("__start"), (start + F.col("__n")).alias("__stop"))
     hit = hit.where("__k >= __start and __k < __stop")
     found = F.array_sort(F.collect_list(F.struct("__i", "v")))  # one value a wanted rank
-    return hit.groupBy(*keys).agg(F.transform(found, lambda s: s["v"]).alias("__values"), *(F.first(c).alias(c) for c in carried))
+    return hit.groupBy(*keys).agg(F.transform(found, lambda s: s["v"]).alias("__values"), *(F.first(c).alias(c) for c in carried)).where(F.size("__values") > 0)
 
 
 def _position(percent: float) -> Column:
