@@ -24,12 +24,17 @@ def one_manifest(manifests: DataFrame, workflow: str, parameters: dict[str, str]
 
 def location_of(manifests: DataFrame, name: str, key: str) -> str:
     """The place of a key; KeyError if there is none."""
-    row = manifests.where((F.col("name") == name) & (F.col("key") == key)).select(F.coalesce("id", "path", "uri").alias("place")).first()
-    if row is None or row.place is None:
+    row = locations(manifests).where((F.col("name") == name) & (F.col("key") == key)).first()
+    if row is None:
         raise KeyError(key)
     return row.place
 
 
+def locations(manifests: DataFrame) -> DataFrame:
+    """(name, key, place) of all keys that have a place: the first of id, path and uri."""
+    return manifests.select("name", "key", F.coalesce("id", "path", "uri").alias("place")).where("place is not null")
+
+
 def located_keys(manifests: DataFrame) -> DataFrame:
     return manifests.where("coalesce(id, path, uri) is not null").select("name", "key").distinct()
 

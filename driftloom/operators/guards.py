@@ -65,6 +65,13 @@ def set_differences(found: DataFrame, expected: DataFrame, keys: list[str]) -> D
     return extra.unionByName(expected.join(found, keys, "left_anti").withColumn("kind", F.lit("missing")))
 
 
+def row_counts(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_in, n_out, same): rows by key in two tables, 0 where a key is in one only. Null keys are a key."""
+    both = before.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(after.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    out = both.groupBy(*keys).agg(F.sum("a").alias("n_in"), F.sum("b").alias("n_out"))
+    return out.withColumn("same", F.col("n_in") == F.col("n_out"))
+
+
 def allclose(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
     """Whether two arrays have the same size and nearly the same numbers."""
     near = F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= absolute + relative * F.abs(y)), lambda ok: ok)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.angles import unwrapped_step, wrapped_difference
 from driftloom.sources.scratch import settled
@@ -70,26 +74,69 @@ def unwrapped_to(x: Column, reference: Column, period: float) -> Column:
     return reference + wrapped_difference(x - reference, period)
 
 
+def _decayed(y: Column, v: Column, nulls: Column, alpha: float) -> Column:
+    """The average after a value that follows ``nulls`` rows without one."""
+    w = F.pow(F.lit(1 - alpha), nulls + 1)
+    return (w * y + alpha * v) / (w + alpha)
+
+
 def ema(df: DataFrame, x: str, alpha: float, keys: list[str], order: list[str], name: str = "ema") -> DataFrame:
     """Exponential moving average without adjustment. A null keeps the last value, and the gap lets its weight decay.
 
-    Keys of bounded length only: a key's rows are folded as one array.
+    Keys of any length: rows lie in range partitions by key and order, each of which is averaged in one pass from nothing.
+    A key that goes on in the next partition hands on its average and the nulls since its last value. What is handed on is
+    linear in a segment's first average, so a prefix over partitions settles it, and each row is moved by it. Rows that tie
+    in key and order go by value, nulls first. NaN is a value.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(x).cast("double").alias("x")))).alias("rows"))
-    zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        v = row["x"]
-        decayed = acc["w"] * (1 - alpha)
-        first = acc["y"].isNull()
-        y = F.when(v.isNull(), acc["y"]).when(first, v).otherwise((decayed * acc["y"] + alpha * v) / (decayed + alpha))
-        # After a value the weight is whole again; until then it decays with each row.
-        w = F.when(v.isNull(), F.when(first, F.lit(1.0)).otherwise(decayed)).otherwise(F.lit(1.0))
-        return F.struct(y.alias("y"), w.alias("w"), F.concat(acc["out"], F.array(y)).alias("out"))
-
-    smooth = F.aggregate("rows", zero, step, lambda acc: acc["out"])
-    pairs = rows.select(*keys, F.explode(F.arrays_zip(F.col("rows").alias("row"), smooth.alias("y"))).alias("p"))
-    return pairs.select(*keys, *(F.col(f"p.row.{o}").alias(o) for o in order), F.col("p.y").alias(name))
+    rows = df.select(*keys, *order, F.col(x).cast("double").alias("__x"))
+    parts = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order, "__x")
+    # One string tells keys apart, nulls included.
+    parts = parts.withColumns({"__p": F.spark_partition_id(), "__key": F.to_json(F.struct(*keys))})
+    shape = T.StructType([*parts.drop("__key").schema, *(T.StructField(n, T.DoubleType()) for n in ("__y", "__slope", "__first")), *(T.StructField(n, T.LongType()) for n in ("__lead", "__nulls"))])
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """y from nothing, its slope in the segment's first average, the first value, nulls before it, and nulls since the last."""
+        key = y = slope = first = None
+        lead = nulls = 0
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column("__key").to_pylist(), batch.column("__x").to_pylist(), strict=True):
+                if k != key:
+                    key, y, slope, first, lead, nulls = k, None, None, None, 0, 0
+                if v is None:
+                    nulls += 1
+                    lead += first is None
+                elif first is None:
+                    y, slope, first, nulls = v, 1.0, v, 0
+                else:
+                    w = (1 - alpha) ** (nulls + 1)
+                    y, slope, nulls = (w * y + alpha * v) / (w + alpha), slope * w / (w + alpha), 0
+                out.append((y, slope, first, lead, nulls))
+            added = list(zip(*out, strict=True)) or [()] * 5
+            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__key"]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(added, [pa.float64()] * 3 + [pa.int64()] * 2, strict=True))], shape.names)
+
+    # Settled, so that both uses below see the same partitions.
+    local = settled(parts.mapInArrow(averaged, shape).withColumn("__i", F.monotonically_increasing_id()))
+    ends = local.groupBy(*keys, "__p").agg(F.max_by(F.struct("__y", "__slope", "__first", "__lead", "__nulls"), "__i").alias("e"))
+    # A key in several partitions has one segment in each; only partitions' first keys can go on, so this is no longer than their number.
+    chains = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__p", "e"))).alias("s")).where(F.size("s") > 1)
+    zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).cast("long").alias("nulls"), F.array().cast("array<struct<y:double,nulls:bigint>>").alias("out"))
+
+    def handed(acc: Column, seg: Column) -> Column:
+        e = seg["e"]
+        moved = e["__y"] + e["__slope"] * (_decayed(acc["y"], e["__first"], acc["nulls"] + e["__lead"], alpha) - e["__first"])
+        y = F.when(e["__first"].isNull(), acc["y"]).when(acc["y"].isNull(), e["__y"]).otherwise(moved)
+        nulls = F.when(e["__first"].isNull(), acc["nulls"] + e["__nulls"]).otherwise(e["__nulls"])
+        return F.struct(y.alias("y"), nulls.alias("nulls"), F.concat(acc["out"], F.array(F.struct(acc["y"].alias("y"), acc["nulls"].alias("nulls")))).alias("out"))
+
+    before = F.aggregate("s", zero, handed, lambda acc: acc["out"])
+    carried = chains.select(*keys, F.explode(F.arrays_zip(F.col("s"), before.alias("b"))).alias("c")).select(*(F.col(k).alias("__k_" + k) for k in keys), F.col("c.s.__p").alias("__q"), F.col("c.b.y").alias("__in"), F.col("c.b.nulls").alias("__gap"))
+    same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col("__k_" + k)), keys, F.col("__p") == F.col("__q"))
+    both = local.join(carried.where("__in is not null"), same, "left")
+    moved = F.col("__y") + F.col("__slope") * (_decayed(F.col("__in"), F.col("__first"), F.col("__gap") + F.col("__lead"), alpha) - F.col("__first"))
+    y = F.when(F.col("__in").isNull(), F.col("__y")).when(F.col("__y").isNull(), F.col("__in")).otherwise(moved)
+    return both.select(*keys, *order, y.alias(name))
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:

@@ -77,9 +77,9 @@ def src08(spark, sf):
     return cat.with_parameters(manifests(spark, sf), "ECONOMY", {"brand": "Brand#2", "size": "11"}).select("key")
 
 
-@query("src09_location", "SELECT CAST(p_partkey AS VARCHAR) AS key, '/data/' || p_partkey || '.parquet' AS path FROM part WHERE p_partkey % 3 <> 0 AND p_name = 'red widget'")
+@query("src09_location", "SELECT p_name AS name, CAST(p_partkey AS VARCHAR) AS key, '/data/' || p_partkey || '.parquet' AS path FROM part WHERE p_partkey % 3 <> 0")
 def src09(spark, sf):
-    return manifests(spark, sf).where("name = 'red widget' and coalesce(id, path, uri) is not null").select("key", "path")
+    return cat.locations(manifests(spark, sf)).select("name", "key", F.col("place").alias("path"))
 
 
 @query("src10_located_keys", "SELECT DISTINCT p_name AS name, CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_partkey % 3 <> 0")
@@ -147,9 +147,24 @@ def src19(spark, sf):
     return manifests(spark, sf).select("key", F.array_join(F.map_values("parameters"), ";").alias("parameters"))
 
 
-@query("src20_comments", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("src20_comments", "SELECT n_nationkey, n_name, n_regionkey, 'name of the nation' AS n_name_comment FROM nation")
 def src20(spark, sf):
-    return files.with_comments(table(spark, sf, "nation"), {"n_name": "name of the nation"})
+    path = _scratch(spark, "nation.parquet")
+    files.write_table(files.with_comments(table(spark, sf, "nation"), {"n_name": "name of the nation"}), path)
+    # Read back, so that the row shows what the written table says of its columns.
+    again = spark.read.parquet(path)
+    return again.withColumn("n_name_comment", F.lit(again.schema["n_name"].metadata.get("comment")))
+
+
+@query("src15_written", "SELECT count(*) FILTER (o_totalprice < 1000) - count(*) AS more_rows, ['o_custkey'] AS other_columns, 0 AS more_rows_whole FROM orders")
+def src15(spark, sf):
+    """What the check of a written table says of a table that lost rows and a column, and of a whole one."""
+    part, whole, rows = _scratch(spark, "part.parquet"), _scratch(spark, "orders.parquet"), table(spark, sf, "orders")
+    files.write_table(rows.where("o_totalprice < 1000").drop("o_custkey"), part)
+    files.write_table(rows, whole)
+    files.check_written(spark, whole, rows)
+    n, columns = files.written_differences(spark, part, rows)
+    return spark.createDataFrame([(n, sorted(columns), files.written_differences(spark, whole, rows)[0])], "more_rows long, other_columns array<string>, more_rows_whole int")
 
 
 @query("src21_staging", "SELECT DISTINCT '/data/' || p_brand AS source, '/stage/' || lower(p_brand) AS target FROM part")

@@ -121,12 +121,19 @@ def val11(spark, sf):
     return trajectories(spark, sf).join(found, F.floor("value").between(F.col("low"), F.col("high"))).select(*KEY, "regime")
 
 
-@query("val12_row_count", "SELECT count(*) AS n_in, count(*) AS n_out, true AS same FROM events")
+@query(
+    "val12_row_count",
+    """WITH c AS (SELECT event_type, count(*) AS n_in, count(*) FILTER (value < 50) AS low, count(*) FILTER (NOT value < 50 OR value IS NULL) AS rest, count(*) FILTER (value > 50) AS above FROM events GROUP BY 1)
+    SELECT event_type, n_in, low + rest AS n_out, n_in = low + rest AS same, low + above AS n_gap, n_in = low + above AS same_gap FROM c""",
+)
 def val12(spark, sf):
+    """Rows by type before a split and after the union of its parts, for a split that keeps all and one that leaves a gap at 50 and nulls."""
     rows = table(spark, sf, "events")
-    both = rows.where("value < 50").select("event_id").unionByName(rows.where("not value < 50 or value is null").select("event_id"))
-    out = rows.agg(F.count("*").alias("n_in")).crossJoin(both.agg(F.count("*").alias("n_out")))
-    return out.withColumn("same", F.col("n_in") == F.col("n_out"))
+    low = rows.where("value < 50")
+    whole, gap = low.unionByName(rows.where("not value < 50 or value is null")), low.unionByName(rows.where("value > 50"))
+    kept = guards.row_counts(rows, whole, ["event_type"])
+    lost = guards.row_counts(rows, gap, ["event_type"]).withColumnsRenamed({"n_out": "n_gap", "same": "same_gap"})
+    return kept.join(lost.drop("n_in"), "event_type")
 
 
 @query("val13_allclose", "SELECT a.vec_id, list_sort([round(x, 6) FOR x IN a.embedding]) = list_sort([round(x, 6) FOR x IN a.embedding]) AS same FROM embeddings a")

@@ -27,9 +27,16 @@ def _run(spark, sf, make, mode):
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-@query("stm01_differences", "SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS difference FROM events")
+@query(
+    "stm01_differences",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER w AS n, value - lag(value) OVER w AS difference FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s(user_id, event_id, n, y, difference) AS (SELECT user_id, event_id, n, value, difference FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.n, 0.7 * s.y + 0.3 * e.value, e.difference FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT user_id, event_id, round(difference, 6) AS difference, round(y, 6) AS ema FROM s""",
+)
 def stm01(spark, sf):
-    return _run(spark, sf, streams.with_differences, "append").select("user_id", "event_id", F.round("difference", 6).alias("difference"))
+    out = _run(spark, sf, streams.with_differences, "append")
+    return out.select("user_id", "event_id", F.round("difference", 6).alias("difference"), F.round("ema", 6).alias("ema"))
 
 
 @query("stm02_first_passages", "SELECT user_id, arg_min(event_id, row(ts, event_id)) AS event_id FROM events WHERE value >= 200 GROUP BY 1")

@@ -164,6 +164,26 @@ def test_circular_percentiles_over_partitions(spark):
         assert got == pytest.approx(list(want))
 
 
+def test_ema_of_keys_over_many_partitions(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random(6000) < 0.3, np.nan, rng.normal(size=6000))
+    x[:40], x[2000:3500] = np.nan, np.nan  # no value at first, and partitions without any
+    rows = [("hot", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [(None, i, float(i)) for i in range(5)] + [("none", 0, None)]
+    df = frame(spark, rows, "k string, i int, x double").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.i): r.e for r in win.ema(df, "x", 0.3, ["k"], ["i"], "e").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) and got["none", 0] is None
+    want = pd.Series(x).ewm(alpha=0.3, adjust=False).mean()
+    assert all((got["hot", i] is None) if np.isnan(w) else got["hot", i] == pytest.approx(w, abs=1e-12) for i, w in enumerate(want))
+    assert [got[None, i] for i in range(5)] == pytest.approx(list(pd.Series(range(5)).ewm(alpha=0.3, adjust=False).mean()))
+    assert win.ema(df.limit(0), "x", 0.3, ["k"], ["i"], "e").count() == 0
+
+
 def test_bins(spark):
     df = frame(spark, [(0.0,), (10.0,)], "x double")
     a = grid.make_axis(df, "x", 3.0)
