@@ -89,7 +89,8 @@ def lag_summary(acf: DataFrame, keys: list[str]) -> DataFrame:
 def fit_decay(df: DataFrame, keys: list[str], x: str, y: str, low: float, high: float, steps: int = 40, rounds: int = 3) -> DataFrame:
     """Least squares fit of a * exp(-b * x) + c for each key: (keys, a, b, c, sse).
 
-    For a fixed b the rest is a line fit, so b runs over a grid, which is refined around the best value in each round.
+    For a fixed b the rest is a line fit, so b runs over a grid, which is refined around the best value in each round. b stays
+    at ``low`` or above; values far below 1 over the range of x give a line, whose a and c only cancel each other.
     """
     grid = df.select(*keys).distinct().withColumns({"__lo": F.lit(low), "__hi": F.lit(high)})
     best = None
@@ -102,7 +103,7 @@ def fit_decay(df: DataFrame, keys: list[str], x: str, y: str, low: float, high:
         )
         best = fit.where("a is not null").groupBy(*keys).agg(F.min_by(F.struct("a", "b", "c", "sse", "__lo", "__hi"), F.struct("sse", "b")).alias("f"))
         width = (F.col("f.__hi") - F.col("f.__lo")) / steps
-        grid = best.select(*keys, F.greatest(F.lit(1e-9), F.col("f.b") - width).alias("__lo"), (F.col("f.b") + width).alias("__hi"))
+        grid = best.select(*keys, F.greatest(F.lit(max(low, 1e-9)), F.col("f.b") - width).alias("__lo"), (F.col("f.b") + width).alias("__hi"))
     return best.select(*keys, "f.a", "f.b", "f.c", "f.sse")
 
 

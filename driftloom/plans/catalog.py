@@ -202,9 +202,9 @@ def src25(spark, sf):
     return table(spark, sf, "part").select("p_partkey", low.alias("z_low"), high.alias("z_high"))
 
 
-@query("src26_train_split")
+@query("src26_train_split", "SELECT event_id, CASE WHEN CAST('0x' || substr(md5(event_id || ':42'), 1, 15) AS BIGINT) % 100 < 20 THEN 'validation' ELSE 'train' END AS split FROM events")
 def src26(spark, sf):
-    return split_rows(table(spark, sf, "events"), ["event_id"]).groupBy("split").agg(F.count("*").alias("n"))
+    return split_rows(table(spark, sf, "events"), ["event_id"]).select("event_id", "split")
 
 
 @query("src27_training_dates", f"{W} SELECT DISTINCT date FROM (SELECT dataset FROM t WHERE k < 5 UNION SELECT dataset FROM t WHERE k > 95) JOIN ds USING (dataset)")

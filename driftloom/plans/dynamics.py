@@ -14,6 +14,7 @@ from driftloom.operators.grid import Axis, integral, marginal
 from driftloom.operators.ranks import percentiles
 from driftloom.operators.statistics import line_fit_both_errors, signed_distance_to_line
 from driftloom.plans.filters import _COND, S
+from driftloom.plans.joins import greedy_sql
 from driftloom.registry import query
 from driftloom.sources.scratch import settled
 from driftloom.sources.tables import ANNOTATIONS, DATASETS, DUST, FLOW, T_SQL, U_SQL, setting, trajectories
@@ -85,9 +86,20 @@ def stat13b(spark, sf):
     return m.select("dataset", "shear_stress", "i0", F.col("m0").cast("long").alias("n"), r("m1_0", "m1"))
 
 
-@query("stat13c_field_3d")
+#: The angle in hundredths of its period: whole numbers, so half turns are told apart alike.
+_FIELD_3D = f"""e AS (SELECT *, lead(polar_r) {OVER} - polar_r AS d0, lead(k) {OVER} - k AS dk, lead(rho) {OVER} - rho AS d2, lead(frame_number) {OVER} - frame_number AS gap FROM t),
+  w AS (SELECT *, CASE WHEN dk = 50 THEN 50 ELSE (dk + 150) % 100 - 50 END AS d1 FROM e),
+  h3 AS (SELECT dataset, CAST(least(12, floor((polar_r - 0.0) / 0.5)) AS INTEGER) AS a, k // 10 AS b, CAST(least(9, floor((rho + 1) / 0.5)) AS INTEGER) AS c, count(*) AS n, sum(d0) AS d0, sum(d1) AS d1, sum(d2) AS d2
+    FROM w WHERE gap = 1 AND polar_r BETWEEN 0 AND 6.5 AND rho BETWEEN -1 AND 4 GROUP BY ALL),
+  g3 AS (SELECT CAST(i % 13 AS INTEGER) AS i0, CAST(i // 13 % 10 AS INTEGER) AS i1, CAST(i // 130 AS INTEGER) AS i2 FROM (SELECT unnest(generate_series(0, 1299)) AS i)),
+  k3 AS (SELECT h3.*, i0, i1, i2, exp(-((i0 - a) ** 2) / 2) * (exp(-2 * (sin((i1 - b) * {PI!r} / 10) ** 2 / 0.4) ** 2) / 0.4) * exp(-((i2 - c) ** 2) / 2) / (2 * {PI!r}) / 0.25 AS k FROM h3, g3),
+  s3 AS (SELECT dataset, i0, i1, i2, sum(n * k) AS n, sum(d0 * k) AS d0, sum(d1 * k) AS d1, sum(d2 * k) AS d2 FROM k3 GROUP BY ALL),
+  n3 AS (SELECT *, n / sum(n * CASE WHEN i0 IN (0, 12) THEN 0.25 ELSE 0.5 END * CASE WHEN i1 IN (0, 9) THEN 5 ELSE 10 END * CASE WHEN i2 IN (0, 9) THEN 0.25 ELSE 0.5 END) OVER (PARTITION BY dataset) AS p FROM s3)"""
+
+
+@query("stat13c_field_3d", f"{W}, {_FIELD_3D} SELECT dataset, i0, i1, i2, " + ", ".join(f"round(CASE WHEN p >= 1e-10 THEN d{k} / (n * 12) END, 6) AS drift_{k}" for k in range(3)) + " FROM n3")
 def stat13c(spark, sf):
-    axes = [Axis("polar_r", 0.0, 0.5, 13), THETA, Axis("rho", -1.0, 0.5, 10)]
+    axes = [Axis("polar_r", 0.0, 0.5, 13), Axis("k", 0.0, 10.0, 10, 100.0), Axis("rho", -1.0, 0.5, 10)]
     kernels = [("gaussian", 0.5), ("periodic", 0.4), ("gaussian", 0.5)]
     out = dyn.drift_field(trajectories(spark, sf), axes, kernels, DT, ["dataset"])
     return out.select("dataset", "i0", "i1", "i2", *(r(f"drift_{k}", f"drift_{k}") for k in range(3)))
@@ -178,12 +190,25 @@ def summary(base, found, replicates):
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("rho")) - 1
     base = settled(base.withColumn("rank", rank))
     rounds = (base.agg(F.max("rank")).first()[0] or 0) + 1
-    found = found.withColumn("found_id", F.xxhash64("rho", "stability"))
+    found = found.withColumn("found_id", F.col("rho"))
     matched = jn.greedy_matches(base, found, keys, ["rho"], 0.3, rounds)
     return dyn.match_summary(base, matched, keys, [RHO], replicates)
 
 
-@query("stat20_bootstrap_summary")
+@query(
+    "stat20_bootstrap_summary",
+    f"""{W}, {_H}, {_F}, {_ROOTS}, pc AS (SELECT dataset, crop_index, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, count(*) AS m0, sum(dx) AS m1 FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL), {_times(REPLICATES)},
+    bh AS (SELECT dataset, replicate, i0, sum(m0 * times) AS m0, sum(m1 * times) AS m1 FROM pc JOIN y USING (dataset, crop_index) GROUP BY ALL),
+    bs AS (SELECT dataset, replicate, i AS i0, sum(m0 * {_K}) AS m0, sum(m1 * {_K}) AS m1 FROM bh, g GROUP BY ALL),
+    bd AS (SELECT dataset, replicate, i0, -1 + (i0 + 0.5) * 0.25 AS x0, CASE WHEN m0 / sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) OVER (PARTITION BY dataset, replicate) >= 1e-10 THEN m1 / (m0 * 12) END AS v FROM bs),
+    bq AS (SELECT *, lead(v) OVER (PARTITION BY dataset, replicate ORDER BY i0) AS nv FROM bd WHERE v IS NOT NULL),
+    bz AS (SELECT dataset, replicate, round(x0 - v * 0.25 / (nv - v), 4) AS rho, CASE WHEN nv < v THEN 'stable' ELSE 'unstable' END AS stability FROM bq WHERE v * nv < 0),
+    zb AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY rho) AS point_id, row_number() OVER (PARTITION BY dataset, stability ORDER BY rho) - 1 AS rank FROM z),
+    near AS (SELECT dataset, stability, replicate, point_id, rank, bz.rho AS rho, bz.rho AS found_id, abs(bz.rho - zb.rho) AS distance FROM bz JOIN zb USING (dataset, stability) WHERE abs(bz.rho - zb.rho) <= 0.3), {greedy_sql("dataset, stability", 10)},
+    s2 AS (SELECT dataset, stability, point_id, count(*) AS hits, avg(rho) AS m, quantile_cont(rho, 0.05) AS lo, quantile_cont(rho, 0.95) AS hi FROM taken GROUP BY ALL)
+    SELECT dataset, stability, CAST(point_id AS INTEGER) AS point_id, hits, round(m, 6) AS rho_mean, round(CASE WHEN hits >= 2 THEN lo END, 6) AS rho_low, round(CASE WHEN hits >= 2 THEN hi END, 6) AS rho_high, round(coalesce(hits, 0) / {REPLICATES}.0, 6) AS detection_rate
+    FROM zb LEFT JOIN s2 USING (dataset, stability, point_id)""",
+)
 def stat20(spark, sf):
     found = settled(dyn.fixed_points_1d(boot(spark, sf), RHO, ["dataset", "replicate"]))
     out = summary(baseline(spark, sf), found, REPLICATES)

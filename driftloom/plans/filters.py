@@ -95,7 +95,11 @@ def val08(spark, sf):
     return guards.set_differences(s.t, expected, ["dataset", "position", "frame_number"])
 
 
-@query("val09_column_report")
+@query(
+    "val09_column_report",
+    """WITH d AS (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM events)), e AS (SELECT unnest(['event_id', 'ts', 'user_id', 'label', 'mask']) AS c)
+    SELECT (SELECT count(*) FROM events) AS n_rows, (SELECT list(c ORDER BY c) FROM d WHERE c NOT IN (SELECT c FROM e)) AS extra, (SELECT list(c ORDER BY c) FROM e WHERE c NOT IN (SELECT c FROM d) AND c <> 'mask') AS missing""",
+)
 def val09(spark, sf):
     found = guards.column_report(table(spark, sf, "events"), ["event_id", "ts", "user_id", "label", "mask"], ["mask"])
     counted = table(spark, sf, "events").agg(F.count("*").alias("n_rows"))

@@ -180,11 +180,28 @@ def jn17(spark, sf):
     return rows.select("crop_index", "frame_number", "cell").join(vectors, "cell")
 
 
-@query("jn18_greedy_matches")
+def greedy_sql(keys: str, rounds: int) -> str:
+    """Greedy matches of ``near`` (keys, replicate, point_id, rank, found_id, distance), unrolled by rank, as ``taken``."""
+    out, left = [], "near"
+    for k in range(rounds):
+        out.append(f"pick{k} AS MATERIALIZED (SELECT * FROM {left} WHERE rank = {k} QUALIFY row_number() OVER (PARTITION BY {keys}, replicate, point_id ORDER BY distance, found_id) = 1)")
+        out.append(f"left{k} AS MATERIALIZED (SELECT * FROM {left} WHERE rank > {k} AND ({keys}, replicate, found_id) NOT IN (SELECT ({keys}, replicate, found_id) FROM pick{k}))")
+        left = f"left{k}"
+    return ", ".join([*out, "taken AS (" + " UNION ALL ".join(f"SELECT * FROM pick{k}" for k in range(rounds)) + ")"])
+
+
+@query(
+    "jn18_greedy_matches",
+    f"""{W}, {_CENTERS}, m AS (SELECT dataset, frame_number AS replicate, position AS found_id, avg(polar_theta) AS polar_theta, avg(polar_r) AS polar_r FROM t GROUP BY ALL),
+    d AS (SELECT m.*, c.position AS point_id, c.position // 2 AS rank, polar_theta - ct + 3.141592653589793 / 2 AS x, polar_r - cr AS dr FROM m JOIN c USING (dataset)),
+    near AS (SELECT * FROM (SELECT *, sqrt((x - 3.141592653589793 * floor(x / 3.141592653589793) - 3.141592653589793 / 2) ** 2 + dr * dr) AS distance FROM d) WHERE distance <= 0.3), {greedy_sql("dataset", 3)}
+    SELECT dataset, replicate, point_id, found_id, round(polar_theta, 6) AS polar_theta, round(polar_r, 6) AS polar_r, round(distance, 6) AS distance FROM taken""",
+)
 def jn18(spark, sf):
     base = centers(spark, sf).select("dataset", F.col("position").alias("point_id"), F.floor(F.col("position") / 2).cast("int").alias("rank"), F.col("ct").alias("polar_theta"), F.col("cr").alias("polar_r"))
     found = trajectories(spark, sf).groupBy("dataset", F.col("frame_number").alias("replicate"), F.col("position").alias("found_id")).agg(F.avg("polar_theta").alias("polar_theta"), F.avg("polar_r").alias("polar_r"))
-    return jn.greedy_matches(base, found, ["dataset"], ["polar_theta", "polar_r"], 0.3, 3, {"polar_theta": 3.141592653589793})
+    out = jn.greedy_matches(base, found, ["dataset"], ["polar_theta", "polar_r"], 0.3, 3, {"polar_theta": 3.141592653589793})
+    return out.select("dataset", "replicate", "point_id", "found_id", *(r(c, 6) for c in ("polar_theta", "polar_r", "distance")))
 
 
 @query(

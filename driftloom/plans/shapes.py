@@ -173,13 +173,13 @@ def udf02(spark, sf):
     return mutual_best(pairs, [*frame, "a"], [*frame, "b"], F.abs(F.col("ka") - F.col("kb")), "asc").select(*frame, "a", "b")
 
 
-@query("udf03_grouped_map")
+@query("udf03_grouped_map", f"{W} SELECT crop_index, frame_number, round(value - min(value) OVER (PARTITION BY crop_index), 6) AS value FROM t")
 def udf03(spark, sf):
-    def centred(pdf):
-        return pdf.assign(value=pdf["value"] - pdf["value"].mean())
+    def above_least(pdf):
+        return pdf.assign(value=pdf["value"] - pdf["value"].min())
 
     rows = trajectories(spark, sf).select(*KEY, "value")
-    return rows.groupBy("crop_index").applyInPandas(centred, rows.schema).select(*KEY, r("value", "value", 6))
+    return rows.groupBy("crop_index").applyInPandas(above_least, rows.schema).select(*KEY, r("value", "value", 6))
 
 
 @query("udf04_stop_conditions", f"{W}, s AS (SELECT crop_index, frame_number, CASE WHEN rho > 3 THEN 'escaped' WHEN abs(rho) <= 0.05 THEN 'arrived' END AS stop FROM t) SELECT crop_index, arg_min(stop, frame_number) AS stop, min(frame_number) AS frame_number FROM s WHERE stop IS NOT NULL GROUP BY 1")

@@ -67,16 +67,28 @@ def stat05(spark, sf):
 def decays(spark, sf):
     """The mean autocorrelation by lag, computed once, and the decay fitted to it."""
     means = settled(acf(spark, sf).select("dataset", "lag", F.col("mean").alias("y")))
-    return means, st.fit_decay(means, ["dataset"], "lag", "y", 0.0, 5.0)
+    # A decay over more than 100 frames cannot be told from a line here, so b begins there.
+    return means, st.fit_decay(means, ["dataset"], "lag", "y", 0.01, 5.0)
 
 
-@query("stat06_decay_fit")
+def _decay_sql(steps: int = 40, rounds: int = 3) -> str:
+    """The fit of the means, as ``fit``: the grid search of the operator, round by round."""
+    out = ["r0 AS (SELECT DISTINCT dataset, CAST(0.01 AS DOUBLE) AS lo, CAST(5 AS DOUBLE) AS hi FROM ms)"]
+    for k in range(rounds):
+        out.append(f"e{k} AS (SELECT dataset, lo, hi, lo + i * (hi - lo) / {steps} AS b, lag, mean AS y FROM r{k} JOIN ms USING (dataset), (SELECT unnest(generate_series(0, {steps})) AS i))")
+        out.append(f"f{k} AS (SELECT dataset, lo, hi, b, regr_slope(y, exp(-b * lag)) AS a, regr_intercept(y, exp(-b * lag)) AS c, regr_syy(y, exp(-b * lag)) - regr_slope(y, exp(-b * lag)) * regr_sxy(y, exp(-b * lag)) AS sse FROM e{k} GROUP BY ALL)")
+        out.append(f"q{k} AS (SELECT * FROM f{k} WHERE a IS NOT NULL AND NOT isnan(a) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY sse, b) = 1)")
+        out.append(f"r{k + 1} AS (SELECT dataset, greatest(0.01, b - (hi - lo) / {steps}) AS lo, b + (hi - lo) / {steps} AS hi FROM q{k})")
+    return ", ".join([*out, f"fit AS (SELECT dataset, a, b, c FROM q{rounds - 1})"])
+
+
+@query("stat06_decay_fit", f"{W}, {_ACF}, {_decay_sql()} SELECT dataset, round(a, 3) AS a, round(b, 3) AS b, round(c, 3) AS c FROM fit")
 def stat06(spark, sf):
     fit = decays(spark, sf)[1]
     return fit.select("dataset", r("a", "a", 3), r("b", "b", 3), r("c", "c", 3))
 
 
-@query("stat07_decay_r2")
+@query("stat07_decay_r2", f"{W}, {_ACF}, {_decay_sql()} SELECT dataset, round(1 - sum((mean - (a * exp(-b * lag) + c)) ** 2) / nullif(var_pop(mean) * count(mean), 0), 6) AS r2 FROM ms JOIN fit USING (dataset) GROUP BY 1")
 def stat07(spark, sf):
     rows, fit = decays(spark, sf)
     both = rows.join(fit, "dataset").withColumn("fit", F.col("a") * F.exp(-F.col("b") * F.col("lag")) + F.col("c"))
