@@ -85,7 +85,8 @@ def _sums(index: DataFrame, centroids: np.ndarray, rotation: Rotation) -> dict[i
                 np.add.at(total, label, x)
                 count += np.bincount(label, minlength=len(centroids))
         use = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": use, "n": count[use], "total": list(total[use])})
+        if len(use):
+            yield pd.DataFrame({"cluster": use, "n": count[use], "total": list(total[use])})
 
     rows = index.mapInPandas(partial, "cluster int, n long, total array<long>").select("cluster", "n", F.posexplode("total").alias("at", "part"))
     rows = rows.groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum(F.col("part").cast("decimal(38,0)")).alias("total"))

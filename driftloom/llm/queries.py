@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.bpe import op3_bpe_encode_decode
 from driftloom.llm.centroids import OP11_SQL, op11_centroid_clusters
+from driftloom.llm.conversations import OP13_SQL, op13_conversation_repair
 from driftloom.llm.embedding_dedup import op1_embedding_near_dedup
 from driftloom.llm.language_id import op4_language_id
 from driftloom.llm.minhash_dedup import op2_minhash_near_dedup
@@ -30,6 +31,7 @@ QUERIES = [
     op9_url_filter,
     op10_secret_scan,
     op11_centroid_clusters,
+    op13_conversation_repair,
 ]
 
 
@@ -38,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6_SQL, "op9_url_filter": OP9_SQL, "op11_centroid_clusters": OP11_SQL}
+    return {"op6_mix_sources": OP6_SQL, "op9_url_filter": OP9_SQL, "op11_centroid_clusters": OP11_SQL, "op13_conversation_repair": OP13_SQL}
