@@ -15,6 +15,7 @@ from driftloom.llm.minhash_dedup import op2_minhash_near_dedup
 from driftloom.llm.mixing import OP6_SQL, op6_mix_sources
 from driftloom.llm.nearest import op8_nearest_vectors
 from driftloom.llm.pii import op7_personal_data
+from driftloom.llm.repeats import op12_repeated_bytes
 from driftloom.llm.secrets import op10_secret_scan
 from driftloom.llm.token_counts import op5_token_counts
 from driftloom.llm.url_filter import OP9_SQL, op9_url_filter
@@ -31,6 +32,7 @@ QUERIES = [
     op9_url_filter,
     op10_secret_scan,
     op11_centroid_clusters,
+    op12_repeated_bytes,
     op13_conversation_repair,
 ]
 
