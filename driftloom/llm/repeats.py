@@ -6,14 +6,14 @@ prefix of a suffix of the parse (what follows). Two places share 400 bytes exact
 with such a common prefix, so both orders are needed to depth 400 only and are kept as classes of equal prefixes, which can be
 counted with partial sums, instead of ranks:
 
-- A cell holds the starts of one phrase with the distance to its trigger in one bucket. All windows of a cell contain its
+- A cell holds the starts of one phrase with the distance to its trigger in one bucket of 128. All windows of a cell contain its
   core, 400 - 128 + 1 bytes at a fixed place beside the trigger. A core that occurs once rules its cell out.
 - The hull of a cell is all that its windows cover. A hull that occurs twice makes all its starts repeated.
-- What is left are the ends of repeats: cells with a repeated core and a single hull. Their windows are counted one by one, with
-  one representative of each other hull of that core.
+- What is left are the ends of repeats: cells with a repeated core and a single hull. They, and one representative of each
+  other hull of such a core, are cut into cells of 16 starts and judged alike; of those that are left then, windows are
+  counted one by one.
 
-Strings are compared by fingerprints modulo primes near 2^31: two for the cores, two more for the hulls of a core, four for
-single windows.
+Strings are compared by fingerprints modulo primes near 2^31: two for cores, and two more for the hulls or windows of a core.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.shared import documents, stored
+from driftloom.llm.shared import discard, documents, stored
 
 LENGTH = 400
-#: A cell has so many starts at most; its size is packed into the last bits of its first start.
+#: A cell has so many starts at most, and a small cell so many.
 BITS = 7
 WIDTH = 1 << BITS
+SMALL = 16
 #: One in 2^6 words is a trigger: about 0.2 % of windows of prose see none.
 TRIGGER_BITS = 6
 WORD_BYTES = 8
@@ -90,6 +91,15 @@ _blocks = Fingerprints(BLOCK + LENGTH + WORD_BYTES)
 _slices = Fingerprints(WIDTH + LENGTH)
 
 
+def pack(first: np.ndarray, ahead: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """First start, how far ahead of it the core begins, and number of starts of a cell in one long."""
+    return first << 2 * BITS | ahead << BITS | (size - 1)
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return packed >> 2 * BITS, packed >> BITS & (WIDTH - 1), (packed & (WIDTH - 1)) + 1
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the 8 bytes at each position."""
     word = data.astype(np.uint64)
@@ -108,7 +118,7 @@ def least_words(hashes: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarra
 
 
 def cells(data: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the starts from ``begin`` to ``end`` (exclusive): first start, core, hull; sizes are packed into the start.
+    """Cells of the starts from ``begin`` to ``end`` (exclusive): packed place, core, hull.
 
     In a window without a trigger the first word with the least hash serves as one.
     """
@@ -141,7 +151,7 @@ def cells(data: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarra
     for k in (2, 3):
         s = _blocks.sums(here, k)
         out.append(_blocks.of(s[last + LENGTH] - s[first], first, k))
-    return (begin + first) << BITS | (last - first), _pair(*out[:2]), _pair(*out[2:])
+    return pack(begin + first, core - first, last - first + 1), _pair(*out[:2]), _pair(*out[2:])
 
 
 def _cells(block: int):
@@ -168,45 +178,73 @@ def _table(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("k1", "k2", "at", "core", "hull"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fingerprints of the windows of open cells; rows of one text stand together and count once."""
-    seen, found, rows = None, [], 0
+def _cut_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of open cells; rows of one text stand together and count once."""
+    seen = None
     for pdf in batches:
+        found = []
         for k1, k2, body, opened in zip(pdf["k1"], pdf["k2"], pdf["body"], pdf["opened"], strict=True):
             if (k1, k2) == seen:
                 continue
             seen = (k1, k2)
-            data = np.concatenate((np.frombuffer(body, dtype=np.uint8), np.zeros(WIDTH, dtype=np.uint8)))
-            packed, single = np.array([o["at"] for o in opened], dtype=np.int64), np.array([o["single"] for o in opened])
-            for part in range(0, len(packed), SLICES):
-                at = packed[part : part + SLICES]
-                found.append((np.full(len(at), k1), np.full(len(at), k2), at, single[part : part + SLICES], data[(at >> BITS)[:, None] + np.arange(WIDTH + LENGTH - 1)]))
-                rows += len(at)
-                if rows >= SLICES:
-                    yield _prints(found)
-                    found, rows = [], 0
-    if found:
-        yield _prints(found)
-
-
-def _prints(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    k1, k2, packed, single, slices = map(np.concatenate, zip(*found, strict=True))
-    offset = np.arange(WIDTH)
-    use = offset <= (packed & (WIDTH - 1))[:, None]
-    prints = []
-    for k in range(4):
-        s = _slices.sums(slices, k)
-        prints.append(_slices.of(s[:, LENGTH:] - s[:, :WIDTH], offset, k)[use])
-    row = np.nonzero(use)[0]
-    at = ((packed >> BITS)[:, None] + offset)[use] << BITS
-    return pd.DataFrame({"print1": _pair(*prints[:2]), "print2": _pair(*prints[2:]), "k1": k1[row], "k2": k2[row], "at": at, "single": single[row]})
+            for o in opened:
+                first, _, size = unpack(o["at"])
+                found.append((k1, k2, o["at"], o["n"], body[first : first + size + LENGTH - 1]))
+            if len(found) >= ROWS:
+                yield pd.DataFrame(found, columns=["k1", "k2", "whole", "n", "slice"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=["k1", "k2", "whole", "n", "slice"])
+
+
+def _matrix(slices: pd.Series) -> np.ndarray:
+    """Slices as rows, filled up with zeros."""
+    width = WIDTH + LENGTH - 1
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in slices), dtype=np.uint8).reshape(-1, width)
+
+
+def _small_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of ``SMALL`` starts, dealt by the distance to the core, with the core and hull that these have."""
+    for whole in batches:
+        for part in range(0, len(whole), SLICES):
+            pdf = whole.iloc[part : part + SLICES]
+            data, (begin, ahead, size) = _matrix(pdf["slice"]), unpack(pdf["whole"].to_numpy())
+            deal = np.arange(WIDTH // SMALL) * SMALL
+            far, near = np.minimum(ahead[:, None], deal + SMALL - 1), np.maximum((ahead - size + 1)[:, None], deal)
+            row, which = np.nonzero(far >= near)
+            first, last, core = ahead[row] - far[row, which], ahead[row] - near[row, which], ahead[row] - deal[which]
+            prints = []
+            for k, (start, end) in enumerate([(core, core + LENGTH - SMALL + 1)] * 2 + [(first, last + LENGTH)] * 2):
+                s = _slices.sums(data, k)
+                prints.append(_slices.of(s[row, end] - s[row, start], start, k))
+            columns = {c: pdf[c].to_numpy()[row] for c in ("k1", "k2", "whole", "n")}
+            yield pd.DataFrame(columns | {"at": pack(begin[row] + first, core - first, last - first + 1), "core": _pair(*prints[:2]), "hull": _pair(*prints[2:])})
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows of open small cells with their prints."""
+    for whole in batches:
+        for part in range(0, len(whole), SLICES):
+            pdf = whole.iloc[part : part + SLICES]
+            data, (begin, _, _) = _matrix(pdf["slice"]), unpack(pdf["whole"].to_numpy())
+            owner = np.repeat(np.arange(len(pdf)), pdf["opened"].map(len).to_numpy())
+            core, at, n = (np.array([o[c] for opened in pdf["opened"] for o in opened], dtype=np.int64) for c in ("core", "at", "n"))
+            first, _, size = unpack(at)
+            cell = np.repeat(np.arange(len(owner)), size)
+            start = first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(size) - size, size)
+            row, offset = owner[cell], start - begin[owner[cell]]
+            prints = []
+            for k in (2, 3):
+                s = _slices.sums(data, k)
+                prints.append(_slices.of(s[row, offset + LENGTH] - s[row, offset], offset, k))
+            columns = {c: pdf[c].to_numpy()[row] for c in ("k1", "k2")} | {"core": core[cell], "n": n[cell]}
+            yield pd.DataFrame(columns | {"at": pack(start, 0, 1), "print": _pair(*prints)})
 
 
 def spans(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes that windows with these packed starts cover."""
-    packed = np.sort(packed)
-    start = packed >> BITS
-    end = np.maximum.accumulate(start + (packed & (WIDTH - 1)) + LENGTH)
+    """Maximal runs of bytes that windows of these cells cover."""
+    start, _, size = unpack(np.sort(packed))
+    end = np.maximum.accumulate(start + size - 1 + LENGTH)
     new = np.concatenate(([True], start[1:] > end[:-1]))
     return start[new], end[np.concatenate((new[1:], [True]))]
 
@@ -225,22 +263,40 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"]} | dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, zip(*out, strict=True)), strict=True)) if out else {})
 
 
+def _judged(cells: DataFrame, place: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Cells whose hull occurs again, and one cell for each hull of the cores that also have a hull that does not.
+
+    ``n`` is how often a cell occurs; 2 stands for more.
+    """
+    again = cells.groupBy("core").agg(F.sum("n").alias("all")).where("all > 1").select("core")
+    live = stored(cells.join(again, "core"), f"{name}-live")
+    discard(cells)
+    hulls = live.groupBy("core", "hull").agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("one"))
+    hulls = stored(hulls.withColumn("n", F.least("n", F.lit(2))), f"{name}-hulls")
+    mixed = hulls.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("core")
+    opened = hulls.join(mixed, "core").select("one.*", "core", "n")
+    whole = live.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"])
+    return whole, opened
+
+
 def repeated_starts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(k1, k2, repeated): for each text with a repeat, packed starts of its 400-byte strings that occur elsewhere too."""
     texts = docs.where(F.length("body") >= LENGTH).select("k1", "k2", "body")
-    found = stored(texts.mapInPandas(_cells(block), "k1 long, k2 long, at long, core long, hull long"), "cells")
-    again = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    live = stored(found.join(again, "core"), "live")
-    hulls = stored(live.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("one")), "hulls")
-    mixed = hulls.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("core")
-    opened = hulls.join(mixed, "core").select("one.*", (F.col("n") == 1).alias("single"))
-    opened = opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "single")).alias("opened"))
-    windows = texts.join(opened, ["k1", "k2"]).mapInPandas(_windows, "print1 long, print2 long, k1 long, k2 long, at long, single boolean")
+    found = stored(texts.mapInPandas(_cells(block), "k1 long, k2 long, at long, core long, hull long").withColumn("n", F.lit(1)), "cells")
+    whole, opened = _judged(found, ["k1", "k2", "at"], "cells")
+    opened = opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("opened"))
+    slices = texts.join(opened, ["k1", "k2"]).mapInPandas(_cut_slices, "k1 long, k2 long, whole long, n int, slice binary")
+    slices = stored(slices, "slices")
+    small = stored(slices.mapInPandas(_small_cells, "k1 long, k2 long, whole long, n int, at long, core long, hull long"), "small")
+    parts, opened = _judged(small, ["k1", "k2", "whole", "at"], "small")
+    opened = opened.groupBy("k1", "k2", "whole").agg(F.collect_list(F.struct("core", "at", "n")).alias("opened"))
+    windows = slices.drop("n").join(opened, ["k1", "k2", "whole"]).mapInPandas(_windows, "k1 long, k2 long, core long, n int, at long, print long")
     windows = stored(windows, "windows")
-    twice = windows.groupBy("print1", "print2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    ends = windows.where("single").join(twice, ["print1", "print2"]).select("k1", "k2", "at")
-    whole = live.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"]).select("k1", "k2", "at")
-    return whole.unionByName(ends).groupBy("k1", "k2").agg(F.collect_set("at").alias("repeated"))
+    discard(slices)
+    again = windows.groupBy("core", "print").agg(F.sum("n").alias("all")).where("all > 1").select("core", "print")
+    ends = windows.where("n = 1").join(again, ["core", "print"])
+    starts = [x.select("k1", "k2", "at") for x in (whole, parts.where("n = 1"), ends)]
+    return starts[0].unionByName(starts[1]).unionByName(starts[2]).groupBy("k1", "k2").agg(F.collect_set("at").alias("repeated"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

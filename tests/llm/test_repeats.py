@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from driftloom.llm import repeats
-from driftloom.llm.repeats import BITS, WIDTH, cells, op12_repeated_bytes, remove_repeats
+from driftloom.llm.repeats import cells, op12_repeated_bytes, remove_repeats, unpack
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,7 +91,7 @@ def test_cells_hold_each_start_once():
     rng = np.random.default_rng(0)
     for data in (rng.integers(0, 256, 5000, dtype=np.uint8), np.full(1000, 7, dtype=np.uint8), np.tile(np.arange(20, dtype=np.uint8), 90)):
         at, core, hull = cells(data, 0, len(data) - 399)
-        start, n = at >> BITS, (at & (WIDTH - 1)) + 1
+        start, _, n = unpack(at)
         covered = np.concatenate([np.arange(a, a + k) for a, k in zip(start, n, strict=True)])
         assert sorted(covered.tolist()) == list(range(len(data) - 399)) and len(core) == len(hull) == len(at)
 
