@@ -268,12 +268,14 @@ def _judged(cells: DataFrame, place: list[str], name: str) -> tuple[DataFrame, D
 
     ``n`` is how often a cell occurs; 2 stands for more.
     """
-    again = cells.groupBy("core").agg(F.sum("n").alias("all")).where("all > 1").select("core")
+    # Written first, as adaptive execution splits hot keys only where both sides of a join come straight from an exchange.
+    again = stored(cells.groupBy("core").agg(F.sum("n").alias("all")).where("all > 1").select("core"), f"{name}-again")
     live = stored(cells.join(again, "core"), f"{name}-live")
     discard(cells)
     hulls = live.groupBy("core", "hull").agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("one"))
     hulls = stored(hulls.withColumn("n", F.least("n", F.lit(2))), f"{name}-hulls")
     mixed = hulls.groupBy("core").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1 and kinds > 1").select("core")
+    mixed = stored(mixed, f"{name}-mixed")
     opened = hulls.join(mixed, "core").select("one.*", "core", "n")
     whole = live.join(hulls.where("n > 1").select("core", "hull"), ["core", "hull"])
     return whole, opened
@@ -294,9 +296,11 @@ def repeated_starts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     windows = stored(windows, "windows")
     discard(slices)
     again = windows.groupBy("core", "print").agg(F.sum("n").alias("all")).where("all > 1").select("core", "print")
+    again = stored(again, "windows-again")
     ends = windows.where("n = 1").join(again, ["core", "print"])
     starts = [x.select("k1", "k2", "at") for x in (whole, parts.where("n = 1"), ends)]
-    return starts[0].unionByName(starts[1]).unionByName(starts[2]).groupBy("k1", "k2").agg(F.collect_set("at").alias("repeated"))
+    starts = starts[0].unionByName(starts[1]).unionByName(starts[2])
+    return stored(starts.groupBy("k1", "k2").agg(F.collect_set("at").alias("repeated")), "starts")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
