@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,18 +166,17 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return stored(rows.withColumn("segment", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "turns")
 
 
-def _kinds(pdf: pd.DataFrame) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(initial, fault) of each single row, and the distinct row it belongs to: copies after the first are duplicates."""
-    copies = pdf["copies"].to_numpy()
-    at = np.repeat(np.arange(len(pdf)), copies)
-    fault = pdf["fault"].to_numpy()[at]
-    again = np.concatenate(([False], at[1:] == at[:-1])) if len(at) else np.empty(0, dtype=bool)
-    fault = np.where(again & (fault != BLANK), DUPLICATE, fault)
-    return list(zip(pdf["initial"].to_numpy()[at].tolist(), fault.tolist(), strict=True)), at
+def _kinds(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """(initial, fault) of each single row: copies after the first are duplicates."""
+    return [kind for row in zip(pdf["initial"].tolist(), pdf["fault"].tolist(), pdf["copies"].tolist(), strict=True) for kind in _copies(*row)]
+
+
+def _copies(initial: int, fault: int, copies: int) -> list[tuple[int, int]]:
+    return [(initial, fault)] * min(copies, 1) + [(initial, fault if fault == BLANK else DUPLICATE)] * (copies - 1)
 
 
 def _piece_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-    kinds, _ = _kinds(pdf.sort_values("seq"))
+    kinds = _kinds(pdf.sort_values("seq"))
     columns = [backward(kinds, [0 if j == k else NEVER for j in range(4)]) for k in range(4)]
     return pd.DataFrame({"key": [pdf["key"].iloc[0]], "segment": [pdf["segment"].iloc[0]], "matrix": [[min(columns[k][s], NEVER) for s in range(4) for k in range(4)]]})
 
@@ -194,7 +194,7 @@ def _vectors_after(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _piece_ends(rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
     """State after a segment for each state before it (-1 where nothing leads on)."""
-    kinds, _ = _kinds(rows.sort_values("seq"))
+    kinds = _kinds(rows.sort_values("seq"))
     after = list(ends["after"].iloc[0])
     before = backward(kinds, after)
     to = [walk(kinds, s, after)[3] if before[s] < NEVER else -1 for s in range(4)]
@@ -209,20 +209,13 @@ def _states_before(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(before=out)[["key", "segment", "after", "last", "before"]]
 
 
-def _summary(pdf: pd.DataFrame, kinds: list[tuple[int, int]]) -> dict[str, object]:
+def _summary(turns: list[int], kinds: list[tuple[int, int]]) -> tuple:
+    """Counts of one piece, from the turns of its rows in order."""
     initials, faults = [k[0] for k in kinds], [k[1] for k in kinds]
-    turns = pdf.loc[pdf["timed"], "turn"]
-    return {
-        "low": int(turns.iloc[0]) if len(turns) else None,
-        "high": int(turns.iloc[-1]) if len(turns) else None,
-        "turns": int(turns.nunique()),
-        "blank": faults.count(BLANK),
-        "duplicate": faults.count(DUPLICATE),
-        "truncated": faults.count(CUT),
-        "illegal": sum(not _legal(a, b) for a, b in zip(initials, initials[1:])),
-        "first": initials[0] if initials else None,
-        "final": initials[-1] if initials else None,
-    }
+    illegal = sum(not _legal(a, b) for a, b in zip(initials, initials[1:]))
+    ends = (turns[0], turns[-1]) if turns else (None, None)
+    sides = (initials[0], initials[-1]) if initials else (None, None)
+    return (*ends, len(set(turns)), faults.count(BLANK), faults.count(DUPLICATE), faults.count(CUT), illegal, *sides)
 
 
 def _legal(a: int, b: int) -> bool:
@@ -232,23 +225,25 @@ def _legal(a: int, b: int) -> bool:
 def _walked(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """A row for each conversation in the segment, or for each line of it besides where it goes on in another segment."""
     crossing = {k.key: k for k in known.itertuples()}
-    out = []
-    for key, pdf in rows.sort_values("seq").groupby("key", sort=False):
-        kinds, at = _kinds(pdf)
+    rows = rows.sort_values("seq")
+    columns = [rows[c].tolist() for c in ("key", "turn", "timed", "role", "text", "copies", "fault", "initial")]
+    segment, out = int(rows["segment"].iloc[0]) if len(rows) else 0, []
+    for key, group in groupby(zip(*columns, strict=True), key=itemgetter(0)):
+        single = [(row, kind) for row in group for kind in _copies(row[7], row[6], row[5]) or [None]]
+        turns = [row[1] for row, _ in single if row[2]]
+        single = [x for x in single if x[1] is not None]
+        kinds = [kind for _, kind in single]
         here = crossing.get(key)
-        row = {"key": key, "segment": pdf["segment"].iloc[0], "number": 0} | _summary(pdf, kinds)
         more = [] if here is not None and not here.last else [(0, END)]
         after = ENDS if more else list(here.after)
-        row["cost"], row["audit"], stay, _ = walk(kinds + more, 0 if here is None else here.before, after)
-        roles, texts = pdf["role"].to_numpy(), pdf["text"].to_numpy()
-        lines = ((role or roles[at[k]]) + ":" + (texts[at[k]] if k >= 0 else "") for k, role in stay)
-        if here is None:
-            out.append(row | {"sha": hashlib.sha256("\n".join(lines).encode()).hexdigest()})
-        else:
-            out.append(row)
-            out += [{"key": key, "segment": row["segment"], "number": i, "line": x} for i, x in enumerate(lines, 1)]
-    columns = ["key", "segment", "number", "low", "high", "turns", "blank", "duplicate", "truncated", "illegal", "first", "final", "cost", "audit", "sha", "line"]
-    return pd.DataFrame(out, columns=columns, dtype=object).astype({c: "Int64" for c in columns[3:13]})
+        cost, audit, stay, _ = walk(kinds + more, 0 if here is None else here.before, after)
+        lines = ((role or single[k][0][3]) + ":" + (single[k][0][4] if k >= 0 else "") for k, role in stay)
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest() if here is None else None
+        out.append((key, segment, 0, *_summary(turns, kinds), cost, audit, digest, None))
+        if here is not None:
+            out += [(key, segment, i, *[None] * 12, x) for i, x in enumerate(lines, 1)]
+    names = ["key", "segment", "number", "low", "high", "turns", "blank", "duplicate", "truncated", "illegal", "first", "final", "cost", "audit", "sha", "line"]
+    return pd.DataFrame(out, columns=names, dtype=object).astype({c: "Int64" for c in names[3:13]})
 
 
 SUMS = ("blank", "duplicate", "truncated", "illegal", "cost")
