@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from driftloom.operators.aggregates import circular_mean
 from driftloom.operators.grid import Axis, histogram, integral, smoothed
-from driftloom.operators.windows import TRACK, forward_differences, with_dense_index
-from driftloom.sources.scratch import settled
+from driftloom.operators.resampling import multiplicity_arrays, resampled_sums
+from driftloom.operators.windows import TRACK, forward_differences
 
 LEAST_DENSITY = 1e-10
 
@@ -178,32 +178,10 @@ def within_bounds(points: DataFrame, bounds: DataFrame, keys: list[str], axes: l
     return rows.where(reduce(lambda a, b: a & b, (inside_box(F.col(x.column), F.col("lo_" + x.column), F.col("hi_" + x.column)) for x in axes))).select(*points.columns)
 
 
-def multiplicities(df: DataFrame, keys: list[str], track: str, replicates: int, seed: int = 17, draws: DataFrame | None = None) -> DataFrame:
-    """(keys, replicate, track, times): how often each trajectory is drawn with replacement.
-
-    As many are drawn as there are, or as many as ``draws`` (keys, __draws) says. Draws come from whole-number arithmetic on replicate and draw, so they are the same on every run and in every engine.
-    """
-    # Numbers come from range partitions over all keys; a key's own begin at its least.
-    tracks = settled(with_dense_index(df.select(*keys, track).distinct(), [*keys, track], "__i"))
-    each = tracks.groupBy(*keys).agg(F.min("__i").alias("__least"), F.count("*").alias("__n"))
-    tracks = tracks.join(each, keys).withColumn("__j", F.col("__i") - F.col("__least")).drop("__i", "__least")
-    drawn = tracks.select(*keys, "__j", "__n")
-    if draws is not None:
-        # A trajectory stands for every n-th draw from its own number on.
-        every = F.when(F.col("__j") < F.col("__draws"), F.sequence("__j", F.col("__draws").cast("long") - 1, F.col("__n")))
-        drawn = drawn.join(draws.select(*keys, "__draws"), keys).withColumn("__j", F.explode(every))
-    drawn = drawn.select(*keys, "__j", "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    b, j = F.col("replicate").cast("long"), F.col("__j").cast("long")
-    pick = ((b * 7919 + j * 104729 + seed) % 1000003 * 1103515 + 12345) % 2147483647 % F.col("__n")
-    times = drawn.groupBy(*keys, "replicate", pick.alias("__j")).agg(F.count("*").alias("times"))
-    return times.join(tracks.drop("__n"), [*keys, "__j"]).select(*keys, "replicate", track, "times")
-
-
 def bootstrap_density(df: DataFrame, axis: Axis, kernel: tuple[str, float], keys: list[str], track: str, replicates: int, draws: DataFrame | None = None) -> DataFrame:
     """(keys, i0, mean, low, high) of the kernel density over replicates of drawn trajectories, with the 5 to 95 % band."""
     per_track = histogram(df, [axis], {"m0": F.lit(1.0)}, [*keys, track])
-    drawn = multiplicities(df, keys, track, replicates, draws=draws)
-    rows = per_track.join(drawn, [*keys, track]).groupBy(*keys, "replicate", "i0").agg(F.sum(F.col("m0") * F.col("times")).alias("m0"))
+    rows = resampled_sums(per_track, multiplicity_arrays(df, keys, track, replicates, draws=draws), keys, track, ["i0"], ["m0"])
     one = [*keys, "replicate"]
     density = normalized_density(smoothed(rows, [axis], [kernel], ["m0"], one), [axis], one)
     # A group holds a value a replicate, so it is bounded.
@@ -214,9 +192,9 @@ def bootstrap_density(df: DataFrame, axis: Axis, kernel: tuple[str, float], keys
 def bootstrap_field(df: DataFrame, axes: list[Axis], kernels: list[tuple[str, float]], dt: float, keys: list[str], track: str, replicates: int) -> DataFrame:
     """The drift field of every replicate. Histograms by trajectory are computed once; a replicate sums them by multiplicity."""
     per_track = moments(df, axes, [*keys, track])
-    drawn = multiplicities(df, keys, track, replicates)
     values = ["m0", *(f"m{p}_{k}" for k in range(len(axes)) for p in (1, 2))]
-    rows = per_track.join(drawn, [*keys, track]).groupBy(*keys, "replicate", *(f"i{k}" for k in range(len(axes)))).agg(*(F.sum(F.col(v) * F.col("times")).alias(v) for v in values))
+    cells = [f"i{k}" for k in range(len(axes))]
+    rows = resampled_sums(per_track, multiplicity_arrays(df, keys, track, replicates), keys, track, cells, values)
     return field_of(rows, axes, kernels, dt, [*keys, "replicate"])
 
 

@@ -12,6 +12,7 @@ from driftloom.operators import joins as jn
 from driftloom.operators import windows as win
 from driftloom.operators.grid import Axis, integral, marginal
 from driftloom.operators.ranks import percentiles
+from driftloom.operators.resampling import draws_sql, multiplicities, multiplicity_arrays, resampled_sums
 from driftloom.operators.statistics import line_fit_both_errors, signed_distance_to_line
 from driftloom.plans.filters import _COND, S
 from driftloom.plans.joins import greedy_sql
@@ -151,14 +152,13 @@ REPLICATES = 500
 
 
 def _times(replicates: int) -> str:
-    return f"""j AS (SELECT dataset, crop_index, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, crop_index FROM t)),
-    v AS (SELECT dataset, b AS replicate, ((b * 7919 + j * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % n AS j FROM j, (SELECT unnest(generate_series(0, {replicates - 1})) AS b)),
-    y AS (SELECT dataset, CAST(replicate AS INTEGER) AS replicate, crop_index, count(*) AS times FROM v JOIN j USING (dataset, j) GROUP BY ALL)"""
+    tracks = "SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, crop_index FROM t)"
+    return f"j AS (SELECT *, n AS m FROM ({tracks})), {draws_sql(replicates)}"
 
 
 @query("stat18_multiplicities", f"{W}, {_times(REPLICATES)} SELECT * FROM y")
 def stat18(spark, sf):
-    return dyn.multiplicities(trajectories(spark, sf), ["dataset"], "crop_index", REPLICATES)
+    return multiplicities(trajectories(spark, sf), ["dataset"], "crop_index", REPLICATES)
 
 
 def boot(spark, sf):
@@ -278,10 +278,8 @@ def _by_track(source: str) -> str:
 @query(
     "stat24_track_statistics",
     f"""{W}, gm AS {_by_track('t')}, t2 AS {_by_track('u')}, {_KDE.format(t='gm')}, n2 AS (SELECT dataset, count(DISTINCT crop_index) AS draws FROM gm GROUP BY 1),
-    j AS (SELECT dataset, crop_index, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n FROM (SELECT DISTINCT dataset, crop_index FROM t2)),
-    nn AS (SELECT DISTINCT dataset, n, draws FROM j JOIN n2 USING (dataset)), dr AS (SELECT dataset, n, unnest(generate_series(0, draws - 1)) AS d FROM nn),
-    v AS (SELECT dataset, b AS replicate, ((b * 7919 + d * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % n AS j FROM dr, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)),
-    y AS (SELECT dataset, replicate, crop_index, count(*) AS times FROM v JOIN j USING (dataset, j) GROUP BY ALL),
+    j AS (SELECT dataset, crop_index, row_number() OVER (PARTITION BY dataset ORDER BY crop_index) - 1 AS j, count(*) OVER (PARTITION BY dataset) AS n, draws AS m FROM (SELECT DISTINCT dataset, crop_index FROM t2) JOIN n2 USING (dataset)),
+    {draws_sql(REPLICATES)},
     bh AS (SELECT dataset, replicate, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i0, sum(times) AS m0 FROM t2 JOIN y USING (dataset, crop_index) WHERE rho BETWEEN -1 AND 4 GROUP BY ALL),
     bs AS (SELECT dataset, replicate, i AS i0, sum(m0 * {_K}) AS m0 FROM bh, g GROUP BY ALL),
     bd AS (SELECT dataset, i0, m0 / sum(m0 * CASE WHEN i0 IN (0, 19) THEN 0.125 ELSE 0.25 END) OVER (PARTITION BY dataset, replicate) AS density FROM bs),
@@ -313,8 +311,8 @@ def stat25(spark, sf):
 def stat26(spark, sf):
     t = trajectories(spark, sf)
     per = t.where("rho >= -0.5 and rho < 0.5").groupBy("dataset", "crop_index").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    drawn = per.join(dyn.multiplicities(t, ["dataset"], "crop_index", REPLICATES), ["dataset", "crop_index"])
-    means = drawn.groupBy("dataset", "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
+    sums = resampled_sums(per, multiplicity_arrays(t, ["dataset"], "crop_index", REPLICATES), ["dataset"], "crop_index", [], ["s", "n"])
+    means = sums.select("dataset", (F.col("s") / F.col("n")).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.05), F.lit(0.95)))
     return means.groupBy("dataset").agg(r(p[0], "low"), r(F.avg("m"), "mean"), r(p[1], "high"))
 

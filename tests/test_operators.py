@@ -239,25 +239,6 @@ def test_drift_of_relaxing_tracks(spark):
     assert total == pytest.approx(1.0)
 
 
-def test_multiplicities_sum_to_the_tracks(spark):
-    df = spark.range(37).select(F.lit("d").alias("k"), F.col("id").alias("crop"))
-    out = dyn.multiplicities(df, ["k"], "crop", 9).groupBy("replicate").agg(F.sum("times")).collect()
-    assert {r[1] for r in out} == {37} and len(out) == 9
-
-
-def test_multiplicities_of_two_keys_equal_plain_arithmetic(spark):
-    tracks = {"a": [3, 5, 8, 40], "b": [1, 2, 9, 11, 12, 70, 71]}
-    df = frame(spark, [(k, c) for k, v in tracks.items() for c in v], "k string, crop long")
-    want = {}
-    for k, v in tracks.items():
-        for b in range(5):
-            for j in range(len(v)):
-                at = (k, b, v[((b * 7919 + j * 104729 + 17) % 1000003 * 1103515 + 12345) % 2147483647 % len(v)])
-                want[at] = want.get(at, 0) + 1
-    out = dyn.multiplicities(df, ["k"], "crop", 5)
-    assert {(r.k, r.replicate, r.crop): r.times for r in out.collect()} == want
-
-
 def test_bootstrap_summary_rests_on_500_replicates(spark):
     from driftloom import registry
 
