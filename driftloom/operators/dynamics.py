@@ -78,28 +78,28 @@ def filled(field: DataFrame, drifts: list[str]) -> DataFrame:
 def fixed_points_1d(field: DataFrame, axis: Axis, keys: list[str], x: str = "x0", drift: str = "drift_0", i: str = "i0") -> DataFrame:
     """Roots of a field that is linear between neighbouring cells, with their stability.
 
-    A root is a sign change between neighbours, or a cell whose drift is 0 between cells of other drift. Falling drift is
-    stable, rising unstable. A periodic axis closes on itself.
+    A root is a sign change between neighbours, or the middle of a run of cells of zero drift between cells of opposite drift.
+    Falling drift is stable, rising unstable. Cells without a drift part their neighbours. A periodic axis closes on itself, and
+    a run may go over its seam.
     """
     w = Window.partitionBy(*keys).orderBy(i)
-    rows = field.where(F.col(drift).isNotNull())
-    nx, ni, nv = F.lead(x).over(w), F.lead(i).over(w), F.lead(drift).over(w)
-    pv, pi = F.lag(drift).over(w), F.lag(i).over(w)
+    known = field.where(F.col(drift).isNotNull())
+    known = known.withColumns({"__rn": F.row_number().over(w), "__all": F.count("*").over(Window.partitionBy(*keys))})
+    rows = known.where(F.col(drift) != 0)
+    after = {"__ni": i, "__nx": x, "__nv": drift, "__nrn": "__rn"}
+    following = {name: F.lead(c).over(w) for name, c in after.items()}
     if axis.period:
-        ends = Window.partitionBy(*keys).orderBy(i).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        nv = F.coalesce(nv, F.when((F.col(i) == axis.n - 1) & (F.first(i).over(ends) == 0), F.first(drift).over(ends)))
-        nx = F.coalesce(nx, F.col(x) + axis.width)
-        ni = F.coalesce(ni, F.col(i) + 1)
-    rows = rows.withColumns({"__nx": nx, "__ni": ni, "__nv": nv, "__pv": pv, "__pi": pi})
-    here, after = F.col(drift), F.col("__nv")
-    crossing = (F.col("__ni") == F.col(i) + 1) & (here * after < 0)
-    touching = (here == 0) & (F.col("__pi") == F.col(i) - 1) & (F.col("__ni") == F.col(i) + 1) & (F.col("__pv") * after < 0)
-    rows = rows.where(crossing | touching)
-    root = F.when(here == 0, F.col(x)).otherwise(F.col(x) - here * (F.col("__nx") - F.col(x)) / (after - here))
-    slope = F.when(here == 0, after - F.col("__pv")).otherwise(after - here)
+        ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        turn = {"__ni": F.lit(axis.n), "__nx": F.lit(axis.n * axis.width), "__nv": F.lit(0.0), "__nrn": F.col("__all")}
+        following = {name: F.coalesce(following[name], F.first(c).over(ends) + turn[name]) for name, c in after.items()}
+    rows = rows.withColumns(following)
+    here, there, apart = F.col(drift), F.col("__nv"), F.col("__ni") - F.col(i)
+    rows = rows.where((apart == F.col("__nrn") - F.col("__rn")) & (here * there < 0))
+    share = F.when(apart == 1, -here / (there - here)).otherwise(0.5)
+    root = F.col(x) + share * (F.col("__nx") - F.col(x))
     if axis.period:
         root = F.pmod(root - F.lit(axis.low), F.lit(axis.period)) + F.lit(axis.low)
-    return rows.select(*keys, F.round(root, 4).alias(axis.column), F.when(slope < 0, "stable").otherwise("unstable").alias("stability"))
+    return rows.select(*keys, F.round(root, 4).alias(axis.column), F.when(there < here, "stable").otherwise("unstable").alias("stability"))
 
 
 def stability_of(jacobian: np.ndarray) -> str:
@@ -112,33 +112,111 @@ def stability_of(jacobian: np.ndarray) -> str:
     return "stable" if real.max() < 0 else "unstable"
 
 
-def _newton(corners: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray] | None:
-    """Root of a multilinear field in the unit cell and its Jacobian there; corners have shape (2,) * d + (d,)."""
+#: Halvings of a cell, and boxes that are looked at together; beyond either, boxes that touch count as one root.
+HALVINGS, BOXES = 24, 4096
+EDGE = 1e-9
+
+
+def _values(corners: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A multilinear field and its Jacobian at the points u (m, d) of the unit cell; corners have shape (2,) * d + (d,)."""
     d = corners.ndim - 1
 
-    def parts(u, skip=None):
-        value = corners
+    def parts(skip=None):
+        value = np.broadcast_to(corners, (len(u), *corners.shape))
         for k in range(d):
-            value = value[1] - value[0] if k == skip else value[0] * (1 - u[k]) + value[1] * u[k]
+            t = u[:, k].reshape(-1, *[1] * (value.ndim - 2))
+            value = value[:, 1] - value[:, 0] if k == skip else value[:, 0] * (1 - t) + value[:, 1] * t
         return value
 
-    u = np.full(d, 0.5)
+    return parts(), np.stack([parts(k) for k in range(d)], axis=2)
+
+
+def _polished(corners: np.ndarray, u: np.ndarray, steps: int = 40) -> np.ndarray | None:
+    """Newton's method from u; None where it does not settle."""
+    scale = max(np.abs(corners).max(), np.finfo(float).tiny)
     for _ in range(steps):
-        f = parts(u)
-        j = np.stack([parts(u, k) for k in range(d)], axis=1)
+        f, j = (x[0] for x in _values(corners, u[None]))
+        if np.abs(f).max() <= 1e-13 * scale:
+            return u
         try:
-            move = np.linalg.solve(j, f)
+            u = u - np.linalg.solve(j, f)
         except np.linalg.LinAlgError:
             return None
-        u = np.clip(u - move, -0.5, 1.5)
-    inside = (u >= -1e-9).all() and (u <= 1 + 1e-9).all() and np.abs(parts(u)).max() < 1e-8 * max(1.0, np.abs(corners).max())
-    return (u, np.stack([parts(u, k) for k in range(d)], axis=1)) if inside else None
+        if not np.isfinite(u).all() or np.abs(u).max() > 1e3:
+            return None
+    return u if np.abs(_values(corners, u[None])[0]).max() <= 1e-9 * scale else None
+
+
+def _one_to_one(values: np.ndarray, d: int) -> bool:
+    """Whether a multilinear field is surely one to one in a box, from its values at the box's corners.
+
+    Its derivatives along an axis lie between those of the box's edges. Divided by the middle Jacobian they must dominate on the diagonal.
+    """
+    cube = values.reshape((2,) * d + (d,))
+    slopes = [np.diff(cube, axis=k).reshape(-1, d) for k in range(d)]
+    middle = np.stack([s.mean(axis=0) for s in slopes], axis=1)
+    if not np.isfinite(middle).all() or np.linalg.cond(middle) > 1e12:
+        return False
+    turned = [np.linalg.solve(middle, s.T) for s in slopes]
+    return all(turned[i][i].min() > sum(np.abs(turned[k][i]).max() for k in range(d) if k != i) for i in range(d))
+
+
+def cell_roots(corners: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All roots of a multilinear field in the unit cell with their Jacobians, by subdivision.
+
+    A box where some component keeps its sign at all corners holds no root. One in which the field is one to one holds at most
+    one, which Newton's method finds. Others are halved along every axis. Boxes that are left when ``HALVINGS`` or ``BOXES`` is reached
+    hold a double root or lie along a curve of zeros: those that touch become one root in their middle.
+    """
+    d = corners.ndim - 1
+    unit = np.array(list(product((0, 1), repeat=d)), dtype=float)
+    low, size, found, left = np.zeros((1, d)), 1.0, [], np.empty((0, d))
+    for depth in range(HALVINGS + 1):
+        values = _values(corners, (low[:, None, :] + unit * size).reshape(-1, d))[0].reshape(len(low), -1, d)
+        change = ((values.min(axis=1) <= 0) & (values.max(axis=1) >= 0)).all(axis=1)
+        low, values, left = low[change], values[change], []
+        for at, v in zip(low, values, strict=True):
+            root = _polished(corners, at + size / 2) if _one_to_one(v, d) else None
+            if root is None:
+                left.append(at)
+            elif (root >= at - EDGE).all() and (root <= at + size + EDGE).all():
+                found.append(root)
+        left = np.array(left).reshape(-1, d)
+        if not len(left) or depth == HALVINGS or len(left) * 2**d > BOXES:
+            break
+        size /= 2
+        low = (left[:, None, :] + unit * size).reshape(-1, d)
+    found += [group.mean(axis=0) + size / 2 for group in _touching(left, size)]
+    distinct: list[np.ndarray] = []
+    for u in (np.where(np.abs(u - np.round(u)) < 1e-7, np.round(u), u) for u in found):
+        if not any(np.abs(u - v).max() < 1e-6 for v in distinct):
+            distinct.append(u)
+    return [(u, _values(corners, u[None])[1][0]) for u in distinct]
+
+
+def _touching(low: np.ndarray, size: float) -> list[np.ndarray]:
+    """Groups of boxes that touch."""
+    place = {tuple(p): k for k, p in enumerate(np.round(low / size).astype(int).tolist())}
+    groups = []
+    while place:
+        todo, group = [next(iter(place))], []
+        group.append(place.pop(todo[0]))
+        while todo:
+            here = todo.pop()
+            for step in product((-1, 0, 1), repeat=len(here)):
+                other = tuple(a + b for a, b in zip(here, step, strict=True))
+                if other in place:
+                    group.append(place.pop(other))
+                    todo.append(other)
+        groups.append(low[group])
+    return groups
 
 
 def fixed_points_nd(field: DataFrame, axes: list[Axis], keys: list[str]) -> DataFrame:
     """Roots of a field that is linear along each axis inside the cells between grid points, with their stability.
 
-    Only cells on whose corners every component changes sign go to Python; there Newton's method finds the root.
+    Only cells on whose corners every component changes sign or touches zero go to Python; ``cell_roots`` finds all roots of each.
+    A root on a face of several cells counts once. Where the field vanishes along a curve, each cell has one root of it.
     """
     d = len(axes)
     index = [f"i{k}" for k in range(d)]
@@ -158,11 +236,10 @@ def fixed_points_nd(field: DataFrame, axes: list[Axis], keys: list[str]) -> Data
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                found = _newton(np.array([list(v) for v in row["v"]], dtype=float).reshape((2,) * d + (d,)))
-                if found is not None:
-                    u, j = found
-                    x = [a.low + (row[i] + 0.5 + t) * a.width for a, i, t in zip(axes, index, u, strict=True)]
-                    x = [(v - a.low) % a.period + a.low if a.period else v for v, a in zip(x, axes, strict=True)]
+                for u, j in cell_roots(np.array([list(v) for v in row["v"]], dtype=float).reshape((2,) * d + (d,))):
+                    # Whole turns are taken off in cells, so that both sides of a face or seam give the same number.
+                    cells = [row[i] + 0.5 + t for i, t in zip(index, u, strict=True)]
+                    x = [a.low + (c % a.n if a.period else c) * a.width for a, c in zip(axes, cells, strict=True)]
                     # Slopes by cell become slopes by unit; a cell's width is positive, so signs stay.
                     out.append([*(row[k] for k in keys), *np.round(x, 4), stability_of(j / np.array([a.width for a in axes])[None, :])])
             yield pd.DataFrame(out, columns=schema.names)

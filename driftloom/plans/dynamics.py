@@ -130,10 +130,29 @@ def stat15(spark, sf):
     return roots(spark, sf)
 
 
-@query("stat15b_fixed_points_nd")
+#: A field in two dimensions and, cell by cell, f = a + b u + c v + e u v of both components; roots solve a quadratic equation in v.
+_FIELD_2D = f"""e AS (SELECT *, lead(k) {OVER} - k AS dk, lead(rho) {OVER} - rho AS d1, lead(frame_number) {OVER} - frame_number AS gap FROM t),
+  w AS (SELECT *, CASE WHEN dk = 50 THEN 50 ELSE (dk + 150) % 100 - 50 END AS d0 FROM e),
+  h2 AS (SELECT dataset, k // 10 AS b, CAST(least(9, floor((rho + 1) / 0.5)) AS INTEGER) AS c, count(*) AS n, sum(d0) AS d0, sum(d1) AS d1 FROM w WHERE gap = 1 AND rho BETWEEN -1 AND 4 GROUP BY ALL),
+  g2 AS (SELECT CAST(i % 10 AS INTEGER) AS i0, CAST(i // 10 AS INTEGER) AS i1 FROM (SELECT unnest(generate_series(0, 99)) AS i)),
+  k2 AS (SELECT h2.*, i0, i1, (exp(-2 * (sin((i0 - b) * {PI!r} / 10) ** 2 / 0.4) ** 2) / 0.4) * exp(-((i1 - c) ** 2) / 2) / sqrt(2 * {PI!r}) / 0.5 AS k FROM h2, g2),
+  s2 AS (SELECT dataset, i0, i1, sum(n * k) AS n, sum(d0 * k) AS d0, sum(d1 * k) AS d1 FROM k2 GROUP BY ALL),
+  f2 AS (SELECT dataset, i0, i1, d0 / (n * 12) AS p, d1 / (n * 12) AS q FROM (SELECT *, n / sum(n * CASE WHEN i0 IN (0, 9) THEN 5 ELSE 10 END * CASE WHEN i1 IN (0, 9) THEN 0.25 ELSE 0.5 END) OVER (PARTITION BY dataset) AS density FROM s2) WHERE density >= 1e-10),
+  c2 AS (SELECT f.dataset, f.i0, f.i1, f.p AS a1, g.p - f.p AS b1, h.p - f.p AS c1, f.p - g.p - h.p + k.p AS e1, f.q AS a2, g.q - f.q AS b2, h.q - f.q AS c2, f.q - g.q - h.q + k.q AS e2
+    FROM f2 f JOIN f2 g ON g.dataset = f.dataset AND g.i0 = (f.i0 + 1) % 10 AND g.i1 = f.i1 JOIN f2 h ON h.dataset = f.dataset AND h.i0 = f.i0 AND h.i1 = f.i1 + 1 JOIN f2 k ON k.dataset = f.dataset AND k.i0 = (f.i0 + 1) % 10 AND k.i1 = f.i1 + 1),
+  q2 AS (SELECT *, c1 * e2 - c2 * e1 AS aa, a1 * e2 + c1 * b2 - a2 * e1 - c2 * b1 AS bb, a1 * b2 - a2 * b1 AS cc FROM c2),
+  v2 AS (SELECT *, CASE WHEN abs(aa) < 1e-14 THEN -cc / nullif(bb, 0) ELSE (-bb + sign * sqrt(bb * bb - 4 * aa * cc)) / (2 * aa) END AS v FROM q2, (VALUES (-1), (1)) s(sign) WHERE bb * bb - 4 * aa * cc >= 0 AND (sign = 1 OR abs(aa) >= 1e-14)),
+  u2 AS (SELECT *, CASE WHEN abs(b1 + e1 * v) > abs(b2 + e2 * v) THEN -(a1 + c1 * v) / (b1 + e1 * v) ELSE -(a2 + c2 * v) / (b2 + e2 * v) END AS u FROM v2 WHERE v BETWEEN 0 AND 1),
+  j2 AS (SELECT *, (b1 + e1 * v) / 10.0 + (c2 + e2 * u) / 0.5 AS tr, ((b1 + e1 * v) * (c2 + e2 * u) - (c1 + e1 * u) * (b2 + e2 * v)) / 5.0 AS det FROM u2 WHERE u BETWEEN 0 AND 1)"""
+
+
+@query(
+    "stat15b_fixed_points_nd",
+    f"{W}, {_FIELD_2D} SELECT DISTINCT dataset, round((i0 + 0.5 + u) % 10 * 10, 4) AS k, round(-1 + (i1 + 0.5 + v) * 0.5, 4) AS rho, CASE WHEN det < 0 THEN 'saddle' WHEN tr < 0 THEN 'stable' ELSE 'unstable' END AS stability FROM j2",
+)
 def stat15b(spark, sf):
-    axes = [THETA, RHO]
-    rows = dyn.drift_field(trajectories(spark, sf), axes, [("periodic", 0.4), ("gaussian", 0.3)], DT, ["dataset"])
+    axes = [Axis("k", 0.0, 10.0, 10, 100.0), Axis("rho", -1.0, 0.5, 10)]
+    rows = dyn.drift_field(trajectories(spark, sf), axes, [("periodic", 0.4), ("gaussian", 0.5)], DT, ["dataset"])
     return dyn.fixed_points_nd(rows, axes, ["dataset"])
 
 
