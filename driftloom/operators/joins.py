@@ -102,38 +102,72 @@ def greedy_matches(baseline: DataFrame, found: DataFrame, keys: list[str], axes:
     return taken.select(*keys, "replicate", "point_id", "found_id", *axes, "distance")
 
 
-def mutual_best(pairs: DataFrame, a: list[str], b: list[str], score: Column, order: str = "desc") -> DataFrame:
-    """Pairs that are each other's best; ties go to the smaller partner."""
+#: How labels of a frame and of another are matched: the best of each label here, of each label there, or only where both agree. In time,
+#: forward looks from the earlier frame to the later one and reverse the other way.
+MODES = ("forward", "reverse", "to_reference", "from_reference", "reciprocal")
+
+
+def best_pairs(pairs: DataFrame, a: list[str], b: list[str], score: Column, order: str = "desc", mode: str = "reciprocal", step: int = 1) -> DataFrame:
+    """Pairs that are best for ``a`` (from), for ``b`` (to) or for both; ties go to the smaller partner."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    sides = {"forward": "b" if step < 0 else "a", "reverse": "a" if step < 0 else "b", "to_reference": "b", "from_reference": "a", "reciprocal": "ab"}[mode]
     sort = score.desc() if order == "desc" else score.asc()
-    rows = pairs.withColumns({
-        "__ra": F.row_number().over(Window.partitionBy(*a).orderBy(sort, *b)),
-        "__rb": F.row_number().over(Window.partitionBy(*b).orderBy(sort, *a)),
-    })
-    return rows.where("__ra = 1 and __rb = 1").drop("__ra", "__rb")
+    ranks = {"a": Window.partitionBy(*a).orderBy(sort, *b), "b": Window.partitionBy(*b).orderBy(sort, *a)}
+    rows = pairs.withColumns({f"__r{s}": F.row_number().over(ranks[s]) for s in sides})
+    return rows.where(reduce(lambda x, y: x & y, (F.col(f"__r{s}") == 1 for s in sides))).drop("__ra", "__rb")
+
+
+LINK = ["position", "frame_number"]
 
 
-def overlap_links(pixels: DataFrame, step: int = 1) -> DataFrame:
-    """Labels of consecutive frames that overlap most in both directions: (position, frame_number, label, next_label, overlap)."""
+def overlap_links(pixels: DataFrame, step: int = 1, mode: str = "reciprocal", least: int = 1) -> DataFrame:
+    """Labels of frames ``step`` apart that overlap most: (position, frame_number, label, next_label, overlap)."""
     after = pixels.select("position", (F.col("frame_number") - step).alias("frame_number"), "y", "x", F.col("label").alias("next_label"))
-    both = pixels.join(after, ["position", "frame_number", "y", "x"]).groupBy("position", "frame_number", "label", "next_label").agg(F.count("*").alias("overlap"))
-    return mutual_best(both, ["position", "frame_number", "label"], ["position", "frame_number", "next_label"], F.col("overlap"))
+    both = pixels.join(after, [*LINK, "y", "x"]).groupBy(*LINK, "label", "next_label").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    return best_pairs(both, [*LINK, "label"], [*LINK, "next_label"], F.col("overlap"), "desc", mode, step)
 
 
-def metric_links(regions: DataFrame, metrics: dict[str, float], step: int = 1, band: str | None = None) -> DataFrame:
-    """Labels of consecutive frames with the smallest mean metric distance in both directions.
+def metric_links(regions: DataFrame, metrics: dict[str, tuple[list[str], float]], step: int = 1, mode: str = "reciprocal", every: bool = False) -> DataFrame:
+    """Labels of frames ``step`` apart with the smallest mean metric distance: (position, frame_number, label, next_label, distance).
 
-    ``metrics`` holds the largest distance of each metric; the first is banded, so that only neighbours in it meet.
+    ``metrics`` holds columns and the largest distance of each metric; of several columns the distance is Euclidean, and infinity
+    sets no limit. Distances beyond their limit, and null ones, are left out of the mean; a pair needs one metric within its
+    limit, or all where ``every``. Pairs are found tile by tile in the columns of a metric; only where a metric without a limit may
+    decide alone do all labels of both frames meet.
     """
-    band = band or next(iter(metrics))
-    width = metrics[band]
-    after = regions.select("position", (F.col("frame_number") - step).alias("frame_number"), F.col("label").alias("next_label"), *(F.col(m).alias("__n_" + m) for m in metrics))
-    after = after.withColumn("__band", F.floor(F.col("__n_" + band) / width))
-    before = regions.withColumn("__band", F.explode(F.sequence(F.floor(F.col(band) / width) - 1, F.floor(F.col(band) / width) + 1)))
-    both = before.join(after, ["position", "frame_number", "__band"])
-    gaps = {m: F.abs(F.col(m) - F.col("__n_" + m)) for m in metrics}
-    both = both.where(reduce(lambda x, y: x & y, (g <= metrics[m] for m, g in gaps.items())))
-    both = both.withColumn("distance", sum(gaps.values(), F.lit(0.0)) / len(metrics)).select("position", "frame_number", "label", "next_label", "distance")
-    return mutual_best(both, ["position", "frame_number", "label"], ["position", "frame_number", "next_label"], F.col("distance"), "asc")
+    columns = list(dict.fromkeys(c for names, _ in metrics.values() for c in names))
+    after = regions.select("position", (F.col("frame_number") - step).alias("frame_number"), F.col("label").alias("next_label"), *(F.col(c).alias("__n_" + c) for c in columns))
+    before = regions.select(*LINK, "label", *columns)
+    limited = {m: v for m, v in metrics.items() if v[1] != float("inf")}
+    if every:
+        found = [_tiled(before, after, *next(iter(limited.values())))] if limited else [before.join(after, LINK)]
+    elif len(limited) < len(metrics):
+        found = [before.join(after, LINK)]
+    else:
+        found = [_tiled(before, after, *v) for v in limited.values()]
+    both = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
+        both = both.dropDuplicates([*LINK, "label", "next_label"])
+    near = []
+    for names, most in metrics.values():
+        d = F.sqrt(sum(((F.col(c) - F.col("__n_" + c)) ** 2 for c in names), F.lit(0.0)))
+        near.append(F.when(d <= most, d))
+    present = sum((d.isNotNull().cast("int") for d in near), F.lit(0))
+    total = sum((F.coalesce(d, F.lit(0.0)) for d in near), F.lit(0.0))
+    both = both.where(present >= (len(near) if every else 1)).select(*LINK, "label", "next_label", (total / present).alias("distance"))
+    return best_pairs(both, [*LINK, "label"], [*LINK, "next_label"], F.col("distance"), "asc", mode, step)
+
+
+def _tiled(before: DataFrame, after: DataFrame, names: list[str], most: float) -> DataFrame:
+    """Pairs of the same frame whose tiles of side ``most`` touch in every column."""
+    tiles = [f"__t{k}" for k in range(len(names))]
+    side = most if most > 0 else 1.0
+    for t, c in zip(tiles, names, strict=True):
+        at = F.floor(F.col(c) / side)
+        before = before.where(F.col(c).isNotNull()).withColumn(t, F.explode(F.sequence(at - 1, at + 1)))
+        after = after.withColumn(t, F.floor(F.col("__n_" + c) / side))
+    return before.join(after, [*LINK, *tiles]).drop(*tiles)
 
 
 def lagged_pairs(df: DataFrame, x: str, keys: list[str], lags: int) -> DataFrame:

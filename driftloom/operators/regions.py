@@ -69,6 +69,28 @@ def relabelled(px: DataFrame, mapping: DataFrame) -> DataFrame:
     return px.join(mapping, "label", "left").withColumn("label", F.coalesce("new_label", F.lit(0))).drop("new_label")
 
 
+def nearest_links(by_gap: list[DataFrame]) -> DataFrame:
+    """Links over skipped frames from one-to-one links of frames 1, 2, 3 … apart: (position, frame_number, label, next_frame, next_label).
+
+    A label goes on in the nearest frame that it links to, and a label continues the newest record that links to it: shorter
+    gaps come first on both sides. There are as many rounds as gaps.
+    """
+    accepted = None
+    for gap, links in enumerate(by_gap, 1):
+        links = links.select(*FRAME, "label", (F.col("frame_number") + gap).alias("next_frame"), "next_label")
+        if accepted is not None:
+            links = links.join(accepted, [*FRAME, "label"], "left_anti").join(accepted, ["position", "next_frame", "next_label"], "left_anti").select(*accepted.columns)
+        links = settled(links)
+        accepted = links if accepted is None else accepted.unionByName(links)
+    return accepted
+
+
+def unmatched_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels that continue no track; they begin new ones."""
+    taken = links.select("position", F.col("next_frame").alias("frame_number"), F.col("next_label").alias("label"))
+    return nodes.select(*FRAME, "label").distinct().join(taken, [*FRAME, "label"], "left_anti")
+
+
 def tracks(links: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFrame:
     """(position, frame_number, label, track_id) from links (position, frame_number, label, next_frame, next_label) between frames.
 
@@ -86,5 +108,7 @@ def tracks(links: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFrame:
         at, moving = new.drop("moved"), not new.where("moved").isEmpty()
         if not moving:
             break
+    else:
+        raise ValueError(f"links still lead on after {rounds} rounds: they run in a circle")
     indexed = with_dense_index(at, ["to"], "track_id")
     return indexed.select(F.col("n.p").alias("position"), F.col("n.f").alias("frame_number"), F.col("n.l").alias("label"), "track_id")

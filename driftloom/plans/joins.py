@@ -229,7 +229,50 @@ _REG = f"""{PX_SQL}, g AS (SELECT frame_number // 10 AS position, frame_number %
 def jn20(spark, sf):
     n = F.col("frame_number")
     g = pixels(spark, sf).groupBy(F.floor(n / 10).alias("position"), (n % 10).alias("frame_number"), "label").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    return jn.metric_links(g, {"cy": 1.0, "cx": 1.0}).withColumn("distance", F.round("distance", 6))
+    return jn.metric_links(g, {"cy": (["cy"], 1.0), "cx": (["cx"], 1.0)}, every=True).withColumn("distance", F.round("distance", 6))
+
+
+_FILM_REGIONS = f"{PX_SQL}, g AS (SELECT frame_number // 10 AS position, frame_number % 10 AS frame_number, label, avg(y) AS cy, avg(x) AS cx, count(*) AS area, avg(intensity) AS mean FROM px GROUP BY ALL)"
+#: The centroid within 1.5 pixels, the area within 6; the mean intensity is compared without a limit where the query has three metrics.
+_METRICS = {"centroid": (["cy", "cx"], 1.5), "area": (["area"], 6.0)}
+
+
+def _mode_sql(step: int, side: str, third: bool = False) -> str:
+    """All pairs of labels of both frames, ranked on one side."""
+    d = "CASE WHEN d1 <= 1.5 THEN d1 END, CASE WHEN d2 <= 6 THEN d2 END" + (", d3" if third else "")
+    rank = "label ORDER BY d, next_label" if side == "from" else "next_label ORDER BY d, label"
+    return f"""WITH {_FILM_REGIONS}, b AS (SELECT a.position, a.frame_number, a.label, n.label AS next_label, sqrt((a.cy - n.cy) ** 2 + (a.cx - n.cx) ** 2) AS d1, abs(a.area - n.area) AS d2, abs(a.mean - n.mean) AS d3
+      FROM g a JOIN g n ON a.position = n.position AND n.frame_number = a.frame_number + {step}),
+    m AS (SELECT *, list_avg(list_filter([{d}], lambda x: x IS NOT NULL)) AS d FROM b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY position, frame_number, {rank}) AS r FROM m WHERE d IS NOT NULL)
+    SELECT position, frame_number, label, next_label, round(d, 6) AS distance FROM k WHERE r = 1"""
+
+
+def _film_links(spark, sf, step, mode, metrics=None):
+    n = F.col("frame_number")
+    g = pixels(spark, sf).groupBy(F.floor(n / 10).alias("position"), (n % 10).alias("frame_number"), "label")
+    g = g.agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.count("*").alias("area"), F.avg("intensity").alias("mean"))
+    return jn.metric_links(g, metrics or _METRICS, step, mode).withColumn("distance", F.round("distance", 6))
+
+
+@query("jn20b_links_forward", _mode_sql(1, "from"))
+def jn20b(spark, sf):
+    return _film_links(spark, sf, 1, "forward")
+
+
+@query("jn20c_links_reverse", _mode_sql(1, "to"))
+def jn20c(spark, sf):
+    return _film_links(spark, sf, 1, "reverse")
+
+
+@query("jn20d_links_to_reference", _mode_sql(-1, "to"))
+def jn20d(spark, sf):
+    return _film_links(spark, sf, -1, "to_reference")
+
+
+@query("jn20e_links_from_reference", _mode_sql(-2, "from", third=True))
+def jn20e(spark, sf):
+    return _film_links(spark, sf, -2, "from_reference", _METRICS | {"mean": (["mean"], float("inf"))})
 
 
 @query("jn21_lagged_products", f"{W} SELECT a.crop_index, CAST(b.frame_number - a.frame_number AS INTEGER) AS lag, round(sum(a.rho * b.rho), 9) AS product, count(*) AS n FROM t a JOIN t b ON a.crop_index = b.crop_index AND b.frame_number - a.frame_number BETWEEN 1 AND 5 GROUP BY ALL")

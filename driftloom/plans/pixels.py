@@ -90,6 +90,46 @@ def stat39(spark, sf):
     return reg.tracks(links, px.select("position", "frame_number", "label").distinct())
 
 
+#: Labels that vanish now and then, and tracks that go on over up to two frames without them.
+TOLERANCE = 2
+_VANISHED = "(frame_number * 3 + label * 5 + position) % 7 < 2"
+
+
+def _gap_sql() -> str:
+    parts = [f"p AS (SELECT * FROM (SELECT frame_number // 10 AS position, frame_number % 10 AS frame_number, y, x, label FROM px) WHERE NOT {_VANISHED})"]
+    for k in range(1, TOLERANCE + 2):
+        parts.append(f"""b{k} AS (SELECT a.position, a.frame_number, a.label, n.frame_number AS next_frame, n.label AS next_label, count(*) AS overlap
+          FROM p a JOIN p n ON a.position = n.position AND n.frame_number = a.frame_number + {k} AND a.y = n.y AND a.x = n.x GROUP BY ALL)""")
+        parts.append(f"m{k} AS (SELECT *, row_number() OVER (PARTITION BY position, frame_number, label ORDER BY overlap DESC, next_label) AS ra, row_number() OVER (PARTITION BY position, frame_number, next_label ORDER BY overlap DESC, label) AS rb FROM b{k})")
+        earlier = " AND ".join(
+            f"NOT EXISTS (SELECT 1 FROM k{j} o WHERE o.position = m{k}.position AND (o.frame_number = m{k}.frame_number AND o.label = m{k}.label OR o.next_frame = m{k}.next_frame AND o.next_label = m{k}.next_label))" for j in range(1, k)
+        )
+        parts.append(f"k{k} AS (SELECT position, frame_number, label, next_frame, next_label FROM m{k} WHERE ra = 1 AND rb = 1{' AND ' + earlier if earlier else ''})")
+    parts.append("k AS (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(1, TOLERANCE + 2)) + ")")
+    parts.append("nd AS (SELECT DISTINCT position, frame_number, label FROM p)")
+    parts.append("fresh AS (SELECT * FROM nd WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.position = nd.position AND k.next_frame = nd.frame_number AND k.next_label = nd.label))")
+    parts.append("""c AS (SELECT position, frame_number AS rf, label AS rl, frame_number, label FROM fresh
+      UNION ALL SELECT c.position, rf, rl, k.next_frame, k.next_label FROM c JOIN k ON k.position = c.position AND k.frame_number = c.frame_number AND k.label = c.label)""")
+    return f"WITH RECURSIVE {PX_SQL}, " + ", ".join(parts)
+
+
+def _gaps(spark, sf):
+    px = film(spark, sf).where(f"NOT {_VANISHED}")
+    links = reg.nearest_links([jn.overlap_links(px, k) for k in range(1, TOLERANCE + 2)])
+    return px.select("position", "frame_number", "label").distinct(), links
+
+
+@query("stat39b_tracks_over_gaps", f"{_gap_sql()} SELECT position, frame_number, label, dense_rank() OVER (ORDER BY position, rf, rl) - 1 AS track_id FROM c")
+def stat39b(spark, sf):
+    nodes, links = _gaps(spark, sf)
+    return reg.tracks(links, nodes)
+
+
+@query("jn23b_new_labels", f"{_gap_sql()} SELECT * FROM fresh")
+def jn23b(spark, sf):
+    return reg.unmatched_labels(*_gaps(spark, sf))
+
+
 @query("stat40_relabelled", f"{W} SELECT frame_number, y, x, CASE label WHEN 2 THEN 20 WHEN 4 THEN 40 ELSE 0 END AS label FROM px")
 def stat40(spark, sf):
     mapping = spark.sql("SELECT * FROM (VALUES (2, 20), (4, 40)) AS v(label, new_label)")

@@ -164,13 +164,13 @@ def udf01(spark, sf):
     f"{W}, p AS (SELECT t.dataset, t.frame_number, t.crop_index AS a, u.crop_index AS b, abs(t.k - u.k) AS d FROM t JOIN u ON t.dataset = u.dataset AND t.frame_number = u.frame_number WHERE t.position = 0 AND u.position <> 0), m AS (SELECT *, row_number() OVER (PARTITION BY dataset, frame_number, a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY dataset, frame_number, b ORDER BY d, a) AS rb FROM p) SELECT dataset, frame_number, a, b FROM m WHERE ra = 1 AND rb = 1",
 )
 def udf02(spark, sf):
-    from driftloom.operators.joins import mutual_best
+    from driftloom.operators.joins import best_pairs
 
     a = trajectories(spark, sf).where("position = 0").select("dataset", "frame_number", F.col("crop_index").alias("a"), F.col("k").alias("ka"))
     b = trajectories(spark, sf, last=True).where("position <> 0").select("dataset", "frame_number", F.col("crop_index").alias("b"), F.col("k").alias("kb"))
     pairs = a.join(b, ["dataset", "frame_number"])
     frame = ["dataset", "frame_number"]
-    return mutual_best(pairs, [*frame, "a"], [*frame, "b"], F.abs(F.col("ka") - F.col("kb")), "asc").select(*frame, "a", "b")
+    return best_pairs(pairs, [*frame, "a"], [*frame, "b"], F.abs(F.col("ka") - F.col("kb")), "asc").select(*frame, "a", "b")
 
 
 @query("udf03_grouped_map", f"{W} SELECT crop_index, frame_number, round(value - min(value) OVER (PARTITION BY crop_index), 6) AS value FROM t")
