@@ -58,31 +58,59 @@ def with_pearson_p(df: DataFrame, r: str, n: str, name: str = "p") -> DataFrame:
     return df.withColumn(name, F.when(F.col(n) >= 3, p(F.col(r), F.col(n))))
 
 
+def _correlated(first: int, frames: int, most: int):
+    """Lagged products of whole trajectories at once, by the convolution theorem; padding keeps the ends apart."""
+    size = 1 << (2 * frames - 1).bit_length()
+
+    def centred(rows: pd.Series, at: int) -> tuple[np.ndarray, np.ndarray]:
+        out, spread = np.zeros((len(rows), frames)), np.full(len(rows), np.nan)
+        for k, row in enumerate(rows):
+            known = [(r[0], r[at]) for r in row if r[at] is not None]
+            if known:
+                t, v = np.array([t for t, _ in known]) - first, np.array([v for _, v in known], dtype=float)
+                out[k, t] = v - v.mean()
+                spread[k] = v.std(ddof=1) if len(v) > 1 and v.min() < v.max() else np.nan
+        return out, spread
+
+    def correlated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in range(0, len(pdf), 256):
+                rows = pdf.iloc[part : part + 256]
+                series = rows["__rows"].map(lambda row: [(r["frame_number"], r["x"], r["y"]) for r in row])
+                (x, sx), (y, sy) = centred(series, 1), centred(series, 2)
+                products = np.fft.irfft(np.fft.rfft(x, size).conj() * np.fft.rfft(y, size), size)
+                lags = np.concatenate((products[:, size - most :], products[:, : most + 1]), axis=1)
+                scaled = lags / (frames * sx * sy)[:, None]
+                yield rows.drop(columns="__rows").assign(ccf=[None if np.isnan(s) else c for s, c in zip(sx * sy, scaled, strict=True)])
+
+    return correlated
+
+
+def cross_correlation(df: DataFrame, x: str, y: str, keys: list[str], lags: int | None = None) -> DataFrame:
+    """(keys, lag, ccf) of each trajectory for lags from minus to plus a third of the frames (or ``lags``): x against y ``lag`` frames later.
+
+    Values are centred by the mean of the frames present, missing frames and nulls count 0, and the sum of lagged products is
+    divided by the table's number of frames and both sample deviations; trajectories with a constant or single value give null.
+    A trajectory is one row of arrays, so rows are shuffled once, whatever the number of lags.
+    """
+    low, high = df.agg(F.min("frame_number"), F.max("frame_number")).first()
+    frames = 1 if low is None else high - low + 1
+    most = min(frames - 1, lags) if lags is not None else max(1, frames // 3)
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct("frame_number", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("__rows"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("ccf", T.ArrayType(T.DoubleType()))])
+    found = rows.mapInPandas(_correlated(low or 0, frames, most), schema)
+    return found.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select(*keys, "lag", F.col("ccf")[F.col("lag") + most].alias("ccf"))
+
+
 def autocorrelation(df: DataFrame, x: str, keys: list[str], lags: int | None = None) -> DataFrame:
-    """(keys, lag, acf) of each trajectory for lags 1 to a third of the frames (or ``lags``).
+    """(keys, lag, acf) of each trajectory for positive lags: its cross-correlation with itself."""
+    return cross_correlation(df, x, x, keys, lags).where("lag > 0").withColumnRenamed("ccf", "acf")
 
-    Values are centred by the mean of the frames present, missing frames count 0, and the sum of lagged products is divided
-    by the table's number of frames and the sample variance; constant trajectories give null.
-    """
-    from driftloom.operators.joins import lagged_pairs
-    from pyspark.sql import Window
-
-    # The number of frames is a single row, which joins every trajectory.
-    frames = df.agg((F.max("frame_number") - F.min("frame_number") + 1).alias("__n"))
-    over = Window.partitionBy(*keys)
-    rows = df.where(F.col(x).isNotNull()).withColumns({"__c": F.col(x) - F.avg(x).over(over), "__s": F.stddev_samp(x).over(over)})
-    most = lags if lags is not None else max(1, (frames.first()[0] or 0) // 3)
-    spread = rows.groupBy(*keys).agg(F.first("__s").alias("__s"))
-    products = lagged_pairs(rows, "__c", keys, most).groupBy(*keys, "lag").agg(F.sum(F.col("early") * F.col("later")).alias("__p"))
-    every = spread.crossJoin(F.broadcast(frames)).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    out = every.join(products, [*keys, "lag"], "left")
-    return out.select(*keys, "lag", (F.coalesce("__p", F.lit(0.0)) / (F.col("__n") * F.nullif(F.col("__s") * F.col("__s"), F.lit(0.0)))).alias("acf"))
-
-
-def lag_summary(acf: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and 5th and 95th percentile of the autocorrelation over trajectories."""
+
+def lag_summary(acf: DataFrame, keys: list[str], value: str = "acf") -> DataFrame:
+    """Mean and 5th and 95th percentile of a correlation over trajectories."""
     acf = settled(acf)
-    out = acf.groupBy(*keys, "lag").agg(F.avg("acf").alias("mean")).join(percentiles(acf, [*keys, "lag"], "acf", [5, 95]), [*keys, "lag"], "left")
+    out = acf.groupBy(*keys, "lag").agg(F.avg(value).alias("mean")).join(percentiles(acf, [*keys, "lag"], value, [5, 95]), [*keys, "lag"], "left")
     return out.select(*keys, "lag", "mean", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"))
 
 

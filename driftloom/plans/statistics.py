@@ -64,6 +64,18 @@ def stat05(spark, sf):
     return acf(spark, sf).select("dataset", "lag", r("mean", "mean"), r("lower", "lower"), r("upper", "upper"))
 
 
+_CCF = f"""b AS (SELECT max(frame_number) - min(frame_number) + 1 AS n FROM t), c AS (SELECT dataset, crop_index, frame_number, rho - avg(rho) OVER w AS c1, polar_r - avg(polar_r) OVER w AS c2, stddev_samp(rho) OVER w AS s1, stddev_samp(polar_r) OVER w AS s2 FROM t WINDOW w AS (PARTITION BY crop_index)),
+l AS (SELECT CAST(unnest(generate_series(-(SELECT n // 3 FROM b), (SELECT n // 3 FROM b))) AS INTEGER) AS lag), x AS (SELECT DISTINCT dataset, crop_index, s1, s2, lag FROM c, l),
+p AS (SELECT a.crop_index, z.frame_number - a.frame_number AS lag, sum(a.c1 * z.c2) AS p FROM c a JOIN c z ON a.crop_index = z.crop_index GROUP BY ALL),
+ccf AS (SELECT dataset, x.crop_index, x.lag, coalesce(p, 0) / (n * nullif(s1 * s2, 0)) AS ccf FROM x LEFT JOIN p ON x.crop_index = p.crop_index AND x.lag = p.lag, b)"""
+
+
+@query("stat05b_cross_correlation", f"{W}, {_CCF} SELECT dataset, lag, round(avg(ccf), 6) AS mean, round(quantile_cont(ccf, 0.05), 6) AS lower, round(quantile_cont(ccf, 0.95), 6) AS upper FROM ccf GROUP BY ALL")
+def stat05b(spark, sf):
+    found = st.cross_correlation(trajectories(spark, sf), "rho", "polar_r", ["dataset", "crop_index"])
+    return st.lag_summary(found, ["dataset"], "ccf").select("dataset", "lag", r("mean", "mean"), r("lower", "lower"), r("upper", "upper"))
+
+
 def decays(spark, sf):
     """The mean autocorrelation by lag, computed once, and the decay fitted to it."""
     means = settled(acf(spark, sf).select("dataset", "lag", F.col("mean").alias("y")))
