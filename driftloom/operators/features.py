@@ -11,8 +11,8 @@ from driftloom.functions import angles as A
 from driftloom.operators import windows as win
 
 
-def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]], list[float]]:
-    """(mean, loadings by component, explained share) of array rows.
+def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]], list[float], list[float]]:
+    """(mean, loadings by component, explained share, explained variance) of array rows; variances are of samples.
 
     Signs are fixed: the loading of largest size is positive. The Gram matrix is summed on the executors; the result has
     k times the vector's length, not the rows'.
@@ -23,11 +23,13 @@ def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[
         raise ValueError("no rows to fit")
     if not 1 <= k <= size[0]:
         raise ValueError(f"between 1 and {size[0]} components are possible")
-    mean = list(rows.agg(F.array(*(F.avg(F.col("v")[i]) for i in range(size[0])))).first()[0])
+    each = [F.col("v")[i] for i in range(size[0])]
+    mean, total = rows.agg(F.array(*map(F.avg, each)), sum(map(F.var_samp, each), F.lit(0.0))).first()
     model = PCA(k=k, inputCol="x", outputCol="y").fit(rows.select(array_to_vector("v").alias("x")))
     loadings = model.pc.toArray().T.tolist()
     signed = [[-x for x in c] if c[max(range(len(c)), key=lambda i: abs(c[i]))] < 0 else c for c in loadings]
-    return mean, signed, [float(x) for x in model.explainedVariance.toArray()]
+    share = [float(x) for x in model.explainedVariance.toArray()]
+    return list(mean), signed, share, [x * total for x in share] if total is not None else [0.0] * k
 
 
 def project(df: DataFrame, vector: str, mean: list[float], loadings: list[list[float]], polar: bool = True) -> DataFrame:
@@ -46,7 +48,7 @@ def project(df: DataFrame, vector: str, mean: list[float], loadings: list[list[f
 
 
 def loading_table(spark, loadings: list[list[float]], explained: list[float], scaled: bool = False, power: int = 1) -> DataFrame:
-    """(component, feature, loading): optionally times the root of the explained share, absolute (power 0) or squared (2)."""
+    """(component, feature, loading): optionally times the root of the explained variance, absolute (power 0) or squared (2)."""
     rows = []
     for k, (c, e) in enumerate(zip(loadings, explained, strict=True)):
         for i, x in enumerate(c):

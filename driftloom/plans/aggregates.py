@@ -218,6 +218,19 @@ def agg19(spark, sf):
     return out.select(*(r(c, c, 6) for c in out.columns))
 
 
+@query(
+    "agg19b_correlation_of_components",
+    """WITH e AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM (SELECT *, CAST(unnest(generate_series(0, 63)) AS INTEGER) AS i FROM embeddings) WHERE (vec_id * 7 + i * 13) % 11 != 0)
+    SELECT p.i AS a, q.i AS b, count(*) AS n, round(corr(p.x, q.x), 6) AS r FROM e p JOIN e q ON p.vec_id = q.vec_id AND p.i < q.i GROUP BY ALL""",
+)
+def agg19b(spark, sf):
+    """All pairs of 64 components, of which one in eleven values is taken out."""
+    from driftloom.operators.matrices import correlation_matrix
+
+    holes = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") * 7 + i * 13) % 11 != 0, x))
+    return correlation_matrix(table(spark, sf, "embeddings").select(holes.alias("v")), "v", 64).withColumn("r", F.round("r", 6))
+
+
 @query("agg20_pearson", f"{W} SELECT dataset, position, round(corr(value, k), 6) AS r, count(*) AS n FROM t GROUP BY ALL")
 def agg20(spark, sf):
     from driftloom.operators.statistics import with_pearson_p

@@ -113,22 +113,22 @@ def components(spark, sf, k=3):
 
 @query("stat27_pca_fit")
 def stat27(spark, sf):
-    _, _, explained = components(spark, sf, 8)
+    _, _, explained, _ = components(spark, sf, 8)
     n = table(spark, sf, "embeddings").agg(F.count("*").alias("n_rows"))
     return n.select("n_rows", F.posexplode(F.lit(explained)).alias("component", "explained"))
 
 
 @query("stat28_projection")
 def stat28(spark, sf):
-    mean, loadings, _ = components(spark, sf)
+    mean, loadings, _, _ = components(spark, sf)
     out = feat.project(table(spark, sf, "embeddings"), "embedding", mean, loadings)
     return out.select("vec_id", *(r(c, c) for c in ("polar_r", "polar_theta", "rho")))
 
 
 @query("stat29_loadings")
 def stat29(spark, sf):
-    _, loadings, explained = components(spark, sf)
-    return feat.loading_table(spark, loadings, explained, scaled=True, power=2)
+    _, loadings, _, variances = components(spark, sf)
+    return feat.loading_table(spark, loadings, variances, scaled=True, power=2)
 
 
 @query(

@@ -292,7 +292,7 @@ def test_decay_fit(spark):
 def test_components_are_centred_and_orthogonal(spark):
     x = np.random.default_rng(3).normal(size=(200, 5)) * [5, 3, 1, 1, 1] + 7
     df = frame(spark, [(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
-    mean, loadings, explained = feat.fit_pca(df, "v", 3)
+    mean, loadings, explained, _ = feat.fit_pca(df, "v", 3)
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(np.array(loadings) @ np.array(loadings).T, np.eye(3))
     pcs = np.array([r.pc for r in feat.project(df, "v", mean, loadings).orderBy("id").collect()])
     assert np.allclose(pcs.mean(axis=0), 0, atol=1e-9) and explained == sorted(explained, reverse=True)
