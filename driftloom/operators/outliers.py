@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.operators.windows import local_extrema, rolling_median
@@ -17,14 +17,13 @@ def outlier_classes(
     A frame has ``slices`` rows. Unless ``peaks_only`` is off, dark rows are local minima and bright ones local maxima.
     Partly dark rows are errors of the scope, the others temporary artifacts.
     """
-    rows = rolling_median(df, x, size, keys, order)
+    rows = rolling_median(df, x, size, keys, order, place="__row")
     m, v = F.col("rolling_median"), F.col(x)
     kind = F.when(v <= m * (1 - dark), "dark").when(v <= m * (1 - partial), "partial_dark").when(v >= m * (1 + bright), "bright")
     if peaks_only:
         rows = local_extrema(rows, x, keys, order)
         kind = F.when(F.col("extremum") == F.when(kind == "bright", "max").otherwise("min"), kind)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    rows = rows.withColumns({"kind": kind, "frame_number": F.floor(place / slices).cast("int")}).where("kind is not null")
+    rows = rows.withColumns({"kind": kind, "frame_number": F.floor(F.col("__row") / slices).cast("int")}).drop("__row").where("kind is not null")
     return rows.withColumn("annotation", F.when(F.col("kind") == "partial_dark", "scope_error").otherwise("temporary_artifact"))
 
 

@@ -6,12 +6,15 @@ import math
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.functions.angles import unwrapped_step, wrapped_difference
+from driftloom.operators.blocks import BLOCK, over_blocks
 from driftloom.sources.scratch import settled
 
 TRACK = ["dataset", "position", "crop_index"]
@@ -145,41 +148,42 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def gaussian_smoothed(df: DataFrame, x: str, sigma: float, keys: list[str], order: list[str], name: str = "smoothed") -> DataFrame:
-    """Gaussian smoothing with mirrored edges (the edge value repeats), over rows in order."""
-    weights = gaussian_weights(sigma)
+def gaussian_smoothed(df: DataFrame, x: str, sigma: float, keys: list[str], order: list[str], name: str = "smoothed", block: int = BLOCK) -> DataFrame:
+    """Gaussian smoothing with mirrored edges (the edge value repeats), over rows in order; null where a value in reach is null.
+
+    Keys may have any length; they are worked on in blocks.
+    """
+    weights = np.array(gaussian_weights(sigma))
     radius = len(weights) // 2
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = F.collect_list(F.col(x).cast("double"))
-    rows = df.withColumns({
-        "__i": F.row_number().over(w) - 1,
-        "__n": F.count("*").over(Window.partitionBy(*keys)),
-        "__around": near.over(w.rowsBetween(-2 * radius, 2 * radius)),
-    })
-    start = F.greatest(F.col("__i") - 2 * radius, F.lit(0))
-    total = F.lit(0.0)
-    for k, weight in enumerate(weights):
-        at = F.pmod(F.col("__i") + (k - radius), 2 * F.col("__n"))
-        mirrored = F.least(at, 2 * F.col("__n") - 1 - at)
-        total = total + F.lit(weight) * F.get("__around", (mirrored - start).cast("int"))
-    return rows.withColumn(name, total).drop("__i", "__n", "__around")
-
-
-def rolling_median(df: DataFrame, x: str, size: int, keys: list[str], order: list[str], name: str = "rolling_median") -> DataFrame:
+
+    def smooth(values: np.ndarray, start: int, n: int) -> np.ndarray:
+        at = (start + np.arange(len(values)))[:, None] + np.arange(-radius, radius + 1)
+        at %= 2 * n
+        at = np.minimum(at, 2 * n - 1 - at) - start
+        # Rows of the halo lack neighbours; they are no results.
+        return values[np.clip(at, 0, len(values) - 1)] @ weights
+
+    return over_blocks(df, x, keys, order, radius, smooth, name, block=max(block, radius))
+
+
+def rolling_median(df: DataFrame, x: str, size: int, keys: list[str], order: list[str], name: str = "rolling_median", place: str | None = None, block: int = BLOCK) -> DataFrame:
     """Median over [-size/2, size/2 - 1] rows; rows without a whole window take the nearest whole window's median.
 
-    Shorter keys than the window have one median for all rows.
+    Shorter keys than the window have one median for all rows. Nulls are left out. Keys may have any length: they are worked on in
+    blocks, and inside a block the window moves over an ordered structure. ``place`` names a column for a row's place in its key.
     """
     half = size // 2
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.withColumns({"__rn": F.row_number().over(w), "__n": n, "__m": F.percentile(x, F.lit(0.5)).over(w.rowsBetween(-half, half - 1))})
-    every = Window.partitionBy(*keys)
-    first = F.max(F.when(F.col("__rn") == half + 1, F.col("__m"))).over(every)
-    last = F.max(F.when(F.col("__rn") == F.col("__n") - half + 1, F.col("__m"))).over(every)
-    short = F.percentile(x, F.lit(0.5)).over(every)
-    value = F.when(F.col("__n") < size, short).when(F.col("__rn") <= half, first).when(F.col("__rn") > F.col("__n") - half + 1, last).otherwise(F.col("__m"))
-    return rows.withColumn(name, value).drop("__rn", "__n", "__m")
+    width = 2 * half
+
+    def median(values: np.ndarray, start: int, n: int) -> np.ndarray:
+        if n < size:
+            return np.full(len(values), pd.Series(values).median())
+        ending = pd.Series(values).rolling(width, min_periods=1).median().to_numpy()
+        middle = np.clip(start + np.arange(len(values)), half, n - half)
+        # The window of a row ends half - 1 rows behind it.
+        return ending[np.clip(middle + half - 1 - start, 0, len(values) - 1)]
+
+    return over_blocks(df, x, keys, order, size, median, name, place, max(block, size))
 
 
 def local_extrema(df: DataFrame, x: str, keys: list[str], order: list[str], name: str = "extremum") -> DataFrame:
