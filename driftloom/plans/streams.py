@@ -12,13 +12,19 @@ from driftloom.sources.tables import table
 from driftloom.streaming import streams
 
 
-def _run(spark, sf, make, mode):
+def _run(spark, sf, make, mode, closed=False):
     """Stream the events file once through ``make`` and return what it wrote."""
     folder = f"{shared_folder(spark)}/driftloom-{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     # The glob lets the stream read the table whether it is a file or a folder of files.
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parqu*")
-    out = make(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    if closed:
+        # What waits for the watermark comes out when time goes on: a row of no user, long after the last event, ends the stream.
+        last = table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+        last.select(*(F.lit(-1 if c.name == "user_id" else None).cast(c.dataType).alias(c.name) if c.name != "ts" else (F.col("ts") + F.expr("interval 365 days")).alias("ts") for c in source.schema)).write.parquet(f"{folder}/end")
+        source = source.unionByName(spark.readStream.schema(source.schema).parquet(f"{folder}/end"))
+    out = make(source)
     if mode == "append":
         writer = out.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append")
     else:
@@ -35,7 +41,7 @@ def _run(spark, sf, make, mode):
     SELECT user_id, event_id, round(difference, 6) AS difference, round(y, 6) AS ema FROM s""",
 )
 def stm01(spark, sf):
-    out = _run(spark, sf, streams.with_differences, "append")
+    out = _run(spark, sf, streams.with_differences, "append", closed=True).where("user_id >= 0")
     return out.select("user_id", "event_id", F.round("difference", 6).alias("difference"), F.round("ema", 6).alias("ema"))
 
 
@@ -44,6 +50,15 @@ def stm02(spark, sf):
     return _run(spark, sf, lambda df: streams.first_passages(df, 200.0), "complete")
 
 
+@query(
+    "stm02b_passage_alarms",
+    "SELECT user_id, event_id FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quiet FROM events WHERE value >= 100) WHERE quiet IS NULL OR quiet > INTERVAL 5 DAY",
+)
+def stm02b(spark, sf):
+    out = _run(spark, sf, lambda df: streams.passage_alarms(df, 100.0, quiet="5 days"), "append", closed=True)
+    return out.where("user_id >= 0").select("user_id", "event_id")
+
+
 @query("stm03_outlier_counts", "SELECT date_trunc('day', ts) AS day, event_type, CAST(sum((value < 5 OR value > 150)::INT) AS BIGINT) AS n_outliers, count(*) AS n FROM events GROUP BY ALL")
 def stm03(spark, sf):
     return _run(spark, sf, lambda df: streams.outlier_counts(df, 5.0, 150.0), "complete")

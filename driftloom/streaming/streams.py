@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -13,46 +15,97 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EMA_SCHEMA = "user_id long, event_id long, difference double, ema double"
 
 
-def with_differences(events: DataFrame, alpha: float = 0.3, delay: str = "1 day") -> DataFrame:
-    """Difference to the event before and moving average, by user, as events arrive in order of time.
+FORGET = "30 days"
 
-    State is the last time and value and the average; a key idle past the watermark is forgotten. An event that is older
-    than one told before has no difference and moves no state; its average is the one held.
+
+def _milliseconds(period: str) -> int:
+    return int(pd.Timedelta(period) / pd.Timedelta("1ms"))
+
+
+def _arrived(batches: Iterator[pd.DataFrame]) -> list[tuple[int, int, float]]:
+    """(microseconds, event, value) of new rows."""
+    out = []
+    for rows in batches:
+        at = rows["ts"].dt.tz_localize(None) if rows["ts"].dt.tz is not None else rows["ts"]
+        out += zip(at.astype("datetime64[us]").astype("int64").tolist(), rows["event_id"].tolist(), rows["value"].tolist(), strict=True)
+    return out
+
+
+def with_differences(events: DataFrame, alpha: float = 0.3, delay: str = "1 day", forget: str = FORGET) -> DataFrame:
+    """Difference to the event before and moving average, by user, in order of event time and id.
+
+    An event waits in the state until the watermark has passed it, then all that can still come before it has come: whatever the order of
+    arrival within ``delay``, results are those of the sorted table. The timer stands at the first waiting event. Events later than the
+    delay are left out by the watermark. State is the last value, the average and the events of one delay; a key without an
+    event for ``forget`` begins anew.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        told, last, ema = state.get if state.exists else (-(1 << 62), None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        last, ema, held, waiting = state.get if state.exists else (None, None, 0, "[]")
+        waiting = sorted([*map(tuple, json.loads(waiting)), *([] if state.hasTimedOut else _arrived(batches))])
+        passed = state.getCurrentWatermarkMs()
+        ready = bisect_right(waiting, passed * 1000, key=lambda e: e[0])
         out = []
-        for at, event, value in zip(rows["ts"].astype("int64"), rows["event_id"], rows["value"], strict=True):
-            if at < told:
-                out.append((key[0], event, None, ema))
-                continue
-            told = int(at)
+        for at, event, value in waiting[:ready]:
+            if last is not None and at // 1000 - held > _milliseconds(forget):
+                last = ema = None
             ema = value if ema is None else (1 - alpha) * ema + alpha * value
             out.append((key[0], event, None if last is None else value - last, ema))
-            last = value
-        state.update((told, last, ema))
-        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 30 * 86_400_000)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "difference", "ema"])
+            last, held = value, at // 1000
+        waiting = waiting[ready:]
+        if waiting or held + _milliseconds(forget) >= passed:
+            state.update((last, ema, held, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(passed + 1, waiting[0][0] // 1000 if waiting else held + _milliseconds(forget)))
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "difference", "ema"]).astype({"difference": float, "ema": float})
 
-    timed = events.withWatermark("ts", delay)
-    return timed.groupBy("user_id").applyInPandasWithState(step, EMA_SCHEMA, "told long, last double, ema double", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", "value")
+    return timed.groupBy("user_id").applyInPandasWithState(step, EMA_SCHEMA, "last double, ema double, held long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_passages(events: DataFrame, threshold: float) -> DataFrame:
     """One row a user: the first event, by time and then by id, with a value of at least the threshold.
 
     A plain streaming minimum, so that neither batches nor the order of arrival matter: an earlier event that comes late
-    replaces what was told (output modes update and complete). State is one row for each user that has passed.
+    replaces what was told (output modes update and complete). State is one row for each user that has passed; ``passage_alarms``
+    tells each passage once and ends its state.
     """
     first = F.min(F.struct("ts", "event_id")).alias("first")
     return events.where(F.col("value") >= threshold).groupBy("user_id").agg(first).select("user_id", "first.event_id")
 
 
+def passage_alarms(events: DataFrame, threshold: float, delay: str = "1 day", quiet: str = FORGET) -> DataFrame:
+    """(user_id, event_id, ts): a row, once and in append mode, for each event at or over the threshold that no other precedes within ``quiet``.
+
+    A passage waits until the watermark has passed it, so that an earlier one within ``delay`` can still take its place. State is the last
+    passage and those that wait; it ends when a user has been quiet for ``quiet``, and the next passage is an alarm again.
+    """
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, "[]")
+        waiting = sorted([*map(tuple, json.loads(waiting)), *([] if state.hasTimedOut else _arrived(batches))])
+        passed, span = state.getCurrentWatermarkMs(), _milliseconds(quiet) * 1000
+        ready = bisect_right(waiting, passed * 1000, key=lambda e: e[0])
+        out = []
+        for at, event, _ in waiting[:ready]:
+            if last is None or at - last > span:
+                out.append((key[0], event, pd.Timestamp(at, unit="us")))
+            last = at
+        waiting = waiting[ready:]
+        if waiting or last is not None and last + span >= passed * 1000:
+            state.update((last, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(passed + 1, (waiting[0][0] if waiting else last + span) // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "ts"]).astype({"ts": "datetime64[us]"})
+
+    # The condition names the time, so that it stays behind the watermark and every event moves time on.
+    over = F.when(F.col("ts").isNotNull(), F.col("value") >= threshold)
+    timed = events.withWatermark("ts", delay).where(over).select("user_id", "event_id", "ts", "value")
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def outlier_counts(events: DataFrame, low: float, high: float, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Events outside [low, high] by type and tumbling window, with late events up to the delay."""
     odd = ((F.col("value") < low) | (F.col("value") > high)).cast("long")

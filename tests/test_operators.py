@@ -374,21 +374,6 @@ def test_first_passages_do_not_depend_on_order_or_batches(spark, tmp_path):
     assert [tuple(r) for r in spark.table("passages").collect()] == [(1, 99999)]
 
 
-def test_late_events_move_no_state(spark, tmp_path):
-    from driftloom.streaming import streams
-
-    day = "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {n})"
-    for name, times in (("a", (10, 30)), ("b", (20, 40))):
-        spark.createDataFrame([(t,) for t in times], "t int").selectExpr("1L as user_id", "cast(t as long) as event_id", f"{day.format(n='t')} as ts", "cast(t as double) as value").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
-    schema = spark.read.parquet(f"{tmp_path}/in/a").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    query = streams.with_differences(source).writeStream.format("memory").queryName("late").outputMode("append")
-    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
-    got = {r.event_id: r.difference for r in spark.table("late").collect()}
-    # The first file's events come first; 20 is late.
-    assert got == {10: None, 30: 20, 20: None, 40: 10}
-
-
 def test_broken_files_lead_to_the_next_place(spark, tmp_path):
     from driftloom.sources import files
 
