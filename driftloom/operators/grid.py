@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
@@ -101,6 +102,39 @@ def smoothed(hist: DataFrame, axes: list[Axis], kernels: list[tuple[str, float]]
     return out
 
 
+def _offset(axis: Axis, k: int, steps: int) -> Column:
+    """Offsets of an axis in cells; on a circle each other cell is met once, the short way."""
+    low, high = (-steps, steps) if axis.period is None or 2 * steps + 1 <= axis.n else (-((axis.n - 1) // 2), axis.n // 2)
+    return F.explode(F.sequence(F.lit(low), F.lit(high))).alias(f"__o{k}")
+
+
+def stencil(hist: DataFrame, axes: list[Axis], kernel: Callable[..., Column], reach: list[int], values: list[str], keys: list[str] = ()) -> DataFrame:
+    """out(i) = sum over j of hist(j) times a kernel of the distances i - j, for kernels that are no product of the axes.
+
+    ``kernel`` takes a column with the distance along each axis, in the axis's unit, and is 0 beyond ``reach`` cells. Each cell
+    is spread to its neighbours, and partial sums follow at once. Beyond the ends of an axis nothing lands; a periodic axis closes on
+    itself. Cells that nothing reaches have no row.
+    """
+    out = hist
+    for k, (axis, steps) in enumerate(zip(axes, reach, strict=True)):
+        to = F.col(f"i{k}") + F.col(f"__o{k}")
+        out = out.select("*", _offset(axis, k, steps))
+        out = out.withColumn(f"__t{k}", F.pmod(to, F.lit(axis.n))) if axis.period else out.withColumn(f"__t{k}", to).where(F.col(f"__t{k}").between(0, axis.n - 1))
+    weight = kernel(*(F.col(f"__o{k}") * F.lit(a.width) for k, a in enumerate(axes)))
+    out = out.withColumn("__k", weight).where("__k != 0")
+    return out.groupBy(*keys, *(F.col(f"__t{k}").cast("int").alias(f"i{k}") for k in range(len(axes)))).agg(*(F.sum(F.col(v) * F.col("__k")).alias(v) for v in values))
+
+
+def stencil_at(hist: DataFrame, axes: list[Axis], kernel: Callable[..., Column], cell: list[int], values: list[str], keys: list[str] = ()) -> DataFrame:
+    """The same for one cell, by key: every cell of the histogram gives its share, and nothing is spread."""
+    away = []
+    for k, (axis, i) in enumerate(zip(axes, cell, strict=True)):
+        d = F.lit(i) - F.col(f"i{k}")
+        away.append((F.pmod(d + (axis.n - 1) // 2, F.lit(axis.n)) - (axis.n - 1) // 2 if axis.period else d) * F.lit(axis.width))
+    out = hist.withColumn("__k", kernel(*away)).where("__k != 0")
+    return out.groupBy(*keys).agg(*(F.sum(F.col(v) * F.col("__k")).alias(v) for v in values))
+
+
 def end_weight(axis: Axis, i: Column) -> Column:
     """Weight of a cell in the trapezoid rule."""
     return F.when((i == 0) | (i == axis.n - 1), F.lit(axis.width / 2)).otherwise(F.lit(axis.width))

@@ -55,6 +55,41 @@ def stat09(spark, sf):
     return m.select("dataset", "i0", r("m0", "m0", 5), r("m1_0", "m1_0", 5))
 
 
+#: A radial kernel over the circle of k and rho: 1 - (dk / 35)^2 - (drho / 0.7)^2 where that is above 0.
+_RADIAL = f"""{_D}, h AS (SELECT dataset, k // 10 AS i0, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i1, count(*) AS m0, sum(dx) AS m1 FROM d WHERE gap = 1 AND rho BETWEEN -1 AND 4 AND k BETWEEN 0 AND 99 GROUP BY ALL),
+  g AS (SELECT CAST(i % 10 AS INTEGER) AS t0, CAST(i // 10 AS INTEGER) AS t1 FROM (SELECT unnest(generate_series(0, 199)) AS i)),
+  s AS (SELECT dataset, t0 AS i0, t1 AS i1, m0, m1, 1 - ((((t0 - h.i0 + 14) % 10 - 4) * 10 / 35.0) ** 2) - (((t1 - h.i1) * 0.25 / 0.7) ** 2) AS w FROM h, g),
+  q AS (SELECT dataset, i0, i1, round(sum(m0 * w), 5) AS m0, round(sum(m1 * w), 5) AS m1 FROM s WHERE w > 0 GROUP BY ALL)"""
+RADIAL_AXES = [Axis("k", 0.0, 10.0, 10, 100.0), RHO]
+
+
+def radial(dk, drho):
+    return F.greatest(F.lit(0.0), 1 - (dk / 35) ** 2 - (drho / 0.7) ** 2)
+
+
+def displacements(spark, sf):
+    from driftloom.operators.grid import histogram
+
+    steps = win.forward_differences(trajectories(spark, sf), ["rho"]).where("k between 0 and 99")
+    return histogram(steps, RADIAL_AXES, {"m0": F.lit(1), "m1": F.col("d_rho")}, ["dataset"])
+
+
+@query("stat09b_radial_kernel", f"{W}, {_RADIAL} SELECT * FROM q")
+def stat09b(spark, sf):
+    from driftloom.operators.grid import stencil
+
+    out = stencil(displacements(spark, sf), RADIAL_AXES, radial, [3, 3], ["m0", "m1"], ["dataset"])
+    return out.select("dataset", "i0", "i1", r("m0", "m0", 5), r("m1", "m1", 5))
+
+
+@query("stat34b_one_target_cell", f"{W}, {_RADIAL} SELECT dataset, m0, m1 FROM q WHERE i0 = 9 AND i1 = 4")
+def stat34b(spark, sf):
+    from driftloom.operators.grid import stencil_at
+
+    out = stencil_at(displacements(spark, sf), RADIAL_AXES, radial, [9, 4], ["m0", "m1"], ["dataset"])
+    return out.select("dataset", r("m0", "m0", 5), r("m1", "m1", 5))
+
+
 @query("stat10_normalized", f"{W}, {_H}, {_F} SELECT dataset, i0, round(density, 6) AS density, round(diffusion_0, 6) AS diffusion_0 FROM f")
 def stat10(spark, sf):
     return field(spark, sf).select("dataset", "i0", r("density", "density"), r("diffusion_0", "diffusion_0"))

@@ -18,16 +18,20 @@ def format_of(path: str) -> tuple[str, dict]:
     raise ValueError(f"{path} is neither Parquet nor CSV nor TSV")
 
 
+def anonymous(path: str) -> dict[str, str]:
+    """Options of a reader that uses no credentials for the bucket of an ``s3a://`` path; none for other paths."""
+    if not path.startswith("s3a://"):
+        return {}
+    return {f"fs.s3a.bucket.{path.split('/')[2]}.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
     """A table by its path's suffix: Parquet, CSV or TSV. Text tables take a schema or have it inferred; only ``columns`` are read.
 
-    ``s3a://`` paths are read without credentials, as public buckets are; that is set for the bucket in the whole session.
+    ``s3a://`` paths are read without credentials, as public buckets are; that holds for this reader alone.
     """
     kind, options = format_of(path)
-    reader = spark.read.options(**options)
-    if path.startswith("s3a://"):
-        bucket = path.split("/")[2]
-        spark.conf.set(f"fs.s3a.bucket.{bucket}.aws.credentials.provider", "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider")
+    reader = spark.read.options(**options, **anonymous(path))
     if schema is not None:
         reader = reader.schema(schema)
     elif kind == "csv":
