@@ -179,7 +179,7 @@ def _table(found: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
 
 
 def _cut_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of open cells; rows of one text stand together and count once."""
+    """The bytes of open cells. Of equal texts that stand together one is used; copies beyond that change nothing, as ``n`` is 2 for them already."""
     seen = None
     for pdf in batches:
         found = []
@@ -286,7 +286,7 @@ def repeated_starts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.where(F.length("body") >= LENGTH).select("k1", "k2", "body")
     found = stored(texts.mapInPandas(_cells(block), "k1 long, k2 long, at long, core long, hull long").withColumn("n", F.lit(1)), "cells")
     whole, opened = _judged(found, ["k1", "k2", "at"], "cells")
-    opened = opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("opened"))
+    opened = stored(opened.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("opened")), "opened")
     slices = texts.join(opened, ["k1", "k2"]).mapInPandas(_cut_slices, "k1 long, k2 long, whole long, n int, slice binary")
     slices = stored(slices, "slices")
     small = stored(slices.mapInPandas(_small_cells, "k1 long, k2 long, whole long, n int, at long, core long, hull long"), "small")
