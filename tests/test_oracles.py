@@ -45,5 +45,7 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs_without_sql(spark, name):
-    df = registry.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    rows = registry.queries()[name](spark, SF).collect()
+    # The smallest tables have no bin of ten rows in both, which a line fit needs.
+    assert any(v is not None for r in rows for v in r) or name == "stat22_line_fit"
+    assert not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
