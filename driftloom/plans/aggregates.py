@@ -290,8 +290,10 @@ def agg24(spark, sf):
     from driftloom.functions.angles import rewrap
     from driftloom.operators.windows import unwrapped_to
 
-    first = F.first(F.col("k").cast("double")).over(Window.partitionBy("dataset", "position").orderBy("frame_number", "crop_index"))
-    rows = trajectories(spark, sf).withColumn("f", first).withColumn("w", unwrapped_to(F.col("k").cast("double"), F.col("f"), 100.0))
+    t = trajectories(spark, sf)
+    # One row a group, from partial sums, instead of a window that sorts it.
+    first = t.groupBy("dataset", "position").agg(F.min_by(F.col("k").cast("double"), F.struct("frame_number", "crop_index")).alias("f"))
+    rows = t.join(first, ["dataset", "position"]).withColumn("w", unwrapped_to(F.col("k").cast("double"), F.col("f"), 100.0))
     return rows.groupBy("dataset", "position", "frame_number").agg(r(rewrap(F.avg("w"), 0.0, 100.0), "mean", 6))
 
 
