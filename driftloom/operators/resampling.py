@@ -100,7 +100,9 @@ def resampled_sums(per_track: DataFrame, drawn: DataFrame, keys: list[str], trac
 
     One join by trajectory; replicates are unfolded behind it, where partial sums follow at once.
     """
-    rows = per_track.join(drawn, [*keys, track]).select(*keys, *cells, *values, F.posexplode("times").alias("replicate", "times")).where("times > 0")
+    # A stated number of partitions is not coalesced: rows are small here, and many once they are unfolded.
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = per_track.join(drawn.repartition(parts, *keys, track), [*keys, track]).select(*keys, *cells, *values, F.posexplode("times").alias("replicate", "times")).where("times > 0")
     return rows.groupBy(*keys, "replicate", *cells).agg(*(F.sum(F.col(v) * F.col("times")).alias(v) for v in values))
 
 
