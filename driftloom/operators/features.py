@@ -1,4 +1,4 @@
-"""Bundles of derived features, principal components and walks."""
+"""Principal components, loadings and walks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions import angles as A
-from driftloom.operators import windows as win
 
 
 def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]], list[float], list[float]]:
@@ -64,26 +63,3 @@ def walk(df: DataFrame, columns: list[str], sigmas: int) -> DataFrame:
     base = base.withColumn("column", F.explode(F.array(*map(F.lit, columns))))
     moved = {c: F.col("m_" + c) + F.when(F.col("column") == c, F.col("step") * F.col("s_" + c)).otherwise(0.0) for c in columns}
     return base.select("column", "step", *(v.alias(c) for c, v in moved.items()))
-
-
-def frame_features(df: DataFrame, minutes: float, pixel: float) -> DataFrame:
-    """Features of a row that need no track: units, shapes and orders, all in one projection."""
-    return df.withColumns({
-        "time_h": F.col("frame_number") * minutes / F.lit(60.0),
-        "x_um": F.col("value") * pixel,
-        "area_um2": F.col("value") * pixel * pixel,
-        "nematic": A.nematic_order(F.col("polar_theta")),
-        "alignment": A.axis_alignment(F.col("polar_theta")),
-        "theta_deg": F.degrees("polar_theta"),
-    })
-
-
-def track_features(df: DataFrame, keys: list[str] = win.TRACK) -> DataFrame:
-    """Features that need the track: all use one window, so one sort serves them."""
-    vx, vy = win.rate("value", keys), win.rate("k", keys)
-    rows = df.withColumns({"vx": vx, "vy": vy, "normalized_time": win.normalized_time(keys), "track_duration": F.max("frame_number").over(win.whole(keys)) - F.min("frame_number").over(win.whole(keys)), "n_rows": F.count("*").over(win.whole(keys))})
-    turn = A.smallest_difference(F.col("heading"), F.lag("heading").over(win.ordered(keys)), degrees=False)
-    rows = rows.withColumns({"speed": F.hypot("vx", "vy"), "heading": F.atan2("vy", "vx")})
-    return rows.withColumn("turn", turn)
-
-

@@ -1,4 +1,4 @@
-"""Queries of trajectory statistics (STAT-01 to STAT-07 and STAT-27 to STAT-38)."""
+"""Queries of trajectory statistics (STAT-01 to STAT-07 and STAT-27 to STAT-34)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import features as feat
 from driftloom.operators import grid
-from driftloom.operators import joins as jn
 from driftloom.operators import statistics as st
 from driftloom.operators import windows as win
 from driftloom.operators.aggregates import r_squared
@@ -169,52 +168,3 @@ def stat34(spark, sf):
     # Cells of a fixed grid, so the group is bounded.
     limit = F.broadcast(h.agg(F.percentile("w", 0.99).alias("q")))
     return h.crossJoin(limit).select("i0", "i1", r("w", "w"), (F.col("w") > F.col("q")).alias("clipped"))
-
-
-@query(
-    "stat35_frame_features",
-    f"{W} SELECT crop_index, frame_number, frame_number * 12.0 AS time_h, round(value * 0.383, 6) AS x_um, round(value * 0.383 * 0.383, 6) AS area_um2, round(cos(2 * polar_theta), 6) AS nematic, round(atan2(abs(sin(polar_theta)), abs(cos(polar_theta))), 6) AS alignment, round(degrees(polar_theta), 6) AS theta_deg FROM t",
-)
-def stat35(spark, sf):
-    out = feat.frame_features(trajectories(spark, sf), 720.0, 0.383)
-    return out.select(*KEY, "time_h", *(r(c, c) for c in ("x_um", "area_um2", "nematic", "alignment", "theta_deg")))
-
-
-_TRACK = f"""v AS (SELECT *, (value - lag(value) {OVER}) / (frame_number - lag(frame_number) {OVER}) AS vx, (k - lag(k) {OVER}) / (frame_number - lag(frame_number) {OVER})::DOUBLE AS vy,
-  max(frame_number) OVER (PARTITION BY crop_index) - min(frame_number) OVER (PARTITION BY crop_index) AS track_duration, count(*) OVER (PARTITION BY crop_index) AS n_rows FROM t),
-h AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, atan2(vy, vx) AS heading FROM v), g AS (SELECT *, heading - lag(heading) {OVER} + 3.141592653589793 AS d FROM h),
-f AS (SELECT *, d - 2 * 3.141592653589793 * floor(d / (2 * 3.141592653589793)) - 3.141592653589793 AS turn FROM g)"""
-
-
-@query("stat36_track_features", f"{W}, {_TRACK} SELECT crop_index, frame_number, track_duration, n_rows, round(speed, 6) AS speed, round(heading, 6) AS heading, round(turn, 5) AS turn FROM f")
-def stat36(spark, sf):
-    out = feat.track_features(trajectories(spark, sf))
-    return out.select(*KEY, "track_duration", "n_rows", r("speed", "speed"), r("heading", "heading"), r("turn", "turn", 5))
-
-
-@query(
-    "stat37_merge_pipeline",
-    f"""{W} SELECT t.crop_index, t.frame_number, round(t.value * 0.383, 6) AS x_um, round(u.value, 6) AS nuclei, track_duration > 24 AND t.k < 95 AS is_included
-    FROM (SELECT *, max(frame_number) OVER (PARTITION BY crop_index) - min(frame_number) OVER (PARTITION BY crop_index) AS track_duration FROM t) t JOIN u USING (dataset, position, crop_index, frame_number)""",
-)
-def stat37(spark, sf):
-    nuclei = trajectories(spark, sf, last=True).select("dataset", "position", *KEY, F.col("value").alias("nuclei"))
-    rows = jn.inner_without_clashes(trajectories(spark, sf), nuclei, ["dataset", "position", *KEY])
-    rows = win.with_track_duration(feat.frame_features(rows, 720.0, 0.383))
-    flag = (F.col("track_duration") > 24) & (F.col("k") < 95)
-    return rows.select(*KEY, r("x_um", "x_um"), r("nuclei", "nuclei"), flag.alias("is_included"))
-
-
-@query(
-    "stat38_combine_pipeline",
-    f"""WITH {U_SQL}, {T_SQL.replace("FROM (SELECT *, CAST(json", "FROM (SELECT *, CAST(json", 1)}, {_TRACK.replace("FROM t)", "FROM w)", 1)} SELECT crop_index, frame_number, round(latent, 6) AS latent, round(speed, 6) AS speed FROM f""".replace(
-        "v AS (SELECT *, (value", "w AS (SELECT t.*, u.rho AS latent FROM t LEFT JOIN u USING (dataset, position, crop_index, frame_number) WHERE t.k < 90 AND u.rho IS NOT NULL), v AS (SELECT *, (value", 1
-    ),
-)
-def stat38(spark, sf):
-    latent = trajectories(spark, sf, last=True).select("dataset", "position", *KEY, F.col("rho").alias("latent"))
-    rows = jn.left_with_suffixes(trajectories(spark, sf), latent, ["dataset", "position", *KEY])
-    rows = feat.track_features(rows.where("k < 90").na.drop(subset=["latent"]))
-    return rows.select(*KEY, r("latent", "latent"), r("speed", "speed"))
-
-

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "stat13_drift_field"
-PLANS = ("scalars", "filters", "joins", "aggregates", "windows", "shapes", "catalog", "statistics", "dynamics", "pixels", "streams")
+PLANS = ("scalars", "filters", "joins", "aggregates", "windows", "shapes", "catalog", "statistics", "bundles", "dynamics", "pixels", "streams")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
