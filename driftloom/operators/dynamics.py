@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.operators.aggregates import circular_mean
+from driftloom.operators.aggregates import circular_mean, resultant
 from driftloom.operators.grid import Axis, histogram, integral, smoothed
+from driftloom.operators.joins import rows_in_boxes
+from driftloom.operators.ranks import circular_percentile, percentiles
 from driftloom.operators.resampling import multiplicity_arrays, resampled_sums
 from driftloom.operators.windows import TRACK, forward_differences
+from driftloom.sources.scratch import settled
 
 LEAST_DENSITY = 1e-10
 
@@ -247,6 +250,25 @@ def fixed_points_nd(field: DataFrame, axes: list[Axis], keys: list[str]) -> Data
     return candidates.mapInPandas(solve, schema).dropDuplicates([*keys, *names])
 
 
+def percentile_bounds(df: DataFrame, axes: list[Axis], keys: list[str], low: float = 5, high: float = 95) -> DataFrame:
+    """``keys`` with lo_<column> and hi_<column> of each axis; those of periodic axes run along the circle, so the low one may be above.
+
+    Keys without a value on some axis have no row.
+    """
+    out = None
+    for a in axes:
+        if a.period:
+            # Counted from the axis's start, as percentiles of a circle lie in [0, period).
+            found = circular_percentile(df.withColumn("__v", F.col(a.column) - F.lit(a.low)), keys, "__v", [low, high], a.period)
+            p = [F.col("percentiles")[i] + F.lit(a.low) for i in range(2)]
+        else:
+            found = percentiles(df, keys, a.column, [low, high], "percentiles")
+            p = [F.col("percentiles")[i] for i in range(2)]
+        found = found.select(*keys, p[0].alias("lo_" + a.column), p[1].alias("hi_" + a.column))
+        out = found if out is None else out.join(found, keys)
+    return out
+
+
 def within_bounds(points: DataFrame, bounds: DataFrame, keys: list[str], axes: list[Axis]) -> DataFrame:
     """Points inside the box of percentiles: ``bounds`` has lo_<column> and hi_<column>; a periodic box may wrap."""
     from driftloom.operators.filters import inside_box
@@ -276,28 +298,44 @@ def bootstrap_field(df: DataFrame, axes: list[Axis], kernels: list[tuple[str, fl
 
 
 def match_summary(baseline: DataFrame, matched: DataFrame, keys: list[str], axes: list[Axis], replicates: int) -> DataFrame:
-    """Per baseline point: cluster mean (circular on periodic axes), 5 to 95 % interval for two or more hits, and detection rate."""
+    """Per baseline point: cluster mean, 5 to 95 % interval for two or more hits, and detection rate.
+
+    On periodic axes the mean is that of angles and the interval runs along the circle from its low end to its high end, so that the low end
+    may be the larger number; a mean of hits that balance out is null.
+    """
     point = [*keys, "point_id"]
     aggs = [F.count("*").alias("hits")]
     for a in axes:
         x = F.col(a.column)
         if a.period:
-            mean = circular_mean(x, a.low, a.low + a.period)
-            near = F.col(a.column)
+            aggs.append(F.when(resultant(x, a.low, a.low + a.period) > 1e-9, circular_mean(x, a.low, a.low + a.period)).alias(a.column + "_mean"))
         else:
-            mean, near = F.avg(x), x
-        p = F.percentile(near, F.array(F.lit(0.05), F.lit(0.95)))
-        several = F.count("*") >= 2
-        aggs += [mean.alias(a.column + "_mean"), F.when(several, p[0]).alias(a.column + "_low"), F.when(several, p[1]).alias(a.column + "_high")]
-    rows = matched
+            # A group holds a hit a replicate at most, so it is bounded.
+            p = F.percentile(x, F.array(F.lit(0.05), F.lit(0.95)))
+            aggs += [F.avg(x).alias(a.column + "_mean"), p[0].alias(a.column + "_low"), p[1].alias(a.column + "_high")]
+    out = baseline.select(*point).join(matched.groupBy(*point).agg(*aggs), point, "left")
     for a in axes:
         if a.period:
-            # Around the baseline point a periodic value does not jump, so linear percentiles serve.
-            rows = rows.join(baseline.select(*point, F.col(a.column).alias("__b")), point)
-            d = F.pmod(F.col(a.column) - F.col("__b") + a.period / 2, F.lit(a.period)) - a.period / 2
-            rows = rows.withColumn(a.column, F.col("__b") + d).drop("__b")
-    out = baseline.select(*point).join(rows.groupBy(*point).agg(*aggs), point, "left")
-    return out.withColumn("detection_rate", F.coalesce("hits", F.lit(0)) / replicates)
+            ends = percentile_bounds(matched, [a], point).withColumnsRenamed({"lo_" + a.column: a.column + "_low", "hi_" + a.column: a.column + "_high"})
+            out = out.join(ends, point, "left")
+    bounds = {f"{a.column}_{e}": F.when(F.col("hits") >= 2, F.col(f"{a.column}_{e}")) for a in axes for e in ("low", "high")}
+    return out.withColumns(bounds).withColumn("detection_rate", F.coalesce("hits", F.lit(0)) / replicates)
+
+
+def box_means(df: DataFrame, value: str, row: str, points: DataFrame, keys: list[str], point: str, axes: list[tuple[str, str]], sides: list[float], replicates: int) -> DataFrame:
+    """Points with n, the number of rows in the box around each, the mean of their values, and the 5 to 95 % interval of means of as many
+    rows drawn from them.
+
+    ``row`` tells rows apart and ``point`` tells points apart, over all keys. Boxes are half-open and rows without a value do not count. A box without
+    rows has no mean, one with a single row no interval.
+    """
+    inside = settled(rows_in_boxes(df.where(F.col(value).isNotNull()), points, keys, [point], axes, sides).select(point, row, F.col(value).cast("double").alias("s"), F.lit(1).alias("n")))
+    sums = resampled_sums(inside, multiplicity_arrays(inside, [point], row, replicates), [point], row, [], ["s", "n"])
+    # A group holds a mean a replicate, so it is bounded.
+    p = F.percentile(F.col("s") / F.col("n"), F.array(F.lit(0.05), F.lit(0.95)))
+    ends = sums.groupBy(point).agg(p[0].alias("low"), p[1].alias("high"))
+    rows = points.join(inside.groupBy(point).agg(F.count("*").alias("n"), F.avg("s").alias("mean")), point, "left").join(ends, point, "left")
+    return rows.withColumns({"n": F.coalesce("n", F.lit(0)), **{e: F.when(F.col("n") >= 2, F.col(e)) for e in ("low", "high")}})
 
 
 def angle_between(a: DataFrame, b: DataFrame, cells: list[str], parts: list[str]) -> DataFrame:

@@ -45,16 +45,24 @@ def count_in_boxes(boxes: DataFrame, points: DataFrame, keys: list[str], axes: l
     return boxes.join(counts, [*keys, *box_id], "left").fillna(0, [name])
 
 
+def rows_in_boxes(points: DataFrame, centers: DataFrame, keys: list[str], center_id: list[str], axes: list[tuple[str, str]], sides: list[float]) -> DataFrame:
+    """Rows of ``points`` inside the half-open box around each center, with the center's id and place; a row may lie in several boxes.
+
+    ``axes`` holds (column of points, column of centers), ``sides`` the box's width on each. The first axis is cut into tiles.
+    """
+    inside = reduce(lambda x, y: x & y, ((F.col(p) >= F.col(c) - side / 2) & (F.col(p) < F.col(c) + side / 2) for (p, c), side in zip(axes, sides, strict=True)))
+    cells = centers.select(*keys, *center_id, *(c for _, c in axes))
+    (p, c), side = axes[0], sides[0]
+    covered = F.sequence(F.floor((F.col(c) - side / 2) / side), F.floor((F.col(c) + side / 2) / side))
+    return cells.withColumn("__tile", F.explode(covered)).join(points.withColumn("__tile", F.floor(F.col(p) / side)), [*keys, "__tile"]).where(inside).drop("__tile")
+
+
 def means_in_boxes(points: DataFrame, values: list[str], centers: DataFrame, keys: list[str], center_id: list[str], axes: list[tuple[str, str]], side: float) -> DataFrame:
     """Means of values over the half-open cube of a side around each center; null where no row is inside.
 
     ``axes`` holds (column of points, column of centers).
     """
-    inside = reduce(lambda x, y: x & y, ((F.col(p) >= F.col(c) - side / 2) & (F.col(p) < F.col(c) + side / 2) for p, c in axes))
-    cells = centers.select(*keys, *center_id, *(c for _, c in axes))
-    p, c = axes[0]
-    covered = F.sequence(F.floor((F.col(c) - side / 2) / side), F.floor((F.col(c) + side / 2) / side))
-    found = cells.withColumn("__tile", F.explode(covered)).join(points.withColumn("__tile", F.floor(F.col(p) / side)), [*keys, "__tile"]).where(inside)
+    found = rows_in_boxes(points, centers, keys, center_id, axes, [side] * len(axes))
     means = found.groupBy(*keys, *center_id).agg(*(F.avg(v).alias("mean_" + v) for v in values))
     return centers.join(means, [*keys, *center_id], "left")
 

@@ -16,8 +16,8 @@ from driftloom.sources.tables import ANNOTATIONS, DATASETS, FLOW, T_SQL, U_SQL,
 KEY = ["dataset", "position", "crop_index", "frame_number"]
 CROP, IMAGE = 400.0, (2600.0, 1000.0)
 KINDS = ["not_steady_state", "cell_piling"]
-#: Rates have few digits of their own, so that fewer than nine would meet ties.
-FINE = 9
+#: Differences of whole numbers over minutes end within ten digits, so that fewer digits would meet ties.
+FINE, RATE = 9, 11
 LIMITS = {"least_duration": 24, "most_change": 0.1, "least_valid": 8}
 TRACK = "PARTITION BY dataset, position, crop_index"
 OVER = f"OVER ({TRACK} ORDER BY frame_number)"
@@ -32,13 +32,17 @@ TRACK_REAL = """x_um y_um vx vy speed heading heading_deg alignment_deg_per_min
   nuclei_to_heading_deg nuclei_dot_velocity normalized_time""".split()
 
 
+def digits_of(c, digits):
+    return RATE if c in ("vx", "vy") or c.endswith("_per_min") else digits
+
+
 def shown(df, plain, real, digits=5):
     # Adding zero leaves no negative zeros.
-    return df.select(*KEY, *plain, *((F.round(c, digits) + 0.0).alias(c) for c in real))
+    return df.select(*KEY, *plain, *((F.round(c, digits_of(c, digits)) + 0.0).alias(c) for c in real))
 
 
 def shown_sql(plain, real, source, digits=5):
-    return f"SELECT {', '.join([*KEY, *plain, *(f'round({c}, {digits}) + 0.0 AS {c}' for c in real)])} FROM {source}"
+    return f"SELECT {', '.join([*KEY, *plain, *(f'round({c}, {digits_of(c, digits)}) + 0.0 AS {c}' for c in real)])} FROM {source}"
 
 
 def segments(spark, sf):

@@ -11,7 +11,6 @@ from driftloom.operators import filters as flt
 from driftloom.operators import joins as jn
 from driftloom.operators import windows as win
 from driftloom.operators.grid import Axis, integral, marginal
-from driftloom.operators.ranks import percentiles
 from driftloom.operators.resampling import draws_sql, multiplicities, multiplicity_arrays, resampled_sums
 from driftloom.operators.statistics import line_fit_both_errors, signed_distance_to_line
 from driftloom.plans.filters import _COND, S
@@ -181,14 +180,18 @@ _FIELD_2D = f"""e AS (SELECT *, lead(k) {OVER} - k AS dk, lead(rho) {OVER} - rho
   j2 AS (SELECT *, (b1 + e1 * v) / 10.0 + (c2 + e2 * u) / 0.5 AS tr, ((b1 + e1 * v) * (c2 + e2 * u) - (c1 + e1 * u) * (b2 + e2 * v)) / 5.0 AS det FROM u2 WHERE u BETWEEN 0 AND 1)"""
 
 
-@query(
-    "stat15b_fixed_points_nd",
-    f"{W}, {_FIELD_2D} SELECT DISTINCT dataset, round((i0 + 0.5 + u) % 10 * 10, 4) AS k, round(-1 + (i1 + 0.5 + v) * 0.5, 4) AS rho, CASE WHEN det < 0 THEN 'saddle' WHEN tr < 0 THEN 'stable' ELSE 'unstable' END AS stability FROM j2",
-)
+def field_2d(t):
+    """The drift field over k and rho."""
+    return dyn.drift_field(t, PLANE, [("periodic", 0.4), ("gaussian", 0.5)], DT, ["dataset"])
+
+
+PLANE = [Axis("k", 0.0, 10.0, 10, 100.0), Axis("rho", -1.0, 0.5, 10)]
+_POINTS_2D = "SELECT DISTINCT dataset, round((i0 + 0.5 + u) % 10 * 10, 4) AS k, round(-1 + (i1 + 0.5 + v) * 0.5, 4) AS rho, CASE WHEN det < 0 THEN 'saddle' WHEN tr < 0 THEN 'stable' ELSE 'unstable' END AS stability FROM j2"
+
+
+@query("stat15b_fixed_points_nd", f"{W}, {_FIELD_2D} {_POINTS_2D}")
 def stat15b(spark, sf):
-    axes = [Axis("k", 0.0, 10.0, 10, 100.0), Axis("rho", -1.0, 0.5, 10)]
-    rows = dyn.drift_field(trajectories(spark, sf), axes, [("periodic", 0.4), ("gaussian", 0.5)], DT, ["dataset"])
-    return dyn.fixed_points_nd(rows, axes, ["dataset"])
+    return dyn.fixed_points_nd(field_2d(trajectories(spark, sf)), PLANE, ["dataset"])
 
 
 @query("stat16_stability", f"{W}, {_H}, {_F}, {_ROOTS} SELECT dataset, stability, count(*) AS n FROM z GROUP BY ALL")
@@ -198,8 +201,21 @@ def stat16(spark, sf):
 
 @query("stat17_within_bounds", f"{W}, {_H}, {_F}, {_ROOTS}, b AS (SELECT dataset, quantile_cont(rho, 0.05) AS lo, quantile_cont(rho, 0.95) AS hi FROM t GROUP BY 1) SELECT dataset, rho, stability FROM z JOIN b USING (dataset) WHERE rho BETWEEN lo AND hi")
 def stat17(spark, sf):
-    bounds = percentiles(trajectories(spark, sf), ["dataset"], "rho", [5, 95]).select("dataset", F.col("p")[0].alias("lo_rho"), F.col("p")[1].alias("hi_rho"))
-    return dyn.within_bounds(roots(spark, sf), bounds, ["dataset"], [RHO])
+    return dyn.within_bounds(roots(spark, sf), dyn.percentile_bounds(trajectories(spark, sf), [RHO], ["dataset"]), ["dataset"], [RHO])
+
+
+#: Bounds of k along its circle, cut behind the largest gap of its distinct values; whole numbers, so equal gaps are told apart alike.
+_CIRCLE = f"""ck AS (SELECT dataset, k, coalesce(lead(k) OVER w, min(k) OVER (PARTITION BY dataset) + 100) AS nk FROM (SELECT DISTINCT dataset, k FROM t) WINDOW w AS (PARTITION BY dataset ORDER BY k)),
+  cc AS (SELECT DISTINCT dataset, first_value(nk % 100) OVER (PARTITION BY dataset ORDER BY nk - k DESC, k) AS cut FROM ck),
+  cb AS (SELECT dataset, (quantile_cont(CAST((k + 100 - cut) % 100 AS DOUBLE), 0.2) + any_value(cut)) % 100 AS lk, (quantile_cont(CAST((k + 100 - cut) % 100 AS DOUBLE), 0.8) + any_value(cut)) % 100 AS hk,
+    quantile_cont(rho, 0.2) AS lo, quantile_cont(rho, 0.8) AS hi FROM t JOIN cc USING (dataset) GROUP BY dataset)"""
+
+
+@query("stat17b_within_circular_bounds", f"{W}, {_FIELD_2D}, z2 AS ({_POINTS_2D}), {_CIRCLE} SELECT dataset, k, rho, stability FROM z2 JOIN cb USING (dataset) WHERE rho BETWEEN lo AND hi AND CASE WHEN lk <= hk THEN k BETWEEN lk AND hk ELSE k >= lk OR k <= hk END")
+def stat17b(spark, sf):
+    t = trajectories(spark, sf)
+    points = dyn.fixed_points_nd(field_2d(t), PLANE, ["dataset"])
+    return dyn.within_bounds(points, dyn.percentile_bounds(t, PLANE, ["dataset"], 20, 80), ["dataset"], PLANE)
 
 
 REPLICATES = 500
@@ -361,30 +377,34 @@ def stat25(spark, sf):
     return dyn.density_of(both, [RHO], KERNEL, ["patch_type"]).select("patch_type", "i0", r("density", "density"))
 
 
-@query("stat26_box_mean_interval", f"{W}, {_times(REPLICATES)}, b AS (SELECT dataset, replicate, sum(value * times) / sum(times) AS m FROM t JOIN y USING (dataset, crop_index) WHERE rho >= -0.5 AND rho < 0.5 GROUP BY ALL) SELECT dataset, round(quantile_cont(m, 0.05), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.95), 6) AS high FROM b GROUP BY 1")
+_BOXES = f"""{_H}, {_F}, {_ROOTS}, p AS (SELECT DISTINCT dataset, rho AS point, dataset || ':' || CAST(CAST(round(rho * 10000) AS BIGINT) AS VARCHAR) AS pt FROM z),
+  bx AS (SELECT pt, crop_index * 1000 + frame_number AS row_id, value FROM t JOIN p USING (dataset) WHERE rho >= point - 0.05 AND rho < point + 0.05),
+  j AS (SELECT *, row_number() OVER (PARTITION BY pt ORDER BY row_id) - 1 AS j, count(*) OVER (PARTITION BY pt) AS n, count(*) OVER (PARTITION BY pt) AS m FROM bx), {draws_sql(REPLICATES, "pt", "row_id")},
+  bm AS (SELECT pt, replicate, sum(value * times) / sum(times) AS m FROM bx JOIN y USING (pt, row_id) GROUP BY ALL),
+  bi AS (SELECT pt, quantile_cont(m, 0.05) AS low, quantile_cont(m, 0.95) AS high FROM bm GROUP BY 1), bn AS (SELECT pt, count(*) AS n, avg(value) AS mean FROM bx GROUP BY 1)"""
+
+
+@query("stat26_box_mean_interval", f"{W}, {_BOXES} SELECT dataset, point, coalesce(n, 0) AS n, round(mean, 6) AS mean, round(CASE WHEN n >= 2 THEN low END, 6) AS low, round(CASE WHEN n >= 2 THEN high END, 6) AS high FROM p LEFT JOIN bn USING (pt) LEFT JOIN bi USING (pt)")
 def stat26(spark, sf):
-    t = trajectories(spark, sf)
-    per = t.where("rho >= -0.5 and rho < 0.5").groupBy("dataset", "crop_index").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    sums = resampled_sums(per, multiplicity_arrays(t, ["dataset"], "crop_index", REPLICATES), ["dataset"], "crop_index", [], ["s", "n"])
-    means = sums.select("dataset", (F.col("s") / F.col("n")).alias("m"))
-    p = F.percentile("m", F.array(F.lit(0.05), F.lit(0.95)))
-    return means.groupBy("dataset").agg(r(p[0], "low"), r(F.avg("m"), "mean"), r(p[1], "high"))
+    name = F.concat_ws(":", "dataset", F.round(F.col("rho") * 10000).cast("long"))
+    points = settled(roots(spark, sf).select("dataset", F.col("rho").alias("point"), name.alias("pt")).distinct())
+    rows = trajectories(spark, sf).withColumn("row_id", F.col("crop_index") * 1000 + F.col("frame_number"))
+    out = dyn.box_means(rows, "value", "row_id", points, ["dataset"], "pt", [("rho", "point")], [0.1], REPLICATES)
+    return out.select("dataset", "point", "n", r("mean", "mean"), r("low", "low"), r("high", "high"))
 
 
-_F2 = """{n} AS (SELECT k // 10 AS i0, CAST(least(4, floor({t}.polar_r)) AS INTEGER) AS i1, avg({t}.rho) AS a, avg({t}.polar_theta) - 1.5 AS b FROM {t} GROUP BY ALL)"""
+_FIELD_T = _FIELD_2D[: _FIELD_2D.index(",\n  c2 AS")]
+_FIELD_U = f"f2u AS (WITH {_FIELD_T.replace('FROM t)', 'FROM u)')} SELECT * FROM f2)"
 
 
 @query(
     "stat33_field_deviation",
-    f"{W}, {_F2.format(n='p', t='t')}, {_F2.format(n='q', t='u')} SELECT i0, i1, round(acos(least(1.0, greatest(-1.0, (p.a * q.a + p.b * q.b) / nullif(sqrt(p.a ** 2 + p.b ** 2) * sqrt(q.a ** 2 + q.b ** 2), 0)))), 4) AS angle, round(p.a * q.a + p.b * q.b, 6) AS dot FROM p JOIN q USING (i0, i1)",
+    f"{W}, {_FIELD_T}, {_FIELD_U}, b AS (SELECT a.dataset, a.i0, a.i1, a.p * b.p + a.q * b.q AS dot, sqrt(a.p ** 2 + a.q ** 2) * sqrt(b.p ** 2 + b.q ** 2) AS size FROM f2 a JOIN f2u b USING (dataset, i0, i1)) SELECT dataset, i0, i1, round(acos(least(1.0, greatest(-1.0, dot / nullif(size, 0)))), 4) AS angle, round(dot, 6) AS dot FROM b",
 )
 def stat33(spark, sf):
-    def cell_means(t):
-        i = [F.floor(F.col("k") / 10).cast("int").alias("i0"), F.least(F.lit(4), F.floor("polar_r").cast("int")).alias("i1")]
-        return t.groupBy(*i).agg(F.avg("rho").alias("a"), (F.avg("polar_theta") - 1.5).alias("b"))
-
-    out = dyn.angle_between(cell_means(trajectories(spark, sf)), cell_means(trajectories(spark, sf, last=True)), ["i0", "i1"], ["a", "b"])
-    return out.select("i0", "i1", r("angle", "angle", 4), r("dot", "dot"))
+    fields = [field_2d(trajectories(spark, sf, last)).where("drift_0 is not null") for last in (False, True)]
+    out = dyn.angle_between(*fields, ["dataset", "i0", "i1"], ["drift_0", "drift_1"])
+    return out.select("dataset", "i0", "i1", r("angle", "angle", 4), r("dot", "dot"))
 
 
 @query("stat41_marginal_density", f"{W}, h AS (SELECT dataset, k // 10 AS i0, CAST(least(19, floor((rho + 1) / 0.25)) AS INTEGER) AS i1, CAST(count(*) AS DOUBLE) AS p FROM t WHERE rho BETWEEN -1 AND 4 GROUP BY ALL) SELECT dataset, i0, round(sum(p * CASE WHEN i1 IN (0, 19) THEN 0.125 ELSE 0.25 END), 6) AS p FROM h GROUP BY ALL")

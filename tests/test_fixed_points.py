@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.operators import dynamics as dyn
 from driftloom.operators.grid import Axis
@@ -107,3 +108,39 @@ def test_roots_on_faces_and_seams_count_once(spark):
     field = spark.createDataFrame(rows, "key string, i0 int, i1 int, drift_0 double, drift_1 double")
     found = sorted((r.a, r.b, r.stability) for r in dyn.fixed_points_nd(field, axes, ["key"]).collect())
     assert found == [(0.5, 1.5, "stable"), (2.5, 1.5, "saddle")]
+
+
+def test_bounds_and_summaries_on_a_circle(spark):
+    """Values on both sides of the seam at 0 = 10: the interval runs over it, and means do not fall to the other side."""
+    axis, line = Axis("a", 0.0, 1.0, 10, 10.0), Axis("x", 0.0, 1.0, 10)
+    rows = [("g", 1, b, (9.5 + b / 100) % 10, float(b)) for b in range(101)] + [("g", 2, 0, 3.0, 1.0), ("g", 3, 0, 2.0, 1.0), ("g", 3, 1, 7.0, 3.0)]
+    hits = spark.createDataFrame(rows, "g string, point_id int, replicate int, a double, x double")
+    base = hits.select("g", "point_id").distinct().unionByName(spark.createDataFrame([("g", 4)], "g string, point_id int"))
+    out = {r.point_id: r for r in dyn.match_summary(base, hits, ["g"], [axis, line], 101).collect()}
+    assert (out[1].a_low, out[1].a_high, out[1].x_low, out[1].x_high) == pytest.approx((9.55, 0.45, 5.0, 95.0))
+    assert min(out[1].a_mean, 10 - out[1].a_mean) == pytest.approx(0, abs=1e-9) and out[1].detection_rate == 1
+    # One hit gives no interval, opposite hits no mean angle, and none at all nothing.
+    assert (out[2].hits, out[2].a_low, out[2].x_high, out[2].a_mean) == (1, None, None, pytest.approx(3.0))
+    assert out[3].a_mean is None and out[3].x_mean == 2.0
+    assert (out[4].hits, out[4].a_mean, out[4].a_low, out[4].detection_rate) == (None, None, None, 0.0)
+    bounds = dyn.percentile_bounds(hits.where("point_id = 1"), [axis, line], ["g"])
+    points = spark.createDataFrame([("g", 9.9, 50.0), ("g", 0.2, 50.0), ("g", 5.0, 50.0), ("g", 0.2, 99.0)], "g string, a double, x double")
+    assert sorted(r.a for r in dyn.within_bounds(points, bounds, ["g"], [axis, line]).collect()) == [0.2, 9.9]
+    # An axis that begins elsewhere: the same circle from -5 to 5.
+    moved = dyn.percentile_bounds(hits.where("point_id = 1").withColumn("a", F.when(F.col("a") >= 5, F.col("a") - 10).otherwise(F.col("a"))), [Axis("a", -5.0, 1.0, 10, 10.0)], ["g"]).first()
+    assert (moved.lo_a, moved.hi_a) == pytest.approx((-0.45, 0.45))
+
+
+def test_box_means(spark):
+    df = spark.createDataFrame([("g", i, i / 100, float(i % 7) if i != 30 else None) for i in range(100)], "g string, id int, x double, v double")
+    points = spark.createDataFrame([("g", "p", 0.3), ("g", "q", 0.0), ("g", "far", 9.0)], "g string, pt string, c double")
+    out = {r.pt: r for r in dyn.box_means(df, "v", "id", points, ["g"], "pt", [("x", "c")], [0.2], 500).collect()}
+    want = [i % 7 for i in range(100) if 0.2 <= i / 100 < 0.4 and i != 30]
+    p = out["p"]
+    assert p.n == len(want) and p.mean == pytest.approx(sum(want) / len(want))
+    # Means of n draws have the values' spread over the root of n; the interval is 2 * 1.645 of that.
+    spread = np.std(want) / np.sqrt(len(want))
+    assert p.high - p.low == pytest.approx(2 * 1.645 * spread, rel=0.15) and p.low < p.mean < p.high
+    assert (out["far"].n, out["far"].mean, out["far"].low) == (0, None, None) and out["q"].n == 10
+    alone = dyn.box_means(df.where("id = 0"), "v", "id", points, ["g"], "pt", [("x", "c")], [0.2], 50).where("pt = 'q'").first()
+    assert (alone.n, alone.mean, alone.low, alone.high) == (1, 0.0, None, None)
