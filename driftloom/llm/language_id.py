@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.shared import documents
+from driftloom.llm.shared import documents, stored
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -128,18 +128,21 @@ def train(texts: list[str], labels: list[str], epochs: int = 5, batch: int = 64,
     return net
 
 
-def labelled_sample(df: DataFrame, per_language: int, text_col: str, label_col: str, most_languages: int = 256) -> pd.DataFrame:
-    """At most ``per_language`` labelled documents of each of the ``most_languages`` most frequent languages, three windows of each.
+def labelled_sample(df: DataFrame, per_language: int, text_col: str, label_col: str, most_rows: int = 204_800) -> pd.DataFrame:
+    """Labelled documents of every language, three windows of each: at most ``per_language`` a language and about ``most_rows`` in all.
 
-    Documents are those of the smallest hashes of their text, distinct texts only, so the sample is bounded whatever ids are
+    With more languages than ``most_rows / per_language`` each gets an equal share of ``most_rows``, but never less than one document, so
+    that no language is lost. Documents are those of the smallest hashes of their text, distinct texts only, so the sample is bounded whatever ids are
     shared or texts repeated. Windows start at hashed places; one is full, one short and one very short, as texts may be.
     """
     rows = df.where(F.col(text_col).rlike(r"\p{L}") & F.col(label_col).isNotNull())
     rows = rows.select(F.xxhash64(text_col, F.lit("sample")).alias("hash"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    sizes = rows.groupBy("label").agg(F.approx_count_distinct("hash", 0.02).alias("n")).orderBy(F.col("n").desc(), "label").limit(most_languages)
+    # Written, as one row a language, so that their number costs no pass of its own.
+    sizes = stored(rows.groupBy("label").agg(F.approx_count_distinct("hash", 0.02).alias("n")), "languages")
+    per_language = max(1, min(per_language, most_rows // max(1, sizes.count())))
     # By its chance about twice the documents wanted pass, with room for few; the exact bound is set on them.
     chance = F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.col("n")) * (1 << 20)
-    rows = rows.join(F.broadcast(sizes), "label").where(F.pmod("hash", F.lit(1 << 20)) < chance).drop("n")
+    rows = rows.join(sizes, "label").where(F.pmod("hash", F.lit(1 << 20)) < chance).drop("n")
     length = F.element_at(F.array(F.lit(WINDOW), F.lit(60), F.lit(20)), F.col("k") + 1)
     rows = rows.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     start = F.pmod(F.xxhash64("hash", "k"), F.greatest(F.lit(1), F.length("text") - length + 1)) + 1

@@ -193,7 +193,15 @@ def test_sample_is_bounded_whatever_the_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     counts = language_id.labelled_sample(df, 20, "text", "lang").groupby(["label", "k"]).size().to_dict()
     assert counts == {(a, k): n for a, n in (("aa", 20), ("bb", 1), ("cc", 10)) for k in range(3)}
-    assert set(language_id.labelled_sample(df, 20, "text", "lang", most_languages=1)["label"]) == {"aa"}
+
+
+def test_no_language_is_lost(spark):
+    """300 languages, one of them with half of all rows: each keeps its share of the bound, and at least one document."""
+    rows = [(k, f"{chr(97 + k // 26)}{chr(97 + k % 26)} text {j}", f"l{k}") for k in range(300) for j in range(900 if k == 0 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most, each in ((600, 2), (100, 1), (10**6, 3)):
+        sample = language_id.labelled_sample(df, 3, "text", "lang", most_rows=most)
+        assert sample["label"].nunique() == 300 and set(sample.groupby(["label", "k"]).size()) == {each}
 
 
 def test_network_equals_a_plain_forward_pass():
