@@ -3,7 +3,8 @@
 Every document has a place in [0, 2^60) from a hash of its id and text. A source that should give q whole passes and a remainder
 takes each document q times and once more where its place lies below the source's threshold. The threshold is found from
 sums by source and hash bucket: the bucket in which the running sum crosses the remainder is refined alone, so that no
-document is ever sorted.
+document is ever sorted. Rows that repeat an id and a text share a place; of those at the threshold itself as many are taken
+as come nearest to the target, by their numbers.
 """
 
 from __future__ import annotations
@@ -67,13 +68,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(text_col).alias("text"))
-    return stored(rows.withColumn("place", place(F.col("id"), F.col("text"))).drop("text"), "sizes")
+    # Written with the row's number, which therefore stays.
+    return stored(rows.withColumn("place", place(F.col("id"), F.col("text"))).drop("text").withColumn("row", F.monotonically_increasing_id()), "sizes")
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """``(source, source_size, target, passes, edge)`` from ``(source, size, place)``.
+    """``(source, source_size, target, passes, edge, same, more)`` from ``(source, size, place)``.
 
-    A document is taken ``passes`` times, and once more if its place is below ``edge``.
+    A document is taken ``passes`` times, and once more if its place is below ``edge``. Of the ``same`` rows at ``edge``, ``more``
+    are taken once more.
     """
     sums = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     plan = targets(sums)
@@ -89,42 +92,76 @@ def thresholds(rows: DataFrame) -> DataFrame:
     inside = stored(inside, "boundary")
     level = _crossed(inside.groupBy("source", F.expr(fine).alias("at")).agg(F.sum("size").alias("size")), level.select("source", "open"))
     last = inside.drop("open").alias("rows").join(level.alias("plan"), F.expr(f"{same} and {fine} = plan.at")).select("rows.*")
-    last = last.groupBy("source", F.col("place").alias("at")).agg(F.sum("size").alias("size"))
-    level = _crossed(last, level.select("source", "open"))
-    # Of the places on either side of the crossing, the one that leaves the smaller difference.
-    edge = F.when(F.col("size") - F.col("open") < F.col("open"), F.col("at") + 1).otherwise(F.col("at"))
-    plan = plan.alias("plan").join(level.select("source", edge.alias("edge")).alias("rows"), F.expr(same), "left")
-    return stored(plan.select("plan.source", "source_size", "target", "passes", F.coalesce("rows.edge", F.lit(0)).alias("edge")), "thresholds")
+    last = stored(last.groupBy("source", F.col("place").alias("at")).agg(F.sum("size").alias("size"), F.count("*").alias("same")), "last")
+    level = _crossed(last.drop("same"), level.select("source", "open"))
+    level = level.alias("rows").join(last.alias("plan"), F.expr(f"{same} and rows.at = plan.at")).select("rows.*", "plan.same")
+    # Rows at the crossing have one text and so one size; a single one is taken where that leaves the smaller difference.
+    more = F.ceil(F.col("open") * F.col("same") / F.col("size") - 0.5).cast("long")
+    level = level.select("source", F.col("at").alias("edge"), "same", more.alias("more"))
+    plan = plan.alias("plan").join(level.alias("rows"), F.expr(same), "left")
+    zeros = [F.coalesce(f"rows.{c}", F.lit(0)).alias(c) for c in ("edge", "same", "more")]
+    return stored(plan.select("plan.source", "source_size", "target", "passes", *zeros), "thresholds")
 
 
 def copies(at: Column) -> Column:
-    """How often a document at a place is taken under the thresholds of its source."""
-    return F.col("passes") + (at < F.col("edge")).cast("long")
+    """How often a document at a place is taken under the thresholds of its source, where rows at ``edge`` are treated alike."""
+    return F.col("passes") + ((at < F.col("edge")) | ((at == F.col("edge")) & (F.col("more") > 0))).cast("long")
+
+
+def divided(at: Column) -> Column:
+    """Whether only some of the rows at a document's place are taken once more."""
+    return (at == F.col("edge")) & (F.col("more") > 0) & (F.col("more") < F.col("same"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of the divided places with ``number``, from 0 within the source in order of ``row``.
+
+    A source's rows may be a large part of the table: they are numbered within the partition that gave ``row``, and moved by the counts of
+    the partitions before.
+    """
+    rows = rows.withColumn("part", F.shiftright("row", 33))
+    inner = F.row_number().over(Window.partitionBy("source", "part").orderBy("row")) - 1
+    counts = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("source", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    both = rows.withColumn("inner", inner).alias("rows").join(starts.alias("plan"), F.expr("rows.source <=> plan.source and rows.part = plan.part"))
+    return both.select("rows.*", (F.col("inner") + F.col("start")).alias("number")).drop("part", "inner")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, source, size (words), source_size, target (of its source), taken (words, repeats counted).
 
     Null and empty texts have size 0 and take 0. A null source is a source of its own. Rows that repeat an id and a text share a
-    place and so are taken alike; a null id counts as an empty one. Further columns are left out. A source's taken words
-    differ from its target by at most half the words at its last place; reruns agree, as places depend on ids and texts alone.
+    place and have numbers there, so that some of them may be taken once more than the others; a null id counts as an empty one.
+    Further columns are left out. A source's taken words differ from its target by at most half the words of a row at its last place;
+    reruns agree, as places depend on ids and texts alone and rows of one place are equal.
     """
     rows = sized(df, id_col, text_col, source_col)
-    out = rows.alias("rows").join(thresholds(rows).alias("plan"), F.expr("rows.source <=> plan.source"))
-    taken = F.col("size") * copies(F.col("place"))
-    return out.select(F.col("id").alias(id_col), F.col("rows.source").alias(source_col), "size", "source_size", "target", taken.alias("taken"))
+    joined = rows.alias("rows").join(thresholds(rows).alias("plan"), F.expr("rows.source <=> plan.source"))
+    joined = joined.select("rows.*", "source_size", "target", "passes", "edge", "same", "more")
+    shown = lambda part, taken: part.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * taken).alias("taken"))
+    some = numbered(joined.where(divided(F.col("place"))))
+    sure = shown(joined.where(~divided(F.col("place"))), copies(F.col("place")))
+    return sure.unionByName(shown(some, F.col("passes") + (F.col("number") < F.col("more")).cast("long")))
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as ``mixed`` takes it; rows without words are not taken.
 
-    Only the table of thresholds, one row a source, meets the texts. All columns stay, whatever their names.
+    Only the table of thresholds, one row a source, meets the texts. All columns stay, whatever their names. Rows that repeat an id and a
+    text and differ elsewhere may change places with each other when the table is read in another order.
     """
-    plan = thresholds(sized(df, id_col, text_col, source_col)).select(F.col("source").alias("mix_source"), "passes", "edge")
-    whole = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"))
-    out = whole.where(word_count(F.col(f"row.{text_col}")) > 0).join(plan, F.col(f"row.{source_col}").eqNullSafe(F.col("mix_source")))
-    times = copies(place(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")))
-    return out.withColumn("time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
+    plan = thresholds(sized(df, id_col, text_col, source_col)).withColumnRenamed("source", "mix_source")
+    whole = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row_"))
+    out = whole.where(word_count(F.col(f"row_.{text_col}")) > 0).join(plan, F.col(f"row_.{source_col}").eqNullSafe(F.col("mix_source")))
+    at = place(F.col(f"row_.{id_col}"), F.col(f"row_.{text_col}"))
+    times = lambda part, n: part.withColumn("time", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select("row_.*")
+    if plan.where("more > 0 and more < same").isEmpty():
+        return times(out, copies(at))
+    # Only where rows of one place are told apart are texts read a second time.
+    tied = out.where(divided(at)).select("row_", "passes", "more", F.col("mix_source").alias("source"))
+    some = numbered(stored(tied.withColumn("row", F.monotonically_increasing_id()), "tied"))
+    return times(out.where(~divided(at)), copies(at)).unionByName(times(some, F.col("passes") + (F.col("number") < F.col("more")).cast("long")))
 
 
 def _crossed(sums: DataFrame, open_sums: DataFrame) -> DataFrame:
@@ -167,10 +204,11 @@ p AS (
 q AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS open,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to,
-         sum(d.size) OVER (PARTITION BY d.source, d.place) AS here
+         sum(d.size) OVER (PARTITION BY d.source, d.place) AS here, count(*) OVER (PARTITION BY d.source, d.place) AS same,
+         row_number() OVER (PARTITION BY d.source, d.place ORDER BY d.doc_id) - 1 AS number
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
        CAST(size * (passes + CASE WHEN up_to <= open THEN 1
-                                  WHEN up_to - here <= open AND up_to - open < open - (up_to - here) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+                                  WHEN up_to - here <= open AND number < ceil((open - (up_to - here)) * same / here - 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q
 """

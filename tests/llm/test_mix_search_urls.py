@@ -57,6 +57,20 @@ def test_shared_and_null_ids_meet_the_target(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 4
 
 
+def test_equal_rows_meet_the_target(spark):
+    """A source of 1,000 equal rows is neither taken whole nor left: its target is met to half a row, also by the mix itself."""
+    equal = [(7, "two words", "a")] * 1000
+    rows = [*equal, *((k, "one", "b") for k in range(500)), *((k, "x y z", "c") for k in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mixed(df).collect()
+    for source, row in (("a", 2), ("b", 1), ("c", 3)):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= row / 2
+    assert len({r.taken for r in got if r.source == "a"}) == 2
+    words = sum(2 for r in mixing.repeated(df).collect() if r.source == "a")
+    assert words == sum(r.taken for r in got if r.source == "a")
+
+
 def test_many_sources_are_ranked_in_order(spark):
     names = [f"s{k}" for k in range(500)] + ["Z", "é", "\U0001f600", "\uffff", None]
     df = spark.createDataFrame([(n, k % 9 + 1) for k, n in enumerate(names)], "source string, source_size long")
