@@ -227,5 +227,5 @@ def test_pipeline_stages_keep_an_empty_table_empty(spark):
 
 def test_every_operator_is_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "secret_scan", "mix_sources", "bpe_encode_decode"]
