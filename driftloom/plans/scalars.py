@@ -54,7 +54,8 @@ def mth04(spark, sf):
     f"WITH {T_SQL}, s AS (SELECT *, value - k * 3.6 + 180 AS d FROM t) SELECT crop_index, frame_number, round(d - 360 * floor(d / 360) - 180, 5) AS diff FROM s",
 )
 def mth05(spark, sf):
-    return traj(spark, sf).select(*KEY, r(A.smallest_difference(F.col("value"), F.col("k") * 3.6), "diff", 5))
+    # A quotient of whole numbers is the double nearest to the decimal, as in SQL; a product with 3.6 may be next to it, on the seam's other side.
+    return traj(spark, sf).select(*KEY, r(A.smallest_difference(F.col("value"), F.col("k") * 36 / 10), "diff", 5))
 
 
 @query("mth06_nematic_order", f"WITH {T_SQL} SELECT crop_index, frame_number, round(cos(2 * polar_theta), 6) AS s FROM t")

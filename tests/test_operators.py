@@ -127,6 +127,12 @@ def test_angles(spark):
             A.kernel(bad[0], F.lit(1.0), bad[1], bad[2])
 
 
+def test_a_difference_just_below_the_seam_stays_at_the_upper_end(spark):
+    below = -180 - 2.0**-45
+    row = spark.range(1).select(A.smallest_difference(F.lit(below), F.lit(0.0)).alias("a"), A.rewrap(F.lit(-(2.0**-60)), 0.0, 360.0).alias("b"), A.rewrap(F.lit(1e30), 0.0, 360.0).alias("c")).first()
+    assert row.a == pytest.approx(180) and row.b == pytest.approx(360) and 0 <= row.c < 360
+
+
 def test_circular_percentiles(spark):
     df = frame(spark, [("a", v) for v in (3.0, 3.1, 0.05, 0.1)] + [("b", v) for v in (1.0, 1.1, 1.2, 1.3)], "k string, x double")
     out = {r.k: r.percentiles for r in ranks.circular_percentile(df, ["k"], "x", [0, 50, 100], math.pi).collect()}
