@@ -166,11 +166,12 @@ def udf01(spark, sf):
 def udf02(spark, sf):
     from driftloom.operators.joins import best_pairs
 
-    a = trajectories(spark, sf).where("position = 0").select("dataset", "frame_number", F.col("crop_index").alias("a"), F.col("k").alias("ka"))
-    b = trajectories(spark, sf, last=True).where("position <> 0").select("dataset", "frame_number", F.col("crop_index").alias("b"), F.col("k").alias("kb"))
-    pairs = a.join(b, ["dataset", "frame_number"])
     frame = ["dataset", "frame_number"]
-    return best_pairs(pairs, [*frame, "a"], [*frame, "b"], F.abs(F.col("ka") - F.col("kb")), "asc").select(*frame, "a", "b")
+    a, b = trajectories(spark, sf).where("position = 0"), trajectories(spark, sf, last=True).where("position <> 0")
+    # Equal values are equally far from all others and ties go to the smaller partner, so only the smallest of equals can be best of both.
+    a = a.groupBy(*frame, F.col("k").alias("ka")).agg(F.min("crop_index").alias("a"))
+    b = b.groupBy(*frame, F.col("k").alias("kb")).agg(F.min("crop_index").alias("b"))
+    return best_pairs(a.join(b, frame), [*frame, "a"], [*frame, "b"], F.abs(F.col("ka") - F.col("kb")), "asc").select(*frame, "a", "b")
 
 
 @query("udf03_grouped_map", f"{W} SELECT crop_index, frame_number, round(value - min(value) OVER (PARTITION BY crop_index), 6) AS value FROM t")

@@ -46,3 +46,11 @@ SEAM = [(187.2, 2), (0.0, 50), (3.6, 51), (7.2, 52), (10.8, 53), (14.4, 54), (43
 
 def test_differences_on_the_seam(spark, tmp_path):
     compare(spark, tables(tmp_path, [(i, 0, v, k) for i, (v, k) in enumerate(SEAM)]), "mth05_smallest_difference")
+
+
+def test_best_pairs_among_many_equals(spark, tmp_path):
+    sf = tables(tmp_path, [(12 * i + 2 * (i % 3), i % 2, 1.0, i * i % 7) for i in range(300)])
+    compare(spark, sf, "udf02_own_metric")
+    plan = registry.queries()["udf02_own_metric"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # Pairs are made of the smallest of equals: both sides of their join are aggregated by value first.
+    assert "min(crop_index" in plan.split("Join Inner", 1)[1]
