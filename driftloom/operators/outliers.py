@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,12 @@ def outlier_classes(
     """Rows far from the rolling median: dark, partial_dark (not dark) or bright, with the frame of the row and its annotation.
 
     A frame has ``slices`` rows. Unless ``peaks_only`` is off, dark rows are local minima and bright ones local maxima.
-    Partly dark rows are errors of the scope, the others temporary artifacts.
+    Partly dark rows are errors of the scope, the others temporary artifacts. Bounds are reckoned in decimals: 1 - 0.8 is 0.2, which doubles miss.
     """
+    low, middle, high = (float(1 + sign * Decimal(str(x))) for sign, x in ((-1, dark), (-1, partial), (1, bright)))
     rows = rolling_median(df, x, size, keys, order, place="__row")
     m, v = F.col("rolling_median"), F.col(x)
-    kind = F.when(v <= m * (1 - dark), "dark").when(v <= m * (1 - partial), "partial_dark").when(v >= m * (1 + bright), "bright")
+    kind = F.when(v <= m * low, "dark").when(v <= m * middle, "partial_dark").when(v >= m * high, "bright")
     if peaks_only:
         rows = local_extrema(rows, x, keys, order)
         kind = F.when(F.col("extremum") == F.when(kind == "bright", "max").otherwise("min"), kind)

@@ -54,3 +54,8 @@ def test_best_pairs_among_many_equals(spark, tmp_path):
     plan = registry.queries()["udf02_own_metric"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # Pairs are made of the smallest of equals: both sides of their join are aggregated by value first.
     assert "min(crop_index" in plan.split("Join Inner", 1)[1]
+
+
+def test_outliers_on_a_decimal_bound(spark, tmp_path):
+    values = [5.0, 5.0, 1.0, 5.0, 3.0, 5.0, 9.0, 5.0]
+    compare(spark, tables(tmp_path, [(7, i, v, 1) for i, v in enumerate(values)]), "win13_outlier_classes")
