@@ -57,7 +57,9 @@ def srt05(spark, sf):
 
 @query("srt06_argmin", f"{W} SELECT dataset, frame_number, arg_min(crop_index, value) AS low, arg_max(crop_index, value) AS high FROM t GROUP BY ALL")
 def srt06(spark, sf):
-    return trajectories(spark, sf).groupBy("dataset", "frame_number").agg(F.min_by("crop_index", "value").alias("low"), F.max_by("crop_index", "value").alias("high"))
+    # Of equal values the smallest index, so that reruns agree.
+    low, high = F.struct("value", "crop_index"), F.struct("value", -F.col("crop_index"))
+    return trajectories(spark, sf).groupBy("dataset", "frame_number").agg(F.min_by("crop_index", low).alias("low"), F.max_by("crop_index", high).alias("high"))
 
 
 @query("srt07_angle_order", f"{W}, m AS (SELECT dataset, position, avg(k) AS a FROM t GROUP BY ALL) SELECT dataset, position, row_number() OVER (PARTITION BY dataset ORDER BY (a + 50) - 100 * floor((a + 50) / 100), position) AS place FROM m")

@@ -59,3 +59,9 @@ def test_best_pairs_among_many_equals(spark, tmp_path):
 def test_outliers_on_a_decimal_bound(spark, tmp_path):
     values = [5.0, 5.0, 1.0, 5.0, 3.0, 5.0, 9.0, 5.0]
     compare(spark, tables(tmp_path, [(7, i, v, 1) for i, v in enumerate(values)]), "win13_outlier_classes")
+
+
+def test_ties_of_the_extremes_go_to_the_smallest_index(spark, tmp_path):
+    sf = tables(tmp_path, [(u, 0, v, 1) for u, v in ((8, 1.0), (4, 1.0), (12, 1.0), (20, 6.0), (16, 6.0), (24, 6.0))])
+    (row,) = registry.queries()["srt06_argmin"](spark, sf).collect()
+    assert (row.low, row.high) == (4, 16)
