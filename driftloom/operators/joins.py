@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftloom.functions.angles import wrapped_difference
 from driftloom.sources.scratch import settled
@@ -29,19 +33,95 @@ def first_by(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataF
     return rows.where("__rn = 1").drop("__rn")
 
 
-def count_in_boxes(boxes: DataFrame, points: DataFrame, keys: list[str], axes: list[tuple[str, str, str]], tile: float, box_id: list[str], name: str = "n_points") -> DataFrame:
+#: Distinct points, and boxes, that a task counts at once.
+PART = 1 << 17
+
+#: An axis of boxes: point column with the columns of both bounds, or with the column of the centre and half the side.
+BoxAxis = tuple[str, str, str | float]
+
+
+def _first(values: np.ndarray, at: np.ndarray, holds: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first place in ascending values from which on a condition holds, for each entry of ``at``."""
+    low, high = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(values))
+    while (still := low < high).any():
+        middle = (low + high) // 2
+        found = holds(values[np.minimum(middle, len(values) - 1)], at)
+        low, high = np.where(still & ~found, middle + 1, low), np.where(still & found, middle, high)
+    return low
+
+
+def _reached(values: np.ndarray, boxes: pa.Table, axis: BoxAxis) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ascending values where those inside each box begin and end. NaN is above all numbers, and in no box around a centre."""
+    _, a, b = axis
+    if isinstance(b, str):
+        return np.searchsorted(values, boxes.column(a).to_numpy(), "left"), np.searchsorted(values, boxes.column(b).to_numpy(), "right")
+    begin, end = (_first(values, boxes.column(a).to_numpy(), holds) for holds in (lambda p, c: ~(p - c < -b), lambda p, c: ~(p - c <= b)))
+    return begin, np.maximum(begin, end)
+
+
+def _weights_inside(weights: np.ndarray, ranks: np.ndarray, across: tuple[np.ndarray, np.ndarray], along: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of weights over places in [begin, end) whose rank is in [begin, end), for many ranges, without listing pairs.
+
+    Bit by bit of the ranks, points are dealt to two sides in stable order, so that a range stays a range; what is on the side below a
+    bound is added. The work is that of points and ranges, times the bits.
+    """
+    total = np.zeros(len(along[0]), dtype=np.int64)
+    asked = [(across[0], across[1], along[1], 1), (across[0], across[1], along[0], -1)]
+    for bit in reversed(range(len(ranks).bit_length())):
+        one = (ranks >> bit & 1).astype(bool)
+        below, sums = (np.concatenate(([0], np.cumsum(v))) for v in (~one, np.where(one, 0, weights)))
+        for k, (begin, end, bound, sign) in enumerate(asked):
+            up, b, e = (bound >> bit & 1).astype(bool), below[begin], below[end]
+            total += sign * np.where(up, sums[end] - sums[begin], 0)
+            asked[k] = np.where(up, below[-1] + begin - b, b), np.where(up, below[-1] + end - e, e), bound, sign
+        ranks, weights = (np.concatenate((v[~one], v[one])) for v in (ranks, weights))
+    return total
+
+
+def count_in_boxes(boxes: DataFrame, points: DataFrame, keys: list[str], axes: list[BoxAxis], tile: float, box_id: list[str], name: str = "n_points", part: int = PART) -> DataFrame:
     """Boxes with the number of points inside, bounds included; 0 where there is none.
 
-    ``axes`` holds (point column, low column, high column). The first axis is cut into tiles: a point lies in one, a box is
-    repeated for those that it covers, and the join is on keys and tile, so that crowded keys split by place.
+    ``axes`` holds one or two of (point column, low column, high column) or (point column, centre column, half side); the latter compares
+    the distance from the centre. The first axis is cut into tiles: a point lies in one, a box is repeated for those that it covers. In a
+    tile of a key, up to ``part`` distinct points meet up to ``part`` boxes, whatever the crowd, and are counted by sorted order, not in pairs.
     """
-    p, low, high = axes[0]
-    covered = F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile))
-    # No row of either side can meet another one twice: a point has one tile.
-    spread = boxes.select(*keys, *box_id, *(c for _, a, b in axes for c in (a, b)), F.explode(covered).alias("__tile"))
-    placed = points.select(*keys, *(a for a, _, _ in axes), F.floor(F.col(p) / tile).alias("__tile"))
-    inside = reduce(lambda x, y: x & y, (F.col(c).between(F.col(a), F.col(b)) for c, a, b in axes))
-    counts = spread.join(placed, [*keys, "__tile"]).where(inside).groupBy(*keys, *box_id).agg(F.count("*").alias(name))
+    if len(axes) not in (1, 2):
+        raise ValueError("boxes have one or two axes")
+    p, a, b = axes[0]
+    low, high = (F.col(a), F.col(b)) if isinstance(b, str) else (F.col(a) - b, F.col(a) + b)
+    # A distance is rounded: a point on the bound may lie in the next tile.
+    slack = 0.0 if isinstance(b, str) else 1e-6
+    columns, bounds, cell = [c for c, _, _ in axes], list(dict.fromkeys(c for axis in axes for c in axis[1:] if isinstance(c, str))), [*keys, "__tile"]
+    covered = F.sequence(F.floor(low / tile - slack), F.floor(high / tile + slack))
+    spread = boxes.dropna(subset=[*keys, *bounds]).select(*keys, *box_id, *bounds, F.explode(covered).alias("__tile"))
+    placed = points.dropna(subset=[*keys, *columns]).groupBy(*keys, *columns).agg(F.count("*").alias("__w")).withColumn("__tile", F.floor(F.col(p) / tile))
+    parts = lambda rows, c: rows.groupBy(*cell).agg(F.ceil(F.count("*") / part).alias(c))
+    sizes = parts(placed, "__ps").join(parts(spread, "__bs"), cell)
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    placed = placed.join(sizes, cell).withColumns({"__i": F.pmod(F.xxhash64(*columns), "__ps"), "__j": each("__bs")}).drop("__ps", "__bs")
+    spread = spread.join(sizes, cell).withColumns({"__j": F.pmod(F.xxhash64(*box_id), "__bs"), "__i": each("__ps")}).drop("__ps", "__bs")
+    schema = T.StructType([*(spread.schema[c] for c in [*keys, *box_id]), T.StructField("__n", T.LongType())])
+
+    def counted(some: pa.Table, around: pa.Table) -> pa.Table:
+        at = [some.column(c).to_numpy() for c in columns]
+        order, weights = np.argsort(at[0], kind="stable"), some.column("__w").to_numpy()
+        across = _reached(at[0][order], around, axes[0])
+        if len(axes) == 1:
+            sums = np.concatenate(([0], np.cumsum(weights[order])))
+            n = np.maximum(sums[across[1]] - sums[across[0]], 0)
+        else:
+            up = np.argsort(at[1], kind="stable")
+            ranks = np.empty(len(up), dtype=np.int64)
+            ranks[up] = np.arange(len(up))
+            along = _reached(at[1][up], around, axes[1])
+            # A box whose bounds are the wrong way round holds nothing.
+            n = _weights_inside(weights[order], ranks[order], (across[0], np.maximum(*across)), (along[0], np.maximum(*along)))
+        return around.select(schema.names[:-1]).append_column("__n", pa.array(n, pa.int64()))
+
+    group = [*cell, "__i", "__j"]
+    # Named anew, as boxes and points may be of one table.
+    spread = spread.select(*(F.col(c).alias(c) for c in spread.columns))
+    counts = placed.groupBy(*group).cogroup(spread.groupBy(*group)).applyInArrow(counted, schema).groupBy(*keys, *box_id).agg(F.sum("__n").alias(name))
     return boxes.join(counts, [*keys, *box_id], "left").fillna(0, [name])
 
 

@@ -133,6 +133,28 @@ def test_a_difference_just_below_the_seam_stays_at_the_upper_end(spark):
     assert row.a == pytest.approx(180) and row.b == pytest.approx(360) and 0 <= row.c < 360
 
 
+def test_counts_in_crowded_boxes(spark):
+    rng = np.random.default_rng(3)
+    points = [("a", float(x), int(y)) for x, y in zip(rng.integers(0, 60, 400) / 4, rng.integers(0, 12, 400), strict=True)] + [("a", 1.0, 2)] * 50 + [("b", math.nan, 1), ("b", None, 1), (None, 1.0, 1)]
+    boxes = [("a", i, float(x), float(x) + 5, int(y), int(y) + 3) for i, (x, y) in enumerate(rng.integers(-3, 15, (90, 2)))] + [("b", 90, 0.0, 9.0, 0, 9), ("c", 91, 0.0, 9.0, 0, 9), (None, 92, 0.0, 9.0, 0, 9), ("a", 93, None, 9.0, 0, 9), ("a", 94, 9.0, 0.0, 0, 9)]
+    p, b = frame(spark, points, "k string, x double, y int"), frame(spark, boxes, "k string, id int, x0 double, x1 double, y0 int, y1 int")
+    axes = [("x", "x0", "x1"), ("y", "y0", "y1")]
+    for n in (1, 2):
+        want = [(i, sum(q[0] == k and k is not None and None not in (q[1], x0) and x0 <= q[1] <= x1 and (n == 1 or y0 <= q[2] <= y1) for q in points)) for k, i, x0, x1, y0, y1 in boxes]
+        assert values(jn.count_in_boxes(b, p, ["k"], axes[:n], 4.0, ["id"]), "id", "n_points") == want
+        # A crowded tile is cut into parts, and pairs of parts add up.
+        assert values(jn.count_in_boxes(b, p, ["k"], axes[:n], 4.0, ["id"], part=16), "id", "n_points") == want
+    with pytest.raises(ValueError):
+        jn.count_in_boxes(b, p, ["k"], [], 4.0, ["id"])
+
+
+def test_a_point_at_half_the_side_is_in_the_box(spark):
+    # The bound of the box is a little above the point, but their rounded distance is half the side.
+    assert 200.3 - 200 > 0.3 and 0.3 - 200.3 == -200
+    p, b = frame(spark, [("a", 0.3)], "k string, x double"), frame(spark, [("a", 1, 200.3)], "k string, id int, c double")
+    assert values(jn.count_in_boxes(b, p, ["k"], [("x", "c", 200.0)], 400.0, ["id"]), "id", "n_points") == [(1, 1)]
+
+
 def test_circular_percentiles(spark):
     df = frame(spark, [("a", v) for v in (3.0, 3.1, 0.05, 0.1)] + [("b", v) for v in (1.0, 1.1, 1.2, 1.3)], "k string, x double")
     out = {r.k: r.percentiles for r in ranks.circular_percentile(df, ["k"], "x", [0, 50, 100], math.pi).collect()}
