@@ -94,7 +94,7 @@ def frame_bundle(cells: DataFrame, settings: DataFrame, flow: DataFrame, points:
     rows = rows.withColumns(made).drop("__start")
     valid = (F.col("start_x") >= 0) & (F.col("start_y") >= 0) & (F.col("end_x") <= image[0]) & (F.col("end_y") <= image[1])
     rows = rows.withColumn("is_valid_crop", F.coalesce(valid, F.lit(False)))
-    axes = [("nuclei_x", "start_x", "end_x"), ("nuclei_y", "start_y", "end_y")]
+    axes = [("nuclei_x", "centroid_x", crop / 2), ("nuclei_y", "centroid_y", crop / 2)]
     rows = jn.count_in_boxes(rows, points, FRAME, axes, crop, ["label"], "n_nuclei_in_crop")
     rows = rows.join(distinct_tracks(cells, "n_tracks"), FRAME)
     rows = win.gaussian_smoothed(rows, "area_px", sigma, win.TRACK, [win.TIME, "label"], "__smooth")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from driftloom import registry
 
@@ -65,3 +66,13 @@ def test_ties_of_the_extremes_go_to_the_smallest_index(spark, tmp_path):
     sf = tables(tmp_path, [(u, 0, v, 1) for u, v in ((8, 1.0), (4, 1.0), (12, 1.0), (20, 6.0), (16, 6.0), (24, 6.0))])
     (row,) = registry.queries()["srt06_argmin"](spark, sf).collect()
     assert (row.low, row.high) == (4, 16)
+
+
+def crowd(tmp_path):
+    """Cells whose nuclei lie half a crop apart, in two frames."""
+    return tables(tmp_path, [(12 * i, f, round(0.03 + 0.37 * (i // 3) + 20 * ((i + f) % 3), 2), 2 * (i % 4) + 1) for f in range(2) for i in range(90)])
+
+
+@pytest.mark.parametrize("name", ["stat35_frame_features", "stat37_merge_pipeline"])
+def test_nuclei_on_the_bounds_of_crops(spark, tmp_path, name):
+    compare(spark, crowd(tmp_path), name)
