@@ -37,8 +37,9 @@ def digits_of(c, digits):
 
 
 def shown(df, plain, real, digits=5):
-    # Adding zero leaves no negative zeros.
-    return df.select(*KEY, *plain, *((F.round(c, digits_of(c, digits)) + 0.0).alias(c) for c in real))
+    # Adding zero leaves no negative zeros. The scaled double is rounded, as in SQL, not its decimal digits: ties of the two differ.
+    scaled = lambda c, n: F.round(F.col(c) * F.lit(10.0**n)) / F.lit(10.0**n)
+    return df.select(*KEY, *plain, *((scaled(c, digits_of(c, digits)) + 0.0).alias(c) for c in real))
 
 
 def shown_sql(plain, real, source, digits=5):

@@ -76,3 +76,14 @@ def crowd(tmp_path):
 @pytest.mark.parametrize("name", ["stat35_frame_features", "stat37_merge_pipeline"])
 def test_nuclei_on_the_bounds_of_crops(spark, tmp_path, name):
     compare(spark, crowd(tmp_path), name)
+
+
+def test_track_features_of_nuclei_on_bounds(spark, tmp_path):
+    compare(spark, crowd(tmp_path), "stat36_track_features")
+
+
+def test_ties_of_decimals_round_as_scaled_doubles(spark):
+    from driftloom.plans.bundles import shown
+
+    row = spark.sql("select 'a' dataset, 0 position, 0 crop_index, 0 frame_number, 2.00000025D x")
+    assert shown(row, [], ["x"], 7).first().x == duckdb.sql("select round(2.00000025::DOUBLE, 7)").fetchall()[0][0] == 2.0000002
