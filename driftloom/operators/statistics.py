@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,26 +63,32 @@ def _correlated(first: int, frames: int, most: int):
     """Lagged products of whole trajectories at once, by the convolution theorem; padding keeps the ends apart."""
     size = 1 << (2 * frames - 1).bit_length()
 
-    def centred(rows: pd.Series, at: int) -> tuple[np.ndarray, np.ndarray]:
-        out, spread = np.zeros((len(rows), frames)), np.full(len(rows), np.nan)
-        for k, row in enumerate(rows):
-            known = [(r[0], r[at]) for r in row if r[at] is not None]
-            if known:
-                t, v = np.array([t for t, _ in known]) - first, np.array([v for _, v in known], dtype=float)
-                out[k, t] = v - v.mean()
-                spread[k] = v.std(ddof=1) if len(v) > 1 and v.min() < v.max() else np.nan
-        return out, spread
-
-    def correlated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in range(0, len(pdf), 256):
-                rows = pdf.iloc[part : part + 256]
-                series = rows["__rows"].map(lambda row: [(r["frame_number"], r["x"], r["y"]) for r in row])
-                (x, sx), (y, sy) = centred(series, 1), centred(series, 2)
+    def centred(row: np.ndarray, at: np.ndarray, values: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of n trajectories by frame, less their means, and the sample deviations."""
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        row, at, v = row[known], at[known], values.to_numpy(zero_copy_only=False)[known]
+        many = np.bincount(row, minlength=n)
+        v = v - (np.bincount(row, v, n) / np.maximum(many, 1))[row]
+        low, high, out = np.full(n, np.inf), np.full(n, -np.inf), np.zeros((n, frames))
+        np.minimum.at(low, row, v)
+        np.maximum.at(high, row, v)
+        out[row, at] = v
+        return out, np.where(low < high, np.sqrt(np.bincount(row, v * v, n) / np.maximum(many - 1, 1)), np.nan)
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Some trajectories at a time, out of flat arrays, so that neither the input's rows nor the lags of a batch are held as objects."""
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                rows = part.column("__rows")
+                row = np.repeat(np.arange(len(part)), rows.value_lengths().to_numpy())
+                frame, *values = rows.flatten().flatten()
+                (x, sx), (y, sy) = (centred(row, frame.to_numpy() - first, v, len(part)) for v in values)
                 products = np.fft.irfft(np.fft.rfft(x, size).conj() * np.fft.rfft(y, size), size)
-                lags = np.concatenate((products[:, size - most :], products[:, : most + 1]), axis=1)
-                scaled = lags / (frames * sx * sy)[:, None]
-                yield rows.drop(columns="__rows").assign(ccf=[None if np.isnan(s) else c for s, c in zip(sx * sy, scaled, strict=True)])
+                scaled = np.concatenate((products[:, size - most :], products[:, : most + 1]), axis=1) / (frames * sx * sy)[:, None]
+                places = pa.array(np.arange(len(part) + 1) * (2 * most + 1), pa.int32())
+                lags = pa.ListArray.from_arrays(places, pa.array(scaled.ravel()), mask=pa.array(np.isnan(sx * sy)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "__rows"), lags], [*(c for c in part.schema.names if c != "__rows"), "ccf"])
 
     return correlated
 
@@ -98,7 +105,7 @@ def cross_correlation(df: DataFrame, x: str, y: str, keys: list[str], lags: int
     most = min(frames - 1, lags) if lags is not None else max(1, frames // 3)
     rows = df.groupBy(*keys).agg(F.collect_list(F.struct("frame_number", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("__rows"))
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("ccf", T.ArrayType(T.DoubleType()))])
-    found = rows.mapInPandas(_correlated(low or 0, frames, most), schema)
+    found = rows.mapInArrow(_correlated(low or 0, frames, most), schema)
     return found.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select(*keys, "lag", F.col("ccf")[F.col("lag") + most].alias("ccf"))
 
 

@@ -1,5 +1,7 @@
 """Cross- and autocorrelation against sums of lagged products."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -56,3 +58,21 @@ def test_empty_tables_and_plans(spark):
     df = spark.createDataFrame([("a", t, float(t), 1.0) for t in range(9)], ROWS)
     plan = st.cross_correlation(df, "x", "y", ["k"])._jdf.queryExecution().toString()
     assert plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_trajectories_are_taken_a_few_at_a_time():
+    """The lags of a batch are never held at once; nulls are missing, constants and NaN have no correlation."""
+    import pyarrow as pa
+
+    from driftloom.operators.statistics import _correlated
+
+    rows = [[(0, 1.0, 2.0), (1, 2.0, None), (3, 4.0, 1.0)], [(0, 5.0, 1.0), (1, 5.0, 2.0)], [(0, math.nan, 1.0), (1, 2.0, 2.0)], [(2, 1.0, 1.0)]] * 250
+    struct = pa.struct([("frame_number", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+    made = pa.array([[dict(zip(("frame_number", "x", "y"), r, strict=True)) for r in row] for row in rows], pa.list_(struct))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), made], ["id", "__rows"])
+    out = list(_correlated(0, 4, 1)(iter([batch])))
+    assert max(map(len, out)) <= 256 and pa.Table.from_batches(out).column("id").to_pylist() == list(range(1000))
+    found = pa.Table.from_batches(out).column("ccf").to_pylist()
+    x, y = np.array([-4, -1, 0, 5]) / 3, np.array([0.5, 0, 0, -0.5])
+    want = np.array([x[1:] @ y[:-1], x @ y, x[:-1] @ y[1:]]) / (4 * np.std([1, 2, 4], ddof=1) * np.std([2, 1], ddof=1))
+    assert np.allclose(found[0], want) and np.allclose(found[996], want) and found[1] is found[2] is found[3] is found[999] is None
