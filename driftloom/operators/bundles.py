@@ -56,6 +56,8 @@ def frame_bundle(cells: DataFrame, settings: DataFrame, flow: DataFrame, points:
     - n_tracks (tracks of the frame), n_rows (of the track in the frame; 1 in a sound table), track_duration
     - area_normalized (area over its smoothed course along the track) and its change
     """
+    # Settled, as cells go into counts of boxes, into tracks of the frame and into the rows themselves.
+    cells = settled(cells)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "start_frame", "shear_stress")))
     flows = flow.groupBy("dataset").agg(ordered.alias("c")).select(
         "dataset",
