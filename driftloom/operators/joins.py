@@ -15,6 +15,20 @@ from driftloom.functions.angles import wrapped_difference
 from driftloom.sources.scratch import settled
 
 
+#: Rows up to which a table that was counted goes to every task.
+FEW = 100_000
+
+
+def with_few(df: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", most: int = FEW) -> DataFrame:
+    """``df`` joined to a table with few rows, such as one a data set, which goes to every task if a count finds it to be few.
+
+    Exchanged by such keys, all rows of a data set would go to one task. Adaptive execution keeps that exchange where most of
+    its partitions are empty, and so leaves a few tasks with everything, however large the cluster.
+    """
+    few = settled(few)
+    return df.join(F.broadcast(few) if few.count() <= most else few, keys, how)
+
+
 def inner_without_clashes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join; columns of the right table that the left has too are dropped first."""
     return left.join(right.drop(*(set(left.columns) & set(right.columns) - set(keys))), keys)
@@ -150,7 +164,7 @@ def means_in_boxes(points: DataFrame, values: list[str], centers: DataFrame, key
 def distances_to_points(df: DataFrame, points: DataFrame, keys: list[str], axes: list[tuple[str, str]], periods: dict[str, float] | None = None) -> DataFrame:
     """Rows with every fixed point of their keys: signed differences d_<axis> (periodic ones the short way) and the distance."""
     periods = periods or {}
-    rows = df.join(points, keys)
+    rows = with_few(df, points, keys)
     diffs = {}
     for x, c in axes:
         d = F.col(x) - F.col(c)

@@ -314,9 +314,10 @@ def passage_stats(spark, sf, thresholds):
     track = ["patch_type", *win.TRACK]
     both = s.t.withColumn("patch_type", F.lit("grid_based")).unionByName(trajectories(spark, sf, last=True).withColumn("patch_type", F.lit("cell_centered")))
     rows = flt.steady_state(both, s.ds, both, s.dust, s.a)
-    rows = flt.by_track_length(win.with_track_duration(rows, track), 24)
     points = roots(spark, sf).where("stability = 'stable'").select("dataset", F.col("rho").alias("point")).distinct()
     rows = jn.distances_to_points(rows, points, ["dataset"], [("rho", "point")])
+    # Points first, so that the duration and the passages share one sort.
+    rows = flt.by_track_length(win.with_track_duration(rows, [*track, "point"]), 24)
     rows = win.passages(rows, "distance", thresholds, [*track, "point"]).where("time_to_passage > 0").withColumn("bin_index", RHO.index()).where("bin_index is not null")
     x, cell = F.col("time_to_passage"), ["dataset", "point", "j", "bin_index"]
     stats = rows.groupBy("patch_type", *cell).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), agg.sem(x).alias("sem"))
