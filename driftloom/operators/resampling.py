@@ -18,10 +18,12 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftloom.operators.joins import FEW, with_few
 from driftloom.operators.windows import with_dense_index
 from driftloom.sources.scratch import settled
 
@@ -29,6 +31,8 @@ SEED = 17
 #: Counts above the 32nd term have a chance below 2^-32 at this rate.
 HIGHEST_RATE, TERMS = 4.0, 32
 SPREAD = 5
+#: Groups whose sums a task holds before it hands them on.
+HELD = 1_000
 
 
 def poisson_limits(tracks: int, draws: int) -> np.ndarray:
@@ -58,6 +62,49 @@ def _poisson(replicates: int):
     return counted
 
 
+def _partial_sums(by: list[str], values: list[str]):
+    """Sums of the given values times multiplicity as arrays over replicates, by the groups of a task; rows that are not drawn count nothing."""
+
+    def handed_on(held: dict[tuple, np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
+        names = [pa.array([name[i] for name in held], t) for i, t in enumerate(types)]
+        sums = [pa.array([s[i] for s in held.values()], pa.list_(pa.float64())) for i in range(len(values))]
+        return pa.RecordBatch.from_arrays(names + sums, [*by, *values])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(c).type for c in by]
+            times = batch["times"].flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
+            x = np.column_stack([batch[v].to_numpy() for v in values])
+            groups: dict[tuple, list[int]] = {}
+            for i, name in enumerate(zip(*(batch[c].to_pylist() for c in by), strict=True)):
+                groups.setdefault(name, []).append(i)
+            for name, at in groups.items():
+                t, v = times[at], x[at]
+                sums = np.where(np.isfinite(v), v, 0.0).T @ t
+                for i, k in np.argwhere(~np.isfinite(v)):
+                    sums[k] += np.multiply(v[i, k], t[i], out=np.zeros_like(t[i]), where=t[i] > 0)
+                held[name] = held[name] + sums if name in held else sums
+            if len(held) > HELD:
+                yield handed_on(held, types)
+                held = {}
+        if held:
+            yield handed_on(held, types)
+
+    return summed
+
+
+def _sums_by_replicate(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by, replicate, values) from rows with ``times``: replicates are unfolded behind the sums of a task, which are few."""
+    fields = [rows.schema[c] for c in by] + [T.StructField(v, T.ArrayType(T.DoubleType())) for v in values]
+    sums = rows.select(*by, *values, "times").mapInArrow(_partial_sums(by, values), T.StructType(fields))
+    sums = sums.select(*by, F.posexplode(F.arrays_zip(*values)).alias("replicate", "__z"))
+    return sums.groupBy(*by, "replicate").agg(*(F.sum(F.col("__z")[v]).alias(v) for v in values))
+
+
 def multiplicity_arrays(df: DataFrame, keys: list[str], track: str, replicates: int, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
     """(keys, track, times): an array with the number of draws of the trajectory in each replicate.
 
@@ -68,22 +115,26 @@ def multiplicity_arrays(df: DataFrame, keys: list[str], track: str, replicates:
     each = tracks.groupBy(*keys).agg(F.min("__i").alias("__least"), F.count("*").alias("__n"))
     each = each.withColumn("__draws", F.col("__n")) if draws is None else each.join(draws.select(*keys, F.col("__draws").cast("long").alias("__draws")), keys)
     named = F.concat_ws(":", F.lit(seed), *keys, track)
-    tracks = tracks.join(each, keys).withColumn("__j", F.col("__i") - F.col("__least")).drop("__i", "__least").withColumn("__name", named)
+    tracks = with_few(tracks, each, keys).withColumn("__j", F.col("__i") - F.col("__least")).drop("__i", "__least").withColumn("__name", named)
     fields = [f for f in tracks.schema.fields if f.name != "__name"]
+    # Rows are small and their draws are not, so they go to a stated number of tasks, which is not coalesced.
+    parts = _parts(df)
+    tracks = tracks.repartition(parts, *keys, track)
     base = settled(tracks.mapInPandas(_poisson(replicates), T.StructType([*fields, T.StructField("__base", T.ArrayType(T.ByteType()))])))
 
     key = [*keys, "__n", "__draws"]
-    totals = base.select(*key, F.posexplode("__base").alias("replicate", "v")).groupBy(*key, "replicate").agg(F.sum("v").alias("total"))
+    totals = _sums_by_replicate(base.select(*key, F.lit(1.0).alias("__one"), F.col("__base").alias("times")), key, ["__one"])
+    totals = totals.withColumn("total", F.col("__one").cast("long"))
     fits = F.col("total") <= F.col("__draws")
     totals = settled(totals.select(*key, "replicate", fits.alias("fits"), F.when(fits, F.col("__draws") - F.col("total")).otherwise(F.col("__draws")).alias("missing")))
-    picks = totals.where("missing > 0").select(*key, "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1)).alias("d"))
+    picks = totals.where("missing > 0").repartition(parts, *keys, "replicate").select(*key, "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1)).alias("d"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit("pick"), *keys, "replicate", "d").cast("binary"))
     at = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.col("__n")
     picked = picks.groupBy(*keys, at.alias("__j"), "replicate").agg(F.count("*").cast("int").alias("v"))
     # At most an entry a replicate in each of these.
     picked = picked.groupBy(*keys, "__j").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "v"))).alias("__picked"))
     good = totals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("replicate", "fits"))).alias("__fits"))
-    rows = base.join(good, keys).join(picked, [*keys, "__j"], "left")
+    rows = with_few(base, good, keys, most=FEW // replicates).join(picked, [*keys, "__j"], "left")
     drawn = F.transform("__base", lambda v, b: F.when(F.col("__fits")[b]["fits"], v.cast("int")).otherwise(0) + F.coalesce(F.col("__picked")[b], F.lit(0)))
     return rows.select(*keys, track, drawn.alias("times"))
 
@@ -96,14 +147,24 @@ def multiplicities(df: DataFrame, keys: list[str], track: str, replicates: int,
 
 
 def resampled_sums(per_track: DataFrame, drawn: DataFrame, keys: list[str], track: str, cells: list[str], values: list[str]) -> DataFrame:
-    """(keys, replicate, cells, values): sums of per-trajectory values times multiplicity.
+    """(keys, replicate, cells, values): sums of per-trajectory values times multiplicity, as doubles or, of whole numbers, as longs.
 
-    One join by trajectory; replicates are unfolded behind it, where partial sums follow at once.
+    One join by trajectory; a task adds up arrays over replicates, so trajectories are never unfolded by replicate. As in SQL, null
+    values count nothing, and cells of which nothing is drawn have no row.
     """
-    # A stated number of partitions is not coalesced: rows are small here, and many once they are unfolded.
-    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = per_track.join(drawn.repartition(parts, *keys, track), [*keys, track]).select(*keys, *cells, *values, F.posexplode("times").alias("replicate", "times")).where("times > 0")
-    return rows.groupBy(*keys, "replicate", *cells).agg(*(F.sum(F.col(v) * F.col("times")).alias(v) for v in values))
+    # A stated number of partitions is not coalesced: rows are small here, and large once they have their draws.
+    rows = per_track.join(drawn.repartition(_parts(drawn), *keys, track), [*keys, track])
+    number = {v: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values}
+    known = {"__known_" + v: F.col(v).isNotNull().cast("double") for v in values}
+    rows = rows.select(*keys, *cells, "times", *(c.alias(v) for v, c in (number | known).items()), F.lit(1.0).alias("__drawn"))
+    sums = _sums_by_replicate(rows, [*keys, *cells], [*number, *known, "__drawn"]).where("__drawn > 0")
+    whole = {v for v in values if isinstance(per_track.schema[v].dataType, T.IntegralType)}
+    results = {v: F.when(F.col("__known_" + v) > 0, F.col(v)).cast("long" if v in whole else "double") for v in values}
+    return sums.select(*keys, "replicate", *cells, *(c.alias(v) for v, c in results.items()))
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def draws_sql(replicates: int, key: str = "dataset", track: str = "crop_index") -> str:

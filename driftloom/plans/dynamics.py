@@ -365,9 +365,9 @@ def stat24(spark, sf):
         return per.selectExpr("dataset", "crop_index", "stack(2, 'mean', mean, 'variance', variance) as (feature, x)")
 
     axis, keys = Axis("x", RHO.low, RHO.width, RHO.n), ["dataset", "feature"]
-    first = by_track(trajectories(spark, sf))
+    first, second = (settled(by_track(trajectories(spark, sf, last))) for last in (False, True))
     draws = first.groupBy(*keys).agg(F.count("*").alias("__draws"))
-    band = dyn.bootstrap_density(by_track(trajectories(spark, sf, last=True)), axis, KERNEL[0], keys, "crop_index", REPLICATES, draws)
+    band = dyn.bootstrap_density(second, axis, KERNEL[0], keys, "crop_index", REPLICATES, draws)
     out = dyn.density_of(first, [axis], KERNEL, keys).join(band, [*keys, "i0"])
     return out.select(*keys, "i0", r("density", "density"), *(r(c, f"tracked_{c}") for c in ("mean", "low", "high")))
 
