@@ -280,7 +280,8 @@ def within_bounds(points: DataFrame, bounds: DataFrame, keys: list[str], axes: l
 def bootstrap_density(df: DataFrame, axis: Axis, kernel: tuple[str, float], keys: list[str], track: str, replicates: int, draws: DataFrame | None = None) -> DataFrame:
     """(keys, i0, mean, low, high) of the kernel density over replicates of drawn trajectories, with the 5 to 95 % band."""
     per_track = histogram(df, [axis], {"m0": F.lit(1.0)}, [*keys, track])
-    rows = resampled_sums(per_track, multiplicity_arrays(df, keys, track, replicates, draws=draws), keys, track, ["i0"], ["m0"])
+    # Settled, as the smoothed sums are met with their own totals.
+    rows = settled(resampled_sums(per_track, multiplicity_arrays(df, keys, track, replicates, draws=draws), keys, track, ["i0"], ["m0"]))
     one = [*keys, "replicate"]
     density = normalized_density(smoothed(rows, [axis], [kernel], ["m0"], one), [axis], one)
     # A group holds a value a replicate, so it is bounded.
@@ -293,7 +294,8 @@ def bootstrap_field(df: DataFrame, axes: list[Axis], kernels: list[tuple[str, fl
     per_track = moments(df, axes, [*keys, track])
     values = ["m0", *(f"m{p}_{k}" for k in range(len(axes)) for p in (1, 2))]
     cells = [f"i{k}" for k in range(len(axes))]
-    rows = resampled_sums(per_track, multiplicity_arrays(df, keys, track, replicates), keys, track, cells, values)
+    # Settled, as the smoothed sums are met with their own totals.
+    rows = settled(resampled_sums(per_track, multiplicity_arrays(df, keys, track, replicates), keys, track, cells, values))
     return field_of(rows, axes, kernels, dt, [*keys, "replicate"])
 
 

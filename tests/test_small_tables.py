@@ -5,8 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from driftloom.operators import dynamics as dyn
 from driftloom.operators import joins as jn
 from driftloom.operators import resampling as rs
+from driftloom.operators.grid import Axis
 
 
 @pytest.fixture
@@ -66,3 +68,10 @@ def test_sums_are_those_of_unfolded_replicates(spark, monkeypatch):
     want = unfolded.groupBy("k", "replicate", "i").agg(F.sum(F.col("x") * F.col("t")).alias("x"), F.sum(F.col("n") * F.col("t")).alias("n"))
     assert dict(out.dtypes) == dict(want.dtypes)
     assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty() and want.count() == 9
+
+
+def test_replicates_are_unfolded_once_for_field_and_totals(spark):
+    rows = spark.range(600).selectExpr("'a' as dataset", "0 as position", "id div 20 as crop_index", "cast(id % 20 as int) as frame_number", "(id * 7 % 11) / 11.0D as x")
+    out = dyn.bootstrap_field(rows, [Axis("x", 0.0, 0.25, 4)], [("gaussian", 0.3)], 1.0, ["dataset"], "crop_index", 8)
+    assert "posexplode" not in out._jdf.queryExecution().toString()
+    assert out.count() == 32
