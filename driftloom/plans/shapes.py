@@ -57,8 +57,8 @@ def srt05(spark, sf):
 
 @query("srt06_argmin", f"{W} SELECT dataset, frame_number, arg_min(crop_index, value) AS low, arg_max(crop_index, value) AS high FROM t GROUP BY ALL")
 def srt06(spark, sf):
-    # Of equal values the smallest index, so that reruns agree.
-    low, high = F.struct("value", "crop_index"), F.struct("value", -F.col("crop_index"))
+    # Of equal values the smallest index, so that reruns agree. Rows without a value take no part, as in SQL: in a struct, null would be least.
+    low, high = (F.when(F.col("value").isNotNull(), F.struct("value", index)) for index in (F.col("crop_index"), -F.col("crop_index")))
     return trajectories(spark, sf).groupBy("dataset", "frame_number").agg(F.min_by("crop_index", low).alias("low"), F.max_by("crop_index", high).alias("high"))
 
 

@@ -68,6 +68,11 @@ def test_ties_of_the_extremes_go_to_the_smallest_index(spark, tmp_path):
     assert (row.low, row.high) == (4, 16)
 
 
+def test_extremes_leave_out_rows_without_a_value(spark, tmp_path):
+    # Frame 1 has no value in any row.
+    compare(spark, tables(tmp_path, [(4, 0, None, 1), (8, 0, 2.0, 1), (12, 0, 5.0, 1), (16, 0, float("nan"), 1), (20, 1, None, 1), (5, 0, None, 1), (9, 0, 1.0, 1)]), "srt06_argmin")
+
+
 def crowd(tmp_path):
     """Cells whose nuclei lie half a crop apart, in two frames."""
     return tables(tmp_path, [(12 * i, f, round(0.03 + 0.37 * (i // 3) + 20 * ((i + f) % 3), 2), 2 * (i % 4) + 1) for f in range(2) for i in range(90)])
