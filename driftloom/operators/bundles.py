@@ -7,7 +7,7 @@ neighbor_labels and nuclei_labels. A label occurs once in a frame. Further colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftloom.functions import angles as A
@@ -56,8 +56,21 @@ def frame_bundle(cells: DataFrame, settings: DataFrame, flow: DataFrame, points:
     - n_tracks (tracks of the frame), n_rows (of the track in the frame; 1 in a sound table), track_duration
     - area_normalized (area over its smoothed course along the track) and its change
     """
-    # Settled, as cells go into counts of boxes, into tracks of the frame and into the rows themselves.
-    cells = settled(cells)
+    # Settled, as cells go into counts of boxes, into tracks of the frame and into the rows themselves, and are numbered.
+    cells = settled(cells.withColumn("__row", F.monotonically_increasing_id()))
+    # Counts and smoothing take many exchanges, so they get these columns only and meet the others once.
+    axes = [("nuclei_x", "centroid_x", crop / 2), ("nuclei_y", "centroid_y", crop / 2)]
+    measured = cells.select("__row", *win.TRACK, win.TIME, "label", "area_px", "centroid_x", "centroid_y")
+    measured = jn.count_in_boxes(measured, points, FRAME, axes, crop, ["__row"], "n_nuclei_in_crop").drop("centroid_x", "centroid_y")
+    measured = settled(win.gaussian_smoothed(measured, "area_px", sigma, win.TRACK, [win.TIME, "label"], "__smooth").select("__row", "n_nuclei_in_crop", "__smooth"))
+    rows = cells.join(measured, "__row").drop("__row")
+    # Windows before the other features, so that those are in no exchange.
+    rows = rows.withColumn("area_normalized", F.col("area_px") / F.nullif(F.col("__smooth"), F.lit(0.0))).drop("__smooth")
+    rows = win.with_track_duration(rows).withColumns({
+        "area_normalized_change": win.difference("area_normalized"),
+        "n_rows": F.count("*").over(win.whole([*win.TRACK, win.TIME])),
+    })
+    rows = jn.with_few(rows, distinct_tracks(cells, "n_tracks"), FRAME)
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "start_frame", "shear_stress")))
     flows = flow.groupBy("dataset").agg(ordered.alias("c")).select(
         "dataset",
@@ -65,7 +78,7 @@ def frame_bundle(cells: DataFrame, settings: DataFrame, flow: DataFrame, points:
         F.transform("c", lambda c: c["shear_stress"]).alias("shear_stresses"),
         F.col("c")[0]["start_frame"].alias("__start"),
     )
-    rows = cells.join(settings.select("dataset", "time_interval_in_minutes", "pixel_size_xy_in_um"), "dataset", "left").join(flows, "dataset", "left")
+    rows = rows.join(settings.select("dataset", "time_interval_in_minutes", "pixel_size_xy_in_um"), "dataset", "left").join(flows, "dataset", "left")
     minutes, pixel, half = F.col("time_interval_in_minutes"), F.col("pixel_size_xy_in_um"), F.lit(crop / 2)
     alignment, dx, dy = A.axis_alignment(F.col("orientation")), F.col("centroid_x") - F.col("nuclei_x"), F.col("centroid_y") - F.col("nuclei_y")
     made = {
@@ -95,17 +108,7 @@ def frame_bundle(cells: DataFrame, settings: DataFrame, flow: DataFrame, points:
         made[f"{name}_fluor_mean"], made[f"{name}_fluor_std"] = _spread(values)
     rows = rows.withColumns(made).drop("__start")
     valid = (F.col("start_x") >= 0) & (F.col("start_y") >= 0) & (F.col("end_x") <= image[0]) & (F.col("end_y") <= image[1])
-    rows = rows.withColumn("is_valid_crop", F.coalesce(valid, F.lit(False)))
-    axes = [("nuclei_x", "centroid_x", crop / 2), ("nuclei_y", "centroid_y", crop / 2)]
-    rows = jn.count_in_boxes(rows, points, FRAME, axes, crop, ["label"], "n_nuclei_in_crop")
-    rows = rows.join(distinct_tracks(cells, "n_tracks"), FRAME)
-    rows = win.gaussian_smoothed(rows, "area_px", sigma, win.TRACK, [win.TIME, "label"], "__smooth")
-    rows = rows.withColumn("area_normalized", F.col("area_px") / F.nullif(F.col("__smooth"), F.lit(0.0))).drop("__smooth")
-    rows = win.with_track_duration(rows)
-    return rows.withColumns({
-        "area_normalized_change": win.difference("area_normalized"),
-        "n_rows": F.count("*").over(win.whole([*win.TRACK, win.TIME])),
-    })
+    return rows.withColumn("is_valid_crop", F.coalesce(valid, F.lit(False)))
 
 
 def track_bundle(rows: DataFrame, keys: list[str] = win.TRACK) -> DataFrame:
@@ -121,7 +124,7 @@ def track_bundle(rows: DataFrame, keys: list[str] = win.TRACK) -> DataFrame:
     - n_tracks_at_frame: tracks of the frame among these rows
     """
     pixel = F.col("pixel_size_xy_in_um")
-    rows = rows.join(distinct_tracks(rows, "n_tracks_at_frame"), FRAME)
+    rows = jn.with_few(rows, distinct_tracks(rows, "n_tracks_at_frame"), FRAME)
     rows = rows.withColumns({name: F.col(c) * pixel for name, c in {"x_um": "centroid_x", "y_um": "centroid_y", "nuclei_dx_um": "nuclei_dx", "nuclei_dy_um": "nuclei_dy"}.items()})
     passed = F.nullif(win.difference("time_min", keys), F.lit(0.0))
     rates = {
@@ -147,19 +150,20 @@ def track_bundle(rows: DataFrame, keys: list[str] = win.TRACK) -> DataFrame:
 def flagged(rows: DataFrame, annotations: DataFrame, kinds: list[str], least_duration: int = 24, most_change: float = 0.1, least_valid: int = 20) -> DataFrame:
     """Rows of ``frame_bundle`` with quality flags, ``is_included``, a 0/1 column a kind of annotation, and ``n_tracks_after``.
 
-    The latter counts the included tracks of the frame and is null on rows that are not included. The flags are settled in the shared folder,
-    as they are used twice.
+    The latter counts the included tracks of the frame and is null on rows that are not included. The rows are read twice, first for
+    these counts, which need few columns.
     """
-    rows = settled(flt.quality_flags(rows, "area_normalized", F.col("is_edge"), least_duration, most_change, least_valid))
-    after = distinct_tracks(rows.where("is_included"), "__after")
-    rows = rows.join(after, FRAME, "left").withColumn("n_tracks_after", F.when(F.col("is_included"), F.col("__after"))).drop("__after")
+    rows = flt.quality_flags(rows, "area_normalized", F.col("is_edge"), least_duration, most_change, least_valid)
+    rows = jn.with_few(rows, distinct_tracks(rows.where("is_included"), "__after"), FRAME, "left").withColumn("n_tracks_after", F.when(F.col("is_included"), F.col("__after"))).drop("__after")
     return flt.flag_columns(rows, annotations, kinds)
 
 
 def written(df: DataFrame, path: str, by: list[str], parameters: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """The table written, counted against what was to be written, and read again; and its catalog row."""
-    catalog = write_table(df, path, by, parameters)
-    check_written(df.sparkSession, path, df)
+    # Counted while it is written, as another run of the plan would exchange its rows once more.
+    seen = Observation()
+    catalog = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, by, parameters)
+    check_written(df.sparkSession, path, df, seen.get["rows"])
     return read_table(df.sparkSession, path), catalog
 
 

@@ -75,19 +75,19 @@ def write_table(df: DataFrame, path: str, by: list[str] = (), parameters: dict[s
     return catalog_row(df.sparkSession, path, df.columns, parameters or {}, comments or {})
 
 
-def check_written(spark: SparkSession, path: str, df: DataFrame) -> None:
-    """ValueError unless the table at a path has the columns and as many rows as ``df``."""
-    rows, columns = written_differences(spark, path, df)
+def check_written(spark: SparkSession, path: str, df: DataFrame, expected: int | None = None) -> None:
+    """ValueError unless the table at a path has the columns and as many rows as ``df``, which is counted where ``expected`` does not tell them."""
+    rows, columns = written_differences(spark, path, df, expected)
     if columns:
         raise ValueError(f"{path} has other columns: {sorted(columns)}")
     if rows:
         raise ValueError(f"{path} has another number of rows, by {rows}")
 
 
-def written_differences(spark: SparkSession, path: str, df: DataFrame) -> tuple[int, set[str]]:
+def written_differences(spark: SparkSession, path: str, df: DataFrame, expected: int | None = None) -> tuple[int, set[str]]:
     """How many rows the table at a path has more than ``df``, and the columns that only one of them has."""
     again = read_table(spark, path)
-    return again.count() - df.count(), set(again.columns) ^ set(df.columns)
+    return again.count() - (df.count() if expected is None else expected), set(again.columns) ^ set(df.columns)
 
 
 def catalog_row(spark: SparkSession, path: str, columns: list[str], parameters: dict[str, str], comments: dict[str, str]) -> DataFrame:

@@ -89,6 +89,38 @@ def test_pipelines_write_once_and_give_both_tables(spark, made, tmp_path):
         bun.combine_pipeline(merged, latent.unionByName(latent), str(tmp_path / "again.parquet"))
 
 
+def test_features_are_made_behind_the_exchanges(spark, made):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = bundle(made)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # Neither windows nor kept tables hold them; joins behind them are of few rows.
+    assert not [line for line in plan.splitlines() if "edge_fluor_std" in line and ("Window" in line or "RDD" in line or "MapInArrow" in line)]
+    assert "Window" in plan[plan.index("edge_fluor_std") :]
+
+
+def test_written_tables_are_computed_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def kept(i):
+        runs.add(1)
+        return i % 2 == 0
+
+    df = spark.range(100).where(F.udf(kept, "boolean")("id"))
+    again, _ = bun.written(df, str(tmp_path / "once.parquet"), [], {})
+    assert again.count() == 50 and runs.value == 100
+    again, _ = bun.written(df.limit(0), str(tmp_path / "none.parquet"), [], {})
+    assert again.count() == 0
+
+
+def test_cells_without_a_track_stay(spark, made):
+    segments, tracking, nuclei, settings, flow = made
+    tracking = tracking.withColumn("crop_index", F.when(F.col("crop_index") != 2, F.col("crop_index")))
+    rows = bundle((segments, tracking, nuclei, settings, flow)).collect()
+    assert len(rows) == 9 and sorted(r.n_nuclei_in_crop for r in rows if r.crop_index is None) == [2, 2, 2]
+
+
 def test_empty_tables(spark, made, tmp_path):
     none = tuple(t.limit(0) for t in made[:3])
     assert bun.track_bundle(bundle((*none, *made[3:]))).count() == 0
