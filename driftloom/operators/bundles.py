@@ -15,7 +15,7 @@ from driftloom.operators import filters as flt
 from driftloom.operators import joins as jn
 from driftloom.operators import windows as win
 from driftloom.sources.files import check_written, read_table, write_table
-from driftloom.sources.scratch import settled
+from driftloom.sources.scratch import settled, shuffles_dropped
 
 FRAME = ["dataset", "position", "frame_number"]
 CELL = [*FRAME, "label"]
@@ -162,7 +162,8 @@ def written(df: DataFrame, path: str, by: list[str], parameters: dict[str, str])
     """The table written, counted against what was to be written, and read again; and its catalog row."""
     # Counted while it is written, as another run of the plan would exchange its rows once more.
     seen = Observation()
-    catalog = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, by, parameters)
+    with shuffles_dropped(df.sparkSession):
+        catalog = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, by, parameters)
     check_written(df.sparkSession, path, df, seen.get["rows"])
     return read_table(df.sparkSession, path), catalog
 
@@ -184,7 +185,9 @@ def combine_pipeline(merged: DataFrame, latent: DataFrame, path: str, model: str
     tracks, then drops rows that no model saw and the ``unwanted`` columns. A second latent row of a track in a frame is an error.
     """
     keys = [*FRAME, "crop_index"]
-    if not latent.groupBy(*keys).count().where("count > 1").isEmpty():
+    with shuffles_dropped(latent.sparkSession):
+        several = not latent.groupBy(*keys).count().where("count > 1").isEmpty()
+    if several:
         raise ValueError("a track has several latent rows in a frame")
     both, catalog = written(jn.left_with_suffixes(merged, latent, keys), path, ["dataset"], {"model": model})
     filtered = track_bundle(both.where("is_included")).where(F.col(model).isNotNull()).drop(*unwanted)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import bundles as bun
 from driftloom.sources.files import read_table
+from driftloom.sources.scratch import settled
 
 IMAGE = (100.0, 100.0)
 
@@ -114,6 +115,18 @@ def test_written_tables_are_computed_once(spark, tmp_path):
     assert again.count() == 0
 
 
+def test_kept_tables_leave_no_shuffle_files(spark, tmp_path):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+    before = files()
+    df = spark.range(1000).repartition(5, "id")
+    kept = settled(df)
+    again, _ = bun.written(df.groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "kept.parquet"), [], {})
+    assert files() <= before
+    # The tables themselves can be used on and on.
+    assert kept.count() == kept.distinct().count() == df.count() == df.distinct().count() == 1000 and again.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_cells_without_a_track_stay(spark, made):
     segments, tracking, nuclei, settings, flow = made
     tracking = tracking.withColumn("crop_index", F.when(F.col("crop_index") != 2, F.col("crop_index")))
